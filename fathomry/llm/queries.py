@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ._work import Work
 
@@ -11,6 +11,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import op03_mix as op
+
+    return op.plan(Work(spark, "op3"), _table(spark, sf_dir, "documents")).drop("repeats")
+
+
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import op08_near as op
+
+    return op.components(Work(spark, "op8"), _table(spark, sf_dir, "documents"), words=2)
+
+
+def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import op09_decontam as op
+
+    out = op.report(Work(spark, "op9"), _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import op10_lines as op
 
@@ -18,4 +37,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.line_report(docs, op.build_index(Work(spark, "op10"), docs))
 
 
-QUERIES = {f.__name__: f for f in (op10_line_dedup,)}
+QUERIES = {f.__name__: f for f in (op3_mix, op8_minhash, op9_decontam, op10_line_dedup)}

@@ -21,3 +21,61 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count_if(gone)::BIGINT
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY r
 """
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_SPACE = r"[\x20\x09-\x0D]+"
+
+ORACLE["op8_minhash"] = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(regexp_split_to_array({_LOWER}, '{_SPACE}'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w
+         ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS g FROM d
+), n AS (
+  SELECT r, doc_id, len(g) AS n, CASE WHEN len(g) > 0 THEN md5(array_to_string(list_sort(g), chr(10))) END AS k, g FROM s
+), rep AS (
+  SELECT k, min(doc_id) AS id, any_value(n) AS n, any_value(g) AS g FROM n WHERE k IS NOT NULL GROUP BY k
+), sh AS (
+  SELECT id, n, unnest(g) AS t FROM rep
+), link AS (
+  SELECT a.id AS a, b.id AS b FROM sh a JOIN sh b USING (t)
+  WHERE a.id < b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), arc AS (
+  SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach AS (
+  SELECT DISTINCT a AS x, a AS y FROM arc
+  UNION
+  SELECT reach.x, arc.b FROM reach JOIN arc ON arc.a = reach.y
+), comp AS (
+  SELECT x, min(y) AS c FROM reach GROUP BY x
+)
+SELECT n.doc_id, n.n AS n_shingles, coalesce(comp.c, rep.id, n.doc_id) AS component_id,
+       n.doc_id = coalesce(comp.c, rep.id, n.doc_id) AS kept
+FROM n LEFT JOIN rep ON n.k = rep.k LEFT JOIN comp ON comp.x = rep.id
+"""
+
+ORACLE["op9_decontam"] = rf"""
+WITH dw AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array({_LOWER}, '{_GAP}'), lambda x: x <> '') AS w FROM documents
+), iw AS (
+  SELECT item_id, list_filter(regexp_split_to_array({_LOWER}, '{_GAP}'), lambda x: x <> '') AS w FROM benchmark
+), iwin AS (
+  SELECT item_id, w, least(10, len(w)) AS size, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM iw WHERE len(w) > 0
+), win AS (
+  SELECT DISTINCT item_id, size, array_to_string(w[s : s + size - 1], ' ') AS g FROM iwin
+), dwin AS (
+  SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM dw, (SELECT DISTINCT size FROM win) WHERE len(w) >= size
+), hit AS (
+  SELECT r, p, win.size AS size, item_id FROM dwin JOIN win ON dwin.size = win.size AND array_to_string(w[p : p + dwin.size - 1], ' ') = g
+), pos AS (
+  SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + size)) AS q FROM hit) GROUP BY r
+), its AS (
+  SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hit GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
+"""
