@@ -17,6 +17,36 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.plan(Work(spark, "op3"), _table(spark, sf_dir, "documents")).drop("repeats")
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import op04_chat as op
+
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
+    back = op.read_back(op.format_chats(turns))
+    each = F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n")))
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(each, ""), 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import op05_license as op
+
+    out = op.scan(Work(spark, "op5"), _table(spark, sf_dir, "documents"))
+    both = F.sort_array(F.array_union("base_labels", "found"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join(both, ",").alias("labels"), "score")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import op06_toxic as op
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = op.with_scores(docs, op.train(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", op.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import op08_near as op
 
@@ -37,4 +67,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.line_report(docs, op.build_index(Work(spark, "op10"), docs))
 
 
-QUERIES = {f.__name__: f for f in (op3_mix, op8_minhash, op9_decontam, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op3_mix, op4_chat_format, op5_license_scan, op6_toxicity, op8_minhash, op9_decontam, op10_line_dedup)}

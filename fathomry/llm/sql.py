@@ -79,3 +79,61 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
 """
+
+_SAID = r"\### Assistant: </turn> ok"
+_ESC = r"replace(replace({}, '\', '\s'), '<', '\l')"
+
+ORACLE["op4_chat_format"] = rf"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '{_SAID}'), (-7, 1, 'assistant', '{_SAID}')
+), o AS (
+  SELECT *, row_number() OVER w AS i, lag(role) OVER w AS prev, lead(role) OVER w AS nxt FROM c
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text)
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length({_ESC.format('text')})
+           + CASE WHEN prev IS NULL OR prev <> role
+                  THEN 8 + length(replace(replace({_ESC.format('role')}, '>', '\g'), chr(10), '\n')) ELSE 0 END
+           + CASE WHEN nxt IS NULL OR nxt <> role THEN 8 ELSE 3 END)::BIGINT AS formatted_chars
+FROM o GROUP BY conv_id
+"""
+
+
+def _license_sql() -> str:
+    from .op05_license import TEMPLATES, THRESHOLD, need_of, template_tokens
+
+    rows = ", ".join(f"('{label}', {need_of(len(ts), THRESHOLD)}, [{', '.join(repr(t) for t in ts)}])" for label, ts in ((x, template_tokens(text)) for x, text in TEMPLATES))
+    return rf"""
+WITH t(label, need, ts) AS (VALUES {rows}),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_LOWER} AS low FROM documents
+), w AS (
+  SELECT r, doc_id, low, list_filter(regexp_split_to_array(low, '{_GAP}'), lambda x: x <> '') AS w FROM d
+), p AS (
+  SELECT *, list_filter(range(0, len(w)), lambda i: w[i + 1] = 'mit' AND w[i + 2] = 'license') AS m,
+         list_filter(range(0, len(w)), lambda i: w[i + 1] = 'apache' AND w[i + 2] = 'license') AS a,
+         list_filter(range(0, len(w)), lambda i: w[i + 1] = 'general' AND w[i + 2] = 'public' AND w[i + 3] = 'license') AS g
+  FROM w
+), b AS (
+  SELECT r, list_distinct(regexp_split_to_array(unnest(regexp_split_to_array(low, '\n[\x20\x09-\x0D]*\n')), '{_GAP}')) AS bw FROM d
+), f AS (
+  SELECT r, label, len(list_intersect(bw, ts)) / len(ts) AS share FROM b, t WHERE len(list_intersect(bw, ts)) >= need
+), lab AS (
+  SELECT r, list_distinct(list(label)) AS ls, max(share) AS best FROM f GROUP BY r
+), o AS (
+  SELECT p.*, ls, best, list_concat(list_concat(m, a), g) AS st,
+         list_filter([CASE WHEN len(a) > 0 THEN 'apache' END, CASE WHEN len(g) > 0 THEN 'gpl' END, CASE WHEN len(m) > 0 THEN 'mit' END], lambda x: x IS NOT NULL) AS bl
+  FROM p LEFT JOIN lab USING (r)
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(st)::BIGINT AS n_base, list_min(st) AS first_word, list_max(st) AS last_word,
+       array_to_string(bl, ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(bl, coalesce(ls, [])))), ',') AS labels,
+       CASE WHEN len(st) > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score
+FROM o
+"""
+
+
+ORACLE["op5_license_scan"] = _license_sql()
