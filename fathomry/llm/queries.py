@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import op01_topk as op
+
+    return op.top_k(Work(spark, "op1"), _table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import op03_mix as op
 
@@ -47,6 +53,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", op.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import op07_tokens as op
+
+    return op.summarise(Work(spark, "op7"), op.histogram(_table(spark, sf_dir, "documents")))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import op08_near as op
 
@@ -67,4 +79,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.line_report(docs, op.build_index(Work(spark, "op10"), docs))
 
 
-QUERIES = {f.__name__: f for f in (op3_mix, op4_chat_format, op5_license_scan, op6_toxicity, op8_minhash, op9_decontam, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_topk, op3_mix, op4_chat_format, op5_license_scan, op6_toxicity, op7_token_counts, op8_minhash, op9_decontam, op10_line_dedup)}
