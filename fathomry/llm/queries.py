@@ -17,6 +17,20 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.top_k(Work(spark, "op1"), _table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import op02_warc as op
+
+    work = Work(spark, "op2")
+    pages = _table(spark, sf_dir, "pages")
+    op.write_archive(op.to_records(work, pages, F.col("page_id"), F.col("url"), F.col("html")), work.path("archive"))
+    back = op.read_archive(spark, work.path("archive"), payload="digest")
+    revisit = F.col("record_type") == "revisit"
+    return back.select(
+        F.col("record_id").cast("long").alias("page_id"), F.when(revisit, F.col("http_length")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(revisit, F.col("payload_digest")).otherwise(F.col("payload_sha256")).alias("payload_digest"), "record_type", F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import op03_mix as op
 
@@ -79,4 +93,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.line_report(docs, op.build_index(Work(spark, "op10"), docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op3_mix, op4_chat_format, op5_license_scan, op6_toxicity, op7_token_counts, op8_minhash, op9_decontam, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_warc, op3_mix, op4_chat_format, op5_license_scan, op6_toxicity, op7_token_counts, op8_minhash, op9_decontam, op10_line_dedup)}
