@@ -1,6 +1,55 @@
+"""The corpus pipeline: documents in, a deduplicated, decontaminated and mixed corpus out.
+
+``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and works on all
+that its predecessor kept. All but the last return the columns of ``documents``.
+
+1. toxicity: documents that the classifier scores at 0.5 or above go.
+2. line_dedup: lines found in at least 10 documents go from every text.
+3. near_dedup: one document of each group of near-duplicates stays (five words, 0.8).
+4. decontamination: documents that hold ten consecutive words of a benchmark item go.
+5. mixing: sources are sampled to their target weights; a document that is taken twice is
+   two rows, numbered in ``repetition``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from fathomry.llm import op03_mix, op06_toxic, op08_near, op09_decontam, op10_lines
+from fathomry.llm._work import Work
+
+#: A trained classifier is the first stage, which SQL can't express.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op06_toxic.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op10_lines.drop_lines(docs, op10_lines.build_index(Work(spark, "pipeline-lines"), docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op08_near.keep_one(Work(spark, "pipeline-near"), docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op09_decontam.drop_contaminated(Work(spark, "pipeline-decontam"), docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op03_mix.mix(Work(spark, "pipeline-mix"), docs)
+
+
+STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is written and read again."""
+    work, docs = Work(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = work.save(stage(spark, docs, sf_dir), name)
+        if i:
+            work.drop(STAGES[i - 1][0])
+    return docs
