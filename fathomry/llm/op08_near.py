@@ -11,12 +11,13 @@ A document's set is its distinct word shingles. Two documents link when
    meets in some table with probability (1 - (1 - 0.8^GROUP)^SIDE)^2 = 0.9985, at 0.85 in
    0.9999.
 3. In each bucket (documents with one table key) every document is compared with the
-   bucket's smallest. A bucket whose documents are then in one component is done: further
-   links in it can't change a component. In a bucket that still holds several components the
-   next smallest documents are compared with all others of other components, more of them
-   each round, until no such bucket is left. Nothing is capped; no group is collected; pairs
-   are rows of (doc, one of a few leaders), not all pairs of a group.
-4. A pair whose minhashes agree in fewer than ``LEAST_AGREE`` of ``2 * SIDE * GROUP`` places
+   bucket's smallest, its leader. That joins nearly all of a group of near copies.
+4. Documents that met under one leader and are in different components by then may still
+   link with each other. One of such a pair is outside the leader's most frequent component,
+   so those outside are compared with everything under the leader: both sides are dealt into
+   blocks of bounded size, a task compares two blocks, and only what is found leaves it, so
+   neither pairs nor groups are ever written out or gathered. Then nothing is untested.
+5. A pair whose minhashes agree in fewer than ``LEAST_AGREE`` of ``2 * SIDE * GROUP`` places
    can't reasonably have similarity 0.8 (odds below 1e-6) and is left; the rest are confirmed on
    their full sets of 64-bit shingle hashes.
 
@@ -41,8 +42,8 @@ from ._work import Work
 WORDS, PERCENT = 5, 80
 SIDE, GROUP = 10, 3
 LEAST_AGREE = 32
-#: Leaders of a mixed bucket in the second round; four times as many in each further one.
-LEADERS = 16
+#: Documents of a block, on average: those outside the leader's component, and all under it.
+OUTSIDE, MEMBERS = 256, 1024
 #: Ids that a broadcast may hold (16 bytes each); beyond it the same join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -99,33 +100,128 @@ def similar(a: bytes, b: bytes, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-class _Verifier:
-    """Turns candidate pairs (a, b) into links."""
+def _sets_of(work: Work, docs: DataFrame, ids: DataFrame, words: int, tag: str) -> DataFrame:
+    """(rep, shingles) of the documents with these ids (doc_id), written."""
+    ids = work.save(ids, f"{tag}-ids")
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return work.save(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), words), f"{tag}-sets")
 
-    def __init__(self, work: Work, docs: DataFrame, reps: DataFrame, words: int, percent: int):
-        self.work, self.docs, self.reps, self.words, self.percent = work, docs, reps, words, percent
 
-    def __call__(self, pairs: DataFrame, tag: str) -> DataFrame:
-        work, percent = self.work, self.percent
-        one, other = (self.reps.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("hashes").alias(f"h_{c}")) for c in "ab")
-        agree = F.aggregate(F.zip_with("h_a", "h_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        close = pairs.join(one, "a").join(other, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).where(agree >= LEAST_AGREE)
-        close = work.save(close.select("a", "b").distinct(), f"{tag}-close")
-        ids = close.select(F.col("a").alias("doc_id")).union(close.select(F.col("b").alias("doc_id"))).distinct()
-        ids = work.save(ids, f"{tag}-ids")
-        wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        sets = work.save(shingle_sets(self.docs.join(wanted, "doc_id", "left_semi"), self.words), f"{tag}-sets")
-        full = close.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("s_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("s_b")), "b")
+def _confirm(work: Work, docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The links (a, b) among pairs of reps, written."""
+    one, other = (reps.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("hashes").alias(f"h_{c}")) for c in "ab")
+    agree = F.aggregate(F.zip_with("h_a", "h_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    close = pairs.join(one, "a").join(other, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).where(agree >= LEAST_AGREE)
+    close = work.save(close.select("a", "b"), "close")
+    sets = _sets_of(work, docs, close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), words, "first")
+    full = close.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("s_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("s_b")), "b")
 
-        def confirm(batches):
-            for batch in batches:
-                a, b = (batch.column(batch.schema.get_field_index(c)) for c in ("s_a", "s_b"))
-                keep = pa.array([similar(x.as_buffer(), y.as_buffer(), percent) for x, y in zip(a, b)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in "ab"], ["a", "b"]).filter(keep)
-
-        links = work.save(full.select("a", "b", "s_a", "s_b").mapInArrow(confirm, "a long, b long").distinct(), f"{tag}-links")
-        work.drop(f"{tag}-close", f"{tag}-ids", f"{tag}-sets")
-        return links
+    def confirm(batches):
+        for batch in batches:
+            a, b = (batch.column(batch.schema.get_field_index(c)) for c in ("s_a", "s_b"))
+            keep = pa.array([similar(x.as_buffer(), y.as_buffer(), percent) for x, y in zip(a, b)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in "ab"], ["a", "b"]).filter(keep)
+
+    links = work.save(full.select("a", "b", "s_a", "s_b").mapInArrow(confirm, "a long, b long"), "links")
+    work.drop("close", "first-ids", "first-sets")
+    return links
+
+
+def _by_group(batches, keys: list[str]):
+    """Tables of the rows with one key, from batches that are sorted by it."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
+        starts = np.flatnonzero(np.any([np.r_[True, c[1:] != c[:-1]] for c in columns], axis=0))
+        for start, end in zip(starts, np.r_[starts[1:], batch.num_rows], strict=True):
+            key = tuple(c[start] for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+_KEYS = ["leader", "ub", "mb"]
+
+
+def _blocks(members: DataFrame, payload: DataFrame) -> DataFrame:
+    """members(leader, rep, label, outside, n_out, n_all) as the rows of block pairs, sorted by block pair."""
+    outs, alls = (F.ceil(F.col(c) / size).cast("int") for c, size in (("n_out", OUTSIDE), ("n_all", MEMBERS)))
+    dealt = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), n).cast("int")
+    fields = ["leader", "rep", "label"]
+    left = members.where("outside").select(*fields, F.lit(True).alias("asks"), dealt(outs, 1).alias("ub"), F.explode(F.sequence(F.lit(0), alls - 1)).alias("mb"))
+    right = members.select(*fields, F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), outs - 1)).alias("ub"), dealt(alls, 2).alias("mb"))
+    return left.union(right).join(payload, "rep").repartition(*_KEYS).sortWithinPartitions(*_KEYS)
+
+
+def _counted(members: DataFrame) -> DataFrame:
+    """members(leader, rep, label) of the leaders that still have several labels, with the blocks' sizes."""
+    by_label = members.groupBy("leader", "label").agg(F.count("*").alias("n"))
+    by_leader = by_label.groupBy("leader").agg(F.sum("n").alias("n_all"), F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
+    by_leader = by_leader.select("leader", "n_all", (F.col("n_all") - F.col("most.n")).alias("n_out"), F.col("most.label").alias("main"))
+    return members.join(by_leader, "leader").select("leader", "rep", "label", "n_all", "n_out", (F.col("label") != F.col("main")).alias("outside"))
+
+
+def _late_links(work: Work, docs: DataFrame, reps: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between different labels among members(leader, rep, label); at least one for each two labels that link, written."""
+
+    def candidates(batches):
+        """Members with a partner that their minhashes don't rule out."""
+        for t in _by_group(batches, _KEYS):
+            h = np.array(t.column("hashes").combine_chunks().flatten()).reshape(t.num_rows, -1)
+            asks, n, label = (t.column(c).to_numpy() for c in ("asks", "n_shingles", "label"))
+            u, m = np.flatnonzero(asks), np.flatnonzero(~asks)
+            near = np.zeros(t.num_rows, bool)
+            for i in u:
+                can = m[(label[m] != label[i]) & (100 * np.minimum(n[m], n[i]) >= percent * np.maximum(n[m], n[i]))]
+                hit = can[(h[can] == h[i]).sum(1) >= LEAST_AGREE]
+                near[hit] = True
+                near[i] |= len(hit) > 0
+            if near.any():
+                yield t.select(["leader", "rep", "label"]).filter(pa.array(near)).combine_chunks().to_batches()[0]
+
+    def confirm(batches):
+        for t in _by_group(batches, _KEYS):
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles").combine_chunks()]
+            asks, rep, label = (t.column(c).to_numpy() for c in ("asks", "rep", "label"))
+            u, m = np.flatnonzero(asks), np.flatnonzero(~asks)
+            if not len(u) or not len(m):
+                continue
+            # Every shingle of the asking block with its owner, sorted: a member finds its overlap with all at once.
+            flat, owner = np.concatenate([sets[i] for i in u]), np.repeat(np.arange(len(u)), [len(sets[i]) for i in u])
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            size = np.array([len(sets[i]) for i in u])
+            seen, a, b = set(), [], []
+            for j in m:
+                low, high = np.searchsorted(flat, sets[j], "left"), np.searchsorted(flat, sets[j], "right")
+                counts = high - low
+                at = np.repeat(low - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
+                common = np.bincount(owner[at], minlength=len(u))
+                for i in np.flatnonzero((100 * common >= percent * (size + len(sets[j]) - common)) & (label[u] != label[j])):
+                    two = (label[u[i]], label[j])
+                    if two not in seen:  # one link joins two components
+                        seen.add(two)
+                        a.append(rep[u[i]])
+                        b.append(rep[j])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    counted = work.save(_counted(members), "late-counted")
+    if counted.isEmpty():
+        return work.spark.createDataFrame([], "a long, b long")
+    left = _blocks(counted, reps.select("rep", "n_shingles", "hashes")).mapInArrow(candidates, "leader long, rep long, label long")
+    left = work.save(left.distinct(), "late-members")
+    counted = work.save(_counted(left), "late-left")
+    sets = _sets_of(work, docs, counted.select(F.col("rep").alias("doc_id")).distinct(), words, "late")
+    links = work.save(_blocks(counted, sets).mapInArrow(confirm, "a long, b long").distinct(), "late-links")
+    work.drop("late-counted", "late-members", "late-left", "late-ids", "late-sets")
+    return links
 
 
 def components(work: Work, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -143,27 +239,24 @@ def components(work: Work, docs: DataFrame, words: int = WORDS, percent: int = P
     buckets = keyed.withColumn("leader", F.min("rep").over(by_key)).withColumn("last", F.max("rep").over(by_key)).where("leader <> last").drop("last").distinct()
     buckets = work.save(buckets, "buckets")
 
-    verify = _Verifier(work, docs, reps, words, percent)
-    links = verify(buckets.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct(), "first")
-    labels = connected_components(work, links, "labels1")
-    live, leaders, round_no = buckets.where("rep <> leader").select("key", "rep"), LEADERS, 1
-    while True:
-        round_no += 1
-        named = live.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
-        mixed = named.withColumn("low", F.min("label").over(by_key)).withColumn("high", F.max("label").over(by_key)).where("low <> high").drop("low", "high")
-        mixed = work.save(mixed.withColumn("place", F.row_number().over(by_key.orderBy("rep"))), f"mixed{round_no}")
-        if mixed.isEmpty():
-            break
-        lead = mixed.where(F.col("place") <= leaders).select("key", F.col("rep").alias("b"), F.col("label").alias("b_label"))
-        pairs = mixed.join(lead, "key").where("rep > b AND label <> b_label").select(F.col("rep").alias("a"), "b").distinct()
-        links = links.union(verify(pairs, f"round{round_no}"))
-        labels = connected_components(work, links, f"labels{round_no}")
-        live, leaders = mixed.where(F.col("place") > leaders).select("key", "rep"), 4 * leaders
+    met = work.save(buckets.where("rep <> leader").select("leader", "rep").distinct(), "met")
+    work.drop("buckets")
+    links = _confirm(work, docs, reps, met.select(F.col("rep").alias("a"), F.col("leader").alias("b")), words, percent)
+    labels = connected_components(work, links, "labels")
+    label = F.coalesce("label", "rep").alias("label")
+    members = met.union(met.select("leader", F.col("leader").alias("rep")).distinct()).join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("leader", "rep", label)
+    late = _late_links(work, docs, reps, members, words, percent)
+    # Components of components: the labels that late links join.
+    named = labels.select(F.col("node").alias("rep"), F.col("label"))
+    joined = late.join(named.select(F.col("rep").alias("a"), F.col("label").alias("la")), "a", "left").join(named.select(F.col("rep").alias("b"), F.col("label").alias("lb")), "b", "left")
+    joined = joined.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    merged = connected_components(work, joined, "merged").select(F.col("node").alias("label"), F.col("label").alias("beyond"))
 
     classed = sketches.select("doc_id", "n_shingles", "f1", "f2").join(copies, ["f1", "f2"], "left")
     rep = F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id"))
     named = classed.select("doc_id", "n_shingles", rep.alias("node")).join(labels, "node", "left")
-    out = named.select("doc_id", "n_shingles", F.coalesce("label", "node").alias("component_id"))
+    named = named.select("doc_id", "n_shingles", F.coalesce("label", "node").alias("label")).join(merged, "label", "left")
+    out = named.select("doc_id", "n_shingles", F.coalesce("beyond", "label").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
