@@ -3,10 +3,10 @@
 ``build_postings`` stores (token, doc_id, pos) of every training token that some benchmark
 item uses: a list for any other token could never be asked for. From the index come the
 collection frequencies of all terms over all documents. Each window of ``WINDOW``
-consecutive item words is looked up by its rarest term; the term's postings, shifted by its
-offset in the item, are the places where the item could stand. Windows next to each other
-mostly share that term, so a passage in a document yields a few places, not one for each
-window. Every place is then compared word by word, and the windows that stand there in full
+consecutive item words is looked up by its two rarest terms; their postings, shifted by
+their offsets in the item, are intersected, which leaves the places where the item could
+stand. Windows next to each other mostly share those terms, so a passage in a document
+yields a few places, not one for each window. Every place is then compared word by word, and the windows that stand there in full
 mark the document's words.
 
 ``proximity`` intersects lists from the rarest term on with a slack instead of an offset.
@@ -47,13 +47,14 @@ def build_postings(work: Work, docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def _anchors(items: DataFrame, frequency: DataFrame, window: int) -> DataFrame:
-    """(token, item, n, anchor): for each window that can occur, its rarest term's place in the item."""
+    """(token, item, n, anchor): for each window that can occur, its two rarest terms' places in the item."""
     at = items.select("item", F.posexplode("item_words").alias("at", "token")).join(frequency, "token", "left")
     terms = F.array_sort(F.collect_list(F.struct("at", F.coalesce("cf", F.lit(0)).alias("cf"), "token")))
     by_item = at.groupBy("item").agg(terms.alias("terms")).withColumn("n", F.size("terms"))
     starts = F.sequence(F.lit(0), F.greatest(F.col("n") - window, F.lit(0)))
-    rarest = F.transform(starts, lambda s: F.array_min(F.transform(F.slice("terms", s + 1, window), lambda t: F.struct(t.cf.alias("cf"), t["at"].alias("at"), t.token.alias("token")))))
-    found = by_item.select("item", "n", F.explode(F.array_distinct(rarest)).alias("a")).where("a.cf > 0")
+    rarest = F.transform(starts, lambda s: F.slice(F.array_sort(F.transform(F.slice("terms", s + 1, window), lambda t: F.struct(t.cf.alias("cf"), t["at"].alias("at"), t.token.alias("token")))), 1, 2))
+    possible = F.flatten(F.filter(rarest, lambda pair: F.get(pair, F.lit(0)).cf > 0))
+    found = by_item.select("item", "n", F.explode(F.array_distinct(possible)).alias("a"))
     return found.select(F.col("a.token").alias("token"), "item", "n", F.col("a.at").alias("anchor"))
 
 
@@ -78,8 +79,9 @@ def contamination(work: Work, docs: DataFrame, benchmark: DataFrame, window: int
     postings = build_postings(work, docs, terms)
     frequency = work.save(postings.groupBy("token").agg(F.count("*").alias("cf")), "frequency")
     anchors = work.save(_anchors(items, frequency, window), "anchors")
-    at = postings.join(_small(anchors), "token").select("doc_id", F.struct("item", "n", (F.col("pos") - F.col("anchor")).alias("offset")).alias("place"))
-    places = work.save(at.groupBy("doc_id").agg(F.collect_set("place").alias("places")), "places")
+    at = postings.join(_small(anchors), "token").select("doc_id", "item", "n", (F.col("pos") - F.col("anchor")).alias("offset"))
+    both = at.groupBy("doc_id", "item", "n", "offset").agg(F.count("*").alias("terms")).where("terms >= 2 OR n = 1")
+    places = work.save(both.groupBy("doc_id").agg(F.collect_list(F.struct("item", "n", "offset")).alias("places")), "places")
     rows = places.agg(F.sum(F.size("places"))).first()[0] or 0
     hits = _hits(docs, F.broadcast(places) if rows <= BROADCAST_ROWS else places, _small(items), window)
     by_doc = hits.groupBy("doc_id", "text_hash").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).cast("long").alias("n_hit"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
