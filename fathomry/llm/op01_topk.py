@@ -174,7 +174,7 @@ def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
     while len(chosen) < min(n, len(sample)) and away.max() > 0:
         chosen.append(int(away.argmax()))
         away = np.minimum(away, distances(sample, sample[chosen[-1:]])[:, 0])
-    return sample[chosen]
+    return sample[chosen] if len(sample) else sample
 
 
 def _placed(points: DataFrame, pivots: np.ndarray) -> DataFrame:

@@ -94,11 +94,11 @@ def _repeats(h: Column) -> Column:
 
 
 def plan(work: Work, docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
-    """(doc_id, size, source_size, target, repeats, taken) for every document."""
+    """(doc_id, source, size, source_size, target, repeats, taken) for every document."""
     rows = work.save(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), order_of(seed).alias("h")), "sizes")
     found = _small(targets(work, rows, **options).withColumnRenamed("source", "t_source"))
     repeats = _repeats(F.col("h"))
-    return rows.join(found, F.col("source").eqNullSafe(F.col("t_source"))).select("doc_id", "size", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"))
+    return rows.join(found, F.col("source").eqNullSafe(F.col("t_source"))).select("doc_id", "source", "size", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"))
 
 
 def mix(work: Work, docs: DataFrame, seed: int = SEED, **options) -> DataFrame:

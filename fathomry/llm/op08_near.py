@@ -253,7 +253,7 @@ def components(work: Work, docs: DataFrame, words: int = WORDS, percent: int = P
     merged = connected_components(work, joined, "merged").select(F.col("node").alias("label"), F.col("label").alias("beyond"))
 
     classed = sketches.select("doc_id", "n_shingles", "f1", "f2").join(copies, ["f1", "f2"], "left")
-    rep = F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id"))
+    rep = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id"))
     named = classed.select("doc_id", "n_shingles", rep.alias("node")).join(labels, "node", "left")
     named = named.select("doc_id", "n_shingles", F.coalesce("label", "node").alias("label")).join(merged, "label", "left")
     out = named.select("doc_id", "n_shingles", F.coalesce("beyond", "label").alias("component_id"))
