@@ -230,3 +230,28 @@ def average_vectors(df: DataFrame, vector: str = "embedding", group: list[str] |
     top = 3.4028234663852886e38
     mean = at.groupBy(*(group or []), "i").agg(F.least(F.greatest(F.avg("x"), F.lit(-top)), F.lit(top)).alias("x"))
     return mean.groupBy(*(group or [])).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p.x).alias(vector))
+
+
+def sample_chunks(chunks: DataFrame, n: int, key: list[str], seed: int | str = 0) -> DataFrame:
+    """n chunks by a seeded hash, or none at all where there are fewer."""
+    enough = chunks.limit(n).count() >= n
+    return sample_n(chunks, n, key, seed) if enough else chunks.limit(0)
+
+
+def sort_if_complete(df: DataFrame, key: str) -> DataFrame:
+    """Sorted by key from the top; left as it is if some row lacks the key."""
+    return df if not df.where(F.col(key).isNull()).isEmpty() else df.orderBy(F.col(key).desc())
+
+
+def selected_repeats(n: int, ratio: int, rounding: int = 256) -> int:
+    """Samples of an epoch when each is repeated: the rows, rounded down, over the ratio."""
+    return n // rounding * rounding // ratio if rounding else -(-n // ratio)
+
+
+def decayed_batch(size: int, parts: int = 2) -> int:
+    """The next smaller batch to try when memory runs out: octaves are cut into ``parts``; 0 ends the ladder."""
+    if size <= 1:
+        return 0
+    octave = 1 << ((size - 1).bit_length() - 1)
+    grid = max(octave // parts, 1)
+    return (size - 1) // grid * grid

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T, vision as I
 from ..functions.order import global_index
-from ..operators import batching as B, rows as O
+from ..operators import batching as B, examples as E, rows as O
 from .registry import Tables, query
 
 _MD5 = "md5(concat_ws('|', '{seed}', {key}))"
@@ -526,3 +526,47 @@ def clean_ids(t):
 def grid_placeholder(t):
     s = F.col("p_size")
     return t.part.select("p_partkey", F.length(I.grid_placeholder((s % 3 + 1).cast("int"), (s % 4 + 1).cast("int"), 4)).cast("long").alias("n"))
+
+
+# -- training examples -----------------------------------------------------------------
+
+
+def _examples(t: Tables):
+    """A source's documents as one example: the first is the positive, the next three negatives."""
+    d = t.documents.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.left("text", F.lit(5)).alias("text")))).alias("d"))
+    part = lambda x: F.struct(F.when(x.doc_id % 2 == 0, x.text).otherwise("").alias("text"), F.lit(None).cast("string").alias("image"), F.lit("").alias("instruction"))
+    query = F.struct(F.col("source").alias("text"), F.lit(None).cast("string").alias("image"), F.lit("Find ").alias("instruction"))
+    return d.select("source", query.alias("query"), F.transform(F.slice("d", 1, 1), part).alias("pos"), F.transform(F.slice("d", 2, 3), part).alias("neg"))
+
+
+@query("""WITH d AS (SELECT source, doc_id, left(text, 5) AS x, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents)
+SELECT 'Find ' || source AS query, r::INTEGER - 1 AS place, CASE WHEN doc_id % 2 = 0 AND x <> '' THEN x ELSE 'empty passage' END AS passage FROM d WHERE r <= 3""")
+def training_examples(t):
+    out = E.multimodal(_examples(t), 3)
+    return out.select(F.col("query.text").alias("query"), F.posexplode("passages").alias("place", "p")).select("query", "place", F.col("p.text").alias("passage"))
+
+
+@query("""WITH c AS (SELECT source, list(doc_id ORDER BY doc_id) AS ids FROM documents GROUP BY source)
+SELECT source AS query, ids[(5 + 2) % len(ids) + 1] AS positive, ids[2:][(5 + 2) % (len(ids) - 1) + 1] AS negative FROM c WHERE len(ids) > 1""")
+def reranking_examples(t):
+    c = t.documents.groupBy("source").agg(F.sort_array(F.collect_list("doc_id")).alias("pos")).where(F.size("pos") > 1)
+    return E.reranking(c.select(F.col("source").alias("query"), "pos", F.slice("pos", 2, 1 << 30).alias("neg")), 2, F.lit(5))
+
+
+@query("""WITH c AS (SELECT source, list(doc_id ORDER BY doc_id) AS ids FROM documents GROUP BY source)
+SELECT source AS query, unnest(list_concat(ids, ids)[6 % len(ids) + 1 : 6 % len(ids) + 3]) AS doc, unnest(list_concat(ids, ids)[6 % len(ids) + 1 : 6 % len(ids) + 3]) * 2 AS score FROM c""")
+def listwise_examples(t):
+    c = t.documents.groupBy("source").agg(F.sort_array(F.collect_list("doc_id")).alias("docs")).select(F.col("source").alias("query"), "docs", F.transform("docs", lambda x: x * 2).alias("scores"))
+    return E.listwise_distillation(c, 2, 3).select("query", F.inline(F.arrays_zip("docs", "scores"))).select("query", F.col("docs").alias("doc"), F.col("scores").alias("score"))
+
+
+@query("""WITH d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents)
+SELECT source AS batch, i::INTEGER AS place, doc_id AS passage FROM d""")
+def collated_batches(t):
+    d = t.documents.select(F.col("source").alias("batch"), "doc_id", F.col("lang").alias("query"), F.array("doc_id").alias("passages"))
+    return E.collate(d, "batch", ["doc_id"]).select("batch", F.posexplode("passages").alias("place", "passage"))
+
+
+@query("SELECT doc_id FROM documents ORDER BY md5(concat_ws('|', '4', doc_id)), doc_id LIMIT 20")
+def sample_chunks(t):
+    return O.sample_chunks(t.documents.select("doc_id"), 20, ["doc_id"], 4)

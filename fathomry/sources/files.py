@@ -15,6 +15,20 @@ from ..functions.text import to_base64
 IMAGE_EXTENSIONS = {".png", ".jpg", ".jpeg"}
 
 
+def add_image_extensions(*suffixes: str) -> None:
+    if any(len(s) < 2 or s[0] != "." for s in suffixes):
+        raise ValueError("a suffix starts with a dot")
+    IMAGE_EXTENSIONS.update(s.lower() for s in suffixes)
+
+
+def remove_image_extensions(*suffixes: str) -> None:
+    IMAGE_EXTENSIONS.difference_update(s.lower() for s in suffixes)
+
+
+def is_image_extension(suffix: str) -> bool:
+    return suffix.lower() in IMAGE_EXTENSIONS
+
+
 # -- readers ---------------------------------------------------------------------------
 
 
