@@ -90,7 +90,8 @@ def scan(work: Work, docs: DataFrame, templates=TEMPLATES, threshold: float = TH
     rows = base.select("doc_id", F.size("w").cast("long").alias("n_words"), *starts, blocks.alias("blocks"))
     rows = work.save(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
 
-    lookup = F.broadcast(work.spark.createDataFrame(index, "token string, label string, i int, size int, need int, template array<string>"))
+    entries = [F.struct(F.lit(t).alias("token"), F.lit(label).alias("label"), F.lit(i).alias("i"), F.lit(size).alias("size"), F.lit(need).alias("need"), F.array(*map(F.lit, ts)).alias("template")) for t, label, i, size, need, ts in index]
+    lookup = F.broadcast(work.spark.range(1).select(F.inline(F.array(*entries))))  # as many rows as the templates' prefixes have tokens
     blocks = rows.select("row", F.posexplode("blocks").alias("block", "b")).where(F.size("b") > 0)
     probes = blocks.select("row", "block", "b", F.posexplode("b").alias("j", "token")).join(lookup, "token")
     fits = (F.size("b") >= F.col("need")) & (F.least(F.col("size") - F.col("i"), F.size("b") - F.col("j")) >= F.col("need"))

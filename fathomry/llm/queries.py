@@ -41,7 +41,8 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import op04_chat as op
 
     said = "\\### Assistant: </turn> ok"
-    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    row = lambda turn, role: F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(turn).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(said).alias("text"))
+    more = spark.range(1).select(F.inline(F.array(row(0, "user"), row(1, "assistant"))))
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
     back = op.read_back(op.format_chats(turns))
     each = F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n")))
