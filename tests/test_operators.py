@@ -123,3 +123,17 @@ def test_encoder_is_deterministic(spark):
     df = spark.createDataFrame([("1", "a b"), ("2", "a b")], "id string, text string")
     a, b = (r.embedding for r in flows.encode(df, flows.hash_encoder(8)).orderBy("id").collect())
     assert a == b and sum(x * x for x in a) == pytest.approx(1, abs=1e-5)
+
+
+def test_running_top_k_over_shards(spark, tmp_path):
+    pytest.importorskip("google.protobuf")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.json").write_text('{"qid": 1, "did": 5, "score": 0.5}\n{"qid": 1, "did": 6, "score": 0.7}\n{"qid": 2, "did": 6, "score": 0.1}\n')
+    (src / "b.json").write_text('{"qid": 1, "did": 7, "score": 0.6}\n{"qid": 1, "did": 6, "score": 0.2}\n')
+    stream = flows.stream_jsonl(spark, str(src), "qid long, did long, score double", max_files=1)
+    q = flows.running_top_k(stream, 2).writeStream.outputMode("update").format("memory").queryName("best").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert q.exception() is None
+    assert {(1, 6, 0.7, 1), (1, 7, 0.6, 2), (2, 6, 0.1, 1)} <= {tuple(r) for r in spark.table("best").collect()}
