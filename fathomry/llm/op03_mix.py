@@ -102,9 +102,9 @@ def plan(work: Work, docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
 
 
 def mix(work: Work, docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
-    """docs as mixed: a row for each repetition, numbered from 0 in ``repetition``."""
+    """docs as mixed: a row for each repetition, numbered from 0 in ``repetition`` (in place of such a column)."""
     rows = work.save(docs.select("source", size_of(F.col("text")).alias("size"), order_of(seed).alias("h")), "sizes")
     found = targets(work, rows, **options).select(F.col("source").alias("__source"), F.col("whole").alias("__whole"), F.col("cut").alias("__cut"))
     joined = docs.join(_small(found), F.col("source").eqNullSafe(F.col("__source")))
     repeats = F.col("__whole") + F.coalesce((order_of(seed) <= F.col("__cut")).cast("long"), F.lit(0))
-    return joined.withColumn("__repeats", repeats.cast("int")).where("__repeats > 0").select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col("__repeats") - 1)).alias("repetition"))
+    return joined.withColumn("__repeats", repeats.cast("int")).where("__repeats > 0").select(*[c for c in docs.columns if c != "repetition"], F.explode(F.sequence(F.lit(0), F.col("__repeats") - 1)).alias("repetition"))

@@ -100,8 +100,8 @@ def report(work: Work, docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
 def drop_contaminated(work: Work, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without those in which a window occurs."""
-    found = contamination(work, docs, benchmark, window).select(F.col("doc_id").alias("f_doc_id"), "text_hash")
-    return docs.join(_small(found), F.col("doc_id").eqNullSafe(F.col("f_doc_id")) & (F.xxhash64("text") == F.col("text_hash")), "left_anti").select(docs.columns)
+    found = contamination(work, docs, benchmark, window).select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__hash"))
+    return docs.join(_small(found), F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.xxhash64("text") == F.col("__hash")), "left_anti").select(docs.columns)
 
 
 def proximity(postings: DataFrame, terms: list[str], slack: int) -> DataFrame:

@@ -33,3 +33,29 @@ def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_stages_on_awkward_rows(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, clashing names; and no rows at all."""
+    from pyspark.sql import functions as F
+
+    long = "many words " * 20_000
+    rows = [(1, "plain text of one", "s1"), (1, "plain text of one", "s1"), (2, None, None), (3, "", "s2"), (4, long, "s1"), (None, "no id here", "s1"), (5, "alpha beta gamma delta epsilon zeta eta theta iota kappa", "s2"), (6, "rare\nline " * 3, None)]
+    rows += [(10 + i, f"Common line\nown words {i} " + "x " * i, "s3") for i in range(12)]
+    docs = spark.createDataFrame([(i, t, None, s, None) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("text_hash", "repetition", "rep", "label", "key", "bucket", "size", "score", "toxic", "item", "h", "count"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    spark.createDataFrame([(1, 1, 0), (3, 0, 1), (4, None, None), (10, 1, 0), (11, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for table in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, str(tmp_path))
+            want = [c for c in docs.columns if c != "repetition"] + ["repetition"] if name == "mixing" else docs.columns
+            assert out.columns == want, name
+            got = out.count()
+            assert got <= table.count() * 2 if name == "mixing" else got <= table.count(), name
+    lines = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()}
+    assert lines[12] == "own words 2 x x " and lines[2] is None and lines[3] == ""
+    assert corpus_pipeline.decontamination(spark, docs, str(tmp_path)).where("doc_id = 5").isEmpty()
+    near = corpus_pipeline.near_dedup(spark, docs, str(tmp_path))
+    assert near.where("doc_id = 1").count() == 1 and near.where("doc_id IS NULL").count() == 1
