@@ -32,6 +32,8 @@ from ._work import Work
 K, SCALE = 20, 64
 #: Data points and query points of a chunk; pivots at most, and the sample that they come from.
 CHUNK, GROUP, PIVOTS, SAMPLE = 4096, 256, 256, 8192
+#: Tasks of the search at most.
+MOST_TASKS = 10_000
 #: A node of fewer points isn't divided; nor is one whose children would be smaller on average.
 LEAF, CHILD = 256, 64
 #: Radii shrink by this factor from a node to its children.
@@ -192,11 +194,11 @@ def _placed(points: DataFrame, pivots: np.ndarray) -> DataFrame:
     return points.mapInArrow(run, StructType([*points.schema.fields]).add("leaf", IntegerType()).add("away", DoubleType()))
 
 
-def _chunks(placed: DataFrame, size: int) -> tuple[DataFrame, dict[int, float]]:
-    """placed with a chunk in each leaf; the leaves' radii (at most PIVOTS of them)."""
+def _chunks(placed: DataFrame, size: int) -> tuple[DataFrame, dict[int, float], int]:
+    """placed with a chunk in each leaf; the leaves' radii (at most PIVOTS of them); how many chunks there are."""
     stats = {r.leaf: (r.n, r.radius) for r in placed.groupBy("leaf").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()}
     parts = F.element_at(F.create_map(*[F.lit(x) for leaf, (n, _) in stats.items() for x in (leaf, math.ceil(n / size))]), F.col("leaf")) if stats else F.lit(1)
-    return placed.withColumn("chunk", F.pmod(F.xxhash64("vec"), parts)), {leaf: radius for leaf, (_, radius) in stats.items()}
+    return placed.withColumn("chunk", F.pmod(F.xxhash64("vec"), parts)), {leaf: radius for leaf, (_, radius) in stats.items()}, sum(math.ceil(n / size) for n, _ in stats.values())
 
 
 def top_k(work: Work, vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
@@ -210,8 +212,8 @@ def top_k(work: Work, vectors: DataFrame, is_query: Column, k: int = K) -> DataF
     sample = unpack([bytes(r.vec) for r in points.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).collect()])
     pivots = choose_pivots(sample, max(1, min(PIVOTS, math.ceil(n / CHUNK))))
 
-    data, radii = _chunks(work.save(_placed(points, pivots), "data"), CHUNK)
-    asked, _ = _chunks(work.save(_placed(rows.where("query").select("vec").distinct(), pivots), "asked"), GROUP)
+    data, radii, _ = _chunks(work.save(_placed(points, pivots), "data"), CHUNK)
+    asked, _, groups = _chunks(work.save(_placed(rows.where("query").select("vec").distinct(), pivots), "asked"), GROUP)
 
     def store(t: pa.Table) -> pa.Table:
         return pa.table({"leaf": t.column("leaf").slice(0, 1), "vecs": pa.array([t.column("vec").to_pylist()], pa.list_(pa.binary())), "ids": pa.array([t.column("ids").to_pylist()], pa.list_(pa.list_(pa.int64())))})
@@ -246,7 +248,9 @@ def top_k(work: Work, vectors: DataFrame, is_query: Column, k: int = K) -> DataF
         real = [(ids != np.iinfo(np.int64).max) for ids in best.ids]
         return pa.table({"vec": pa.array(packed, pa.binary()), "ids": pa.array([i[r].tolist() for i, r in zip(best.ids, real)], pa.list_(pa.int64())), "scores": pa.array([s[r].tolist() for s, r in zip(best.scores, real)], pa.list_(pa.int64()))})
 
-    found = work.save(asked.groupBy("leaf", "chunk").applyInArrow(answer, "vec binary, ids array<long>, scores array<long>"), "found")
+    # A chunk of queries is little to read and much to do, so tasks go by their number, not by bytes.
+    spread = asked.repartition(max(1, min(groups, MOST_TASKS)), "leaf", "chunk")
+    found = work.save(spread.groupBy("leaf", "chunk").applyInArrow(answer, "vec binary, ids array<long>, scores array<long>"), "found")
     queries = rows.where("query").select(F.col("vec_id").alias("query_id"), "vec")
     pairs = queries.join(found, "vec").select("query_id", F.filter(F.arrays_zip("ids", "scores"), lambda x: x.ids != F.col("query_id")).alias("best"))
     return pairs.select("query_id", F.posexplode(F.slice("best", 1, k)).alias("rank", "b")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.ids").alias("vec_id"), F.col("b.scores").alias("score"))
