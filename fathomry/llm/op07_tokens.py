@@ -81,8 +81,9 @@ def summarise(work: Work, counts: DataFrame) -> DataFrame:
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(tokens).alias("t"))
     above = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     # One row for each 1024 lengths: as few as the longest document has tokens / 1024.
-    blocks = blocks.select("block", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_beyond") for c in "dt"))
-    blocks = blocks.crossJoin(counts.agg(F.sum("n_docs").alias("all_docs"), F.sum(tokens).alias("all_tokens")))
+    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    beyond = (F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_beyond") for c in "dt")
+    blocks = blocks.select("block", *beyond, F.sum("d").over(whole).alias("all_docs"), F.sum("t").over(whole).alias("all_tokens"))
     inside = Window.partitionBy("block").orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)
     rows = counts.join(blocks, "block").select(
         "length", "n_docs", "all_docs", "all_tokens",
