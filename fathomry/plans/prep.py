@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as T, vision as I
 from ..functions.order import global_index
@@ -126,6 +126,12 @@ def template_fill(t):
     return d.select("doc_id", T.fill_template(d, "Title: <meta.source> [<meta.lang>] <text>").alias("prompt"))
 
 
+@query("SELECT doc_id, 'Title: ' || source || ' [' || lang || '] ' || text AS prompt FROM documents")
+def template_fill_whole(t):
+    d = t.documents.select("doc_id", F.struct("source", "lang").alias("meta"), "text")
+    return d.select("doc_id", T.fill_template(d, "Title: <meta.source> [<meta.lang>] <text>").alias("prompt"))
+
+
 @query("SELECT doc_id, ['a', 'b.c'] AS names FROM documents")
 def template_markers(t):
     return t.documents.select("doc_id", T.markers(F.lit("x <a> y <b.c>")).alias("names"))
@@ -148,6 +154,12 @@ def empty_fallback(t):
     return t.documents.select("doc_id", T.or_empty(text, F.lit(None).cast("string")).alias("text"))
 
 
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 OR text = '' THEN 'empty document' ELSE text END AS text FROM documents")
+def empty_fallback_whole(t):
+    text = F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("text"))
+    return t.documents.select("doc_id", T.or_empty(text, F.lit(None).cast("string")).alias("text"))
+
+
 @query("SELECT doc_id, coalesce(CASE WHEN doc_id % 2 = 0 THEN 'b' END, 'a' || doc_id) AS image FROM documents")
 def image_alias(t):
     d = t.documents.select("doc_id", F.concat(F.lit("a"), F.col("doc_id").cast("string")).alias("image"), F.when(F.col("doc_id") % 2 == 0, "b").alias("image_base64"))
@@ -160,6 +172,12 @@ def base64_roundtrip(t):
     return t.documents.select("doc_id", coded.alias("coded"), F.decode(F.unbase64(coded), "UTF-8").alias("text"))
 
 
+@query("SELECT doc_id, base64(encode(text)) AS coded, text FROM documents")
+def base64_roundtrip_whole(t):
+    coded = T.to_base64(F.encode("text", "UTF-8"))
+    return t.documents.select("doc_id", coded.alias("coded"), F.decode(F.unbase64(coded), "UTF-8").alias("text"))
+
+
 @query("SELECT page_id, list_aggregate([p[-3], p[-2] || '_', p[-1]], 'string_agg', '_') AS id, p[-1] AS base FROM (SELECT page_id, string_split('x/y/' || url, '/') AS p FROM pages)")
 def url_ids(t):
     url = F.concat(F.lit("x/y/"), "url")
@@ -235,6 +253,11 @@ def title_body(t):
     return t.documents.select("doc_id", T.title_body(F.when(F.col("doc_id") % 4 != 0, F.col("source")), F.left("text", F.lit(12))).alias("body"))
 
 
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE source END || chr(9) || text AS body FROM documents")
+def title_body_whole(t):
+    return t.documents.select("doc_id", T.title_body(F.when(F.col("doc_id") % 4 != 0, F.col("source")), F.col("text")).alias("body"))
+
+
 @query("SELECT label, format('{:<25}{:<8}{:.4f}', 'n', label::VARCHAR, count(*)::DOUBLE) AS line FROM embeddings GROUP BY label")
 def metric_lines(t):
     n = t.embeddings.groupBy("label").agg(F.count("*").cast("double").alias("n"))
@@ -531,9 +554,9 @@ def grid_placeholder(t):
 # -- training examples -----------------------------------------------------------------
 
 
-def _examples(t: Tables):
+def _examples(docs: DataFrame):
     """A source's documents as one example: the first is the positive, the next three negatives."""
-    d = t.documents.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.left("text", F.lit(5)).alias("text")))).alias("d"))
+    d = docs.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("d"))
     part = lambda x: F.struct(F.when(x.doc_id % 2 == 0, x.text).otherwise("").alias("text"), F.lit(None).cast("string").alias("image"), F.lit("").alias("instruction"))
     query = F.struct(F.col("source").alias("text"), F.lit(None).cast("string").alias("image"), F.lit("Find ").alias("instruction"))
     return d.select("source", query.alias("query"), F.transform(F.slice("d", 1, 1), part).alias("pos"), F.transform(F.slice("d", 2, 3), part).alias("neg"))
@@ -542,7 +565,16 @@ def _examples(t: Tables):
 @query("""WITH d AS (SELECT source, doc_id, left(text, 5) AS x, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents)
 SELECT 'Find ' || source AS query, r::INTEGER - 1 AS place, CASE WHEN doc_id % 2 = 0 AND x <> '' THEN x ELSE 'empty passage' END AS passage FROM d WHERE r <= 3""")
 def training_examples(t):
-    out = E.multimodal(_examples(t), 3)
+    out = E.multimodal(_examples(t.documents.withColumn("text", F.left("text", F.lit(5)))), 3)
+    return out.select(F.col("query.text").alias("query"), F.posexplode("passages").alias("place", "p")).select("query", "place", F.col("p.text").alias("passage"))
+
+
+@query("""WITH d AS (SELECT source, doc_id, text AS x, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents)
+SELECT 'Find ' || source AS query, r::INTEGER - 1 AS place, CASE WHEN doc_id % 2 = 0 AND x <> '' THEN x ELSE 'empty passage' END AS passage FROM d WHERE r <= 3""")
+def training_examples_whole(t):
+    # Only the documents that an example can hold are gathered, so a row stays small however many a source has.
+    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    out = E.multimodal(_examples(t.documents.withColumn("place", place).where("place <= 4")), 3)
     return out.select(F.col("query.text").alias("query"), F.posexplode("passages").alias("place", "p")).select("query", "place", F.col("p.text").alias("passage"))
 
 
