@@ -98,6 +98,11 @@ def union_shards(t):
     return t.documents.where("doc_id % 2 = 0").select("doc_id", F.lit("d").alias("origin")).unionByName(t.benchmark.select(F.col("item_id").alias("doc_id"), F.lit("b").alias("origin")))
 
 
+@query("SELECT doc_id, 'd' AS origin FROM documents UNION ALL SELECT item_id, 'b' FROM benchmark")
+def union_shards_whole(t):
+    return t.documents.select("doc_id", F.lit("d").alias("origin")).unionByName(t.benchmark.select(F.col("item_id").alias("doc_id"), F.lit("b").alias("origin")))
+
+
 # -- numbering -------------------------------------------------------------------------
 
 

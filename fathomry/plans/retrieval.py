@@ -93,6 +93,18 @@ def inject_positives(t):
     return out.select("qid", "did", F.round("score", 6).alias("score"))
 
 
+@query(
+    _with(10)
+    + """, pos AS (SELECT qid, did FROM qrels WHERE rel = 2)
+SELECT qid, did, round(max(score), 6) AS score FROM (
+  SELECT qid, did, score FROM run UNION ALL SELECT qid, did, 1000.0 FROM pos WHERE qid IN (SELECT qid FROM run)
+) GROUP BY qid, did"""
+)
+def inject_positives_whole(t):
+    out = R.inject(run_of(t, 10), qrels_of(t).where("rel = 2"))
+    return out.select("qid", "did", F.round("score", 6).alias("score"))
+
+
 @query(_with(10) + "SELECT qid, did, round(score, 6) AS score, rank FROM run WHERE rank <= 3")
 def run_cap_per_query(t):
     return _out(R.head(run_of(t, 10), 3, "rank"))
