@@ -34,6 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.order import global_index
 from ._arrow import bound_batches, with_bytes
 from ._graph import connected_components
 from ._shingles import Shingler
@@ -261,12 +262,23 @@ def components(work: Work, docs: DataFrame, words: int = WORDS, percent: int = P
 
 
 def keep_one(work: Work, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs without the documents whose component has a smaller doc_id, one row a doc_id."""
-    found = work.save(components(work, docs, words, percent), "found")
-    gone = work.save(found.where("NOT kept").select("doc_id").distinct(), "gone")
-    again = work.save(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    wanted = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    kept = docs.join(wanted, "doc_id", "left_anti").select(docs.columns)
+    """docs without the documents whose component has a smaller doc_id, one row a doc_id and text.
+
+    Texts that share a doc_id are documents of their own, in the order of a hash of the text.
+    """
+    again = work.save(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
     if again.isEmpty():
-        return kept
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).union(kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+        return _without_copies(work, docs, "doc_id", words, percent)
+    named = docs.where("doc_id IS NOT NULL")
+    once = named.join(again, "doc_id", "left_anti").select(docs.columns).union(named.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))
+    order = [F.col("doc_id"), F.xxhash64("text"), F.col("text")]
+    rows = work.save(global_index(work.save(once, "once"), order, "__row"), "rows")
+    return _without_copies(work, rows, "__row", words, percent).select(docs.columns).union(docs.where("doc_id IS NULL"))
+
+
+def _without_copies(work: Work, docs: DataFrame, key: str, words: int, percent: int) -> DataFrame:
+    """docs without the rows whose component has a smaller key."""
+    found = work.save(components(work, docs.select(F.col(key).alias("doc_id"), "text"), words, percent), "found")
+    gone = work.save(found.where("NOT kept").select(F.col("doc_id").alias(key)).distinct(), "gone")
+    wanted = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(wanted, key, "left_anti").select(docs.columns)

@@ -1,0 +1,15 @@
+"""Operators on rows that an earlier form of them lost."""
+
+from collections import Counter
+
+from fathomry.llm import op08_near
+from fathomry.llm._work import Work
+
+
+def test_keep_one_leaves_other_texts_under_a_repeated_id(spark):
+    text = lambda name: " ".join(f"{name}{k}" for k in range(40))
+    rows = [(0, text("a")), (1, text("a") + " end"), (1, text("b")), (2, text("c")), (2, text("d")), (2, text("d")), (3, text("e")), (4, None), (4, ""), (None, text("a"))]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, rep string")
+    kept = op08_near.keep_one(Work(spark, "t8"), docs)
+    want = [(0, text("a")), (1, text("b")), (2, text("c")), (2, text("d")), (3, text("e")), (4, None), (4, ""), (None, text("a"))]
+    assert kept.columns == docs.columns and Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(want)
