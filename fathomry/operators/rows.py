@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.order import global_index, seeded
+from ..functions.order import global_index, ranged, running, seeded
+from ..functions.store import scratch
 
 # -- joins -----------------------------------------------------------------------------
 
@@ -119,45 +120,57 @@ def split_bands(df: DataFrame, sizes: list[int], key: list[str], seed: int | str
 def cumulative_split(df: DataFrame, size: str, limits: list[int], order: list, name: str = "split", partitions: int | None = None) -> DataFrame:
     """Rows enter split i while the sizes before them are under limits[i]; then the next split starts from there.
 
-    Running totals are built from range partitions: each sums its own rows, and the partitions' totals are summed up.
+    Running totals are built from written ranges: each sums its own rows, and the ranges' totals are summed up.
     """
-    ranged = (df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)).withColumn("__part", F.spark_partition_id())
-    sums = ranged.groupBy("__part").agg(F.sum(size).alias("__s"))
-    before = sums.select("__part", F.coalesce(F.sum("__s").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
-    own = F.coalesce(F.sum(size).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = ranged.withColumn("__own", own).join(F.broadcast(before), "__part").withColumn("__before", F.col("__own") + F.col("__b"))
+    parted = ranged(df, order, partitions=partitions)
+    own = F.coalesce(F.sum(size).over(Window.partitionBy("__part").orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = parted.withColumn("__own", own).join(F.broadcast(running(parted, F.sum(size), "__b")), "__part").withColumn("__before", F.col("__own") + F.col("__b"))
     band = F.lit(None).cast("int")
     for i, limit in reversed(list(enumerate(limits))):
         band = F.when(F.col("__before") < limit, F.lit(i)).otherwise(band)
-    return rows.withColumn(name, band).where(F.col(name).isNotNull()).drop("__part", "__own", "__b", "__before")
+    return rows.withColumn(name, band).where(F.col(name).isNotNull()).drop("__part", "__place", "__own", "__b", "__before")
 
 
-def chunk_lengths(doc: Column, most: int, seed: int | str = 0, lengths=(4, 5, 6), shares=(0.2, 0.3, 0.5)) -> Column:
-    """Chunk lengths of a document, chosen by a hash of (seed, doc, place)."""
-    def length(i: Column) -> Column:
-        u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), doc.cast("string"), i.cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-        out, up_to = F.lit(lengths[-1]), sum(shares)
-        for n, share in reversed(list(zip(lengths, shares))[:-1]):
-            up_to = sum(shares[: lengths.index(n) + 1])
-            out = F.when(u < up_to, F.lit(n)).otherwise(out)
-        return out
+def chunk_length(doc: Column, place: Column, seed: int | str = 0, lengths=(4, 5, 6), shares=(0.2, 0.3, 0.5)) -> Column:
+    """The length of a document's chunk number ``place``, chosen by a hash of (seed, doc, place)."""
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), doc.cast("string"), place.cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    out = F.lit(lengths[-1])
+    for i in reversed(range(len(lengths) - 1)):
+        out = F.when(u < sum(shares[: i + 1]), F.lit(lengths[i])).otherwise(out)
+    return out
 
-    return F.transform(F.sequence(F.lit(0), F.lit(most - 1)), length)
 
+#: Chunks of a document that are added up in one task.
+CHUNK_BLOCK = 1024
 
-def variable_chunks(pages: DataFrame, doc: str, page: str, seed: int | str = 0, most_chunks: int = 64) -> DataFrame:
+
+def variable_chunks(pages: DataFrame, doc: str, page: str, seed: int | str = 0, lengths=(4, 5, 6), shares=(0.2, 0.3, 0.5)) -> DataFrame:
     """pages with ``chunk`` from 0: a document's pages in order, in chunks of 4 to 6, the tail kept.
 
-    Lengths are a function of document and place, so a page finds its chunk from its position
-    alone; after ``most_chunks`` the lengths repeat.
+    Every chunk has its own drawn length, however many a document has. A document is no more
+    than its first place in the written order of all pages and a count, so its chunks come from
+    a sequence: blocks of CHUNK_BLOCK of them sum up their lengths, the blocks' sums are added
+    up, and each chunk then names its pages' places, which are joined with the pages. Only the
+    blocks' sums of one document stand in one task. A null document is one of its own.
     """
-    place = F.row_number().over(Window.partitionBy(doc).orderBy(page)) - 1
-    lengths = chunk_lengths(F.col(doc), most_chunks, seed)
-    ends = F.transform(F.sequence(F.lit(1), F.lit(most_chunks)), lambda i: F.aggregate(F.slice(F.col("__l"), 1, i), F.lit(0), lambda s, x: s + x))
-    rows = pages.withColumn("__p", place).withColumn("__l", lengths).withColumn("__e", ends)
-    cycle = F.element_at("__e", -1)
-    inside = F.size(F.filter("__e", lambda e: e <= F.col("__p") % cycle))
-    return rows.withColumn("chunk", (F.floor(F.col("__p") / cycle) * most_chunks + inside).cast("long")).drop("__p", "__l", "__e")
+    save = scratch(pages.sparkSession)
+    placed = global_index(pages.withColumns({"__d": F.col(doc)}), [F.col(doc), F.col(page)], "__g", save)
+    docs = placed.groupBy("__d").agg(F.min("__g").alias("__first"), F.count("*").alias("__n"))
+    most = F.ceil(F.col("__n") / min(lengths))
+    blocks = docs.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((most - 1) / CHUNK_BLOCK))))
+    start = F.col("__b") * CHUNK_BLOCK
+
+    def drawn(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("chunk", F.explode(F.sequence(start, F.least(most, start + CHUNK_BLOCK) - 1))).withColumn("__l", chunk_length(F.col("__d"), F.col("chunk"), seed, lengths, shares))
+
+    sums = drawn(blocks).groupBy("__d", "__first", "__n", "__b").agg(F.sum("__l").alias("__s"))
+    before = F.coalesce(F.sum("__s").over(Window.partitionBy("__d").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = save(sums.withColumn("__before", before), "sums")
+    own = F.coalesce(F.sum("__l").over(Window.partitionBy("__d", "__b").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begun = drawn(sums).withColumn("__at", own + F.col("__before")).where("__at < __n")
+    last = F.least(F.col("__n"), F.col("__at") + F.col("__l")) - 1
+    ours = begun.select("chunk", F.explode(F.sequence(F.col("__at"), last)).alias("__p"), "__first").select("chunk", (F.col("__first") + F.col("__p")).alias("__g"))
+    return placed.drop("__d").join(ours, "__g").drop("__g")
 
 
 def round_robin(df: DataFrame, order: list, shards: int, name: str = "shard") -> DataFrame:

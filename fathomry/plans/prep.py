@@ -356,12 +356,12 @@ def tier_by_share(t):
     return O.tiers(t.documents.select("source", (F.col("lang") == "en").alias("visual")), "source", "visual", 0.6)
 
 
-@query("""WITH RECURSIVE p AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS p FROM documents),
-u AS (SELECT source, unnest(range(0, 64)) AS i FROM (SELECT DISTINCT source FROM documents)),
+@query("""WITH p AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS p FROM documents),
+u AS (SELECT source, unnest(range(0, max(p) // 4 + 1)) AS i FROM p GROUP BY source),
 l AS (SELECT source, i, ('0x' || substr(md5(concat_ws('|', '0', source, i)), 1, 8))::BIGINT / 4294967296.0 AS u FROM u),
 k AS (SELECT source, i, CASE WHEN u < 0.2 THEN 4 WHEN u < 0.5 THEN 5 ELSE 6 END AS n FROM l),
-e AS (SELECT source, i, sum(n) OVER (PARTITION BY source ORDER BY i) AS e, sum(n) OVER (PARTITION BY source) AS total FROM k)
-SELECT p.source, doc_id, (p // any_value(total)) * 64 + count_if(e <= p % total) AS chunk FROM p JOIN e ON e.source = p.source GROUP BY p.source, doc_id, p""")
+e AS (SELECT source, i, sum(n) OVER (PARTITION BY source ORDER BY i) AS e FROM k)
+SELECT p.source, doc_id, count_if(e <= p) AS chunk FROM p JOIN e ON e.source = p.source GROUP BY p.source, doc_id, p""")
 def chunk_variable(t):
     return O.variable_chunks(t.documents.select("source", "doc_id"), "source", "doc_id").select("source", "doc_id", "chunk")
 
