@@ -6,11 +6,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows and bytes of an Arrow batch handed to Python: texts can be very long.
-BATCH_ROWS, BATCH_BYTES = 2000, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for documents of any length."""
+    """Keep Arrow batches small enough for documents of any length.
+
+    The plan reads these settings when it runs, which is after the operator returned, so they stay in the session.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)

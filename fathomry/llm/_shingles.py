@@ -6,7 +6,8 @@ import numpy as np
 import xxhash
 
 _MUL = np.uint64(0x9FB21C651E98DF25)
-_CACHE_WORDS = 1_000_000
+#: Words whose hashes a task keeps: about 15 MB.
+_CACHE_WORDS = 100_000
 
 
 class Shingler:

@@ -1,46 +1,34 @@
-"""Tables written to the shared folder: the only way lineage is cut here."""
+"""One run's tables in the shared folder: the only way lineage is cut here."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
+import contextlib
+import contextvars
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.store import save_table, shared_root
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir``.
-
-    Where it is unset, a local master gets a temporary folder (removed at exit);
-    on a cluster that would lose data, so it is an error there.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="fathomry-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        atexit.register(shutil.rmtree, root.removeprefix("file://"), True)
-    return root.rstrip("/")
+_OPEN: contextvars.ContextVar[list | None] = contextvars.ContextVar("open", default=None)
 
 
 class Work:
-    """One run's tables under the shared folder."""
+    """Tables under one folder of ``spark.checkpoint.dir``. A lazy result may read them, so they stay
+    until ``clear`` or the end of the ``cleared`` block in which the run began."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/fathomry/{name}-{uuid.uuid4().hex[:12]}"
+        if (seen := _OPEN.get()) is not None:
+            seen.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-        """Write df as Parquet and return the table as written."""
-        writer = df.write.mode("overwrite").option("compression", "zstd")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(self.path(name))
-        return self.load(name, df.schema)
+    def save(self, df: DataFrame, name: str, *partition_by: str, rows: int | None = None) -> DataFrame:
+        """Write df as Parquet and return the table as written; ``rows``, a bound on a narrow table's rows, sets its files."""
+        return save_table(df, self.path(name), *partition_by, rows=rows)
 
     def load(self, name: str, schema) -> DataFrame:
         return self.spark.read.schema(schema).parquet(self.path(name))
@@ -48,5 +36,24 @@ class Work:
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
         for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(self.path(name))
+
+    def clear(self) -> None:
+        """Delete all tables of this run."""
+        self._delete(self.root)
+
+    def _delete(self, at: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def cleared():
+    """On leaving, the tables of all runs that began inside are deleted."""
+    token = _OPEN.set([])
+    try:
+        yield
+    finally:
+        for work in _OPEN.get():
+            work.clear()
+        _OPEN.reset(token)

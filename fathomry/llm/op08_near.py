@@ -11,15 +11,22 @@ A document's set is its distinct word shingles. Two documents link when
    meets in some table with probability (1 - (1 - 0.8^GROUP)^SIDE)^2 = 0.9985, at 0.85 in
    0.9999.
 3. In each bucket (documents with one table key) every document is compared with the
-   bucket's smallest, its leader. That joins nearly all of a group of near copies.
+   bucket's smallest, its leader. That joins nearly all of a group of near copies. Leaders are
+   an aggregate, combined before its shuffle, and a bucket's documents meet theirs in a join
+   of two written tables, whose partitions adaptive execution splits: no bucket is one task's.
 4. Documents that met under one leader and are in different components by then may still
    link with each other. One of such a pair is outside the leader's most frequent component,
    so those outside are compared with everything under the leader: both sides are dealt into
-   blocks of bounded size, a task compares two blocks, and only what is found leaves it, so
-   neither pairs nor groups are ever written out or gathered. Then nothing is untested.
-5. A pair whose minhashes agree in fewer than ``LEAST_AGREE`` of ``2 * SIDE * GROUP`` places
+   blocks of bounded size, a task compares two blocks, and only what is found leaves it. Up to
+   ``BLOCK`` documents under a leader are one block; beyond, a document is sent to one task for
+   every ``BLOCK`` others, which is quadratic in a bucket of documents that share boilerplate
+   but aren't alike: in comparisons of 60 numbers and, over ``BLOCK``, in rows sent. Whoever has
+   a partner left goes on to be compared on full sets, in blocks of ``OUTSIDE`` by ``MEMBERS``.
+   Then nothing is untested.
+5. A pair whose minhashes agree in fewer than ``least_agree`` of ``2 * SIDE * GROUP`` places
    can't reasonably have similarity 0.8 (odds below 1e-6) and is left; the rest are confirmed on
-   their full sets of 64-bit shingle hashes.
+   their full sets of 64-bit shingle hashes. With ``least_agree=0`` every pair that meets in a
+   table is confirmed, so what remains of chance is whether a pair meets.
 
 Defined results: without words or with null text a document has an empty set and links with
 nothing. Repeated rows share a component; rows that share a doc_id but not a text are linked
@@ -43,8 +50,10 @@ from ._work import Work
 WORDS, PERCENT = 5, 80
 SIDE, GROUP = 10, 3
 LEAST_AGREE = 32
-#: Documents of a block, on average: those outside the leader's component, and all under it.
-OUTSIDE, MEMBERS = 256, 1024
+#: Documents of a block, on average, that are compared by minhashes: 240 bytes each.
+BLOCK = 4096
+#: The same for full sets, which long documents make large: those outside the leader's component, and all under it.
+OUTSIDE, MEMBERS = 128, 256
 #: Ids that a broadcast may hold (16 bytes each); beyond it the same join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -101,20 +110,20 @@ def similar(a: bytes, b: bytes, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def _sets_of(work: Work, docs: DataFrame, ids: DataFrame, words: int, tag: str) -> DataFrame:
-    """(rep, shingles) of the documents with these ids (doc_id), written."""
-    ids = work.save(ids, f"{tag}-ids")
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def _sets_of(work: Work, docs: DataFrame, ids: DataFrame, most: int, words: int, tag: str) -> DataFrame:
+    """(rep, shingles) of the documents with these ids (doc_id), at most so many, written."""
+    wanted = F.broadcast(ids) if most <= BROADCAST_IDS else ids
     return work.save(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), words), f"{tag}-sets")
 
 
-def _confirm(work: Work, docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The links (a, b) among pairs of reps, written."""
+def _confirm(work: Work, docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, percent: int, least_agree: int) -> DataFrame:
+    """The links (a, b) among the written pairs of reps, written."""
     one, other = (reps.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("hashes").alias(f"h_{c}")) for c in "ab")
     agree = F.aggregate(F.zip_with("h_a", "h_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    close = pairs.join(one, "a").join(other, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).where(agree >= LEAST_AGREE)
-    close = work.save(close.select("a", "b"), "close")
-    sets = _sets_of(work, docs, close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), words, "first")
+    close = pairs.join(one, "a").join(other, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).where(agree >= least_agree)
+    close = work.save(close.select("a", "b"), "close", rows=pairs.count())
+    n = close.count()
+    sets = _sets_of(work, docs, close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), 2 * n, words, "first")
     full = close.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("s_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("s_b")), "b")
 
     def confirm(batches):
@@ -124,7 +133,7 @@ def _confirm(work: Work, docs: DataFrame, reps: DataFrame, pairs: DataFrame, wor
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in "ab"], ["a", "b"]).filter(keep)
 
     links = work.save(full.select("a", "b", "s_a", "s_b").mapInArrow(confirm, "a long, b long"), "links")
-    work.drop("close", "first-ids", "first-sets")
+    work.drop("close", "first-sets")
     return links
 
 
@@ -151,9 +160,9 @@ def _by_group(batches, keys: list[str]):
 _KEYS = ["leader", "ub", "mb"]
 
 
-def _blocks(members: DataFrame, payload: DataFrame) -> DataFrame:
+def _blocks(members: DataFrame, payload: DataFrame, outside: int, block: int) -> DataFrame:
     """members(leader, rep, label, outside, n_out, n_all) as the rows of block pairs, sorted by block pair."""
-    outs, alls = (F.ceil(F.col(c) / size).cast("int") for c, size in (("n_out", OUTSIDE), ("n_all", MEMBERS)))
+    outs, alls = (F.ceil(F.col(c) / size).cast("int") for c, size in (("n_out", outside), ("n_all", block)))
     dealt = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), n).cast("int")
     fields = ["leader", "rep", "label"]
     left = members.where("outside").select(*fields, F.lit(True).alias("asks"), dealt(outs, 1).alias("ub"), F.explode(F.sequence(F.lit(0), alls - 1)).alias("mb"))
@@ -161,16 +170,19 @@ def _blocks(members: DataFrame, payload: DataFrame) -> DataFrame:
     return left.union(right).join(payload, "rep").repartition(*_KEYS).sortWithinPartitions(*_KEYS)
 
 
-def _counted(members: DataFrame) -> DataFrame:
-    """members(leader, rep, label) of the leaders that still have several labels, with the blocks' sizes."""
+def _counted(work: Work, members: DataFrame, tag: str) -> DataFrame:
+    """members(leader, rep, label) of the leaders that still have several labels, with the blocks' sizes, written."""
+    n = members.count()
     by_label = members.groupBy("leader", "label").agg(F.count("*").alias("n"))
     by_leader = by_label.groupBy("leader").agg(F.sum("n").alias("n_all"), F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
     by_leader = by_leader.select("leader", "n_all", (F.col("n_all") - F.col("most.n")).alias("n_out"), F.col("most.label").alias("main"))
-    return members.join(by_leader, "leader").select("leader", "rep", "label", "n_all", "n_out", (F.col("label") != F.col("main")).alias("outside"))
+    by_leader = work.save(by_leader, f"{tag}-leaders", rows=n // 2)
+    found = members.join(by_leader, "leader").select("leader", "rep", "label", "n_all", "n_out", (F.col("label") != F.col("main")).alias("outside"))
+    return work.save(found, f"{tag}-counted", rows=n)
 
 
-def _late_links(work: Work, docs: DataFrame, reps: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links between different labels among members(leader, rep, label); at least one for each two labels that link, written."""
+def _late_links(work: Work, docs: DataFrame, reps: DataFrame, members: DataFrame, words: int, percent: int, least_agree: int) -> DataFrame:
+    """Links between different labels among the written members(leader, rep, label); at least one for each two labels that link, written."""
 
     def candidates(batches):
         """Members with a partner that their minhashes don't rule out."""
@@ -181,7 +193,7 @@ def _late_links(work: Work, docs: DataFrame, reps: DataFrame, members: DataFrame
             near = np.zeros(t.num_rows, bool)
             for i in u:
                 can = m[(label[m] != label[i]) & (100 * np.minimum(n[m], n[i]) >= percent * np.maximum(n[m], n[i]))]
-                hit = can[(h[can] == h[i]).sum(1) >= LEAST_AGREE]
+                hit = can[(h[can] == h[i]).sum(1) >= least_agree]
                 near[hit] = True
                 near[i] |= len(hit) > 0
             if near.any():
@@ -213,51 +225,53 @@ def _late_links(work: Work, docs: DataFrame, reps: DataFrame, members: DataFrame
                         b.append(rep[j])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    counted = work.save(_counted(members), "late-counted")
-    if counted.isEmpty():
+    counted = _counted(work, members, "late")
+    n = counted.count()
+    if not n:
         return work.spark.createDataFrame([], "a long, b long")
-    left = _blocks(counted, reps.select("rep", "n_shingles", "hashes")).mapInArrow(candidates, "leader long, rep long, label long")
-    left = work.save(left.distinct(), "late-members")
-    counted = work.save(_counted(left), "late-left")
-    sets = _sets_of(work, docs, counted.select(F.col("rep").alias("doc_id")).distinct(), words, "late")
-    links = work.save(_blocks(counted, sets).mapInArrow(confirm, "a long, b long").distinct(), "late-links")
-    work.drop("late-counted", "late-members", "late-left", "late-ids", "late-sets")
+    left = _blocks(counted, reps.select("rep", "n_shingles", "hashes"), BLOCK, BLOCK).mapInArrow(candidates, "leader long, rep long, label long")
+    counted = _counted(work, work.save(left.distinct(), "late-members", rows=n), "left")
+    sets = _sets_of(work, docs, counted.select(F.col("rep").alias("doc_id")).distinct(), counted.count(), words, "late")
+    links = work.save(_blocks(counted, sets, OUTSIDE, MEMBERS).mapInArrow(confirm, "a long, b long").distinct(), "late-links", rows=n)
+    work.drop("late-leaders", "late-counted", "late-members", "left-leaders", "left-counted", "late-sets")
     return links
 
 
-def components(work: Work, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def components(work: Work, docs: DataFrame, words: int = WORDS, percent: int = PERCENT, least_agree: int = LEAST_AGREE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     sketches = work.save(sketch(docs, words), "sketches")
     whole = sketches.where("doc_id IS NOT NULL AND n_shingles > 0")
-    copies = work.save(whole.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n"), "copies")
+    copies = whole.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = work.save(copies, "copies", rows=sketches.count() // 2)
     reps = whole.join(copies, ["f1", "f2"], "left").where("rep IS NULL OR rep = doc_id")
     reps = work.save(reps.select(F.col("doc_id").alias("rep"), "n_shingles", "lefts", "rights", "hashes"), "reps")
 
     tables = reps.select("rep", "rights", F.posexplode("lefts").alias("i", "left")).select("rep", "i", "left", F.posexplode("rights").alias("j", "right"))
     keyed = tables.select("rep", F.xxhash64("i", "j", "left", "right").alias("key"))
-    by_key = Window.partitionBy("key")
-    buckets = keyed.withColumn("leader", F.min("rep").over(by_key)).withColumn("last", F.max("rep").over(by_key)).where("leader <> last").drop("last").distinct()
-    buckets = work.save(buckets, "buckets")
-
-    met = work.save(buckets.where("rep <> leader").select("leader", "rep").distinct(), "met")
-    work.drop("buckets")
-    links = _confirm(work, docs, reps, met.select(F.col("rep").alias("a"), F.col("leader").alias("b")), words, percent)
-    labels = connected_components(work, links, "labels")
+    shared = keyed.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last"), F.count("*").alias("n")).where("leader <> last").drop("last")
+    shared = work.save(shared, "shared")
+    met = keyed.join(shared.select("key", "leader"), "key").where("rep <> leader").select("leader", "rep").distinct()
+    met = work.save(met, "met", rows=shared.agg(F.sum(F.col("n") - 1)).first()[0] or 0)
+    work.drop("shared")
+
+    links = _confirm(work, docs, reps, met.select(F.col("rep").alias("a"), F.col("leader").alias("b")), words, percent, least_agree)
+    labels = connected_components(work, links, "labels", links.count())
     label = F.coalesce("label", "rep").alias("label")
     members = met.union(met.select("leader", F.col("leader").alias("rep")).distinct()).join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("leader", "rep", label)
-    late = _late_links(work, docs, reps, members, words, percent)
+    late = _late_links(work, docs, reps, work.save(members, "members", rows=2 * met.count()), words, percent, least_agree)
     # Components of components: the labels that late links join.
     named = labels.select(F.col("node").alias("rep"), F.col("label"))
     joined = late.join(named.select(F.col("rep").alias("a"), F.col("label").alias("la")), "a", "left").join(named.select(F.col("rep").alias("b"), F.col("label").alias("lb")), "b", "left")
     joined = joined.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-    merged = connected_components(work, joined, "merged").select(F.col("node").alias("label"), F.col("label").alias("beyond"))
+    merged = connected_components(work, joined, "merged", late.count()).select(F.col("node").alias("label"), F.col("label").alias("beyond"))
+    alone = merged.select(F.col("label").alias("node"), "label").join(labels.select("node"), "node", "left_anti")
+    found = labels.unionByName(alone).join(merged, "label", "left").select("node", F.coalesce("beyond", "label").alias("component_id"))
+    found = work.save(found, "components", rows=labels.count() + merged.count())
 
-    classed = sketches.select("doc_id", "n_shingles", "f1", "f2").join(copies, ["f1", "f2"], "left")
     rep = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id"))
-    named = classed.select("doc_id", "n_shingles", rep.alias("node")).join(labels, "node", "left")
-    named = named.select("doc_id", "n_shingles", F.coalesce("label", "node").alias("label")).join(merged, "label", "left")
-    out = named.select("doc_id", "n_shingles", F.coalesce("beyond", "label").alias("component_id"))
+    classed = sketches.select("doc_id", "n_shingles", "f1", "f2").join(copies, ["f1", "f2"], "left").select("doc_id", "n_shingles", rep.alias("node"))
+    out = classed.join(found, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "node").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -272,13 +286,13 @@ def keep_one(work: Work, docs: DataFrame, words: int = WORDS, percent: int = PER
     named = docs.where("doc_id IS NOT NULL")
     once = named.join(again, "doc_id", "left_anti").select(docs.columns).union(named.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))
     order = [F.col("doc_id"), F.xxhash64("text"), F.col("text")]
-    rows = work.save(global_index(work.save(once, "once"), order, "__row"), "rows")
+    rows = work.save(global_index(once, order, "__row", work.save), "rows")
     return _without_copies(work, rows, "__row", words, percent).select(docs.columns).union(docs.where("doc_id IS NULL"))
 
 
 def _without_copies(work: Work, docs: DataFrame, key: str, words: int, percent: int) -> DataFrame:
     """docs without the rows whose component has a smaller key."""
-    found = work.save(components(work, docs.select(F.col(key).alias("doc_id"), "text"), words, percent), "found")
-    gone = work.save(found.where("NOT kept").select(F.col("doc_id").alias(key)).distinct(), "gone")
+    found = components(work, docs.select(F.col(key).alias("doc_id"), "text"), words, percent).where("NOT kept")
+    gone = work.save(found.select(F.col("doc_id").alias(key)).distinct(), "gone")
     wanted = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     return docs.join(wanted, key, "left_anti").select(docs.columns)
