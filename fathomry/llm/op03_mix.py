@@ -3,24 +3,31 @@
 The mix shares ``share`` times all sizes among the sources by weight; a source is clamped at
 ``max_epochs`` times its own size and what it can't take goes to the others by weight, until
 none is above its clamp. A source then repeats whole ``floor(target / size)`` times, and the
-rest is a fraction of it: its documents in the order of a seeded hash, as far as the fraction
-reaches. That order is cut into hash buckets, so a source of any size is summed and cut by
-bucket: only the one bucket in which the fraction ends is ordered document by document.
+rest is a fraction of it: its documents in the order of a seeded hash, each taken once more
+while its middle word is within the fraction. That order is cut into hash buckets, so a source
+of any size is summed and cut by bucket: only the one bucket in which the fraction ends is
+ordered hash by hash.
+
+Equal rows have equal hashes. Where the fraction ends among rows of one hash, only as many of
+them are taken once more as fit; those rows alone are written and numbered, by ranges, so a
+document that a third of all rows repeat is cut as near its target as any other and gathered
+nowhere. Taken words miss the target by half of one document at most.
 
 Defined results: a null text has size 0; null is a source of its own, ordered last; documents
 of size 0 are taken no words of; an empty table gives an empty result; repeated rows are
-documents of their own.
+documents of their own, and which of several equal ones is taken once more makes no difference.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.order import global_index
 from ._work import Work
 
 WEIGHTS, SHARE, MAX_EPOCHS, SEED = (5, 2, 1), 1.5, 2.0, 17
-#: A source's hashes fall into 2 ** (64 - _SHIFT) buckets; one of them is ordered in a single task.
-_SHIFT = 52
+#: A source's hashes have _BITS bits and fall into 2 ** (_BITS - _SHIFT) buckets; one of them is ordered in a single task.
+_BITS, _SHIFT = 60, 48
 #: Sources whose table may be broadcast; beyond, the joins shuffle.
 BROADCAST_SOURCES = 20_000
 
@@ -32,8 +39,9 @@ def size_of(text: Column) -> Column:
 
 
 def order_of(seed: int) -> Column:
-    """A document's place in the seeded order of its source."""
-    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+    """A document's place in the seeded order of its source: the first 60 bits of an md5."""
+    parts = [F.lit(f"{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, _BITS // 4), 16, 10).cast("long")
 
 
 def _small(table: DataFrame) -> DataFrame:
@@ -56,9 +64,10 @@ def water_fill(sources: DataFrame, total: float) -> DataFrame:
 
 
 def targets(work: Work, sizes: DataFrame, weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPOCHS) -> DataFrame:
-    """(source, source_size, target, whole, cut) from sizes(source, size, h), written.
+    """(source, source_size, target, whole, cut, at, some) from sizes(source, size, h), written.
 
-    A document is taken ``whole`` times, and once more if its hash is at most ``cut``.
+    A document is taken ``whole`` times, and once more if its hash is at most ``cut``; of those
+    whose hash is ``at`` (if not null), ``some`` are taken once more.
     """
     sizes = sizes.withColumn("bucket", F.shiftright("h", _SHIFT).cast("int"))
     buckets = work.save(sizes.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "buckets")
@@ -81,30 +90,57 @@ def targets(work: Work, sizes: DataFrame, weights=WEIGHTS, share=SHARE, max_epoc
     inside = ends.groupBy("source").agg(F.max(F.when(F.col("end") <= F.col("rest"), F.col("bucket"))).alias("last")).select(F.col("source").alias("i_source"), F.shiftleft(F.col("last").cast("long"), _SHIFT).bitwiseOR(F.lit((1 << _SHIFT) - 1)).alias("inside"))
     torn = ends.where((F.col("end") > F.col("rest")) & (F.col("end") - F.col("bucket_size") < F.col("rest"))).select("f_source", F.col("bucket").alias("t_bucket"), "rest", (F.col("end") - F.col("bucket_size")).alias("start"))
     members = sizes.join(_small(work.save(torn, "torn")), F.col("source").eqNullSafe(F.col("f_source")) & (F.col("bucket") == F.col("t_bucket")))
-    members = members.groupBy("source", "h", "rest", "start").agg(F.sum("size").alias("size"))
-    #: the document that the fraction ends in is taken if that comes nearer to the target
-    middle = F.col("start") + F.sum("size").over(by_source.orderBy("h")) - F.col("size") / 2
-    beyond = members.withColumn("middle", middle).where("middle <= rest").groupBy("source").agg(F.max("h").alias("beyond")).withColumnRenamed("source", "b_source")
+    members = members.groupBy("source", "h", "rest", "start").agg(F.count("*").alias("n"), F.max("size").alias("one"))
+    start = F.col("start") + F.sum(F.col("n") * F.col("one")).over(by_source.orderBy("h")) - F.col("n") * F.col("one")
+    #: row i of a hash, from 0, is taken once more if its middle is within the rest; so many of them are
+    guess = F.floor((F.col("rest") - F.col("from")) / F.col("one") + 0.5)
+    fits = lambda i: F.col("from") + i * F.col("one") + F.col("one") / 2 <= F.col("rest")
+    fit = F.when(F.col("one") == 0, F.col("n")).when(fits(guess), guess + 1).when((guess > 0) & ~fits(guess - 1), guess - 1).otherwise(guess)
+    cut = members.withColumn("from", start).withColumn("some", F.greatest(F.lit(0), F.least("n", fit)).cast("long"))
+    beyond = cut.groupBy(F.col("source").alias("b_source")).agg(
+        F.max(F.when(F.col("some") == F.col("n"), F.col("h"))).alias("beyond"), F.max(F.when((F.col("some") > 0) & (F.col("some") < F.col("n")), F.struct("h", "some"))).alias("part")
+    )
     out = filled.join(inside, F.col("source").eqNullSafe(F.col("i_source")), "left").join(beyond, F.col("source").eqNullSafe(F.col("b_source")), "left")
-    return work.save(out.select("source", "source_size", "target", "whole", F.coalesce("beyond", "inside").alias("cut")), "targets")
+    return work.save(out.select("source", "source_size", "target", "whole", F.coalesce("beyond", "inside").alias("cut"), F.col("part.h").alias("at"), F.col("part.some").alias("some")), "targets")
+
+
+_ASKED = ("source", "source_size", "target", "whole", "cut", "at", "some")
 
 
-def _repeats(h: Column) -> Column:
-    return (F.col("whole") + F.coalesce((h <= F.col("cut")).cast("long"), F.lit(0))).cast("long")
+def _repeated(work: Work, rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows(source, __h, ...) with ``__source_size``, ``__target`` and ``__repeats``.
+
+    The rows at which a fraction ends are written and numbered; all others are decided by their hash alone.
+    """
+    found = found.select(*[F.col(c).alias(f"__{c}") for c in _ASKED])
+    partial = found.where("__at IS NOT NULL").count()
+    joined = rows.join(_small(found), F.col("source").eqNullSafe(F.col("__source")))
+    at_end = F.coalesce(F.col("__h") == F.col("__at"), F.lit(False))
+    once = F.coalesce((F.col("__h") <= F.col("__cut")).cast("long"), F.lit(0))
+    columns = [*[f"`{c}`" for c in rows.columns], "__source_size", "__target"]
+    plain = joined.where(~at_end).select(*columns, (F.col("__whole") + once).alias("__repeats"))
+    if not partial:
+        return plain
+    ends = work.save(joined.where(at_end).select(*columns, "__whole", "__some", F.xxhash64(*[f"`{c}`" for c in rows.columns]).alias("__same"), F.monotonically_increasing_id().alias("__row")), "ends")
+    numbered = global_index(ends, [F.col("source").isNull(), "source", "__same", "__row"], "__i", work.save)
+    first = numbered.groupBy(F.col("source").alias("__source")).agg(F.min("__i").alias("__first"))
+    more = (F.col("__i") - F.col("__first") < F.col("__some")).cast("long")
+    counted = numbered.join(_small(work.save(first, "firsts")), F.col("source").eqNullSafe(F.col("__source")))
+    return plain.unionByName(counted.select(*columns, (F.col("__whole") + more).alias("__repeats")))
 
 
 def plan(work: Work, docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     """(doc_id, source, size, source_size, target, repeats, taken) for every document."""
     rows = work.save(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), order_of(seed).alias("h")), "sizes")
-    found = _small(targets(work, rows, **options).withColumnRenamed("source", "t_source"))
-    repeats = _repeats(F.col("h"))
-    return rows.join(found, F.col("source").eqNullSafe(F.col("t_source"))).select("doc_id", "source", "size", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"))
+    found = targets(work, rows, **options)
+    repeated = _repeated(work, rows.withColumnRenamed("h", "__h"), found)
+    return repeated.select("doc_id", "source", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__repeats").cast("long").alias("repeats"), (F.col("__repeats") * F.col("size")).cast("long").alias("taken"))
 
 
 def mix(work: Work, docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     """docs as mixed: a row for each repetition, numbered from 0 in ``repetition`` (in place of such a column)."""
     rows = work.save(docs.select("source", size_of(F.col("text")).alias("size"), order_of(seed).alias("h")), "sizes")
-    found = targets(work, rows, **options).select(F.col("source").alias("__source"), F.col("whole").alias("__whole"), F.col("cut").alias("__cut"))
-    joined = docs.join(_small(found), F.col("source").eqNullSafe(F.col("__source")))
-    repeats = F.col("__whole") + F.coalesce((order_of(seed) <= F.col("__cut")).cast("long"), F.lit(0))
-    return joined.withColumn("__repeats", repeats.cast("int")).where("__repeats > 0").select(*[c for c in docs.columns if c != "repetition"], F.explode(F.sequence(F.lit(0), F.col("__repeats") - 1)).alias("repetition"))
+    found = targets(work, rows, **options)
+    kept = [c for c in docs.columns if c != "repetition"]
+    repeated = _repeated(work, docs.select(*[f"`{c}`" for c in kept]).withColumn("__h", order_of(seed)), found)
+    return repeated.where("__repeats > 0").select(*[f"`{c}`" for c in kept], F.explode(F.sequence(F.lit(0), F.col("__repeats").cast("int") - 1)).alias("repetition"))

@@ -162,3 +162,32 @@ SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
        CASE WHEN first <> page_id THEN first END AS refers_to
 FROM p LEFT JOIN f USING (d)
 """
+
+#: Targets by water-filling in closed form: with sources in the order of cap / weight, the level is the first
+#: (total - caps before) / (weights left) that doesn't reach the next source's cap.
+ORACLE["op3_mix"] = rf"""
+WITH d AS (
+  SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}'), lambda x: x <> ''))::BIGINT AS size,
+         ('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 15))::BIGINT AS h FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source
+), w AS (
+  SELECT source, source_size, [5.0, 2.0, 1.0][(place - 1) % 3 + 1]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS cap,
+         (SELECT sum(source_size) FROM s)::BIGINT * 1.5::DOUBLE AS total FROM s
+), o AS (
+  SELECT *, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS i,
+         coalesce(sum(cap) OVER p, 0) AS used, sum(weight) OVER () - coalesce(sum(weight) OVER p, 0) AS free
+  FROM w WINDOW p AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), l AS (
+  SELECT arg_min((total - used) / free, i) FILTER (WHERE (total - used) / free * weight < cap) AS level FROM o
+), t AS (
+  SELECT source, source_size, CASE WHEN level IS NULL OR weight * level >= cap THEN cap ELSE weight * level END AS target FROM w, l
+), r AS (
+  SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, source, size, source_size, target,
+       (size * (whole + CASE WHEN before + size / 2.0 <= target - whole * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM r
+"""

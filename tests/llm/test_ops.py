@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,6 +178,37 @@ def test_mix_targets_and_taken(spark, corpus):
     assert mixed.columns == [*docs.columns, "repetition"] and sum(len(SPACE.findall(r.text or "")) for r in mixed.collect()) == sum(taken.values())
 
 
+def test_mix_cuts_repeated_rows_near_their_target(spark):
+    """Rows that are equal in id and text can't be told apart by a hash, and still only as many as fit are taken."""
+    rows = [(7, "a b c", "p")] * 300 + [(None, "x y z w", None)] * 150 + [(i, "k " * (1 + i % 9), "q") for i in range(500)] + [(9, None, "z"), (9, "", "z")]
+    docs = docs_of(spark, rows).repartition(5)
+    plan = op03_mix.plan(Work(spark, "t3"), docs).collect()
+    assert len(plan) == len(rows)
+    taken, target = Counter(), {}
+    for r in plan:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert 0 <= r.taken <= 2 * r.size
+    assert all(abs(taken[s] - t) <= 4.5 for s, t in target.items()), (taken, target)
+    mixed = op03_mix.mix(Work(spark, "t3"), docs)
+    assert Counter({r.source: r.n for r in mixed.groupBy("source").agg(F.sum(op03_mix.size_of(F.col("text"))).alias("n")).collect()}) == taken
+    assert Counter(map(tuple, plan)) == Counter(map(tuple, op03_mix.plan(Work(spark, "t3"), docs.coalesce(1)).collect()))
+
+
+def test_mix_equals_its_sql_on_awkward_rows(spark, corpus, tmp_path):
+    import duckdb
+
+    from fathomry.llm.sql import ORACLE
+
+    rows = corpus + [(3, "m n o p q", "s1")] * 40 + [(800, "long " * 50_000, "s2")]
+    docs = docs_of(spark, rows)
+    docs.write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    want = Counter(con.execute(f"SELECT doc_id, source, size, source_size, target, taken FROM ({ORACLE['op3_mix']})").fetchall())
+    assert want == Counter(map(tuple, op03_mix.plan(Work(spark, "t3"), docs).drop("repeats").collect()))
+
+
 def test_mix_large_source_is_cut_close_to_its_target(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").otherwise(F.concat(F.lit("b"), F.col("id") % 5)).alias("source"), F.lit("x y z").alias("text"))
     rows = op03_mix.plan(Work(spark, "t3"), docs).groupBy("source", "target").agg(F.sum("taken").alias("taken")).collect()
@@ -347,6 +379,25 @@ def test_near_duplicates_of_a_loose_group(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 2)
 
 
+def test_near_duplicates_in_small_blocks_and_without_the_minhash_cut(spark, monkeypatch):
+    """A bucket of documents that share most of their text without being alike, some of them copies of each other."""
+    rng = np.random.default_rng(9)
+    base, rows = [f"b{i}" for i in range(60)], []
+    for i in range(120):
+        own = [f"o{i // 2}_{j}" for j in range(25)]
+        if i % 2:
+            own[3] = f"e{i}"
+        rows.append((int(i), " ".join(base + own), "s"))
+    rng.shuffle(rows)
+    rows.append((500, "long " + "word " * 20_000, "s"))
+    monkeypatch.setattr(op08_near, "BLOCK", 16)
+    monkeypatch.setattr(op08_near, "OUTSIDE", 4)
+    monkeypatch.setattr(op08_near, "MEMBERS", 8)
+    for least in (op08_near.LEAST_AGREE, 0):
+        got = op08_near.components(Work(spark, "t8"), docs_of(spark, rows), 2, least_agree=least).collect()
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 2)
+
+
 def test_keep_one(spark, corpus):
     docs = docs_of(spark, corpus)
     kept = op08_near.keep_one(Work(spark, "t8"), docs)
@@ -431,5 +482,28 @@ def test_perfect_hash_is_minimal():
     h[1:3] = h[0]
     h[1, 1], h[2, 1] = 5, 6
     sizes, bits = op10_lines.perfect_hash(h)
-    shard = op10_lines.Shard(sizes, np.packbits(bits).tobytes(), b"", b"")
+    shard = op10_lines.Shard(sizes, bits, b"", b"")
     assert sorted(shard.slot(h)) == list(range(5000))
+    assert len(bits) < 5000 and (op10_lines.Shard([], b"", b"", b"").count(h) == 0).all()
+
+
+def test_lines_in_fifty_shards_are_read_once_a_pass(spark, corpus, monkeypatch):
+    docs = docs_of(spark, corpus)
+    keys = len({x.strip(" \t\n\x0b\x0c\r").translate(AZ) for _, t, _ in corpus for x in (t or "").split("\n")} - {""})
+    index = op10_lines.build_index(Work(spark, "t10"), docs, shard_keys=max(1, keys // 60))
+    assert index.shards["often"] >= 1 and sum(index.shards.values()) >= 50
+    got = Counter(tuple(r) for r in op10_lines.line_report(docs, index).collect())
+    assert got == Counter((i, n, d, hashlib.sha256(t.encode()).hexdigest()) for i, n, d, t in brute_lines(corpus))
+    texts = [None if t is None else t.encode() for _, t, _ in corpus]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 7], pa.binary())], ["text"]) for i in range(0, len(texts), 7)]
+    for least, tiers in ((10, ("often",)), (1, ("often", "rest"))):
+        count = index.reader(least)
+        found = [n for held in op10_lines._held(iter(batches)) for _, ns in op10_lines.probe(held, 0, count, 1) for n in ns]
+        assert count.reads <= sum(index.shards[t] for t in tiers) and len(found) == len(corpus)
+    # Every distinct line is in the index, with its count.
+    n = Counter(k for t in texts for k in {op10_lines.line_key(x) for x in (t or b"").split(b"\n")})
+    assert [x.tolist() for x in found] == [[n[k] if (k := op10_lines.line_key(x)) else 0 for x in (t or b"").split(b"\n")] for t in texts]
+    monkeypatch.setattr(op10_lines, "HELD_BYTES", 1)
+    assert sum(1 for _ in op10_lines._held(iter(batches))) == len(batches)
+    counted = op10_lines.with_counts(docs, index, "found").collect()
+    assert sorted((r.text or "", tuple(r.found)) for r in counted) == sorted(((t or b"").decode(), tuple(x.tolist())) for t, x in zip(texts, found))
