@@ -36,7 +36,7 @@ def running(parted: DataFrame, sums: Column, name: str) -> DataFrame:
     return per.select("__part", F.coalesce(F.sum("__s").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(name))
 
 
-def global_index(df: DataFrame, order: list, name: str = "idx", save: Callable[[DataFrame, str], DataFrame] | None = None, partitions: int | None = None) -> DataFrame:
+def global_index(df: DataFrame, order: list, name: str = "idx", partitions: int | None = None, save: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """df with a 0-based position in the given total order.
 
     One shuffle deals the rows into sorted ranges, which are written with the rows' places; only

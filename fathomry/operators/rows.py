@@ -154,7 +154,7 @@ def variable_chunks(pages: DataFrame, doc: str, page: str, seed: int | str = 0,
     blocks' sums of one document stand in one task. A null document is one of its own.
     """
     save = scratch(pages.sparkSession)
-    placed = global_index(pages.withColumns({"__d": F.col(doc)}), [F.col(doc), F.col(page)], "__g", save)
+    placed = global_index(pages.withColumns({"__d": F.col(doc)}), [F.col(doc), F.col(page)], "__g", save=save)
     docs = placed.groupBy("__d").agg(F.min("__g").alias("__first"), F.count("*").alias("__n"))
     most = F.ceil(F.col("__n") / min(lengths))
     blocks = docs.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((most - 1) / CHUNK_BLOCK))))

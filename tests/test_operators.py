@@ -137,3 +137,32 @@ def test_running_top_k_over_shards(spark, tmp_path):
     q.awaitTermination(120)
     assert q.exception() is None
     assert {(1, 6, 0.7, 1), (1, 7, 0.6, 2), (2, 6, 0.1, 1)} <= {tuple(r) for r in spark.table("best").collect()}
+
+
+def test_variable_chunks_of_a_long_document(spark):
+    """Lengths are drawn for every chunk: a document of 7,000 pages (over one block) has no cycle."""
+    import hashlib
+
+    pages = [("a", p) for p in range(7000)] + [("b", p) for p in range(3)] + [(None, 5)]
+    df = spark.createDataFrame(pages, "doc string, page int").repartition(5)
+    got = {(r.doc, r.page): r.chunk for r in O.variable_chunks(df, "doc", "page").collect()}
+    for doc, n in (("a", 7000), ("b", 3), (None, 1)):
+        place, chunk, want = 0, 0, []
+        while place < n:
+            u = int(hashlib.md5("|".join(["0", *([doc] if doc else []), str(chunk)]).encode()).hexdigest()[:8], 16) / 2**32
+            size = 4 if u < 0.2 else 5 if u < 0.5 else 6
+            want += [chunk] * min(size, n - place)
+            place, chunk = place + size, chunk + 1
+        assert [got[doc, p if doc else 5] for p in range(n)] == want
+    assert len(got) == len(pages)
+
+
+def test_cumulative_split_over_many_ranges(spark):
+    df = spark.range(500).select(F.col("id"), (F.col("id") % 7).alias("n"))
+    got = {r.id: r.split for r in O.cumulative_split(df, "n", [50, 400], [F.col("id")], partitions=9).collect()}
+    before, want = 0, {}
+    for i in range(500):
+        if before < 400:
+            want[i] = 0 if before < 50 else 1
+        before += i % 7
+    assert got == want
