@@ -122,7 +122,7 @@ def _repeated(work: Work, rows: DataFrame, found: DataFrame) -> DataFrame:
     if not partial:
         return plain
     ends = work.save(joined.where(at_end).select(*columns, "__whole", "__some", F.xxhash64(*[f"`{c}`" for c in rows.columns]).alias("__same"), F.monotonically_increasing_id().alias("__row")), "ends")
-    numbered = global_index(ends, [F.col("source").isNull(), "source", "__same", "__row"], "__i", work.save)
+    numbered = global_index(ends, [F.col("source").isNull(), "source", "__same", "__row"], "__i", save=work.save)
     first = numbered.groupBy(F.col("source").alias("__source")).agg(F.min("__i").alias("__first"))
     more = (F.col("__i") - F.col("__first") < F.col("__some")).cast("long")
     counted = numbered.join(_small(work.save(first, "firsts")), F.col("source").eqNullSafe(F.col("__source")))

@@ -286,7 +286,7 @@ def keep_one(work: Work, docs: DataFrame, words: int = WORDS, percent: int = PER
     named = docs.where("doc_id IS NOT NULL")
     once = named.join(again, "doc_id", "left_anti").select(docs.columns).union(named.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))
     order = [F.col("doc_id"), F.xxhash64("text"), F.col("text")]
-    rows = work.save(global_index(once, order, "__row", work.save), "rows")
+    rows = work.save(global_index(once, order, "__row", save=work.save), "rows")
     return _without_copies(work, rows, "__row", words, percent).select(docs.columns).union(docs.where("doc_id IS NULL"))
 
 
