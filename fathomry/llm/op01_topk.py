@@ -1,22 +1,27 @@
 """Exact top-k inner products by dual-tree cover-tree search.
 
 Queries and data are indexed together: one set of pivots, chosen on a bounded sample, sends
-every vector of either side to its nearest pivot, and below a pivot both are cut into chunks
-of bounded size with a cover tree each. A task takes one chunk of queries, visits the
-pivots' data in the order of their upper bounds and descends both trees at once: a pair of
-nodes with centers a, b and covering radii r, s can't score above
-``a.b + r|b| + s|a| + rs``, and is pruned when that is below the worst kth score among the
-queries under its node. What is left is scored in exact integer arithmetic (as floats where
-every sum is below their exact range).
-
-Equal vectors are one point that keeps its k + 1 smallest ids: more can't be in any answer.
-So a vector that a third of all rows share costs one point. The index is a table in the shared
+every vector of either side to its nearest pivot, and below a pivot both are cut into chunks of
+bounded size. Each data chunk is stored with its cover tree (``_cover``). A task takes one chunk
+of queries, builds their tree, visits the pivots' chunks in the order of their upper bounds and
+descends both trees at once: a pair of nodes with centers a, b and covering radii r, s can't
+score above ``a.b + r|b| + s|a| + rs``, and is pruned when that is below the worst kept score of
+the queries under its node. What is left is scored in exact integer arithmetic (as floats where
+every sum is below their exact range). ``share_scored`` tells how many pairs were.
+
+Equal vectors are one point that keeps the rows of its k + 1 smallest ids: more can't be in any
+answer. So a vector that a third of all rows share costs one point. A query whose id has several
+rows leaves all of them out before its list is cut to k. The index is a table in the shared
 folder; tasks read the chunks they need one by one, nothing is broadcast but the pivots.
 
-Defined results: vectors that are null, hold a null or non-finite component, or a scaled one
-beyond 2**31, and rows without vec_id take no part; shorter vectors count as padded with 0;
-repeated rows are one candidate, and each a query of its own; the query's own id never
-answers it; an empty table gives an empty result.
+Vectors whose norm is 2**31 or more don't fit that arithmetic. They are chunks of their own,
+compared with everything in Python integers, whatever it takes; their order is exact, and a
+score outside of 64 bits is given as the nearest number inside.
+
+Defined results: vectors that are null, hold a null or non-finite component, and rows without
+vec_id take no part; shorter vectors count as padded with 0; repeated rows are a candidate each
+and a query each; a row with the query's own id never answers it; ties go to the smaller
+vec_id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,27 +32,28 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from . import _cover as C
 from ._work import Work
 
 K, SCALE = 20, 64
 #: Data points and query points of a chunk; pivots at most, and the sample that they come from.
-CHUNK, GROUP, PIVOTS, SAMPLE = 4096, 256, 256, 8192
+CHUNK, GROUP, PIVOTS, SAMPLE = 4096, 4096, 1024, 8192
+#: Points of a leaf, on average.
+DATA_LEAF, QUERY_LEAF = 8, 4
 #: Tasks of the search at most.
 MOST_TASKS = 10_000
-#: A node of fewer points isn't divided; nor is one whose children would be smaller on average.
-LEAF, CHILD = 256, 64
-#: Radii shrink by this factor from a node to its children.
-BASE = 1.3
+#: The pivot of vectors that are compared in Python integers.
+HUGE = -1
 
-_KINDS = ((1, "<i1"), (2, "<i2"), (4, "<i4"))
+_KINDS = ((1, "<i1"), (2, "<i2"), (4, "<i4"), (8, "<f8"))
 
 
 def pack(v: np.ndarray) -> bytes:
-    """A canonical form of an integer vector: the narrowest type, trailing zeros gone."""
+    """A canonical form of a vector of integers (as doubles): the narrowest type, trailing zeros gone."""
     v = v[: np.max(np.flatnonzero(v), initial=-1) + 1]
-    top = max(int(v.max(initial=0)), -int(v.min(initial=0)) - 1)
-    size, kind = next((s, k) for s, k in _KINDS if top < 1 << (8 * s - 1))
-    return bytes([size]) + v.astype(kind).tobytes()
+    top = max(v.max(initial=0), -v.min(initial=0) - 1)
+    size, kind = next((s, k) for s, k in _KINDS if s == 8 or top < 1 << (8 * s - 1))
+    return bytes([size]) + (v + 0.0).astype(kind).tobytes()
 
 
 def unpack(packed: list[bytes]) -> np.ndarray:
@@ -58,136 +64,55 @@ def unpack(packed: list[bytes]) -> np.ndarray:
     return out
 
 
-def _wide(x: np.ndarray, dim: int) -> np.ndarray:
-    return np.pad(x, ((0, 0), (0, dim - x.shape[1]))) if x.shape[1] < dim else x
-
-
-def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    dim = max(x.shape[1], y.shape[1])
-    x, y = _wide(x, dim), _wide(y, dim)
-    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * (x @ y.T), 0))
-
-
-def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Exact inner products as int64."""
-    dim = max(x.shape[1], y.shape[1])
-    x, y = _wide(x, dim), _wide(y, dim)
-    most = float(np.abs(x).max(initial=0)) * float(np.abs(y).max(initial=0)) * max(dim, 1)
-    if most < 1 << 24:
-        return (x.astype(np.float32) @ y.T.astype(np.float32)).astype(np.int64)
-    if most < 1 << 53:
-        return (x @ y.T).astype(np.int64)
-    return x.astype(np.int64) @ y.T.astype(np.int64)
-
-
-class Node:
-    """Points of a cover tree node: those under it, its center and covering radius."""
-
-    __slots__ = ("points", "center", "radius", "norm", "children")
-
-    def __init__(self, x: np.ndarray, points: np.ndarray):
-        self.points, self.center, self.children = points, x[points[0]], []
-        away = distances(x[points], self.center[None])[:, 0]
-        self.radius, self.norm = float(away.max()) + 1e-6, float(np.linalg.norm(self.center))
-        if len(points) <= LEAF or self.radius <= 1e-5:
-            return
-        left, reach, found = points, self.radius / BASE, []
-        while len(left):
-            if len(found) >= len(points) // CHILD:
-                return  # no structure at this scale: one block is cheaper than many tiny ones
-            near = distances(x[left], x[left[0]][None])[:, 0] <= reach
-            found.append(left[near])
-            left = left[~near]
-        self.children = [Node(x, p) for p in found] if len(found) > 1 else []
-
-
-def bound(q: Node, d: Node) -> float:
-    n = min(len(q.center), len(d.center))
-    return float(q.center[:n] @ d.center[:n]) + q.radius * d.norm + d.radius * q.norm + q.radius * d.radius + 1e-3
-
-
-class Best:
-    """The k best (score, id) of each query so far."""
-
-    def __init__(self, n: int, k: int):
-        self.k = k
-        self.scores = np.full((n, k), np.iinfo(np.int64).min)
-        self.ids = np.full((n, k), np.iinfo(np.int64).max)
-
-    def offer(self, queries: np.ndarray, scores: np.ndarray, ids: list[np.ndarray]) -> None:
-        """scores of queries x points; a point stands for all its ids."""
-        floor = self.scores[queries, -1]
-        if scores.shape[1] > self.k:
-            floor = np.maximum(floor, np.partition(scores, -self.k, axis=1)[:, -self.k])
-        q, p = np.nonzero(scores >= floor[:, None])
-        if not len(q):
-            return
-        counts = np.fromiter((len(ids[i]) for i in p), np.int64, len(p))
-        new = (np.repeat(q, counts), np.repeat(scores[q, p], counts), np.concatenate([ids[i] for i in p]))
-        hit = np.unique(q)
-        old = (np.repeat(hit, self.k), self.scores[queries[hit]].ravel(), self.ids[queries[hit]].ravel())
-        q, s, i = (np.concatenate(x) for x in zip(new, old, strict=True))
-        order = np.lexsort((i, -s.astype(np.float64) if abs(s).max() < 1 << 53 else ~s, q))
-        q, s, i = q[order], s[order], i[order]
-        rank = np.arange(len(q)) - np.searchsorted(q, q)
-        top = rank < self.k
-        self.scores[queries[q[top]], rank[top]], self.ids[queries[q[top]], rank[top]] = s[top], i[top]
-
-    def worst(self, queries: np.ndarray) -> int:
-        return int(self.scores[queries, -1].min())
-
-
-def search(qx: np.ndarray, q: Node, dx: np.ndarray, d: Node, ids: list[np.ndarray], best: Best) -> None:
-    """Descend both trees; children with the highest bounds come first."""
-    if bound(q, d) < best.worst(q.points):
-        return
-    if not q.children and not d.children:
-        best.offer(q.points, products(qx[q.points], dx[d.points]), [ids[i] for i in d.points])
-    elif d.children and (not q.children or d.radius >= q.radius):
-        for child in sorted(d.children, key=lambda c: -bound(q, c)):
-            search(qx, q, dx, child, ids, best)
-    else:
-        for child in q.children:
-            search(qx, child, dx, d, ids, best)
+def is_huge(v: np.ndarray) -> bool:
+    with np.errstate(over="ignore"):
+        return not float((v * v).sum()) < (1 << 62) * (1 - 1e-9)
+
+
+def integers(x: np.ndarray) -> list[list[int]]:
+    return [[int(c) for c in row] for row in x]
+
+
+def exact_products(x: list[list[int]], y: list[list[int]]) -> list[list[int]]:
+    return [[sum(a * b for a, b in zip(u, v)) for v in y] for u in x]
 
 
 def quantise(vectors: DataFrame, is_query: Column) -> DataFrame:
-    """(vec_id, vec, query) of the rows that take part."""
+    """(vec_id, vec, query, huge) of the rows that take part."""
 
     def run(batches):
         for batch in batches:
-            ids, packed, query = [], [], []
+            ids, packed, query, huge = [], [], [], []
             for i, v, q in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                x = np.floor(np.array([np.nan if c is None else c for c in v], np.float64) * SCALE)
-                if np.isfinite(x).all() and np.abs(x).max(initial=0) < 1 << 31:
+                with np.errstate(over="ignore"):
+                    x = np.floor(np.array([np.nan if c is None else c for c in v], np.float64) * SCALE)
+                if np.isfinite(x).all():
                     ids.append(i)
-                    packed.append(pack(x.astype(np.int64)))
+                    packed.append(pack(x))
                     query.append(q)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary()), pa.array(query, pa.bool_())], ["vec_id", "vec", "query"])
+                    huge.append(is_huge(x))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary()), pa.array(query, pa.bool_()), pa.array(huge, pa.bool_())], ["vec_id", "vec", "query", "huge"])
 
     rows = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL")
-    return rows.select(F.col("vec_id").cast("long"), "embedding", is_query.alias("query")).mapInArrow(run, "vec_id long, vec binary, query boolean")
+    return rows.select(F.col("vec_id").cast("long"), "embedding", F.coalesce(is_query, F.lit(False)).alias("query")).mapInArrow(run, "vec_id long, vec binary, query boolean, huge boolean")
 
 
 def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
     """Farthest-first: each pivot is the point that the others cover worst."""
-    chosen = [0]
-    away = distances(sample, sample[:1])[:, 0] if len(sample) else np.zeros(0)
-    while len(chosen) < min(n, len(sample)) and away.max() > 0:
-        chosen.append(int(away.argmax()))
-        away = np.minimum(away, distances(sample, sample[chosen[-1:]])[:, 0])
-    return sample[chosen] if len(sample) else sample
+    return sample[C.farthest_first(sample, n)[0]] if len(sample) else sample
 
 
 def _placed(points: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """points with the nearest pivot and the distance to it."""
+    """points with the nearest pivot and the distance to it; HUGE and 0 for those."""
 
     def run(batches):
         for batch in batches:
-            x = unpack(batch.column(batch.schema.get_field_index("vec")).to_pylist())
-            away = distances(x, pivots)
+            huge = batch.column(batch.schema.get_field_index("huge")).to_numpy(zero_copy_only=False).astype(bool)
+            x = unpack([p if not h else b"\x01" for p, h in zip(batch.column(batch.schema.get_field_index("vec")).to_pylist(), huge)])
+            away = C.reach(x, pivots) if len(pivots) else np.zeros((len(x), 1))
             leaf = away.argmin(1)
-            yield batch.append_column("leaf", pa.array(leaf.astype(np.int32))).append_column("away", pa.array(away[np.arange(len(leaf)), leaf]))
+            far = np.where(huge, 0.0, away[np.arange(len(leaf)), leaf])
+            yield batch.append_column("leaf", pa.array(np.where(huge, HUGE, leaf).astype(np.int32))).append_column("away", pa.array(far))
 
     from pyspark.sql.types import DoubleType, IntegerType, StructType
 
@@ -195,62 +120,110 @@ def _placed(points: DataFrame, pivots: np.ndarray) -> DataFrame:
 
 
 def _chunks(placed: DataFrame, size: int) -> tuple[DataFrame, dict[int, float], int]:
-    """placed with a chunk in each leaf; the leaves' radii (at most PIVOTS of them); how many chunks there are."""
+    """placed with a chunk in each leaf; the leaves' radii (at most PIVOTS and one); how many chunks there are."""
     stats = {r.leaf: (r.n, r.radius) for r in placed.groupBy("leaf").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()}
-    parts = F.element_at(F.create_map(*[F.lit(x) for leaf, (n, _) in stats.items() for x in (leaf, math.ceil(n / size))]), F.col("leaf")) if stats else F.lit(1)
-    return placed.withColumn("chunk", F.pmod(F.xxhash64("vec"), parts)), {leaf: radius for leaf, (_, radius) in stats.items()}, sum(math.ceil(n / size) for n, _ in stats.values())
+    parts = placed.sparkSession.createDataFrame([(leaf, math.ceil(n / size)) for leaf, (n, _) in stats.items()], "leaf int, parts int")
+    dealt = placed.join(F.broadcast(parts), "leaf").withColumn("chunk", F.pmod(F.xxhash64("vec"), F.col("parts")).cast("int")).drop("parts")
+    return dealt, {leaf: radius for leaf, (_, radius) in stats.items()}, sum(math.ceil(n / size) for n, _ in stats.values())
+
+
+def _stored(t: pa.Table) -> pa.Table:
+    """A chunk of data as one row: its points in the order of its cover tree, and the tree."""
+    vecs, ids = t.column("vec").to_pylist(), t.column("ids").to_pylist()
+    if t.column("leaf")[0].as_py() == HUGE:
+        order, nodes, radius = range(len(vecs)), b"", b""
+    else:
+        order, tree = C.build(unpack(vecs), DATA_LEAF)
+        nodes, radius = C.dump(tree)
+    return pa.table({
+        "leaf": t.column("leaf").slice(0, 1), "vecs": pa.array([[vecs[i] for i in order]], pa.list_(pa.binary())), "ids": pa.array([[ids[i] for i in order]], pa.list_(pa.list_(pa.int64()))),
+        "nodes": pa.array([nodes], pa.binary()), "radius": pa.array([radius], pa.binary()),
+    })
+
+
+def _merged(scores: list[int], ids: list[int], keep: int) -> tuple[list[int], list[int]]:
+    best = sorted(zip((-s for s in scores), ids))[:keep]
+    return [-s for s, _ in best], [i for _, i in best]
 
 
 def top_k(work: Work, vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score) of every query row."""
-    spark = work.spark
+    spark, keep = work.spark, k + 1
     rows = work.save(quantise(vectors, is_query), "rows")
-    lone = rows.groupBy("vec", "vec_id").agg(F.lit(1))
-    first = lone.withColumn("place", F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))).where(F.col("place") <= k + 1)
-    points = work.save(first.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "points")
+    lone = rows.groupBy("vec", "huge", "vec_id").agg(F.least(F.count("*"), F.lit(keep)).cast("int").alias("n"))
+    first = lone.withColumn("place", F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))).where(F.col("place") <= keep)
+    each = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "n"))), lambda x: F.array_repeat(x.vec_id, x.n)))
+    points = work.save(first.groupBy("vec", "huge").agg(each.alias("ids")), "points")
     n = points.count()
-    sample = unpack([bytes(r.vec) for r in points.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).collect()])
+    sample = unpack([bytes(r.vec) for r in points.where("NOT huge").select("vec").orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).collect()])
     pivots = choose_pivots(sample, max(1, min(PIVOTS, math.ceil(n / CHUNK))))
 
     data, radii, _ = _chunks(work.save(_placed(points, pivots), "data"), CHUNK)
-    asked, _, groups = _chunks(work.save(_placed(rows.where("query").select("vec").distinct(), pivots), "asked"), GROUP)
-
-    def store(t: pa.Table) -> pa.Table:
-        return pa.table({"leaf": t.column("leaf").slice(0, 1), "vecs": pa.array([t.column("vec").to_pylist()], pa.list_(pa.binary())), "ids": pa.array([t.column("ids").to_pylist()], pa.list_(pa.list_(pa.int64())))})
-
-    work.save(data.groupBy("leaf", "chunk").applyInArrow(store, "leaf int, vecs array<binary>, ids array<array<long>>"), "index", "leaf")
-    path, order = work.path("index"), sorted(radii)
+    work.save(data.groupBy("leaf", "chunk").applyInArrow(_stored, "leaf int, vecs array<binary>, ids array<array<long>>, nodes binary, radius binary"), "index", "leaf")
+    # An id with several rows could fill its own list: such queries know what to leave out, each by itself.
+    several = rows.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select("vec_id", F.lit(True).alias("has_own"))
+    queries = rows.where("query").join(several, "vec_id", "left").select(F.col("vec_id").alias("query_id"), "vec", "huge", F.coalesce("has_own", F.lit(False)).alias("has_own"))
+    queries = work.save(queries.withColumn("own", F.when(F.col("has_own"), F.col("query_id")).otherwise(F.lit(0))), "queries")
+    asked, _, groups = _chunks(work.save(_placed(queries.select("vec", "huge", "has_own", "own").distinct(), pivots), "asked"), GROUP)
+    path, order = work.path("index"), sorted(leaf for leaf in radii if leaf != HUGE)
 
     def answer(t: pa.Table) -> pa.Table:
         import pyarrow.fs as pafs
         import pyarrow.parquet as pq
 
         filesystem, root = pafs.FileSystem.from_uri(path)
-        packed = t.column("vec").to_pylist()
-        qx = unpack(packed)
-        tree, best = Node(qx, np.arange(len(qx))), Best(len(qx), k + 1)
-
-        def leaf_bound(leaf: int) -> float:
-            c = _wide(pivots[leaf : leaf + 1], len(tree.center))[0]
-            reach, norm = radii[leaf] + 1e-6, float(np.linalg.norm(c))
-            return float(_wide(tree.center[None], len(c))[0] @ c) + tree.radius * norm + reach * tree.norm + tree.radius * reach + 1e-3
-
-        for leaf in sorted(order, key=lambda x: -leaf_bound(x)):
-            if leaf_bound(leaf) < best.worst(tree.points):
-                break  # the bounds only fall from here on
-            for info in filesystem.get_file_info(pafs.FileSelector(f"{root}/leaf={leaf}")):
+
+        def chunks(leaf: int):
+            for info in filesystem.get_file_info(pafs.FileSelector(f"{root}/leaf={leaf}", allow_not_found=True)):
                 if info.base_name.endswith(".parquet"):
                     with filesystem.open_input_file(info.path) as f:
-                        for batch in pq.ParquetFile(f).iter_batches(batch_size=1, columns=["vecs", "ids"]):
-                            dx = unpack(batch.column(0)[0].as_py())
-                            ids = [np.array(x, np.int64) for x in batch.column(1)[0].as_py()]
-                            search(qx, tree, dx, Node(dx, np.arange(len(dx))), ids, best)
-        real = [(ids != np.iinfo(np.int64).max) for ids in best.ids]
-        return pa.table({"vec": pa.array(packed, pa.binary()), "ids": pa.array([i[r].tolist() for i, r in zip(best.ids, real)], pa.list_(pa.int64())), "scores": pa.array([s[r].tolist() for s, r in zip(best.scores, real)], pa.list_(pa.int64()))})
+                        for batch in pq.ParquetFile(f).iter_batches(batch_size=1, columns=["vecs", "ids", "nodes", "radius"]):
+                            yield unpack(batch.column(0)[0].as_py()), [np.array(x, np.int64) for x in batch.column(1)[0].as_py()], batch.column(2)[0].as_py(), batch.column(3)[0].as_py()
+
+        packed, own, has_own = t.column("vec").to_pylist(), t.column("own").to_numpy(), t.column("has_own").to_numpy().astype(bool)
+        huge = t.column("leaf")[0].as_py() == HUGE
+        found: list[tuple[list[int], list[int]]] = [([], []) for _ in packed]
+        scored = total = 0
+        if not huge:
+            perm, tree = C.build(unpack(packed), QUERY_LEAF)
+            packed, own, has_own = [packed[i] for i in perm], own[perm], has_own[perm]
+            best = C.Best(len(packed), keep, own, has_own)
+
+            def leaf_bound(leaf: int) -> float:
+                p = C.Tree(pivots[leaf : leaf + 1], np.array([[0, 0, 1, 0, 0]], np.int32), np.array([radii[leaf]]))
+                return float(C.bounds(tree, p)[0, 0])
+
+            for leaf in sorted(order, key=lambda x: -leaf_bound(x)):
+                if leaf_bound(leaf) < best.worst(tree)[0]:
+                    break  # the bounds only fall from here on
+                for x, ids, nodes, radius in chunks(leaf):
+                    scored += C.search(tree, C.load(x, nodes, radius), ids, best)
+            real = [ids != C.NONE.max for ids in best.ids]
+            found = [(s[r].tolist(), i[r].tolist()) for s, i, r in zip(best.scores, best.ids, real)]
+        if huge or HUGE in radii:
+            exact = integers(unpack(packed))
+            for leaf in [*order, HUGE] if huge else [HUGE]:
+                for x, ids, *_ in chunks(leaf):
+                    scored += len(exact) * len(x)
+                    for n, scores in enumerate(exact_products(exact, integers(x))):
+                        new = [(s, int(i)) for s, group in zip(scores, ids) for i in group if not (has_own[n] and own[n] == i)]
+                        found[n] = _merged(found[n][0] + [s for s, _ in new], found[n][1] + [i for _, i in new], keep)
+        inside = [[max(C.NONE.min, min(C.NONE.max, s)) for s in scores] for scores, _ in found]
+        return pa.table({
+            "vec": pa.array(packed, pa.binary()), "has_own": pa.array(has_own), "own": pa.array(own), "ids": pa.array([i for _, i in found], pa.list_(pa.int64())), "scores": pa.array(inside, pa.list_(pa.int64())),
+            "scored": pa.array([scored] + [0] * (len(packed) - 1), pa.int64()), "asked": pa.array([len(packed)] + [0] * (len(packed) - 1), pa.int64()),
+        })
 
     # A chunk of queries is little to read and much to do, so tasks go by their number, not by bytes.
     spread = asked.repartition(max(1, min(groups, MOST_TASKS)), "leaf", "chunk")
-    found = work.save(spread.groupBy("leaf", "chunk").applyInArrow(answer, "vec binary, ids array<long>, scores array<long>"), "found")
-    queries = rows.where("query").select(F.col("vec_id").alias("query_id"), "vec")
-    pairs = queries.join(found, "vec").select("query_id", F.filter(F.arrays_zip("ids", "scores"), lambda x: x.ids != F.col("query_id")).alias("best"))
+    found = work.save(spread.groupBy("leaf", "chunk").applyInArrow(answer, "vec binary, has_own boolean, own long, ids array<long>, scores array<long>, scored long, asked long"), "found")
+    pairs = queries.join(found.select("vec", "has_own", "own", "ids", "scores"), ["vec", "has_own", "own"]).select("query_id", F.filter(F.arrays_zip("ids", "scores"), lambda x: x.ids != F.col("query_id")).alias("best"))
     return pairs.select("query_id", F.posexplode(F.slice("best", 1, k)).alias("rank", "b")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.ids").alias("vec_id"), F.col("b.scores").alias("score"))
+
+
+def share_scored(work: Work) -> float | None:
+    """Of all pairs of a distinct query and a distinct point, the share that the run in this folder scored; None without pairs."""
+    found = work.load("found", "vec binary, has_own boolean, own long, ids array<long>, scores array<long>, scored long, asked long")
+    scored, asked = found.agg(F.sum("scored"), F.sum("asked")).first()
+    points = work.load("points", "vec binary, huge boolean, ids array<long>").count()
+    return scored / (asked * points) if asked and points else None

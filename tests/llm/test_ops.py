@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fathomry.llm import op01_topk, op02_warc, op03_mix, op04_chat, op05_license, op06_toxic, op07_tokens, op08_near, op09_decontam, op10_lines
+from fathomry.llm import _cover, op01_topk, op02_warc, op03_mix, op04_chat, op05_license, op06_toxic, op07_tokens, op08_near, op09_decontam, op10_lines
 from fathomry.llm._graph import connected_components
 from fathomry.llm._work import Work
 
@@ -46,17 +46,13 @@ def corpus():
 
 
 def brute_topk(rows, k, every):
-    live = {}
-    for i, v in rows:
-        if i is None or v is None or any(x is None or not np.isfinite(x) for x in v):
-            continue
-        live[i] = [int(np.floor(64 * np.float32(x).astype(float))) for x in v]
-    out = set()
-    for q, a in live.items():
-        if q % every:
-            continue
-        best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in live.items() if i != q)[:k]
-        out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(best)}
+    """Every row against every row with another id, in Python integers."""
+    live = [(i, [int(np.floor(64 * np.float32(x).astype(float))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = Counter()
+    for q, a in live:
+        if q % every == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in live if i != q)[:k]
+            out += Counter((q, r + 1, i, max(-(1 << 63), min((1 << 63) - 1, -s))) for r, (s, i) in enumerate(best))
     return out
 
 
@@ -68,20 +64,61 @@ def test_topk_equals_brute_force(spark, spread):
     rows += [(400 + i, rows[0][1]) for i in range(60)] + [(900, None), (901, [None, 1.0]), (902, [float("nan")] * 8), (903, [float("inf")] * 8), (904, [1.0, 2.0]), (None, [1.0] * 8), (905, [])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, score string")
     got = op01_topk.top_k(Work(spark, "t1"), df, F.col("vec_id") % 20 == 0, 20)
-    assert {tuple(r) for r in got.collect()} == brute_topk(rows, 20, 20)
-
-
-def test_topk_prunes_clusters_and_stays_exact():
+    assert Counter(map(tuple, got.collect())) == brute_topk(rows, 20, 20)
+
+
+def test_topk_of_ids_with_several_vectors_and_of_repeated_rows(spark):
+    """An id's own rows never fill its list; other ids' repeated rows are candidates each."""
+    rng = np.random.default_rng(4)
+    near = [5.0, 5.0, 5.0]
+    rows = [(20, [x + 0.1 * i for x in near]) for i in range(30)] + [(40, near)] * 30 + [(41, near)] * 3 + [(i, [float(x) for x in rng.normal(size=3)]) for i in range(100, 160)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    got = Counter(map(tuple, op01_topk.top_k(Work(spark, "t1"), df, F.col("vec_id") % 20 == 0, 20).collect()))
+    assert got == brute_topk(rows, 20, 20)
+
+
+def test_topk_of_large_vectors_is_exact(spark):
+    """Beyond the range of floats and of 64 bits: 1e9, 2 and 3 under ids 0, 1 and 2 all answer each other."""
+    for rows in ([(0, [1e9]), (1, [2.0]), (2, [3.0])], [(0, [1e30, -1.0]), (20, [1e30, 7.0]), (1, [1e30, 1e30]), (2, [-1e30, 3.0]), (3, [0.5, 0.5]), (40, [3e38, 3e38])], [(i, [float(3e7 + i), float(i % 7)]) for i in range(50)]):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+        assert Counter(map(tuple, op01_topk.top_k(Work(spark, "t1"), df, F.col("vec_id") % 20 == 0, 20).collect())) == brute_topk(rows, 20, 20)
+
+
+def test_cover_tree_has_its_invariants():
+    x = np.floor(64 * np.random.default_rng(3).normal(size=(700, 6)))
+    centers, entered, owner = _cover.farthest_first(x, 90)
+    between = _cover.reach(x[centers], x[centers])
+    for level in range(1, 12):
+        scale = entered[1] / _cover.BASE**level
+        net = [j for j, r in enumerate(entered) if r > scale]
+        assert all(between[i, j] > scale - 1e-6 for i in net for j in net if i < j)  # apart
+        assert all(between[j, net].min() <= scale + 1e-6 for j, r in enumerate(entered) if r <= scale)  # covered
+    order, tree = _cover.build(x, 8)
+    assert sorted(order) == list(range(700)) and tree.nodes[0, 1:3].tolist() == [0, 700]
+    for c, lo, hi, first, end in tree.nodes:
+        n = [tuple(tree.nodes[k, 1:3]) for k in range(first, end)]
+        assert not n or (n[0][0] == lo and n[-1][1] == hi and all(x[1] == y[0] for x, y in zip(n, n[1:])) and tree.nodes[first, 0] == c)  # nested
+    for k, (c, lo, hi, *_) in enumerate(tree.nodes):
+        assert np.sqrt(((tree.x[lo:hi] - tree.x[c]) ** 2).sum(1)).max() <= tree.radius[k]
+    again = _cover.load(tree.x, *_cover.dump(tree))
+    assert (again.nodes == tree.nodes).all() and (again.radius == tree.radius).all()
+
+
+def test_topk_prunes_clusters_and_stays_exact(spark):
     rng = np.random.default_rng(2)
     x = np.floor(64 * (np.repeat(rng.normal(size=(12, 6)) * 3, 200, 0) + 0.01 * rng.normal(size=(2400, 6))))
-    q = x[::50]
-    tree, best = op01_topk.Node(x, np.arange(len(x))), op01_topk.Best(len(q), 5)
-    assert tree.children
-    op01_topk.search(q, op01_topk.Node(q, np.arange(len(q))), x, tree, [np.array([i]) for i in range(len(x))], best)
-    s = (q @ x.T).astype(int)
-    for i in range(len(q)):
-        want = sorted((-v, j) for j, v in enumerate(s[i]))[:5]
-        assert list(zip(-best.scores[i], best.ids[i])) == want
+    order, tree = _cover.build(x, 8)
+    perm, asked = _cover.build(x[::50], 4)
+    best = _cover.Best(len(perm), 5)
+    scored = _cover.search(asked, tree, [np.array([i]) for i in order], best)
+    assert scored <= 0.1 * len(perm) * len(x)
+    s = (x[::50][perm] @ x.T).astype(int)
+    for i in range(len(perm)):
+        assert list(zip(-best.scores[i], best.ids[i])) == sorted((-v, j) for j, v in enumerate(s[i]))[:5]
+    work = Work(spark, "t1")
+    df = spark.createDataFrame([(i, [float(c) / 64 for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    assert op01_topk.top_k(work, df, F.col("vec_id") % 20 == 0, 20).count() == 120 * 20
+    assert op01_topk.share_scored(work) <= 0.1
 
 
 def test_topk_empty_and_fewer_than_k(spark):
