@@ -8,9 +8,11 @@ scaled features. N-grams found in fewer than ``LEAST_DOCS`` training documents,
 ratio is within ``LEAST_Z`` of its standard errors from 0, are left out. Classes are weighted back to the shares
 they have among all labelled rows, so 0.5 is an even chance.
 
-The classifier is fitted in one task on at most ``MAX_TRAIN`` labelled documents (half of
-them per class if there are as many, in the order of a hash of doc_id); that bound doesn't
-grow with the corpus. Scoring covers every document in a single pass without a shuffle.
+The classifier is fitted in one task on at most ``MAX_TRAIN`` labelled documents of together
+at most ``MAX_TRAIN_BYTES`` (half of the documents per class if there are as many, in the order
+of a hash of doc_id, as far as the bytes reach); neither bound grows with the corpus. A doc_id
+with several texts is one training document, the one with the smallest hash. Scoring covers
+every document in a single pass without a shuffle.
 
 Defined results: a null or empty text has no features and gets the score of the intercept;
 without any labelled text every score is 0.5, with one class only 0.0 or 1.0 damped by one
@@ -27,24 +29,30 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ._arrow import bound_batches
 
 ORDERS, BITS = (3, 8), 21
-MAX_TRAIN, LEAST_DOCS, LEAST_Z = 8000, 4, 3.0
+MAX_TRAIN, MAX_TRAIN_BYTES, LEAST_DOCS, LEAST_Z = 8000, 64 << 20, 4, 3.0
+#: Training documents whose gradient is summed at a time.
+BLOCK = 512
 PENALTY, STEPS = 0.3, 40
 
-_MULTIPLIERS = np.random.default_rng(911).integers(1, 1 << 63, ORDERS[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MULTIPLIERS = np.random.default_rng(911).integers(1, 1 << 31, ORDERS[1], dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def slots_by_order(text: str | None):
+    """A slot for every n-gram of each order, repeats included; an order's 32-bit hash extends the one before."""
+    c = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    h = np.zeros(len(c), np.uint32)
+    for order in range(1, min(ORDERS[1], len(c)) + 1):
+        h = h[: len(c) - order + 1] ^ c[order - 1 :]
+        h *= _MULTIPLIERS[order - 1]
+        h ^= h >> np.uint32(15)
+        if order >= ORDERS[0]:
+            yield (h * _MULTIPLIERS[0]) >> np.uint32(32 - BITS)
 
 
 def slots(text: str | None) -> np.ndarray:
-    """A slot for every n-gram of every order, repeats included; an order's hash extends the one before."""
-    c = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    out, shift, h = [], np.uint64(64 - BITS), np.zeros(len(c), np.uint64)
-    with np.errstate(over="ignore"):
-        for order in range(1, min(ORDERS[1], len(c)) + 1):
-            n = len(c) - order + 1
-            h = (h[:n] ^ c[order - 1 :]) * _MULTIPLIERS[order - 1]
-            h ^= h >> np.uint64(29)
-            if order >= ORDERS[0]:
-                out.append(((h * _MULTIPLIERS[0]) >> shift).astype(np.int64))
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+    """The slots of all orders."""
+    found = list(slots_by_order(text))
+    return np.concatenate(found) if found else np.zeros(0, np.uint32)
 
 
 class Model:
@@ -53,12 +61,12 @@ class Model:
     def __init__(self, at: np.ndarray, weights: np.ndarray, intercept: float):
         self.dense = np.zeros(1 << BITS, np.float32)
         self.dense[at] = weights
+        self.some = self.dense != 0
         self.intercept = intercept
 
     def score(self, text: str | None) -> float:
-        s = slots(text)
-        s = np.unique(s[self.dense[s] != 0])
-        z = self.intercept + float(self.dense[s].sum(dtype=np.float64))
+        found = [s[self.some.take(s)] for s in slots_by_order(text)]
+        z = self.intercept + float(self.dense[np.unique(np.concatenate(found))].sum(dtype=np.float64)) if found else self.intercept
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
@@ -94,6 +102,23 @@ def _minimise(f, x: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
     return x
 
 
+def _counts(texts: list[str | None], toxic: np.ndarray) -> np.ndarray:
+    """Documents of either class with each slot."""
+    counts, seen = np.zeros((2, 1 << BITS), np.int32), np.zeros(1 << BITS, bool)
+    for text, y in zip(texts, toxic, strict=True):
+        seen[slots(text)] = True
+        once = np.flatnonzero(seen)
+        seen[once] = False
+        counts[int(y), once] += 1
+    return counts
+
+
+def log_ratios(counts: np.ndarray, toxic: int, others: int) -> tuple[np.ndarray, np.ndarray]:
+    """(log-count ratios, their standard errors) from the documents of either class with each feature."""
+    ratio = np.log((counts[1] + 1) / (toxic + 2)) - np.log((counts[0] + 1) / (others + 2))
+    return ratio.astype(np.float32), np.sqrt(1 / (counts[1] + 1) + 1 / (counts[0] + 1)).astype(np.float32)
+
+
 def fit(texts: list[str | None], toxic: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, float]:
     """(slots, weights, intercept) for training rows whose classes have ``share`` toxic in truth."""
     toxic = toxic.astype(bool)
@@ -102,34 +127,32 @@ def fit(texts: list[str | None], toxic: np.ndarray, share: float) -> tuple[np.nd
     if toxic.all() or not toxic.any():
         n = len(texts)
         return np.zeros(0, np.int64), np.zeros(0, np.float32), float(np.log((toxic.sum() + 1) / (n - toxic.sum() + 1)))
-    counts, seen = np.zeros((2, 1 << BITS), np.int32), np.zeros(1 << BITS, bool)
-    for text, y in zip(texts, toxic, strict=True):
-        seen[slots(text)] = True
-        once = np.flatnonzero(seen)
-        seen[once] = False
-        counts[int(y), once] += 1
-    ratio = np.log((counts[1] + 1) / (toxic.sum() + 2)) - np.log((counts[0] + 1) / ((~toxic).sum() + 2))
-    error = np.sqrt(1 / (counts[1] + 1) + 1 / (counts[0] + 1))
+    counts = _counts(texts, toxic)
+    ratio, error = log_ratios(counts, int(toxic.sum()), int((~toxic).sum()))
     at = np.flatnonzero((counts.sum(0) >= LEAST_DOCS) & (np.abs(ratio) >= LEAST_Z * error))
+    scale = ratio[at].astype(np.float64)
+    del counts, ratio, error
     column = np.full(1 << BITS, -1, np.int32)
     column[at] = np.arange(len(at))
-    found = []
-    for text in texts:
-        k = column[slots(text)]
-        found.append(np.unique(k[k >= 0]))
-    starts = np.concatenate([[0], np.cumsum([len(k) for k in found])])
-    columns = np.concatenate(found) if found else np.zeros(0, np.int32)
-    rows = np.repeat(np.arange(len(found)), np.diff(starts))
-    scale = ratio[at]
+    # Each block of documents: its columns, one document after the other, and where a document's begin.
+    blocks = []
+    for i in range(0, len(texts), BLOCK):
+        found = [np.unique((k := column[slots(t)])[k >= 0]) for t in texts[i : i + BLOCK]]
+        blocks.append((np.concatenate(found), np.repeat(np.arange(len(found), dtype=np.int32), [len(k) for k in found])))
     weight = np.where(toxic, share / toxic.mean(), (1 - share) / (1 - toxic.mean()))
     sign = np.where(toxic, 1.0, -1.0)
 
     def loss(p: np.ndarray) -> tuple[float, np.ndarray]:
         w, b = p[:-1], p[-1]
-        z = sign * (np.bincount(rows, (w * scale)[columns], len(found)) + b)
-        pull = -sign * weight / (1 + np.exp(np.clip(z, -50, 50)))
-        grad = np.bincount(columns, pull[rows], len(at)) * scale + PENALTY * w
-        return float((weight * np.logaddexp(0, -z)).sum() + PENALTY / 2 * (w @ w)), np.append(grad, pull.sum())
+        scaled, value, grad, pulls = w * scale, 0.0, np.zeros(len(at)), 0.0
+        for i, (columns, rows) in zip(range(0, len(texts), BLOCK), blocks, strict=True):
+            y, c = sign[i : i + BLOCK], weight[i : i + BLOCK]
+            z = y * (np.bincount(rows, scaled[columns], len(y)) + b)
+            pull = -y * c / (1 + np.exp(np.clip(z, -50, 50)))
+            value += float((c * np.logaddexp(0, -z)).sum())
+            grad += np.bincount(columns, pull[rows], len(at))
+            pulls += pull.sum()
+        return value + PENALTY / 2 * (w @ w), np.append(grad * scale + PENALTY * w, pulls)
 
     p = _minimise(loss, np.zeros(len(at) + 1), STEPS)
     weights = p[:-1] * scale
@@ -154,15 +177,25 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     positive = min(int(n_toxic or 0), max(half, MAX_TRAIN - int(n - (n_toxic or 0))))
     chosen = some(1, positive).union(some(0, MAX_TRAIN - positive))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # One text a doc_id, however many rows it has: combined before the shuffle.
+    one = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    ordered = one.select(F.xxhash64("doc_id").alias("h"), "doc_id", "t.text", F.col("toxic").cast("int").alias("toxic")).repartition(1).sortWithinPartitions("h", "doc_id")
 
-    def run(t: pa.Table) -> pa.Table:
-        order = np.argsort(t.column("doc_id").to_numpy(), kind="stable")
-        texts = t.column("text").to_pylist()
-        at, weights, intercept = fit([texts[i] for i in order], t.column("toxic").to_numpy()[order], share)
-        return pa.table({"at": pa.array([at.astype("<i4").tobytes()], pa.binary()), "weights": pa.array([weights.astype("<f4").tobytes()], pa.binary()), "intercept": pa.array([intercept], pa.float64())})
+    def run(batches):
+        texts, toxic, left = [], [], MAX_TRAIN_BYTES
+        for batch in batches:
+            for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                text = text.as_py()
+                left -= len((text or "").encode("utf-8", "surrogatepass"))
+                if left < 0:
+                    break
+                texts.append(text)
+                toxic.append(y)
+        at, weights, intercept = fit(texts, np.array(toxic, np.int64), share)
+        yield pa.RecordBatch.from_arrays([pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([weights.astype("<f4").tobytes()], pa.binary()), pa.array([intercept], pa.float64())], ["at", "weights", "intercept"])
 
     bound_batches(docs.sparkSession)
-    found = rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).groupBy(F.lit(0).alias("all")).applyInArrow(run, "at binary, weights binary, intercept double").first()
+    found = ordered.select("text", "toxic").mapInArrow(run, "at binary, weights binary, intercept double").first()
     if found is None:
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0)
     return Model(np.frombuffer(found["at"], "<i4").astype(np.int64), np.frombuffer(found["weights"], "<f4"), found["intercept"])

@@ -339,6 +339,60 @@ def test_toxicity_learns_and_is_held_out(spark):
     assert kept.columns == docs.columns and kept.where("doc_id = 702").isEmpty() and kept.where("doc_id IS NULL").count() == 1
 
 
+def brute_toxicity(train, share, asked):
+    """Scores by dictionaries of n-grams and Newton's method on a dense matrix."""
+    grams = lambda t: {(t or "").lower()[i : i + n] for n in range(3, 9) for i in range(len(t or "") - n + 1)}
+    sets, y = [grams(t) for t, _ in train], np.array([k for _, k in train], bool)
+    count = [Counter(g for s, k in zip(sets, y) if k == side for g in s) for side in (False, True)]
+    ratio = {}
+    for g in count[0] | count[1]:
+        a, b = count[1][g], count[0][g]
+        r = np.log((a + 1) / (y.sum() + 2)) - np.log((b + 1) / ((~y).sum() + 2))
+        if a + b >= op06_toxic.LEAST_DOCS and abs(r) >= op06_toxic.LEAST_Z * np.sqrt(1 / (a + 1) + 1 / (b + 1)):
+            ratio[g] = r
+    names = sorted(ratio)
+    x = np.array([[ratio[g] if g in s else 0.0 for g in names] + [1.0] for s in sets])
+    c, sign = np.where(y, share / y.mean(), (1 - share) / (1 - y.mean())), np.where(y, 1.0, -1.0)
+    w, ridge = np.zeros(len(names) + 1), np.diag([op06_toxic.PENALTY] * len(names) + [0.0])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(sign * (x @ w)))
+        w -= np.linalg.solve((x.T * (c * p * (1 - p))) @ x + ridge + 1e-12 * np.eye(len(w)), -x.T @ (c * p * sign) + ridge @ w)
+    return [1 / (1 + np.exp(-(sum(ratio[g] * w[k] for k, g in enumerate(names) if g in s) + w[-1]))) for s in map(grams, asked)], len(names)
+
+
+def test_toxicity_equals_brute_force(spark):
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqr"), 5))
+    texts, labels = [], []
+    for i in range(240):
+        toxic = i % 3 == 0
+        w = [word() for _ in range(12)]
+        if rng.random() < (0.8 if toxic else 0.1):
+            w[3] = "VilE" + str(rng.choice(list("xyz")))
+        if rng.random() < (0.1 if toxic else 0.6):
+            w[7] = "sunny"
+        texts.append((i, " ".join(w), "s"))
+        labels.append((i, 1, int(toxic)))
+    texts += [(900, None, "s"), (901, "", "s"), (902, "ab", "s"), (903, "vilex sunny", "s")]
+    docs, known = docs_of(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kept = [(t, y) for (i, t, _), (_, _, y) in zip(texts, labels) if zlib.crc32(str(i).encode()) % 5]
+    want, features = brute_toxicity(kept, np.mean([y for _, y in kept]), [t for _, t, _ in texts])
+    got = {r.doc_id: r.score for r in op06_toxic.with_scores(docs.select("doc_id", "text"), op06_toxic.train(docs, known)).collect()}
+    assert features > 5 and max(abs(got[i] - w) for (i, _, _), w in zip(texts, want)) < 0.01
+
+
+def test_toxicity_fit_is_bounded_and_the_same_in_any_order(spark, monkeypatch):
+    """A doc_id with several texts is one training row, and the bytes of training texts are bounded."""
+    rows = [(i, ("bad thing " if i % 2 else "good deed ") + f"n{i % 7} " * 5, "s") for i in range(200)] + [(3, f"other text {k}", "s") for k in range(50)]
+    known = spark.createDataFrame([(i, 1, i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    one, two = (op06_toxic.train(docs_of(spark, r), known) for r in (rows, rows[::-1]))
+    assert (one.dense == two.dense).all() and one.intercept == two.intercept and one.some.any()
+    monkeypatch.setattr(op06_toxic, "MAX_TRAIN_BYTES", 600)
+    op06_toxic.train(docs_of(spark, rows), known)
+    monkeypatch.setattr(op06_toxic, "MAX_TRAIN_BYTES", 0)
+    assert not op06_toxic.train(docs_of(spark, rows), known).some.any()
+
+
 def test_toxicity_without_labels(spark):
     docs = docs_of(spark, [(1, "a", "s")])
     none = spark.createDataFrame([], "doc_id long, toxic int")
