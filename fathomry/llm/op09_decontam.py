@@ -37,7 +37,7 @@ def _small(df: DataFrame) -> DataFrame:
 def item_table(work: Work, benchmark: DataFrame) -> DataFrame:
     """(item, item_id, item_words): item is a key of the words, so equal texts are one."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("item_words")).where(F.size("item_words") > 0)
-    return work.save(rows.groupBy("item_words").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids")).withColumn("item", F.sha2(F.array_join("item_words", " "), 256)), "items")
+    return work.save(rows.groupBy("item_words").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids")).withColumn("item", F.sha2(F.array_join("item_words", " "), 256)), "items", rows=benchmark.count())
 
 
 def build_postings(work: Work, docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -75,17 +75,19 @@ def _hits(docs: DataFrame, places: DataFrame, items: DataFrame, window: int) ->
 def contamination(work: Work, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, text_hash, n_hit, item_ids) of the documents in which a window occurs, written."""
     items = item_table(work, benchmark)
-    terms = work.save(items.select(F.explode("item_words").alias("token")).distinct(), "terms")
+    n_words = items.agg(F.sum(F.size("item_words"))).first()[0] or 0
+    terms = work.save(items.select(F.explode("item_words").alias("token")).distinct(), "terms", rows=n_words)
     postings = build_postings(work, docs, terms)
-    frequency = work.save(postings.groupBy("token").agg(F.count("*").alias("cf")), "frequency")
-    anchors = work.save(_anchors(items, frequency, window), "anchors")
+    frequency = work.save(postings.groupBy("token").agg(F.count("*").alias("cf")), "frequency", rows=n_words)
+    anchors = work.save(_anchors(items, frequency, window), "anchors", rows=2 * n_words)
     at = postings.join(_small(anchors), "token").select("doc_id", "item", "n", (F.col("pos") - F.col("anchor")).alias("offset"))
     both = at.groupBy("doc_id", "item", "n", "offset").agg(F.count("*").alias("terms")).where("terms >= 2 OR n = 1")
     places = work.save(both.groupBy("doc_id").agg(F.collect_list(F.struct("item", "n", "offset")).alias("places")), "places")
-    rows = places.agg(F.sum(F.size("places"))).first()[0] or 0
+    rows, n = places.agg(F.sum(F.size("places")), F.count("*")).first()
+    rows = rows or 0
     hits = _hits(docs, F.broadcast(places) if rows <= BROADCAST_ROWS else places, _small(items), window)
     by_doc = hits.groupBy("doc_id", "text_hash").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).cast("long").alias("n_hit"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
-    found = work.save(by_doc, "found")
+    found = work.save(by_doc, "found", rows=n)
     work.drop("postings", "places")
     return found
 
