@@ -33,8 +33,8 @@ from ._arrow import bound_batches, with_bytes
 from ._work import Work
 
 MIN_DOCS, MIN_CHARS = 10, 1
-#: Keys of a shard on average.
-SHARD_KEYS = 500_000
+#: Keys of a shard on average; and a tier's shards at least, if it has LEAST_KEYS for each, so that building them is spread.
+SHARD_KEYS, LEAST_SHARDS, LEAST_KEYS = 500_000, 16, 4_000
 #: Bytes of line hashes that a task counts before it hands them on, and of texts that it holds for one pass over the shards.
 PARTIAL_BYTES, HELD_BYTES = 4 << 20, 24 << 20
 
@@ -185,7 +185,8 @@ def build_index(work: Work, docs: DataFrame, min_docs: int = MIN_DOCS, min_chars
     lines = work.save(count_lines(docs, min_chars), "lines")
     often = F.col("n_docs") >= min_docs
     n, n_often = lines.agg(F.count("*"), F.count_if(often)).first()
-    shards = {tier: -(-size // shard_keys) for tier, size in (("often", n_often), ("rest", n - n_often))}
+    spread = lambda size: max(-(-size // shard_keys), min(LEAST_SHARDS, -(-size // LEAST_KEYS)))
+    shards = {"often": spread(n_often), "rest": spread(n - n_often)}
 
     def build(t: pa.Table) -> pa.Table:
         h = np.stack([t.column(c).to_numpy().astype("<i8").view("<u8") for c in ("h1", "h2")], 1)
