@@ -17,10 +17,9 @@ A document's set is its distinct word shingles. Two documents link when
 4. Documents that met under one leader and are in different components by then may still
    link with each other. One of such a pair is outside the leader's most frequent component,
    so those outside are compared with everything under the leader: both sides are dealt into
-   blocks of bounded size, a task compares two blocks, and only what is found leaves it. Up to
-   ``BLOCK`` documents under a leader are one block; beyond, a document is sent to one task for
-   every ``BLOCK`` others, which is quadratic in a bucket of documents that share boilerplate
-   but aren't alike: in comparisons of 60 numbers and, over ``BLOCK``, in rows sent. Whoever has
+   blocks of bounded size, a task compares two blocks, and only what is found leaves it. That is
+   quadratic in a bucket of documents that share boilerplate but aren't alike: in comparisons of
+   60 numbers, and beyond ``BLOCKS`` blocks of the largest size also in rows sent. Whoever has
    a partner left goes on to be compared on full sets, in blocks of ``OUTSIDE`` by ``MEMBERS``.
    Then nothing is untested.
 5. A pair whose minhashes agree in fewer than ``least_agree`` of ``2 * SIDE * GROUP`` places
@@ -39,7 +38,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.order import global_index
 from ._arrow import bound_batches, with_bytes
@@ -50,8 +49,10 @@ from ._work import Work
 WORDS, PERCENT = 5, 80
 SIDE, GROUP = 10, 3
 LEAST_AGREE = 32
-#: Documents of a block, on average, that are compared by minhashes: 240 bytes each.
-BLOCK = 4096
+#: Documents of a block, on average, that are compared by minhashes (240 bytes each), and how many blocks there
+#: may be before blocks grow to the second number: so a document is sent to at most BLOCKS tasks up to
+#: BLOCKS * BLOCK[1] documents under a leader.
+BLOCK, BLOCKS = (512, 8192), 64
 #: The same for full sets, which long documents make large: those outside the leader's component, and all under it.
 OUTSIDE, MEMBERS = 128, 256
 #: Ids that a broadcast may hold (16 bytes each); beyond it the same join shuffles.
@@ -160,7 +161,11 @@ def _by_group(batches, keys: list[str]):
 _KEYS = ["leader", "ub", "mb"]
 
 
-def _blocks(members: DataFrame, payload: DataFrame, outside: int, block: int) -> DataFrame:
+def _block_size() -> Column:
+    return F.least(F.lit(BLOCK[1]), F.greatest(F.lit(BLOCK[0]), F.ceil(F.col("n_all") / BLOCKS)))
+
+
+def _blocks(members: DataFrame, payload: DataFrame, outside: Column, block: Column) -> DataFrame:
     """members(leader, rep, label, outside, n_out, n_all) as the rows of block pairs, sorted by block pair."""
     outs, alls = (F.ceil(F.col(c) / size).cast("int") for c, size in (("n_out", outside), ("n_all", block)))
     dealt = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), n).cast("int")
@@ -229,10 +234,10 @@ def _late_links(work: Work, docs: DataFrame, reps: DataFrame, members: DataFrame
     n = counted.count()
     if not n:
         return work.spark.createDataFrame([], "a long, b long")
-    left = _blocks(counted, reps.select("rep", "n_shingles", "hashes"), BLOCK, BLOCK).mapInArrow(candidates, "leader long, rep long, label long")
+    left = _blocks(counted, reps.select("rep", "n_shingles", "hashes"), _block_size(), _block_size()).mapInArrow(candidates, "leader long, rep long, label long")
     counted = _counted(work, work.save(left.distinct(), "late-members", rows=n), "left")
     sets = _sets_of(work, docs, counted.select(F.col("rep").alias("doc_id")).distinct(), counted.count(), words, "late")
-    links = work.save(_blocks(counted, sets, OUTSIDE, MEMBERS).mapInArrow(confirm, "a long, b long").distinct(), "late-links", rows=n)
+    links = work.save(_blocks(counted, sets, F.lit(OUTSIDE), F.lit(MEMBERS)).mapInArrow(confirm, "a long, b long").distinct(), "late-links", rows=n)
     work.drop("late-leaders", "late-counted", "late-members", "left-leaders", "left-counted", "late-sets")
     return links
 

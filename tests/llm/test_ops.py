@@ -481,7 +481,7 @@ def test_near_duplicates_in_small_blocks_and_without_the_minhash_cut(spark, monk
         rows.append((int(i), " ".join(base + own), "s"))
     rng.shuffle(rows)
     rows.append((500, "long " + "word " * 20_000, "s"))
-    monkeypatch.setattr(op08_near, "BLOCK", 16)
+    monkeypatch.setattr(op08_near, "BLOCK", (8, 16))
     monkeypatch.setattr(op08_near, "OUTSIDE", 4)
     monkeypatch.setattr(op08_near, "MEMBERS", 8)
     for least in (op08_near.LEAST_AGREE, 0):
