@@ -70,26 +70,27 @@ def targets(work: Work, sizes: DataFrame, weights=WEIGHTS, share=SHARE, max_epoc
     whose hash is ``at`` (if not null), ``some`` are taken once more.
     """
     sizes = sizes.withColumn("bucket", F.shiftright("h", _SHIFT).cast("int"))
-    buckets = work.save(sizes.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "buckets")
+    buckets = work.save(sizes.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "buckets", rows=sizes.count())
     sources = buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))
     # Ranks: each range partition counts its sources, and the few counts are summed up in order.
-    parts = work.save(sources.repartitionByRange(16, F.col("source").isNull(), F.col("source")).withColumn("part", F.spark_partition_id()), "parts")
+    parts = work.save(sources.repartitionByRange(16, F.col("source").isNull(), F.col("source")).withColumn("part", F.spark_partition_id()), "parts", rows=buckets.count())
+    n = parts.count()
     before = parts.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     place = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").isNull(), "source")) - 1 + F.col("before")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
     weighed = parts.join(F.broadcast(before), "part").select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(max_epochs))).alias("cap"))
-    weighed = work.save(weighed, "weighed")
+    weighed = work.save(weighed, "weighed", rows=n)
     total = (weighed.agg(F.sum("source_size")).first()[0] or 0) * share
     epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     filled = water_fill(weighed, total).withColumn("whole", F.floor(epochs)).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    filled = work.save(filled.select("source", "source_size", "target", "whole", "rest"), "filled")
+    filled = work.save(filled.select("source", "source_size", "target", "whole", "rest"), "filled", rows=n)
 
     # Where the fraction ends: the last bucket wholly inside, and how far into the next one.
     by_source = Window.partitionBy("source")
     ends = buckets.withColumn("end", F.sum("bucket_size").over(by_source.orderBy("bucket"))).join(_small(filled.select(F.col("source").alias("f_source"), "rest")), F.col("source").eqNullSafe(F.col("f_source")))
     inside = ends.groupBy("source").agg(F.max(F.when(F.col("end") <= F.col("rest"), F.col("bucket"))).alias("last")).select(F.col("source").alias("i_source"), F.shiftleft(F.col("last").cast("long"), _SHIFT).bitwiseOR(F.lit((1 << _SHIFT) - 1)).alias("inside"))
     torn = ends.where((F.col("end") > F.col("rest")) & (F.col("end") - F.col("bucket_size") < F.col("rest"))).select("f_source", F.col("bucket").alias("t_bucket"), "rest", (F.col("end") - F.col("bucket_size")).alias("start"))
-    members = sizes.join(_small(work.save(torn, "torn")), F.col("source").eqNullSafe(F.col("f_source")) & (F.col("bucket") == F.col("t_bucket")))
+    members = sizes.join(_small(work.save(torn, "torn", rows=n)), F.col("source").eqNullSafe(F.col("f_source")) & (F.col("bucket") == F.col("t_bucket")))
     members = members.groupBy("source", "h", "rest", "start").agg(F.count("*").alias("n"), F.max("size").alias("one"))
     start = F.col("start") + F.sum(F.col("n") * F.col("one")).over(by_source.orderBy("h")) - F.col("n") * F.col("one")
     #: row i of a hash, from 0, is taken once more if its middle is within the rest; so many of them are
@@ -101,7 +102,7 @@ def targets(work: Work, sizes: DataFrame, weights=WEIGHTS, share=SHARE, max_epoc
         F.max(F.when(F.col("some") == F.col("n"), F.col("h"))).alias("beyond"), F.max(F.when((F.col("some") > 0) & (F.col("some") < F.col("n")), F.struct("h", "some"))).alias("part")
     )
     out = filled.join(inside, F.col("source").eqNullSafe(F.col("i_source")), "left").join(beyond, F.col("source").eqNullSafe(F.col("b_source")), "left")
-    return work.save(out.select("source", "source_size", "target", "whole", F.coalesce("beyond", "inside").alias("cut"), F.col("part.h").alias("at"), F.col("part.some").alias("some")), "targets")
+    return work.save(out.select("source", "source_size", "target", "whole", F.coalesce("beyond", "inside").alias("cut"), F.col("part.h").alias("at"), F.col("part.some").alias("some")), "targets", rows=n)
 
 
 _ASKED = ("source", "source_size", "target", "whole", "cut", "at", "some")
@@ -125,7 +126,7 @@ def _repeated(work: Work, rows: DataFrame, found: DataFrame) -> DataFrame:
     numbered = global_index(ends, [F.col("source").isNull(), "source", "__same", "__row"], "__i", save=work.save)
     first = numbered.groupBy(F.col("source").alias("__source")).agg(F.min("__i").alias("__first"))
     more = (F.col("__i") - F.col("__first") < F.col("__some")).cast("long")
-    counted = numbered.join(_small(work.save(first, "firsts")), F.col("source").eqNullSafe(F.col("__source")))
+    counted = numbered.join(_small(work.save(first, "firsts", rows=partial)), F.col("source").eqNullSafe(F.col("__source")))
     return plain.unionByName(counted.select(*columns, (F.col("__whole") + more).alias("__repeats")))
 
 
