@@ -126,10 +126,13 @@ def leading_int(name: Column) -> Column:
     return F.coalesce(F.regexp_extract(name, r"^(\d+)", 1).try_cast("double"), F.lit(float("inf")))
 
 
-def natural_key(name: Column, width: int = 12) -> Column:
-    """A key that sorts digit runs by value: every run is padded with zeros."""
+def natural_key(name: Column) -> Column:
+    """A key that sorts digit runs by value, whatever their length: a run is its digits without leading zeros, after how many there are."""
     tokens = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(tokens, lambda t: F.when(t.rlike(r"^\d"), F.lpad(t, width, "0")).otherwise(t)), "")
+    digits = lambda t: F.regexp_replace(t, r"^0+(?=\d)", "")
+    # The count is three digits, or 999 and then ten.
+    count = lambda t: F.when(F.length(digits(t)) < 999, F.lpad(F.length(digits(t)).cast("string"), 3, "0")).otherwise(F.concat(F.lit("999"), F.lpad(F.length(digits(t)).cast("string"), 10, "0")))
+    return F.array_join(F.transform(tokens, lambda t: F.when(t.rlike(r"^\d"), F.concat(F.lit("0"), count(t), digits(t))).otherwise(t)), "")
 
 
 def fill_prompt(prompt: str, passage: Column) -> Column:

@@ -46,10 +46,27 @@ def pool_mean(states: Column, mask: Column, floor: float = 1e-9) -> Column:
 
 def pool_weighted_mean(states: Column, mask: Column, floor: float = 1e-9) -> Column:
     """Later tokens weigh more: the mask times its running sum."""
-    running = F.transform(mask, lambda m, i: m * _sum(doubles(F.slice(mask, 1, i + 1))))
+    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("all"))
+    # The running sums are built in one walk: it appends m * sum to a list that only grows.
+    step = lambda s, m: F.struct((s.sum + m).alias("sum"), F.array_append(s["all"], m * (s.sum + m)).alias("all"))
+    running = F.aggregate(doubles(mask), start, step, lambda s: s["all"])
     return _weighted(states, running, floor)
 
 
+def pool_last_normal(states: Column, mask: Column, left_padded: Column | None = None) -> Column:
+    """The last state at length 1."""
+    return l2_normalize(pool_last(states, mask, left_padded))
+
+
+def dropout(states: Column, share: float, seed: Column) -> Column:
+    """Whole components of all states set to 0 with probability ``share`` and the rest scaled up, by a hash of (seed, component): reproducible."""
+    if not share:
+        return states
+    dim = F.size(F.get(states, F.lit(0)))
+    kept = F.transform(F.sequence(F.lit(0), dim - 1), lambda i: F.when(F.pmod(F.xxhash64(seed, i), F.lit(1 << 30)) / float(1 << 30) >= share, 1 / (1 - share)).otherwise(0.0))
+    return F.transform(states, lambda s: F.zip_with(doubles(s), kept, lambda x, k: x * k))
+
+
 def pool_last(states: Column, mask: Column, left_padded: Column | None = None) -> Column:
     """The last position if the whole batch is left-padded, else that of the last masked-in token."""
     last = F.element_at(states, -1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.order import global_index, seeded
+from ..functions.store import scratch
 
 SIZE = 128
 
@@ -19,10 +20,11 @@ def allocate(df: DataFrame, key: str, row_id: list[str], size: int = SIZE, seed:
     are left out, as are all where no batch can be filled.
     """
     order = seeded(seed, *row_id)
-    counts = df.groupBy(key).agg(F.count("*").alias("n"))
+    # Written once: how many keys have how many rows is all that the rounds below need.
+    counts = scratch(df.sparkSession)(df.groupBy(key).agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("keys")), "counts")
     batches = None
     while True:  # only totals come to the driver; batches can only fall
-        total = counts.agg(F.sum(F.col("n") if batches is None else F.least(F.col("n"), F.lit(batches)))).first()[0] or 0
+        total = counts.agg(F.sum(F.col("keys") * (F.col("n") if batches is None else F.least(F.col("n"), F.lit(batches))))).first()[0] or 0
         if batches is not None and total // size >= batches:
             break
         batches = total // size

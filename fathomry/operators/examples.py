@@ -23,12 +23,12 @@ def multimodal(df: DataFrame, passages: int) -> DataFrame:
     return df.select(query.alias("query"), F.transform(chosen, _part).alias("passages"))
 
 
-def text_only(df: DataFrame, passages: int) -> DataFrame:
-    """(query, passages) from arrays: the instruction and each text, with one blank between."""
+def text_only(df: DataFrame, passages: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep..., query, passages) from arrays: the instruction and each text, with one blank between."""
     join = lambda a, x: F.concat_ws(" ", F.get(a, F.lit(0)), x)
     pos, neg = F.slice("pos", 2, 1), F.slice("neg", 2, passages - 1)
     texts = F.concat(F.transform(pos, lambda x: join(F.col("pos"), x)), F.transform(neg, lambda x: join(F.col("neg"), x)))
-    return df.select(join(F.col("query"), F.get("query", F.lit(1))).alias("query"), texts.alias("passages"))
+    return df.select(*keep, join(F.col("query"), F.get("query", F.lit(1))).alias("query"), texts.alias("passages"))
 
 
 def pretraining(df: DataFrame, column: str = "text") -> DataFrame:

@@ -23,15 +23,17 @@ DEFAULTS = {
 # Measures without parameters, and the nicknames.
 PLAIN = (
     "num_q", "num_ret", "num_rel", "num_rel_ret", "map", "gm_map", "Rprec", "bpref", "gm_bpref", "recip_rank", "11pt_avg", "ndcg", "infAP",
-    "set_P", "set_recall", "set_F", "set_map", "set_relative_P", "utility", "num_nonrel_judged_ret",
+    "set_P", "set_recall", "set_F", "set_map", "set_relative_P", "utility", "num_nonrel_judged_ret", "ndcg_rel", "Rndcg", "G", "binG",
 )
 NICKNAMES = {
     "all_trec": (*PLAIN, *DEFAULTS),
     "official": ("num_q", "num_ret", "num_rel", "num_rel_ret", "map", "gm_map", "Rprec", "bpref", "recip_rank", "iprec_at_recall", "P"),
     "set": ("num_q", "num_ret", "num_rel", "num_rel_ret", "utility", "set_P", "set_relative_P", "set_recall", "set_map", "set_F"),
 }
-#: Names that stand for strings or for measures whose definition isn't settled here.
-UNSUPPORTED = ("relstring", "runid", "G", "binG", "Rndcg", "ndcg_rel")
+#: Names that stand for strings, not for numbers.
+UNSUPPORTED = ("relstring", "runid")
+#: Measures that need the ideal gains at every rank; their definitions are those of ``_by_gain``.
+BY_GAIN = ("ndcg_rel", "Rndcg")
 FLOOR = 1e-5
 
 
@@ -62,12 +64,19 @@ def _gain(rel: Column) -> Column:
 def evaluate(run: DataFrame, qrels: DataFrame, measures, level: int = 1, queries: DataFrame | None = None, tie: str = "docno_desc") -> DataFrame:
     """(qid, measure, value), a row for each query and measure."""
     asked = parse_measures(measures)
+    if by_gain := [m for m in asked if m in BY_GAIN]:
+        rest = [m for m in asked if m not in BY_GAIN]
+        found = _by_gain(run, qrels, by_gain, level, queries, tie)
+        if not rest:
+            return found
+        names = [m if m not in DEFAULTS else f"{m}.{','.join(map(str, asked[m]))}" for m in rest]
+        return evaluate(run, qrels, names, level, queries, tie).unionByName(found)
     discount = F.log2(F.col("rank") + 1)
     ideal = qrels.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("rel").desc(), "did")))
     gains = {f"ideal_{k}": F.sum(F.when(F.col("rank") <= k, _gain(F.col("rel")) / discount)) for k in asked.get("ndcg_cut", ())}
     per_query = ideal.groupBy("qid").agg(
         F.count_if(F.col("rel") >= level).alias("R"), F.count_if((F.col("rel") < level) & (F.col("rel") >= 0)).alias("N"),
-        F.sum(_gain(F.col("rel")) / discount).alias("ideal"), *(v.alias(k) for k, v in gains.items()),
+        F.sum(_gain(F.col("rel")) / discount).alias("ideal"), F.sum(F.when(F.col("rel") >= level, _gain(F.col("rel")))).alias("gains"), *(v.alias(k) for k, v in gains.items()),
     )
 
     rel = F.coalesce(F.col("rel") >= level, F.lit(False))
@@ -95,6 +104,9 @@ def evaluate(run: DataFrame, qrels: DataFrame, measures, level: int = 1, queries
         "set_P": set_p, "set_recall": set_r, "set_F": F.when(set_p + set_r > 0, 2 * set_p * set_r / (set_p + set_r)).otherwise(F.lit(0.0)), "set_map": set_p * set_r,
         "set_relative_P": F.when(F.first(R) > 0, found() / F.least(F.count("*"), F.first(R))).otherwise(F.lit(0.0)),
         "utility": 2 * found() - F.count("*"), "num_nonrel_judged_ret": F.count_if(judged_non),
+        # Gains are discounted by how many documents that aren't relevant stand above, so the ideal is the sum of gains.
+        "G": zero(F.sum(F.when(hit, _gain(F.col("rel")) / F.log2(2 + rank - cum))) / F.nullif(F.first("gains"), F.lit(0.0))),
+        "binG": over_R(zero(F.sum(F.when(hit, 1 / F.log2(2 + rank - cum))))),
     }
     by_cut = {
         "P": lambda k: found(k) / k, "recall": lambda k: over_R(found(k)), "map_cut": lambda k: over_R(zero(F.sum(F.when(hit & (rank <= k), precision)))),
@@ -117,6 +129,36 @@ def evaluate(run: DataFrame, qrels: DataFrame, measures, level: int = 1, queries
     return wide.unpivot("qid", [F.col(f"`{c}`") for c in columns], "measure", "value")
 
 
+def _by_gain(run: DataFrame, qrels: DataFrame, asked: list[str], level: int, queries: DataFrame | None, tie: str) -> DataFrame:
+    """``ndcg_rel``: nDCG at the rank of each relevant document that was found, averaged over all relevant ones.
+    ``Rndcg``: nDCG at as many ranks as there are judgements of a relevance or more, averaged over a query's positive relevances."""
+    discount = F.log2(F.col("rank") + 1)
+    up_to = Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    ideal = qrels.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("rel").desc(), "did")))
+    ideal = ideal.withColumn("ideal", F.sum(_gain(F.col("rel")) / discount).over(up_to))
+    total = ideal.groupBy("qid").agg(F.max("ideal").alias("total"), F.count_if(F.col("rel") >= level).alias("R"))
+    rows = ranked(run, tie).join(qrels.select("qid", "did", "rel"), ["qid", "did"], "left").join(total, "qid")
+    rows = rows.withColumn("dcg", F.sum(_gain(F.col("rel")) / discount).over(up_to)).join(ideal.select("qid", "rank", "ideal"), ["qid", "rank"], "left")
+    at = F.coalesce("ideal", "total")
+    out = None
+    if "ndcg_rel" in asked:
+        each = F.sum(F.when(F.coalesce(F.col("rel") >= level, F.lit(False)), F.col("dcg") / F.nullif(at, F.lit(0.0))))
+        out = rows.groupBy("qid").agg(F.when(F.first("R") > 0, F.coalesce(each, F.lit(0.0)) / F.first("R")).otherwise(F.lit(0.0)).alias("value")).select("qid", F.lit("ndcg_rel").alias("measure"), "value")
+    if "Rndcg" in asked:
+        # A cutoff is the last ideal place of its relevance; beyond the run's end its last sum counts.
+        cuts = ideal.where("rel > 0").groupBy("qid", "rel").agg(F.max("rank").alias("cut"), F.max("ideal").alias("best")).withColumnRenamed("qid", "c_qid").drop("rel")
+        reached = rows.select("qid", "rank", "dcg").join(cuts, (F.col("qid") == F.col("c_qid")) & (F.col("rank") <= F.col("cut")))
+        by_cut = reached.groupBy("qid", "cut", "best").agg(F.max("dcg").alias("dcg"))
+        n = cuts.groupBy(F.col("c_qid").alias("qid")).agg(F.count("*").alias("n"))
+        per = by_cut.groupBy("qid").agg(F.sum(F.col("dcg") / F.nullif(F.col("best"), F.lit(0.0))).alias("s"))
+        part = rows.select("qid").distinct().join(per, "qid", "left").join(n, "qid", "left").select("qid", F.lit("Rndcg").alias("measure"), F.coalesce(F.col("s") / F.col("n"), F.lit(0.0)).alias("value"))
+        out = part if out is None else out.unionByName(part)
+    if queries is not None:
+        empty = queries.select("qid").distinct().join(total.select("qid"), "qid", "left_semi").join(run.select("qid"), "qid", "left_anti")
+        out = out.unionByName(empty.select("qid", F.explode(F.array(*map(F.lit, asked))).alias("measure"), F.lit(0.0).alias("value")))
+    return out
+
+
 def aggregate(values: DataFrame) -> DataFrame:
     """(measure, value) over queries: sums of counts, the geometric mean for ``gm_``, else means."""
     name = F.col("measure")

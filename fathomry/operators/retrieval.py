@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-#: Query vectors that are sent to every task at once; more queries make more passes.
-QUERY_BLOCK = 20_000
+from ..functions.store import save_table, shared_root
+from . import metrics
+
+#: Documents of a query, unless asked for another number.
+DEPTH = 10
+#: Query and corpus vectors whose scores a task holds at a time: a tile of 32 MB.
+QUERY_BLOCK, CORPUS_BLOCK = 1024, 4096
 
 
 def best(run: DataFrame, k: int) -> DataFrame:
@@ -16,56 +23,84 @@ def best(run: DataFrame, k: int) -> DataFrame:
     return run.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def search(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = False, block: int = QUERY_BLOCK) -> DataFrame:
-    """(qid, did, score, rank): inner products in doubles.
+def search(queries: DataFrame, corpus: DataFrame, k: int = DEPTH, exclude_self: bool = False, block: int = QUERY_BLOCK) -> DataFrame:
+    """(qid, did, score, rank): inner products in doubles; equal scores by document id.
 
-    queries(qid, embedding) and corpus(did, embedding) have integer ids. Query vectors go to the tasks in blocks of
-    bounded size; a task multiplies them with its share of the corpus and keeps k rows a
-    query, so neither the corpus nor the pairs are shuffled. Vectors that are null or not
-    finite take no part.
+    queries(qid, embedding) and corpus(did, embedding) have integer ids. The query vectors are
+    written to the shared folder. A task holds CORPUS_BLOCK corpus vectors at a time, reads the
+    queries in blocks, and keeps k rows for each query and corpus block: it never holds more
+    than a tile of ``block`` by CORPUS_BLOCK scores, and neither corpus nor queries come to the
+    driver or are shuffled. Vectors that are null or hold a null or non-finite component take no part.
     """
     spark = queries.sparkSession
-    ids, vectors, parts = [], [], []
-
-    def one_pass():
-        held = spark.sparkContext.broadcast((np.array(ids, np.int64), np.array(vectors, np.float64)))
-        keep = k + (1 if exclude_self else 0)
-
-        def run(batches):
-            q_ids, q = held.value
-            scores, dids = np.full((len(q_ids), 0), 0.0), np.zeros((len(q_ids), 0), np.int64)
-            for batch in batches:
-                d = batch.column(0).to_numpy(zero_copy_only=False)
-                x = np.array(batch.column(1).flatten(), np.float64).reshape(len(d), -1)
-                s = np.hstack([scores, q @ x.T])
-                i = np.hstack([dids, np.broadcast_to(d, (len(q_ids), len(d)))])
-                order = np.lexsort((i, -s), axis=1)[:, :keep]
-                scores, dids = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            n = scores.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, n)), pa.array(dids.ravel()), pa.array(scores.ravel())], ["qid", "did", "score"])
-
-        parts.append(clean(corpus, "did").mapInArrow(run, "qid long, did long, score double"))
+    keep = k + (1 if exclude_self else 0)
 
     def clean(df: DataFrame, key: str) -> DataFrame:
         v = F.col("embedding").cast("array<double>")
         return df.select(F.col(key).cast("long").alias(key), v.alias("embedding")).where(F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
 
-    for row in clean(queries, "qid").toLocalIterator():
-        ids.append(row.qid)
-        vectors.append(row.embedding)
-        if len(ids) >= block:
-            one_pass()
-            ids, vectors = [], []
-    if ids or not parts:
-        if not ids:
-            return spark.createDataFrame([], "qid long, did long, score double, rank int")
-        one_pass()
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
+    root = f"{shared_root(spark)}/fathomry/search-{uuid.uuid4().hex[:12]}"
+    save_table(clean(queries, "qid"), root)
+
+    def run(batches):
+        for dids, x in _blocks(batches):
+            # Ids in order, so that of equal scores a stable sort takes the smaller id first.
+            order = np.argsort(dids, kind="stable")
+            dids, x = dids[order], x[order]
+            for qids, q in _blocks_of_files(root, block):
+                scores = q @ x.T
+                place = _best_columns(scores, keep)
+                scores = np.take_along_axis(scores, place, 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, place.shape[1])), pa.array(dids[place].ravel()), pa.array(scores.ravel())], ["qid", "did", "score"])
+
+    out = clean(corpus, "did").mapInArrow(run, "qid long, did long, score double")
     return best(out.where("qid <> did") if exclude_self else out, k)
 
 
+def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    ids = batch.column(0).to_numpy(zero_copy_only=False)
+    return ids, np.asarray(batch.column(1).flatten(), np.float64).reshape(len(ids), -1)
+
+
+def _blocks(batches, size: int | None = None):
+    """(ids, vectors) of at most ``size`` rows (CORPUS_BLOCK), put together from the batches."""
+    size, held, n = size or CORPUS_BLOCK, [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            part = batch.slice(at, size)
+            if n + part.num_rows > size:
+                yield tuple(map(np.concatenate, zip(*held)))
+                held, n = [], 0
+            if part.num_rows:
+                held.append(_matrix(part))
+                n += part.num_rows
+    if held:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
+def _blocks_of_files(uri: str, size: int):
+    """The same for the Parquet files of a folder."""
+    import pyarrow.fs as pafs
+    import pyarrow.parquet as pq
+
+    filesystem, root = pafs.FileSystem.from_uri(uri)
+    for info in filesystem.get_file_info(pafs.FileSelector(root)):
+        if info.base_name.endswith(".parquet"):
+            with filesystem.open_input_file(info.path) as f:
+                yield from _blocks(pq.ParquetFile(f).iter_batches(batch_size=size), size)
+
+
+def _best_columns(scores: np.ndarray, keep: int) -> np.ndarray:
+    """For each row the columns of its ``keep`` largest scores; of equal ones those further left."""
+    if scores.shape[1] <= keep:
+        return np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
+    last = np.partition(scores, -keep, axis=1)[:, -keep, None]
+    above, level = scores > last, scores == last
+    room = keep - above.sum(1, keepdims=True)
+    level &= np.cumsum(level, axis=1, dtype=np.int32) <= room
+    return np.nonzero(above | level)[1].reshape(-1, keep)
+
+
 def merge(shards: DataFrame, k: int = 100, order: str = "shard") -> DataFrame:
     """Top k of several result lists; of a document that several hold, the first list's score counts."""
     first = Window.partitionBy("qid", "did").orderBy(order, F.col("score").desc())
@@ -90,6 +125,44 @@ def head(run: DataFrame, n: int, position: str = "position") -> DataFrame:
     return run.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")
 
 
+def lexical(queries: DataFrame, docs: DataFrame, k: int = DEPTH, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(qid, did, score, rank): BM25 of queries(qid, term) against docs(did, term), a row for each word.
+
+    A repeated query term counts as often as it comes. Postings are only those of query terms; the
+    inner join goes by term, and scores are summed up before their shuffle. They are rounded to nine
+    decimals, so that the order of a sum doesn't decide between equal documents.
+    """
+    lengths = docs.groupBy("did").agg(F.count("*").alias("length"))
+    whole = lengths.agg(F.count("*").alias("docs"), F.avg("length").alias("average"))
+    asked = queries.groupBy("qid", "term").agg(F.count("*").alias("times"))
+    postings = docs.join(asked.select("term").distinct(), "term", "left_semi").groupBy("did", "term").agg(F.count("*").alias("tf"))
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    n, average = (whole.first() or (0, 0.0))
+    average = average or 1.0
+    idf = F.ln(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = postings.join(lengths, "did").join(df, "term")
+    weighed = weighed.select("term", "did", (idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(average)))).alias("w"))
+    return best(asked.join(weighed, "term").groupBy("qid", "did").agg(F.round(F.sum(F.col("times") * F.col("w")), 9).alias("score")), k)
+
+
+def expansion_reward(queries: DataFrame, expansions: DataFrame, docs: DataFrame, qrels: DataFrame, measure: str = "ndcg_cut.10", k: int = DEPTH) -> DataFrame:
+    """(qid, term, reward): what a measure gains when a query is searched with one more term.
+
+    expansions(qid, term) are the candidates. All expanded queries are one search: a query for
+    each candidate, named by both. A query that finds nothing has the measure 0.
+    """
+    name = F.concat_ws("\u0001", F.col("qid").cast("string"), "added")
+    asked = expansions.select("qid", F.col("term").alias("added")).distinct()
+    more = asked.select(name.alias("q"), "qid", "added")
+    old = queries.select("qid", "term").join(more.select("q", "qid"), "qid").select(F.col("q").alias("qid"), "term")
+    expanded = old.unionByName(more.select(F.col("q").alias("qid"), F.col("added").alias("term")))
+    judged = qrels.join(more.select("q", "qid"), "qid").select(F.col("q").alias("qid"), "did", "rel")
+    base = metrics.evaluate(lexical(queries, docs, k).select("qid", "did", "score"), qrels, measure, queries=queries)
+    new = metrics.evaluate(lexical(expanded, docs, k).select("qid", "did", "score"), judged, measure, queries=more.select(F.col("q").alias("qid")))
+    gain = more.join(new.select(F.col("qid").alias("q"), F.col("value").alias("new")), "q").join(base.select("qid", "value"), "qid")
+    return gain.select("qid", F.col("added").alias("term"), (F.col("new") - F.col("value")).alias("reward"))
+
+
 def rerank_by_expansion(base: DataFrame, expanded: DataFrame) -> DataFrame:
     """(qid, reward): the gain of a measure after query expansion, from two (qid, value) tables."""
     return base.select("qid", F.col("value").alias("x")).join(expanded.select("qid", F.col("value").alias("y")), "qid").select("qid", (F.col("y") - F.col("x")).alias("reward"))

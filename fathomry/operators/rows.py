@@ -200,6 +200,11 @@ def ordinal_ids(df: DataFrame, doc: str, order: list, name: str = "qid") -> Data
     return df.withColumn(name, F.concat(F.col(doc).cast("string"), F.lit("-"), n.cast("string")))
 
 
+def place_in(df: DataFrame, group: list[str], order: list, name: str = "place") -> DataFrame:
+    """df with the place from 1 within its group."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+
+
 def rotate(items: Column, start: Column, n: int) -> Column:
     """n items from a place on, around the end."""
     twice = F.concat(items, items)
@@ -261,10 +266,45 @@ def selected_repeats(n: int, ratio: int, rounding: int = 256) -> int:
     return n // rounding * rounding // ratio if rounding else -(-n // ratio)
 
 
-def decayed_batch(size: int, parts: int = 2) -> int:
-    """The next smaller batch to try when memory runs out: octaves are cut into ``parts``; 0 ends the ladder."""
+def decayed_batch(size: int, parts: int = 2, no_odd: bool = False) -> int:
+    """The next smaller batch to try when memory runs out: octaves are cut into ``parts``; 0 ends the ladder. With ``no_odd`` odd sizes are one less."""
     if size <= 1:
         return 0
     octave = 1 << ((size - 1).bit_length() - 1)
     grid = max(octave // parts, 1)
-    return (size - 1) // grid * grid
+    out = (size - 1) // grid * grid
+    return out - out % 2 if no_odd else out
+
+
+def cap_members(df: DataFrame, order: list, most: int = 99_999) -> DataFrame:
+    """The first ``most`` rows of an order."""
+    return global_index(df, order, "__i").where(F.col("__i") < most).drop("__i")
+
+
+def throughput(df: DataFrame, by: list[str], samples: str = "samples", seconds: str = "seconds") -> DataFrame:
+    """(by, samples_per_second, ms_per_step): a row of df is a step."""
+    total = F.nullif(F.sum(seconds).cast("double"), F.lit(0.0))
+    return df.groupBy(*by).agg((F.sum(samples) / total).alias("samples_per_second"), (1000 * F.sum(seconds) / F.count("*")).alias("ms_per_step"))
+
+
+def permute(df: DataFrame, key: list[str], seed: int | str = 0, name: str = "place") -> DataFrame:
+    """df with a shuffled place: tables with the same keys and seed are shuffled alike."""
+    return global_index(df, [seeded(seed, *key), *map(F.col, key)], name)
+
+
+def resample(df: DataFrame, order: list, n: int, seed: int | str = 0) -> DataFrame:
+    """n draws with replacement, numbered in ``draw``: draw i takes the row that a hash of (seed, i) points at."""
+    rows = global_index(df, order, "__i")
+    count = df.count()
+    if not count:
+        return df.limit(0).withColumn("draw", F.lit(0).cast("long"))
+    draws = df.sparkSession.range(n).withColumnRenamed("id", "draw")
+    hashed = F.conv(F.substring(seeded(seed, "draw"), 1, 12), 16, 10).cast("long")
+    return draws.withColumn("__i", F.pmod(hashed, F.lit(count))).join(rows, "__i").drop("__i")
+
+
+def shuffle_buffer(df: DataFrame, order: list, size: int, key: list[str], seed: int | str = 0, name: str = "place") -> DataFrame:
+    """df in the order in which a shuffle over a moving buffer could give it out: rows are put off by less than ``size`` places, by a seeded hash."""
+    late = F.pmod(F.conv(F.substring(seeded(seed, *key), 1, 12), 16, 10).cast("long"), F.lit(size))
+    rows = global_index(df, order, "__i").withColumn("__at", F.col("__i") + late)
+    return global_index(rows, [F.col("__at"), F.col("__i")], name).drop("__i", "__at")

@@ -152,3 +152,51 @@ def weighted_mean(t):
 def vector_average(t):
     m = O.average_vectors(t.embeddings, "embedding", ["label"])
     return m.select("label", F.posexplode("embedding").alias("i", "x")).select("label", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 6).alias("x"))
+
+
+# -- micro-batches, devices, and the losses that stand alone ---------------------------
+
+
+@query(f"WITH {_PAIRS}, l AS (SELECT batch, i, ln(sum(exp(s))) - max(s) FILTER (i = j) AS loss FROM s GROUP BY batch, i) SELECT batch, round(avg(loss), 6) AS loss FROM l GROUP BY batch")
+def inbatch_ce_micro(t):
+    """The same loss from micro-batches of 5 questions."""
+    return C.in_batch_loss(_pairs(t), 0.2, micro=5).select("batch", F.round("loss", 6).alias("loss"))
+
+
+@query(f"""WITH {_PAIRS.partition(",\ns AS")[0]}, g AS (SELECT batch // 4 AS batch, (batch % 4) * 32 + i AS i, q, d FROM p),
+s AS (SELECT a.batch, a.i, b.i AS j, list_dot_product(a.q, b.d) / 0.2 AS s FROM g a JOIN g b USING (batch)),
+l AS (SELECT batch, i, ln(sum(exp(s))) - max(s) FILTER (i = j) AS loss FROM s GROUP BY batch, i) SELECT batch, round(avg(loss), 6) AS loss FROM l GROUP BY batch""")
+def cross_device_ce(t):
+    """Negatives of four devices: each question against the documents of four batches."""
+    return C.in_batch_loss(C.gather_batches(_pairs(t), 4), 0.2).select("batch", F.round("loss", 6).alias("loss"))
+
+
+@query(f"WITH {_PAIRS} SELECT batch, i, j, round(s, 6) AS s FROM s")
+def score_matrix(t):
+    return C.score_matrix(_pairs(t), 0.2).select("batch", "i", "j", F.round("s", 6).alias("s"))
+
+
+@query(f"WITH {_STATES} SELECT vec_id, unnest(range(1, 9)) AS i, round(unnest(list_transform(range(1, 9), lambda k: list_sum(list_transform(range(1, 9), lambda j: s[j][k] * m[j])) / list_sum(m))), 6) AS x FROM st")
+def pool_dropout(t):
+    """Dropout of share 0, which is how results can be compared; other shares are seeded."""
+    s = V.dropout(F.col("s"), 0.0, F.col("vec_id"))
+    return _long(_states(t).select("vec_id", V.pool_mean(s, F.col("m")).alias("v")))
+
+
+@query(f"SELECT vec_id, round(list_sum(list_transform(range(1, 33), lambda i: (e[i] - e[i + 32]) ** 2)) / 32, 6) AS mse, round(list_sum(list_transform(range(1, 33), lambda i: e[i] ** 2 * (ln(e[i] ** 2) - e[i + 32]))), 6) AS kl FROM ({_D})")
+def distillation_losses(t):
+    a, b = F.slice("embedding", 1, 32), F.slice("embedding", 33, 32)
+    squares = F.transform(V.doubles(a), lambda x: x * x)
+    return t.embeddings.select("vec_id", F.round(V.mse(a, b), 6).alias("mse"), F.round(V.kl_divergence(squares, V.doubles(b)), 6).alias("kl"))
+
+
+@query(f"SELECT vec_id, round(e[4], 6) AS a, round(e[1], 6) AS b, round(e[64], 6) AS c FROM ({_D})")
+def valid_label_logits(t):
+    v = C.subset_logits(V.doubles(F.col("embedding")), [3, 0, 63])
+    return t.embeddings.select("vec_id", *[F.round(F.get(v, F.lit(i)), 6).alias(n) for i, n in enumerate("abc")])
+
+
+@query("SELECT vec_id, vec_id % 9 = 0 AS bad FROM embeddings")
+def nan_guard(t):
+    v = F.transform("embedding", lambda x, i: F.when((i == 5) & (F.col("vec_id") % 9 == 0), F.lit(float("nan")).cast("float")).otherwise(x))
+    return t.embeddings.select("vec_id", V.has_nan(v).alias("bad"))

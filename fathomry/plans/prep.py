@@ -93,13 +93,8 @@ def except_ids(t):
     return t.documents.select("doc_id").subtract(t.labels.select("doc_id"))
 
 
-@query("SELECT doc_id, 'd' AS origin FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT item_id, 'b' FROM benchmark")
-def union_shards(t):
-    return t.documents.where("doc_id % 2 = 0").select("doc_id", F.lit("d").alias("origin")).unionByName(t.benchmark.select(F.col("item_id").alias("doc_id"), F.lit("b").alias("origin")))
-
-
 @query("SELECT doc_id, 'd' AS origin FROM documents UNION ALL SELECT item_id, 'b' FROM benchmark")
-def union_shards_whole(t):
+def union_shards(t):
     return t.documents.select("doc_id", F.lit("d").alias("origin")).unionByName(t.benchmark.select(F.col("item_id").alias("doc_id"), F.lit("b").alias("origin")))
 
 
@@ -125,14 +120,8 @@ def positional_zip(t):
 # -- text functions --------------------------------------------------------------------
 
 
-@query("SELECT doc_id, 'Title: ' || source || ' [' || lang || '] ' || left(text, 20) AS prompt FROM documents")
-def template_fill(t):
-    d = t.documents.select("doc_id", F.struct("source", "lang").alias("meta"), F.left("text", F.lit(20)).alias("text"))
-    return d.select("doc_id", T.fill_template(d, "Title: <meta.source> [<meta.lang>] <text>").alias("prompt"))
-
-
 @query("SELECT doc_id, 'Title: ' || source || ' [' || lang || '] ' || text AS prompt FROM documents")
-def template_fill_whole(t):
+def template_fill(t):
     d = t.documents.select("doc_id", F.struct("source", "lang").alias("meta"), "text")
     return d.select("doc_id", T.fill_template(d, "Title: <meta.source> [<meta.lang>] <text>").alias("prompt"))
 
@@ -148,19 +137,13 @@ def coalesce_id(t):
     return d.select(T.doc_key(d).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
 
 
-@query("SELECT item_id, 'Find: ' || text AS joined, 'Find ' || text AS spaced FROM benchmark")
+@query("SELECT doc_id, 'Find: ' || coalesce(text, '') AS joined, 'Find ' || coalesce(text, '') AS spaced FROM documents")
 def instruction_merge(t):
-    return t.benchmark.select("item_id", T.with_instruction(F.lit("Find: "), F.col("text")).alias("joined"), T.with_instruction(F.lit("Find"), F.col("text"), " ").alias("spaced"))
-
-
-@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'empty document' ELSE left(text, 10) END AS text FROM documents")
-def empty_fallback(t):
-    text = F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.left("text", F.lit(10)))
-    return t.documents.select("doc_id", T.or_empty(text, F.lit(None).cast("string")).alias("text"))
+    return t.documents.select("doc_id", T.with_instruction(F.lit("Find: "), F.col("text")).alias("joined"), T.with_instruction(F.lit("Find"), F.col("text"), " ").alias("spaced"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 OR text = '' THEN 'empty document' ELSE text END AS text FROM documents")
-def empty_fallback_whole(t):
+def empty_fallback(t):
     text = F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("text"))
     return t.documents.select("doc_id", T.or_empty(text, F.lit(None).cast("string")).alias("text"))
 
@@ -171,14 +154,8 @@ def image_alias(t):
     return d.select("doc_id", T.image_of(d).alias("image"))
 
 
-@query("SELECT doc_id, base64(encode(left(text, 50))) AS coded, left(text, 50) AS text FROM documents")
-def base64_roundtrip(t):
-    coded = T.to_base64(F.encode(F.left("text", F.lit(50)), "UTF-8"))
-    return t.documents.select("doc_id", coded.alias("coded"), F.decode(F.unbase64(coded), "UTF-8").alias("text"))
-
-
 @query("SELECT doc_id, base64(encode(text)) AS coded, text FROM documents")
-def base64_roundtrip_whole(t):
+def base64_roundtrip(t):
     coded = T.to_base64(F.encode("text", "UTF-8"))
     return t.documents.select("doc_id", coded.alias("coded"), F.decode(F.unbase64(coded), "UTF-8").alias("text"))
 
@@ -229,37 +206,28 @@ def first_key_like(t):
     return t.documents.select("doc_id", T.first_key_like(m, "ocr_type").alias("value"))
 
 
-@query(r"""WITH RECURSIVE w AS (SELECT item_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM benchmark),
-s AS (
-  SELECT item_id, ws, 0 AS i, []::VARCHAR[] AS lines, '' AS line FROM w
-  UNION ALL
-  SELECT item_id, ws, i + 1, CASE WHEN length(line) + length(ws[i + 1]) + 1 <= 40 THEN lines ELSE list_append(lines, trim(line)) END,
-         CASE WHEN length(line) + length(ws[i + 1]) + 1 <= 40 THEN line || ' ' || ws[i + 1] ELSE ws[i + 1] END
-  FROM s WHERE i < len(ws)
-)
-SELECT item_id, array_to_string(CASE WHEN line <> '' THEN list_append(lines, trim(line)) ELSE lines END, '|') AS wrapped FROM s WHERE i = len(ws)""")
+@query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '') AS ws FROM documents),
+r AS (SELECT doc_id, list_reduce(list_concat([{'d': '', 'l': ''}], list_transform(ws, lambda x: {'d': '', 'l': x})),
+  lambda a, b: CASE WHEN length(a.l) + length(b.l) + 1 <= 40 THEN {'d': a.d, 'l': a.l || ' ' || b.l} ELSE {'d': a.d || trim(a.l) || '|', 'l': b.l} END) AS r FROM w)
+SELECT doc_id, md5(r.d || trim(r.l)) AS wrapped FROM r""")
 def word_wrap(t):
-    return t.benchmark.select("item_id", F.array_join(T.wrap(F.col("text"), 40), "|").alias("wrapped"))
+    return t.documents.select("doc_id", F.md5(F.array_join(T.wrap(F.coalesce("text", F.lit("")), 40), "|")).alias("wrapped"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN doc_id::DOUBLE ELSE 'inf'::DOUBLE END AS k, 'page' || lpad(doc_id::VARCHAR, 12, '0') AS n FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN doc_id::DOUBLE ELSE 'inf'::DOUBLE END AS k, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents")
 def natural_order(t):
-    name = F.when(F.col("doc_id") % 2 == 0, F.concat(F.col("doc_id").cast("string"), F.lit("_x"))).otherwise("x")
-    return t.documents.select("doc_id", T.leading_int(name).alias("k"), T.natural_key(F.concat(F.lit("Page"), F.col("doc_id").cast("string"))).alias("n"))
+    name = F.concat(F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("string")).otherwise("x"), F.lit(" page"))
+    d = t.documents.select("doc_id", T.leading_int(name).alias("k"), T.natural_key(F.concat(F.lit("Page"), F.col("doc_id").cast("string"), F.lit(".png"))).alias("n"))
+    return global_index(d, [F.col("n")], "place").select("doc_id", "k", "place")
 
 
-@query("SELECT item_id, 'Is this a question? ' || text || ' #' AS prompt FROM benchmark")
+@query("SELECT doc_id, 'Is this a question? ' || text || ' #' AS prompt FROM documents")
 def prompt_fill(t):
-    return t.benchmark.select("item_id", T.fill_prompt("Is this a question? {passage} #", F.col("text")).alias("prompt"))
-
-
-@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE source END || chr(9) || left(text, 12) AS body FROM documents")
-def title_body(t):
-    return t.documents.select("doc_id", T.title_body(F.when(F.col("doc_id") % 4 != 0, F.col("source")), F.left("text", F.lit(12))).alias("body"))
+    return t.documents.select("doc_id", T.fill_prompt("Is this a question? {passage} #", F.col("text")).alias("prompt"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE source END || chr(9) || text AS body FROM documents")
-def title_body_whole(t):
+def title_body(t):
     return t.documents.select("doc_id", T.title_body(F.when(F.col("doc_id") % 4 != 0, F.col("source")), F.col("text")).alias("body"))
 
 
@@ -567,16 +535,9 @@ def _examples(docs: DataFrame):
     return d.select("source", query.alias("query"), F.transform(F.slice("d", 1, 1), part).alias("pos"), F.transform(F.slice("d", 2, 3), part).alias("neg"))
 
 
-@query("""WITH d AS (SELECT source, doc_id, left(text, 5) AS x, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents)
-SELECT 'Find ' || source AS query, r::INTEGER - 1 AS place, CASE WHEN doc_id % 2 = 0 AND x <> '' THEN x ELSE 'empty passage' END AS passage FROM d WHERE r <= 3""")
-def training_examples(t):
-    out = E.multimodal(_examples(t.documents.withColumn("text", F.left("text", F.lit(5)))), 3)
-    return out.select(F.col("query.text").alias("query"), F.posexplode("passages").alias("place", "p")).select("query", "place", F.col("p.text").alias("passage"))
-
-
 @query("""WITH d AS (SELECT source, doc_id, text AS x, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents)
 SELECT 'Find ' || source AS query, r::INTEGER - 1 AS place, CASE WHEN doc_id % 2 = 0 AND x <> '' THEN x ELSE 'empty passage' END AS passage FROM d WHERE r <= 3""")
-def training_examples_whole(t):
+def training_examples(t):
     # Only the documents that an example can hold are gathered, so a row stays small however many a source has.
     place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
     out = E.multimodal(_examples(t.documents.withColumn("place", place).where("place <= 4")), 3)
@@ -607,3 +568,120 @@ def collated_batches(t):
 @query("SELECT doc_id FROM documents ORDER BY md5(concat_ws('|', '4', doc_id)), doc_id LIMIT 20")
 def sample_chunks(t):
     return O.sample_chunks(t.documents.select("doc_id"), 20, ["doc_id"], 4)
+
+
+# -- caps, permutations, draws ---------------------------------------------------------
+
+
+@query("SELECT doc_id FROM documents ORDER BY doc_id LIMIT 500")
+def member_cap(t):
+    return O.cap_members(t.documents.select("doc_id"), [F.col("doc_id")], 500)
+
+
+@query("SELECT l_returnflag, sum(l_quantity) / sum(l_extendedprice) AS samples_per_second, 1000 * sum(l_extendedprice) / count(*) AS ms_per_step FROM lineitem GROUP BY 1", "throughput")
+def throughput_query(t):
+    out = O.throughput(t.lineitem, ["l_returnflag"], "l_quantity", "l_extendedprice")
+    return out.select("l_returnflag", "samples_per_second", "ms_per_step")
+
+
+@query(f"SELECT doc_id, row_number() OVER (ORDER BY {_md5('doc_id', 5)}, doc_id) - 1 AS one, row_number() OVER (ORDER BY {_md5('doc_id', 5)}, doc_id) - 1 AS other FROM documents")
+def co_permutation(t):
+    one, other = (O.permute(t.documents.select("doc_id", c), ["doc_id"], 5, name) for c, name in (("lang", "one"), ("source", "other")))
+    return one.select("doc_id", "one").join(other.select("doc_id", "other"), "doc_id")
+
+
+_HASH = "('0x' || substr(md5(concat_ws('|', '{seed}', {key})), 1, 12))::BIGINT"
+
+
+@query(f"""WITH i AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents), d AS (SELECT unnest(range(0, 300)) AS draw)
+SELECT draw, doc_id FROM d, i WHERE i = {_HASH.format(seed=8, key='draw')} % n""")
+def resampled_shards(t):
+    return O.resample(t.documents.select("doc_id"), [F.col("doc_id")], 300, 8).select("draw", "doc_id")
+
+
+@query(f"""WITH i AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents)
+SELECT doc_id, row_number() OVER (ORDER BY i + {_HASH.format(seed=3, key='doc_id')} % 64, i) - 1 AS place FROM i""")
+def shuffle_buffer(t):
+    return O.shuffle_buffer(t.documents.select("doc_id"), [F.col("doc_id")], 64, ["doc_id"], 3).select("doc_id", "place")
+
+
+@query(f"SELECT doc_id FROM documents ORDER BY {_md5('doc_id', 2)}, doc_id LIMIT 150")
+def sample_exact(t):
+    return O.sample_n(t.documents.select("doc_id"), 150, ["doc_id"], 2, exact=True)
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS place FROM documents")
+def sort_if_complete(t):
+    rows = O.sort_if_complete(t.documents.select("doc_id", (F.col("n_chars") * (1 << 32) - F.col("doc_id")).alias("key")), "key")
+    return global_index(rows, [F.col("key").desc()], "place").select("doc_id", (F.col("place") + 1).alias("place"))
+
+
+_LADDER = {n: (O.decayed_batch(n), O.decayed_batch(n, no_odd=True)) for n in range(1, 51)}
+
+
+@query("""WITH o AS (SELECT p_partkey, p_size, CASE WHEN p_size > 1 THEN (1 << (length(bin(p_size - 1)) - 1)) END AS octave FROM part),
+n AS (SELECT p_partkey, CASE WHEN p_size <= 1 THEN 0 ELSE (p_size - 1) // greatest(octave // 2, 1) * greatest(octave // 2, 1) END AS n FROM o)
+SELECT p_partkey, n::INTEGER AS next, (n - n % 2)::INTEGER AS even FROM n""")
+def batch_decay(t):
+    ladder = F.create_map(*[F.lit(x) for n, (one, even) in _LADDER.items() for x in (n, F.struct(F.lit(one).alias("next"), F.lit(even).alias("even")))])
+    return t.part.select("p_partkey", F.element_at(ladder, F.col("p_size")).alias("r")).select("p_partkey", "r.next", "r.even")
+
+
+# -- the other builders and collators --------------------------------------------------
+
+
+def _per_conversation(t: Tables) -> DataFrame:
+    """A conversation's first question with its first answer and second turn: small groups by nature."""
+    c = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    return c.where(F.size("t") >= 3).select("conv_id", F.transform("t", lambda x: x.text).alias("t"))
+
+
+_CONV = "c AS (SELECT conv_id, list(text ORDER BY turn, text) AS t FROM conversations GROUP BY conv_id HAVING count(*) >= 3)"
+
+
+@query(f"WITH {_CONV} SELECT conv_id, 'Q ' || t[1] AS query, 'A ' || t[2] AS positive, 'N ' || t[3] AS negative FROM c")
+def text_only_examples(t):
+    c = _per_conversation(t)
+    parts = c.select("conv_id", F.array(F.lit("Q"), F.get("t", F.lit(0))).alias("query"), F.array(F.lit("A"), F.get("t", F.lit(1))).alias("pos"), F.array(F.lit("N"), F.get("t", F.lit(2))).alias("neg"))
+    out = E.text_only(parts, 2, keep=("conv_id",))
+    return out.select("conv_id", "query", F.get("passages", F.lit(0)).alias("positive"), F.get("passages", F.lit(1)).alias("negative"))
+
+
+@query("SELECT text AS query, text AS passage FROM documents")
+def pretraining_examples(t):
+    return E.pretraining(t.documents.select("text")).select("query", F.get("passages", F.lit(0)).alias("passage"))
+
+
+@query(f"WITH {_CONV} SELECT t[2] AS source, t[1] AS target FROM c")
+def query_generation_examples(t):
+    return E.query_generation(_per_conversation(t).select(F.get("t", F.lit(0)).alias("query"), F.slice("t", 2, 2).alias("pos")))
+
+
+@query(f"WITH {_CONV} SELECT t[2:3][(7 + conv_id) % 2 + 1] || ' ' || t[3] AS source, t[1] AS target FROM c")
+def contrastive_query_examples(t):
+    c = _per_conversation(t).select("conv_id", F.get("t", F.lit(0)).alias("query"), F.slice("t", 2, 2).alias("pos"), F.slice("t", 3, 1).alias("neg"))
+    return E.contrastive_query_generation(c, 7, F.col("conv_id"))
+
+
+@query("SELECT n_name AS query, r_name AS positive, n_name || r_name AS negative, n_nationkey::DOUBLE AS score FROM nation JOIN region ON n_regionkey = r_regionkey")
+def pairwise_examples(t):
+    d = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("query"), F.col("r_name").alias("positive"), F.concat("n_name", "r_name").alias("negative"), F.col("n_nationkey").alias("score"))
+    return E.pairwise_distillation(d)
+
+
+_PAIR_ROWS = "p AS (SELECT p_partkey // 16 AS batch, row_number() OVER (PARTITION BY p_partkey // 16 ORDER BY p_partkey) - 1 AS place, p_name AS query, p_type AS positive, p_brand AS negative FROM part)"
+
+
+@query(f"WITH {_PAIR_ROWS} SELECT batch, place, query, unnest(['positive', 'negative']) AS side, unnest([positive, negative]) AS doc FROM p")
+def collated_pairs(t):
+    d = t.part.select(F.floor(F.col("p_partkey") / 16).alias("batch"), "p_partkey", F.col("p_name").alias("query"), F.col("p_type").alias("positive"), F.col("p_brand").alias("negative"))
+    c = E.collate_pairs(d, "batch", ["p_partkey"])
+    side = lambda s: c.select("batch", F.posexplode(f"{s}s").alias("place", "x")).select("batch", F.col("place").cast("long").alias("place"), "x.query", F.lit(s).alias("side"), "x.doc")
+    return side("positive").union(side("negative"))
+
+
+@query(f"WITH {_PAIR_ROWS} SELECT batch, place, query, positive FROM p")
+def collated_columns(t):
+    d = t.part.select(F.floor(F.col("p_partkey") / 16).alias("batch"), "p_partkey", F.col("p_name").alias("query"), F.col("p_type").alias("positive"))
+    c = E.collate_columns(d, "batch", ["p_partkey"], ["query", "positive"])
+    return c.select("batch", F.posexplode(F.arrays_zip("query", "positive")).alias("place", "x")).select("batch", F.col("place").cast("long").alias("place"), "x.query", "x.positive")

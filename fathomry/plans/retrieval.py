@@ -81,18 +81,6 @@ def merge_shards_topk(t):
     return _out(R.merge(shards, 10))
 
 
-@query(
-    _with(10)
-    + """, pos AS (SELECT qid, did FROM qrels WHERE rel = 2 AND did < 100)
-SELECT qid, did, round(max(score), 6) AS score FROM (
-  SELECT qid, did, score FROM run UNION ALL SELECT qid, did, 1000.0 FROM pos WHERE qid IN (SELECT qid FROM run)
-) GROUP BY qid, did"""
-)
-def inject_positives(t):
-    out = R.inject(run_of(t, 10), qrels_of(t).where("rel = 2 AND did < 100"))
-    return out.select("qid", "did", F.round("score", 6).alias("score"))
-
-
 @query(
     _with(10)
     + """, pos AS (SELECT qid, did FROM qrels WHERE rel = 2)
@@ -100,7 +88,7 @@ SELECT qid, did, round(max(score), 6) AS score FROM (
   SELECT qid, did, score FROM run UNION ALL SELECT qid, did, 1000.0 FROM pos WHERE qid IN (SELECT qid FROM run)
 ) GROUP BY qid, did"""
 )
-def inject_positives_whole(t):
+def inject_positives(t):
     out = R.inject(run_of(t, 10), qrels_of(t).where("rel = 2"))
     return out.select("qid", "did", F.round("score", 6).alias("score"))
 
@@ -140,6 +128,51 @@ def qrels_grouped(t):
     return m.select("qid", F.size("judgements").cast("long").alias("judged"), F.aggregate(F.map_values("judgements"), F.lit(0).cast("long"), lambda s, x: s + x).alias("gain"))
 
 
+# -- lexical search --------------------------------------------------------------------
+
+
+def _terms(df: DataFrame, key: str, name: str) -> DataFrame:
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != "")
+    return df.select(F.col(key).alias(name), F.explode(words).alias("term"))
+
+
+_TERMS = r"""d AS (SELECT doc_id AS did, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda w: w <> '')) AS term FROM documents),
+l AS (SELECT did, count(*) AS n FROM d GROUP BY did), w AS (SELECT count(*) AS docs, avg(n) AS average FROM l),
+a AS (SELECT qid, term, count(*) AS times FROM q GROUP BY ALL), tf AS (SELECT did, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM a) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
+SELECT qid, did, round(sum(times * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / average))), 4) AS score
+FROM a JOIN tf USING (term) JOIN df USING (term) JOIN l USING (did), w GROUP BY qid, did"""
+
+
+@query(r"WITH q AS (SELECT item_id AS qid, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda w: w <> '')) AS term FROM benchmark), " + _TERMS)
+def lexical_scores(t):
+    """Every benchmark item against all documents; all scores, so it doesn't matter how equal ones are cut."""
+    return R.lexical(_terms(t.benchmark, "item_id", "qid"), _terms(t.documents, "doc_id", "did"), 1 << 30).select("qid", "did", F.round("score", 4).alias("score"))
+
+
+@query(r"""WITH x AS (SELECT DISTINCT item_id AS qid, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda w: w <> '')) AS term FROM benchmark),
+least AS (SELECT qid, list_sort(list(term)) AS ts FROM x GROUP BY qid), q1 AS (SELECT qid, unnest(ts[1:2]) AS term FROM least), m AS (SELECT qid, unnest(ts[3:5]) AS added FROM least),
+q AS (SELECT qid || ':' AS qid, term FROM q1 UNION ALL SELECT qid || ':' || added, term FROM q1 JOIN m USING (qid) UNION ALL SELECT qid || ':' || added, added FROM m),
+""" + _TERMS.replace("\nSELECT qid, did, round(", ",\ns AS (SELECT qid, did, round(").replace(", 4) AS score", ", 9) AS score") + r"""),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did) AS r FROM s) WHERE r <= 10),
+placed AS (SELECT qid, did, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did DESC) AS rank FROM top),
+j AS (SELECT DISTINCT y.qid, did FROM d JOIN (SELECT qid, max(term) AS term FROM q1 GROUP BY qid) y USING (term)),
+ideal AS (SELECT qid, list_sum(list_transform(range(1, least(10, count(*)) + 1), lambda i: 1 / log2(i + 1))) AS ideal FROM j GROUP BY qid),
+v AS (SELECT k.qid, k.added, coalesce(sum(1 / log2(rank + 1)) FILTER (j.did IS NOT NULL), 0) / any_value(ideal) AS v
+  FROM (SELECT qid, added, qid || ':' || added AS key FROM m UNION ALL SELECT DISTINCT qid, NULL, qid || ':' FROM q1) k
+  JOIN ideal ON ideal.qid = k.qid LEFT JOIN placed ON placed.qid = k.key LEFT JOIN j ON j.qid = k.qid AND j.did = placed.did GROUP BY k.qid, k.added)
+SELECT a.qid, a.added AS term, round(a.v - b.v, 6) AS reward FROM v a JOIN v b ON a.qid = b.qid AND a.added IS NOT NULL AND b.added IS NULL""")
+def expansion_reward(t):
+    """What nDCG@10 gains by one more word of the documents that hold a benchmark passage, for each of an item's first words as the query."""
+    words = _terms(t.benchmark, "item_id", "qid").distinct()
+    least = words.groupBy("qid").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    queries = least.select("qid", F.explode(F.slice("terms", 1, 2)).alias("term"))
+    more = least.select("qid", F.explode(F.slice("terms", 3, 3)).alias("term"))
+    docs = _terms(t.documents, "doc_id", "did")
+    judged = docs.join(queries.groupBy("qid").agg(F.max("term").alias("term")), "term").select("qid", "did", F.lit(1).alias("rel")).distinct()
+    return R.expansion_reward(queries, more, docs, judged).select("qid", "term", F.round("reward", 6).alias("reward"))
+
+
 # -- metrics ---------------------------------------------------------------------------
 
 DEPTH = 50
@@ -162,6 +195,9 @@ def _metric_sql(level: int, *measures: str) -> str:
         "set_P": sp, "set_recall": sr, "set_F": f"CASE WHEN count_if(hit) > 0 THEN 2 * ({sp}) * ({sr}) / (({sp}) + ({sr})) ELSE 0 END", "set_map": f"({sp}) * ({sr})",
         "set_relative_P": "CASE WHEN any_value(R) > 0 THEN count_if(hit) / least(count(*), any_value(R)) ELSE 0 END",
         "utility": "2 * count_if(hit) - count(*)", "num_nonrel_judged_ret": "count_if(nonrel)",
+        "G": "coalesce(sum(gain / log2(2 + rank - cum)) FILTER (hit) / any_value(gains), 0)", "binG": over("coalesce(sum(1 / log2(2 + rank - cum)) FILTER (hit), 0)"),
+        "ndcg_rel": over("coalesce(sum(dcg / list_sum(ideals[1:rank])) FILTER (hit), 0)"),
+        "Rndcg": "coalesce(list_sum(list_transform(any_value(cuts), lambda c: list_sum(list_filter(list_transform(list(struct_pack(r := rank, g := gain)), lambda x: CASE WHEN x.r <= c THEN x.g / log2(x.r + 1) ELSE 0 END), lambda y: true)) / list_sum(any_value(ideals)[1:c]))) / len(any_value(cuts)), 0)",
     }
     cut = {
         "P": lambda k: f"count_if(hit AND rank <= {k}) / {k}", "recall": lambda k: over(f"count_if(hit AND rank <= {k})"),
@@ -177,10 +213,11 @@ def _metric_sql(level: int, *measures: str) -> str:
     return (
         _with(DEPTH)
         + f""", st AS (
-  SELECT qid, count_if(rel >= {level}) AS R, count_if(rel < {level} AND rel >= 0) AS N, sum(rel / log2(i + 1)) AS ideal, list(rel / log2(i + 1) ORDER BY i) AS ideals
-  FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, did) AS i FROM qrels) GROUP BY qid
+  SELECT qid, count_if(rel >= {level}) AS R, count_if(rel < {level} AND rel >= 0) AS N, sum(rel / log2(i + 1)) AS ideal, list(rel / log2(i + 1) ORDER BY i) AS ideals,
+         sum(rel) FILTER (rel >= {level}) AS gains, list_distinct(list(c) FILTER (rel > 0)) AS cuts
+  FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, did) AS i, count(*) OVER (PARTITION BY qid ORDER BY rel DESC) AS c FROM qrels) GROUP BY qid
 ), j AS (
-  SELECT run.qid, rank, {hit} AS hit, {non} AS nonrel, coalesce(rel, 0) AS gain, R, N, ideal, ideals,
+  SELECT run.qid, rank, {hit} AS hit, {non} AS nonrel, coalesce(rel, 0) AS gain, R, N, ideal, ideals, gains, cuts, sum(coalesce(rel, 0) / log2(rank + 1)) OVER w AS dcg,
          sum(({hit})::INT) OVER w AS cum, sum(({non})::INT) OVER w AS non, count(rel) OVER w AS pool
   FROM run LEFT JOIN qrels ON run.qid = qrels.qid AND run.did = qrels.did JOIN st ON run.qid = st.qid
   WINDOW w AS (PARTITION BY run.qid ORDER BY rank)
@@ -213,6 +250,8 @@ _metric("metric_bpref", "bpref", "gm_bpref")
 _metric("metric_infap", "infAP")
 _metric("metric_counts", "num_q", "num_ret", "num_rel", "num_rel_ret", "num_nonrel_judged_ret", "utility")
 _metric("metric_gm_map", "gm_map")
+_metric("metric_gains", "G", "binG")
+_metric("metric_ndcg_rel", "ndcg_rel", "Rndcg")
 _metric("metric_level2", "map", "P.10", "ndcg", "bpref", level=2)
 
 _AGG = "CASE WHEN measure LIKE 'num@_%' ESCAPE '@' THEN sum(value) WHEN measure LIKE 'gm@_%' ESCAPE '@' THEN exp(avg(value)) ELSE avg(value) END"

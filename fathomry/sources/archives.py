@@ -1,24 +1,29 @@
 """Members of tar and zip archives as rows, read by a Python data source.
 
 Each archive is a partition. Members are listed from their headers; the bytes of a member
-are only read if its name passes, so an id filter costs no decoding of the rest.
+are only read if its name passes a pattern or is among given ids, so a filter costs no reading of the rest.
 """
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 import tarfile
 import zipfile
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.store import scratch
 from ..functions.text import to_base64
 
 SCHEMA = "archive string, name string, size long, content binary"
-#: Archives inside archives are opened down to this depth.
+#: Archives inside archives are opened down to this depth, unless the option ``nesting`` says otherwise.
 NESTING = 1
+#: Ids that a reader may hold, 8 bytes each; beyond, members are only filtered after they were read.
+HELD_IDS = 5_000_000
 
 
 def expand(pattern: str) -> tuple[list[str], int | None]:
@@ -49,6 +54,7 @@ class ArchiveReader(DataSourceReader):
         self.paths, _ = expand(options["path"])
         self.pattern = options.get("pattern")
         self.skip_errors = options.get("skiperrors", "false") == "true"
+        self.nesting, self.ids_path = int(options.get("nesting", NESTING)), options.get("ids")
 
     def partitions(self):
         import pyarrow.fs as pafs
@@ -64,8 +70,25 @@ class ArchiveReader(DataSourceReader):
                 found.append(uri)
         return [_Archive(p) for p in sorted(found)]
 
-    def _members(self, f, name: str, depth: int = 0):
-        wanted = re.compile(self.pattern).search if self.pattern else lambda _: True
+    def _wanted(self):
+        """Whether a member is to be read, by its name: the pattern, and its base name's hash among those of the ids."""
+        match = re.compile(self.pattern).search if self.pattern else lambda _: True
+        if not self.ids_path:
+            return match
+        import pyarrow.fs as pafs
+        import pyarrow.parquet as pq
+
+        fs, root = pafs.FileSystem.from_uri(self.ids_path)
+        hashes = np.sort(pq.read_table(root, filesystem=fs).column("h").to_numpy())
+
+        def among(name: str) -> bool:
+            h = name_hash(name.rpartition("/")[2])
+            at = hashes.searchsorted(h)
+            return bool(at < len(hashes) and hashes[at] == h and match(name))
+
+        return among
+
+    def _members(self, f, name: str, wanted, depth: int = 0):
         if name.endswith(".zip"):
             with zipfile.ZipFile(f) as z:
                 for i in z.infolist():
@@ -76,8 +99,8 @@ class ArchiveReader(DataSourceReader):
             for m in t:
                 if not m.isfile():
                     continue
-                if depth < NESTING and m.name.endswith(".tar"):
-                    yield from self._members(io.BytesIO(t.extractfile(m).read()), m.name, depth + 1)
+                if depth < self.nesting and m.name.endswith(".tar"):
+                    yield from self._members(io.BytesIO(t.extractfile(m).read()), m.name, wanted, depth + 1)
                 elif wanted(m.name):
                     yield m.name, m.size, t.extractfile(m).read()
 
@@ -87,7 +110,7 @@ class ArchiveReader(DataSourceReader):
         fs, path = pafs.FileSystem.from_uri(partition.path)
         with fs.open_input_file(path) as f:
             try:
-                for name, size, content in self._members(f, path):
+                for name, size, content in self._members(f, path, self._wanted()):
                     yield partition.path, name, size, content
             except (tarfile.TarError, zipfile.BadZipFile, EOFError, OSError):
                 if not self.skip_errors:
@@ -106,15 +129,33 @@ class ArchiveSource(DataSource):
         return ArchiveReader(self.options)
 
 
-def read_archive(spark: SparkSession, path: str, pattern: str | None = None, skip_errors: bool = False) -> DataFrame:
-    """(archive, name, size, content) of the members whose names match the regular expression."""
+def name_hash(name: str) -> int:
+    """The first 63 bits of an md5, as Spark computes it below."""
+    return int(hashlib.md5(name.encode()).hexdigest()[:16], 16) >> 1
+
+
+def read_archive(spark: SparkSession, path: str, pattern: str | None = None, skip_errors: bool = False, ids: DataFrame | None = None, nesting: int = NESTING) -> DataFrame:
+    """(archive, name, size, content) of the members whose names match the regular expression.
+
+    With ids(id) only members whose base name is one of them are read: the ids' hashes are a table
+    that each reader holds, and a semi-join makes the result exact.
+    """
     spark.dataSource.register(ArchiveSource)
-    reader = spark.read.format("archive").option("path", path).option("skiperrors", str(skip_errors).lower())
-    return (reader.option("pattern", pattern) if pattern else reader).load()
+    reader = spark.read.format("archive").option("path", path).option("skiperrors", str(skip_errors).lower()).option("nesting", nesting)
+    if pattern:
+        reader = reader.option("pattern", pattern)
+    if ids is None:
+        return reader.load()
+    asked = ids.select(F.col("id").cast("string").alias("__id")).distinct()
+    h = F.shiftrightunsigned(F.conv(F.substring(F.md5("__id"), 1, 16), 16, -10).cast("long"), 1)
+    table = scratch(spark)(asked.select("__id", h.alias("h")), "ids")
+    if table.count() <= HELD_IDS:
+        reader = reader.option("ids", table.inputFiles()[0].rpartition("/")[0] if table.inputFiles() else "")
+    return reader.load().join(table.select("__id"), F.substring_index("name", "/", -1) == F.col("__id"), "left_semi")
 
 
 def members_of(archive: DataFrame, ids: DataFrame, on: str = "id") -> DataFrame:
-    """Members whose base name is among the ids: (id, image) in base64."""
+    """Members whose base name is among the ids: (id, image) in base64. ``read_archive(ids=...)`` doesn't even read the others."""
     rows = archive.select(F.substring_index("name", "/", -1).alias("id"), to_base64("content").alias("image"))
     return rows.join(ids.select(F.col(on).alias("id")).distinct(), "id", "left_semi")
 
@@ -130,7 +171,7 @@ def read_image_tar(spark: SparkSession, path: str, extensions=("png", "jpg", "jp
     folder = F.regexp_extract("name", r"([^/]+)/[^/]*$", 1)
     label = F.when(folder != "", folder).otherwise(F.regexp_extract("archive", r"([^/]+)\.[^/]*$", 1))
     out = rows.select("archive", "name", label.alias("label"), to_base64("content").alias("image"))
-    return out.join(F.broadcast(labels), "label", "left") if labels is not None else out
+    return out.join(labels, "label", "left") if labels is not None else out
 
 
 def read_shards(spark: SparkSession, pattern: str, image_key: str = "jpg", target_key: str = "cls", alt_label: str | None = None) -> DataFrame:

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import json
 import re
+import warnings
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.order import global_index
 from ..functions.text import to_base64
+from .sink import append_summary, write_archives, write_files, write_markdown, write_rolled_jsonl, write_split_json  # noqa: F401  the other writers
 
 # Image suffixes that count unless others are registered.
 IMAGE_EXTENSIONS = {".png", ".jpg", ".jpeg"}
@@ -84,11 +88,29 @@ def read_images(spark: SparkSession, path: str, extensions=None, recursive: bool
     return df.where(suffix.isin(kinds)).select(F.substring_index("path", "/", -1).alias("id"), to_base64("content").alias("image"), "path")
 
 
+def count_pages(content: bytes) -> int:
+    """Page objects of a PDF, also those in compressed object streams; 0 where none can be read."""
+    import zlib
+
+    page = re.compile(rb"/Type\s*/Page(?![s\w])")
+    n = len(page.findall(content))
+    for m in re.finditer(rb"<<[^>]*/ObjStm[^>]*>>\s*stream\r?\n", content):
+        try:
+            n += len(page.findall(zlib.decompressobj().decompress(content[m.end() :])))
+        except zlib.error:
+            continue  # a filter other than Flate, or damage
+    return n
+
+
 def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content, pages): page objects counted in the file's bytes; 0 where none can be read."""
-    df = read_binary(spark, path, "*.pdf", recursive=True)
-    marks = F.regexp_count(F.decode("content", "ISO-8859-1"), F.lit(r"/Type\s*/Page(?![s\w])"))
-    return df.select("path", "content", marks.alias("pages"))
+    """(path, content, pages) of the PDFs under a folder."""
+    df = read_binary(spark, path, "*.pdf", recursive=True).select("path", "content")
+
+    def run(batches):
+        for batch in batches:
+            yield batch.append_column("pages", pa.array([count_pages(c.as_py()) for c in batch.column(1)], pa.int32()))
+
+    return df.mapInArrow(run, "path string, content binary, pages int")
 
 
 def read_image_folder(spark: SparkSession, path: str, leaf_only: bool = True, extensions=None) -> DataFrame:
@@ -105,6 +127,15 @@ def read_image_folder(spark: SparkSession, path: str, leaf_only: bool = True, ex
     return rows.join(classes, "label").select("path", "label", "class_index", "image")
 
 
+def class_map(spark: SparkSession, found: str | dict) -> DataFrame:
+    """(label, class_index) from a dictionary, or from a text file of labels in file order. Pickled maps are refused: opening one runs code."""
+    if isinstance(found, dict):
+        return spark.createDataFrame([(str(k), int(v)) for k, v in found.items()], "label string, class_index long")
+    if not found.endswith(".txt"):
+        raise ValueError(f"no reader for the class map {found}")
+    return read_class_map(spark, found)
+
+
 def read_class_map(spark: SparkSession, path: str) -> DataFrame:
     """(label, class_index) from a text file of labels, in file order."""
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda x: x != "")).alias("class_index", "label"))
@@ -124,10 +155,35 @@ def read_figures(df: DataFrame, outer: str = "caption_images", inner: str = "cil
     return figures.select(*[c for c in df.columns if c != outer], "figure", F.col("f.caption").alias("caption"), F.get(F.col("f")[inner], F.lit(0)).image.alias("image"))
 
 
+def read_numbered_lines(spark: SparkSession, paths) -> DataFrame:
+    """(file, line, value): lines with their number in the file, from 0. Files are read in splits, of any size."""
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__n"))
+    placed = global_index(lines, [F.col("file"), F.col("__b"), F.col("__n")], "__i")
+    first = placed.groupBy("file").agg(F.min("__i").alias("__first"))
+    return placed.join(first, "file").select("file", (F.col("__i") - F.col("__first")).alias("line"), "value")
+
+
 def read_pdf_jsonl(spark: SparkSession, paths, field: str = "pdf") -> DataFrame:
     """(name, pdf): the bytes of base64 PDFs, named after file and line."""
-    lines = spark.read.text(paths, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]*)\.[^./]*$", 1).alias("stem"), F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("line", "json"))
-    return lines.select(F.concat("stem", F.lit("_"), F.col("line").cast("string"), F.lit(".pdf")).alias("name"), F.unbase64(F.get_json_object("json", f"$.{field}")).alias("pdf"))
+    lines = read_numbered_lines(spark, paths)
+    stem = F.regexp_extract("file", r"([^/]*)\.[^./]*$", 1)
+    return lines.select(F.concat(stem, F.lit("_"), F.col("line").cast("string"), F.lit(".pdf")).alias("name"), F.unbase64(F.get_json_object("value", f"$.{field}")).alias("pdf"))
+
+
+def from_memory(spark: SparkSession, rows: list, schema: StructType | str) -> DataFrame:
+    """Rows that the caller holds; dictionaries may lack fields."""
+    return spark.createDataFrame(rows, schema)
+
+
+def look_up(store: DataFrame, ids: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(the store's rows with these ids, the ids that it doesn't have)."""
+    asked = ids.select(key).distinct()
+    return store.join(asked, key, "left_semi"), asked.join(store.select(key), key, "left_anti")
+
+
+def page_images(pages: DataFrame, store: DataFrame, key: str = "id", image: str = "image") -> DataFrame:
+    """(key, image): the bytes of the base64 images of sampled pages."""
+    return store.join(pages.select(key).distinct(), key, "left_semi").select(key, F.unbase64(image).alias(image))
 
 
 _BY_SUFFIX = {"jsonl": "json", "json": "json", "tsv": "tsv", "txt": "tsv", "parquet": "parquet"}
@@ -146,6 +202,22 @@ def read_by_suffix(spark: SparkSession, path: str, schema=None) -> DataFrame:
     raise ValueError(f"no reader for {path}")
 
 
+# Folder names that stand for one split.
+SPLITS = (("train", "training"), ("val", "valid", "validation", "eval", "evaluation"))
+
+
+def split_folder(root: str, split: str) -> str:
+    """The sub-folder of a split, or of a synonym of it; root itself where there is none. ``split`` may end in a range in brackets."""
+    import pyarrow.fs as pafs
+
+    filesystem, base = pafs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+    name = split.split("[")[0]
+    for folder in (name, *next((s for s in SPLITS if name in s), ())):
+        if filesystem.get_file_info(f"{base.rstrip('/')}/{folder}").type == pafs.FileType.Directory:
+            return f"{root.rstrip('/')}/{folder}"
+    return root
+
+
 def open_dataset(spark: SparkSession, name: str, root: str, schema=None) -> DataFrame:
     """``wds/`` and a tar name are shards, ``hfds/`` and ``hfids/`` Parquet, anything else an image folder or tar."""
     from .archives import read_image_tar, read_shards
@@ -171,8 +243,11 @@ def row_count(df: DataFrame, metadata: str | None = None) -> int:
         try:
             found = df.sparkSession.read.text(metadata, wholetext=True).first()
             return int(json.loads(found[0])["length"])
-        except Exception:  # noqa: BLE001  missing or damaged: count instead
-            pass
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+        except (TypeError, ValueError, KeyError) as e:
+            warnings.warn(f"{metadata} is damaged ({e!r}); the rows are counted", stacklevel=2)
     return df.count()
 
 
@@ -208,11 +283,9 @@ def write_pages(df: DataFrame, path: str, mode: str = "error", max_records: int
 
 
 def write_predictions(df: DataFrame, path: str, form: str = "parquet", mode: str = "error") -> None:
-    """Predictions as ``parquet``, ``json`` (records), ``json-split`` (one struct of columns) or ``csv``."""
-    if form == "json-split":
-        columns = df.columns
-        row = F.to_json(F.struct(F.lit(json.dumps(columns)).alias("columns"), F.to_json(F.array(*[F.col(c).cast("string") for c in columns])).alias("data")), {"ignoreNullFields": "false"})
-        df.select(row.alias("value")).write.mode(mode).text(path)
+    """Predictions as ``parquet``, ``json`` (records), ``json-split`` (columns once, then rows), ``json-index`` (by the first column) or ``csv``."""
+    if form in ("json-split", "json-index"):
+        write_split_json(df, path, df.columns[0] if form == "json-index" else None, mode)
     elif form == "csv":
         df.write.mode(mode).option("header", True).csv(path)
     elif form == "json":
@@ -221,7 +294,3 @@ def write_predictions(df: DataFrame, path: str, form: str = "parquet", mode: str
         df.write.mode(mode).parquet(path)
     else:
         raise ValueError(f"unknown form {form}")
-
-
-def append_summary(df: DataFrame, path: str) -> None:
-    df.write.mode("append").option("header", True).csv(path)

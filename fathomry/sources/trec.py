@@ -40,9 +40,10 @@ def read_trec_qrels(spark: SparkSession, path, unique: bool = True, only_ones: b
 
 
 def read_beir_qrels(spark: SparkSession, path) -> DataFrame:
-    """(qid, did, rel) from a TSV with a header; of a pair that comes twice the last line counts."""
-    f = _fields(spark, path, "\t").where("position > 0 OR NOT value LIKE 'query-id%'").select(F.get("f", F.lit(0)).alias("qid"), F.get("f", F.lit(1)).alias("did"), F.get("f", F.lit(2)).cast("int").alias("rel"), "position")
-    return f.groupBy("qid", "did").agg(F.max_by("rel", "position").alias("rel"))
+    """(qid, did, rel) from TSV files with a header each; of a pair that comes twice the last line of the last file counts."""
+    reader = spark.read.option("sep", "\t").option("quote", "").option("header", True).schema("qid string, did string, rel int")
+    lines = reader.csv(path).select("*", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()).alias("place"))
+    return lines.groupBy("qid", "did").agg(F.max_by("rel", "place").alias("rel"))
 
 
 def positives(qrels: DataFrame, threshold: int = 1) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -16,20 +17,27 @@ def stream_jsonl(spark: SparkSession, path: str, schema: StructType | str, trans
     return transform((reader.option("maxFilesPerTrigger", max_files) if max_files else reader).json(path))
 
 
-def resume(stream: DataFrame, done_path: str, work: Callable[[DataFrame], DataFrame], key: str, checkpoint: str):
+def resume(stream: DataFrame, done_path: str, work: Callable[[DataFrame], DataFrame], key: str, checkpoint: str, buckets: int = 256):
     """A writer that runs ``work`` on keys that have no result yet and appends what comes out.
 
-    The checkpoint remembers the files read; the anti-join guards against a batch that is run again.
+    The checkpoint remembers the files read; the anti-join guards against keys that come again and
+    against a batch that is run again. Results lie in ``buckets`` folders by a hash of the key, so a
+    micro-batch reads the keys of its own buckets only.
     """
+    bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+
     def one(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
+        batch = batch.dropDuplicates([key]).withColumn("__bucket", bucket)
         try:
-            done = spark.read.parquet(done_path).select(key).distinct()
-            batch = batch.join(done, key, "left_anti")
-        except Exception as e:  # nothing has been written yet
+            done = spark.read.parquet(done_path)
+        except AnalysisException as e:  # nothing has been written yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-        work(batch).write.mode("append").parquet(done_path)
+        else:
+            mine = [r[0] for r in batch.select("__bucket").distinct().collect()]  # at most ``buckets`` numbers
+            batch = batch.join(done.where(F.col("__bucket").isin(mine)).select("__bucket", key), ["__bucket", key], "left_anti")
+        work(batch.drop("__bucket")).withColumn("__bucket", bucket).write.mode("append").partitionBy("__bucket").parquet(done_path)
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
@@ -83,6 +91,38 @@ def respond(df: DataFrame, call: Callable, times: int = 5) -> DataFrame:
     return df.withColumn("id", F.col("id").cast("string")).mapInPandas(with_retries(call, times), "id string, response string, error string")
 
 
+def detect(df: DataFrame, detector: Callable[[pd.Series], list], column: str = "text", name: str = "lang") -> DataFrame:
+    """df with what a batch detector (a language detector, say) makes of a column; null where it fails on a batch's row."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            try:
+                found = list(detector(batch[column]))
+            except Exception:  # noqa: BLE001  one row spoils the batch: ask row by row
+                found = []
+                for i in range(len(batch)):
+                    try:
+                        found += list(detector(batch[column].iloc[i : i + 1]))
+                    except Exception:  # noqa: BLE001
+                        found.append(None)
+            yield batch.assign(**{name: found})
+
+    return df.mapInPandas(run, StructType([*df.schema.fields]).add(name, "string"))
+
+
+def split_pages(df: DataFrame, splitter: Callable[[bytes], Iterator], key: str, column: str = "content", name: str = "page", kind: str = "binary") -> DataFrame:
+    """(key, number, page): one row for each part that a splitter or renderer makes of a document, numbered from 1; none where it fails."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k, content in zip(batch[key], batch[column]):
+                try:
+                    pages = list(splitter(content))
+                except Exception:  # noqa: BLE001  unreadable documents are left out
+                    continue
+                yield pd.DataFrame({key: [k] * len(pages), "number": range(1, len(pages) + 1), name: pages})
+
+    return df.select(key, column).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, number int, {name} {kind}")
+
+
 def encode(df: DataFrame, encoder: Callable[[pd.DataFrame], list], text: str = "text") -> DataFrame:
     """(id, embedding) from a batch encoder; a vector with a NaN is an error."""
     from ..functions.vectors import has_nan

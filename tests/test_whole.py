@@ -1,4 +1,4 @@
-"""Queries that take whole tables and whole texts, where their namesakes' SQL takes a part."""
+"""Queries that take whole tables and whole texts, of awkward rows."""
 
 import base64
 
@@ -19,8 +19,8 @@ def _run(spark, name, root, *key):
 
 def test_whole_texts_come_through(spark, tmp_path):
     root = _documents(spark, tmp_path)
-    filled, kept = _run(spark, "template_fill_whole", root, "doc_id"), _run(spark, "empty_fallback_whole", root, "doc_id")
-    coded, body = _run(spark, "base64_roundtrip_whole", root, "doc_id"), _run(spark, "title_body_whole", root, "doc_id")
+    filled, kept = _run(spark, "template_fill", root, "doc_id"), _run(spark, "empty_fallback", root, "doc_id")
+    coded, body = _run(spark, "base64_roundtrip", root, "doc_id"), _run(spark, "title_body", root, "doc_id")
     for i, text in TEXTS.items():
         assert filled[i,].prompt == f"Title: s [en] {text}"
         assert kept[i,].text == ("empty document" if i % 5 == 0 else text)
@@ -29,19 +29,19 @@ def test_whole_texts_come_through(spark, tmp_path):
 
 
 def test_training_examples_hold_whole_texts(spark, tmp_path):
-    found = _run(spark, "training_examples_whole", _documents(spark, tmp_path), "query", "place")
+    found = _run(spark, "training_examples", _documents(spark, tmp_path), "query", "place")
     assert {k: r.passage for k, r in found.items()} == {("Find s", 0): "empty passage", ("Find s", 1): TEXTS[2], ("Find s", 2): "empty passage"}
 
 
 def test_union_holds_odd_documents(spark, tmp_path):
     root = _documents(spark, tmp_path)
     spark.createDataFrame([(1, "b")], "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
-    assert sorted(_run(spark, "union_shards_whole", root, "doc_id", "origin")) == sorted([*((i, "d") for i in TEXTS), (1, "b")])
+    assert sorted(_run(spark, "union_shards", root, "doc_id", "origin")) == sorted([*((i, "d") for i in TEXTS), (1, "b")])
 
 
 def test_positives_of_any_id_are_injected(spark, tmp_path):
     rows = [(i, [1.0, i / 300], i % 2) for i in range(260)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
-    found = _run(spark, "inject_positives_whole", str(tmp_path), "qid", "did")
+    found = _run(spark, "inject_positives", str(tmp_path), "qid", "did")
     want = {(q, d) for q in range(0, 260, 10) for d in range(0, 260, 2) if d != q}
     assert {k for k, r in found.items() if r.score == 1000.0} == want
