@@ -1,7 +1,9 @@
 """License scans: an exact set-similarity join of text blocks and notice templates.
 
-A block is a run of lines without a blank line between; a template is found in a block if
-the block holds at least ``THRESHOLD`` of the template's distinct words. The join is exact:
+A block is a run of lines without a blank line between; a template matches a block if the block
+holds at least ``THRESHOLD`` of the template's distinct words. ``matches`` gives every such pair.
+A label goes to a document if a block matches its template and also holds the template's
+``MARKS``, the words without which it would be another notice. The join is exact:
 
 * tokens are ordered by the documents they occur in, rarest first, counted over all
   documents (only template tokens can match, so only they are counted);
@@ -17,7 +19,8 @@ Beside it, ``PHRASES`` are looked for word by word. Spark expressions only.
 Defined results: a null or empty text has no words, places or labels and a score of 0; the
 score is 1 where a phrase stands, else the best containment of a template found, else 0;
 labels are distinct, sorted and comma-joined, empty if there are none; repeated rows get a
-row each; an empty table gives an empty result.
+row each; an empty table gives an empty result. A text of any length is one row's work, and blocks
+are numbered from 0 within it.
 """
 
 from __future__ import annotations
@@ -50,6 +53,11 @@ TEMPLATES = (
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 )
+# The words that tell a notice from others that share most of its wording.
+MARKS = {
+    "agpl-notice": ("affero",), "apache-2.0": ("apache",), "cc-by-4.0": ("commons", "attribution"), "cc-by-nc-4.0": ("cc", "nc"), "cc-by-sa-4.0": ("cc", "sa"),
+    "gpl-3.0": ("gnu", "general"), "gpl-notice": ("gnu", "general"), "mit-release": ("mit",), "mpl-2.0": ("mozilla",), "unlicense": ("unencumbered",),
+}
 BLANK_LINE = r"\n[\x20\x09-\x0D]*\n"
 
 
@@ -62,8 +70,8 @@ def need_of(size: int, threshold: float) -> int:
     return max(1, math.ceil(round(threshold * size, 9)))
 
 
-def scan(work: Work, docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, phrases=PHRASES) -> DataFrame:
-    """(doc_id, n_words, n_base, first_word, last_word, base_labels, found, score); the labels as sorted arrays."""
+def _joined(work: Work, docs: DataFrame, keep: list[str], templates, threshold: float, phrases, marks: dict) -> tuple[DataFrame, DataFrame]:
+    """(rows as written, every match of theirs: row, block, label, share, marked)."""
     tokens = {label: template_tokens(text) for label, text in templates}
     vocabulary = sorted({t for ts in tokens.values() for t in ts})
     present = F.array_intersect(words(F.col("text")), F.array(*[F.lit(t) for t in vocabulary]))
@@ -78,7 +86,7 @@ def scan(work: Work, docs: DataFrame, templates=TEMPLATES, threshold: float = TH
     prefix = F.array(*[F.lit(t) for t in sorted({t for t, *_ in index})])
 
     w = F.col("w")
-    base = docs.select("doc_id", "text", words(F.coalesce("text", F.lit(""))).alias("w"))
+    base = docs.select(*keep, "text", words(F.coalesce("text", F.lit(""))).alias("w"))
     starts = []
     for phrase, label in phrases:
         parts = phrase.split(" ")
@@ -86,19 +94,32 @@ def scan(work: Work, docs: DataFrame, templates=TEMPLATES, threshold: float = TH
         starts.append(F.when(F.array_contains(w, parts[0]) & F.array_contains(w, parts[-1]), here).otherwise(F.array().cast("array<int>")).alias(f"at_{label}"))
     ordered = F.array(*[F.lit(t) for t in order])
     blocks = F.transform(F.split(lower_ascii(F.col("text")), BLANK_LINE), lambda b: F.array_intersect(ordered, F.split(b, GAP)))
-    blocks = F.when(F.arrays_overlap("w", prefix), F.filter(blocks, lambda b: F.size(b) > 0))
-    rows = base.select("doc_id", F.size("w").cast("long").alias("n_words"), *starts, blocks.alias("blocks"))
+    blocks = F.when(F.arrays_overlap("w", prefix), blocks)
+    rows = base.select(*keep, F.size("w").cast("long").alias("n_words"), *starts, blocks.alias("blocks"))
     rows = work.save(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
 
-    entries = [F.struct(F.lit(t).alias("token"), F.lit(label).alias("label"), F.lit(i).alias("i"), F.lit(size).alias("size"), F.lit(need).alias("need"), F.array(*map(F.lit, ts)).alias("template")) for t, label, i, size, need, ts in index]
+    entries = [F.struct(F.lit(t).alias("token"), F.lit(label).alias("label"), F.lit(i).alias("i"), F.lit(size).alias("size"), F.lit(need).alias("need"), F.array(*map(F.lit, ts)).alias("template"), F.array(*map(F.lit, marks.get(label, ()))).cast("array<string>").alias("marks")) for t, label, i, size, need, ts in index]
     lookup = F.broadcast(work.spark.range(1).select(F.inline(F.array(*entries))))  # as many rows as the templates' prefixes have tokens
     blocks = rows.select("row", F.posexplode("blocks").alias("block", "b")).where(F.size("b") > 0)
     probes = blocks.select("row", "block", "b", F.posexplode("b").alias("j", "token")).join(lookup, "token")
     fits = (F.size("b") >= F.col("need")) & (F.least(F.col("size") - F.col("i"), F.size("b") - F.col("j")) >= F.col("need"))
     share = F.size(F.array_intersect("b", "template")) / F.col("size")
-    found = probes.where(fits).where(F.size(F.array_intersect("b", "template")) >= F.col("need")).select("row", "label", share.alias("share"))
-    found = found.groupBy("row").agg(F.collect_set("label").alias("found"), F.max("share").alias("best"))
+    found = probes.where(fits).where(F.size(F.array_intersect("b", "template")) >= F.col("need"))
+    marked = F.size(F.array_intersect("b", "marks")) == F.size("marks")
+    # A block can meet a template by several prefix tokens.
+    return rows, found.select("row", "block", "label", share.alias("share"), marked.alias("marked")).distinct()
+
+
+def matches(work: Work, docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, marks: dict = MARKS) -> DataFrame:
+    """(doc_id, block, label, share, marked): every block that meets a template's threshold, and whether it holds its marks."""
+    rows, found = _joined(work, docs, ["doc_id"], templates, threshold, (), marks)
+    return rows.select("doc_id", "row").join(found, "row").select("doc_id", F.col("block").cast("long").alias("block"), "label", "share", "marked")
 
+
+def scan(work: Work, docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, phrases=PHRASES, marks: dict = MARKS) -> DataFrame:
+    """(doc_id, n_words, n_base, first_word, last_word, base_labels, found, score); the labels as sorted arrays."""
+    rows, found = _joined(work, docs, ["doc_id"], templates, threshold, phrases, marks)
+    found = found.where("marked").groupBy("row").agg(F.collect_set("label").alias("found"), F.max("share").alias("best"))
     out = rows.drop("blocks").join(found, "row", "left")
     ats = [F.col(f"at_{label}") for _, label in phrases]
     every = F.concat(*ats)

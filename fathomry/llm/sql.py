@@ -104,11 +104,11 @@ FROM o GROUP BY conv_id
 
 
 def _license_sql() -> str:
-    from .op05_license import TEMPLATES, THRESHOLD, need_of, template_tokens
+    from .op05_license import MARKS, TEMPLATES, THRESHOLD, need_of, template_tokens
 
-    rows = ", ".join(f"('{label}', {need_of(len(ts), THRESHOLD)}, [{', '.join(repr(t) for t in ts)}])" for label, ts in ((x, template_tokens(text)) for x, text in TEMPLATES))
+    rows = ", ".join(f"('{label}', {need_of(len(ts), THRESHOLD)}, [{', '.join(repr(t) for t in ts)}], [{', '.join(repr(m) for m in MARKS.get(label, ()))}]::VARCHAR[])" for label, ts in ((x, template_tokens(text)) for x, text in TEMPLATES))
     return rf"""
-WITH t(label, need, ts) AS (VALUES {rows}),
+WITH t(label, need, ts, marks) AS (VALUES {rows}),
 d AS (
   SELECT row_number() OVER () AS r, doc_id, {_LOWER} AS low FROM documents
 ), w AS (
@@ -121,7 +121,7 @@ d AS (
 ), b AS (
   SELECT r, list_distinct(regexp_split_to_array(unnest(regexp_split_to_array(low, '\n[\x20\x09-\x0D]*\n')), '{_GAP}')) AS bw FROM d
 ), f AS (
-  SELECT r, label, len(list_intersect(bw, ts)) / len(ts) AS share FROM b, t WHERE len(list_intersect(bw, ts)) >= need
+  SELECT r, label, len(list_intersect(bw, ts)) / len(ts) AS share FROM b, t WHERE len(list_intersect(bw, ts)) >= need AND len(list_intersect(bw, marks)) = len(marks)
 ), lab AS (
   SELECT r, list_distinct(list(label)) AS ls, max(share) AS best FROM f GROUP BY r
 ), o AS (

@@ -289,7 +289,8 @@ def test_chat_round_trip(spark):
 def test_license_scan_equals_brute_force(spark, corpus):
     said = ["Released under the MIT License.", "mit\nlicense mit license", "Apache-LICENSE and the General Public License", "general public", "MITLicense", "xmit license",
             "Permission is hereby granted, free of charge, to any\nperson obtaining a copy of this software and associated files", "licensed under cc by-nc 4.0", "under the terms of\n\nthe GNU general license",
-            "Licensed Apache Version 2.0 under the"]
+            "Licensed Apache Version 2.0 under the", "Released under the Apache License", "Licensed under CC BY-SA 4.0", "a\n\nReleased under the\nMIT license\n \t\nb\n\nunder CC BY-NC 4.0 licensed",
+            "you can redistribute it and or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "the " * 30_000 + "MIT license released under"]
     rows = corpus + [(500 + i, t, "s") for i, t in enumerate(said)]
     got = Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, tuple(r.base_labels), tuple(r.found), round(r.score, 9)) for r in op05_license.scan(Work(spark, "t5"), docs_of(spark, rows)).collect())
     want = Counter()
@@ -303,12 +304,24 @@ def test_license_scan_equals_brute_force(spark, corpus):
             for label, text in op05_license.TEMPLATES:
                 ts = set(op05_license.template_tokens(text))
                 share = len(ts & set(WORD.findall(block))) / len(ts)
-                if share >= 0.8 - 1e-12:
+                if share >= 0.8 - 1e-12 and set(op05_license.MARKS.get(label, ())) <= set(WORD.findall(block)):
                     found.add(label)
                     best = max(best, share)
         want[i, len(w), len(places), places[0] if places else None, places[-1] if places else None, tuple(sorted(k for k, v in at.items() if v)), tuple(sorted(found)), round(1.0 if places else best, 9)] += 1
     assert got == want
     assert op05_license.scan(Work(spark, "t5"), docs_of(spark, rows).limit(0)).count() == 0
+    pairs = Counter((r.doc_id, r.block, r.label, round(r.share, 9), r.marked) for r in op05_license.matches(Work(spark, "t5"), docs_of(spark, rows)).collect())
+    every = Counter()
+    for i, t, _ in rows:
+        for k, block in enumerate(re.split(r"\n[\x20\x09-\x0D]*\n", (t or "").translate(AZ))):
+            have = set(WORD.findall(block))
+            for label, text in op05_license.TEMPLATES:
+                ts = set(op05_license.template_tokens(text))
+                if len(ts & have) / len(ts) >= 0.8 - 1e-12:
+                    every[i, k, label, round(len(ts & have) / len(ts), 9), set(op05_license.MARKS.get(label, ())) <= have] += 1
+    assert pairs == every
+    labels = {r.doc_id: r.found for r in op05_license.scan(Work(spark, "t5"), docs_of(spark, rows[-5:])).collect()}
+    assert [labels[i] for i, _, _ in rows[-5:-3]] == [[], ["cc-by-sa-4.0"]]  # an Apache notice isn't MIT's, nor one Creative Commons licence another
 
 
 # -- 6 -----------------------------------------------------------------------------------
@@ -414,6 +427,7 @@ def test_token_histogram_answers_every_limit(spark, corpus):
     s = op07_tokens.summarise(Work(spark, "t7"), op07_tokens.histogram(docs)).cache()
     for r in s.collect():
         assert (r.docs_at_most, r.docs_above) == (sum(n <= r.length for n in lengths), sum(n > r.length for n in lengths))
+        assert r.quantile == pytest.approx(sum(n <= r.length for n in lengths) / len(lengths))
         assert (r.tokens_at_most, r.truncated_total) == (sum(n for n in lengths if n <= r.length), sum(min(n, r.length) for n in lengths))
     for limit in (0, 1, 7, 50, 10_000):
         assert op07_tokens.truncated_total(s, limit) == sum(min(n, limit) for n in lengths)
