@@ -75,7 +75,10 @@ def histogram(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN) -
 
 
 def summarise(work: Work, counts: DataFrame) -> DataFrame:
-    """(length, n_docs, docs_at_most, docs_above, tokens_at_most, tokens_above, truncated_total), a row for each length."""
+    """(length, n_docs, docs_at_most, docs_above, tokens_at_most, tokens_above, truncated_total, quantile), a row for each length.
+
+    A row answers the context limit of its length; ``quantile`` is the share of documents that don't exceed it.
+    """
     counts = work.save(counts.withColumn("block", F.floor(F.col("length") / _BLOCK)), "histogram")
     tokens = F.col("length") * F.col("n_docs")
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(tokens).alias("t"))
@@ -91,7 +94,7 @@ def summarise(work: Work, counts: DataFrame) -> DataFrame:
         (F.col("t_beyond") + F.coalesce(F.sum(tokens).over(inside), F.lit(0))).alias("tokens_above"),
     )
     at_most = F.col("all_tokens") - F.col("tokens_above")
-    return rows.select("length", "n_docs", (F.col("all_docs") - F.col("docs_above")).alias("docs_at_most"), "docs_above", at_most.alias("tokens_at_most"), "tokens_above", (at_most + F.col("length") * F.col("docs_above")).alias("truncated_total"))
+    return rows.select("length", "n_docs", (F.col("all_docs") - F.col("docs_above")).alias("docs_at_most"), "docs_above", at_most.alias("tokens_at_most"), "tokens_above", (at_most + F.col("length") * F.col("docs_above")).alias("truncated_total"), ((F.col("all_docs") - F.col("docs_above")) / F.col("all_docs")).alias("quantile"))
 
 
 def truncated_total(summary: DataFrame, limit: int) -> int:
