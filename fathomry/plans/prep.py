@@ -297,15 +297,23 @@ def evidence_fanout(t):
     return c.select("conv_id", F.explode("evidence").alias("page"))
 
 
-@query("WITH c AS (SELECT source, list(doc_id ORDER BY doc_id) AS ids FROM documents GROUP BY source) SELECT source, unnest(list_concat(ids, ids)[3 % len(ids) + 1 : 3 % len(ids) + 4]) AS doc_id FROM c")
+#: Documents in groups of 16 by id: what an example or a batch gathers is bounded, whatever a source holds.
+_GROUPS = "(SELECT doc_id, lang, (row_number() OVER (ORDER BY doc_id) - 1) // 16 AS source FROM documents)"
+
+
+def _groups(t: Tables) -> DataFrame:
+    return B.fixed_chunks(t.documents.select("doc_id", "lang"), [F.col("doc_id")], 16, "source")
+
+
+@query(f"WITH c AS (SELECT source, list(doc_id ORDER BY doc_id) AS ids FROM {_GROUPS} GROUP BY source) SELECT source, unnest(list_concat(ids, ids)[3 % len(ids) + 1 : 3 % len(ids) + 4]) AS doc_id FROM c")
 def rotate_window(t):
-    c = t.documents.groupBy("source").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
+    c = _groups(t).groupBy("source").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
     return c.select("source", F.explode(O.rotate(F.col("ids"), F.lit(3), 4)).alias("doc_id"))
 
 
-@query("WITH c AS (SELECT source, list(doc_id ORDER BY doc_id) AS ids FROM documents GROUP BY source) SELECT source, ids[17 % len(ids) + 1] AS picked, list_sum(ids[1:3])::BIGINT AS head FROM c")
+@query(f"WITH c AS (SELECT source, list(doc_id ORDER BY doc_id) AS ids FROM {_GROUPS} GROUP BY source) SELECT source, ids[17 % len(ids) + 1] AS picked, list_sum(ids[1:3])::BIGINT AS head FROM c")
 def pick_negative(t):
-    c = t.documents.groupBy("source").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
+    c = _groups(t).groupBy("source").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
     return c.select("source", O.pick(F.col("ids"), F.lit(17)).alias("picked"), F.aggregate(F.slice("ids", 1, 3), F.lit(0).cast("long"), lambda s, x: s + x).alias("head"))
 
 
@@ -544,24 +552,24 @@ def training_examples(t):
     return out.select(F.col("query.text").alias("query"), F.posexplode("passages").alias("place", "p")).select("query", "place", F.col("p.text").alias("passage"))
 
 
-@query("""WITH c AS (SELECT source, list(doc_id ORDER BY doc_id) AS ids FROM documents GROUP BY source)
+@query(f"""WITH c AS (SELECT source, list(doc_id ORDER BY doc_id) AS ids FROM {_GROUPS} GROUP BY source)
 SELECT source AS query, ids[(5 + 2) % len(ids) + 1] AS positive, ids[2:][(5 + 2) % (len(ids) - 1) + 1] AS negative FROM c WHERE len(ids) > 1""")
 def reranking_examples(t):
-    c = t.documents.groupBy("source").agg(F.sort_array(F.collect_list("doc_id")).alias("pos")).where(F.size("pos") > 1)
+    c = _groups(t).groupBy("source").agg(F.sort_array(F.collect_list("doc_id")).alias("pos")).where(F.size("pos") > 1)
     return E.reranking(c.select(F.col("source").alias("query"), "pos", F.slice("pos", 2, 1 << 30).alias("neg")), 2, F.lit(5))
 
 
-@query("""WITH c AS (SELECT source, list(doc_id ORDER BY doc_id) AS ids FROM documents GROUP BY source)
+@query(f"""WITH c AS (SELECT source, list(doc_id ORDER BY doc_id) AS ids FROM {_GROUPS} GROUP BY source)
 SELECT source AS query, unnest(list_concat(ids, ids)[6 % len(ids) + 1 : 6 % len(ids) + 3]) AS doc, unnest(list_concat(ids, ids)[6 % len(ids) + 1 : 6 % len(ids) + 3]) * 2 AS score FROM c""")
 def listwise_examples(t):
-    c = t.documents.groupBy("source").agg(F.sort_array(F.collect_list("doc_id")).alias("docs")).select(F.col("source").alias("query"), "docs", F.transform("docs", lambda x: x * 2).alias("scores"))
+    c = _groups(t).groupBy("source").agg(F.sort_array(F.collect_list("doc_id")).alias("docs")).select(F.col("source").alias("query"), "docs", F.transform("docs", lambda x: x * 2).alias("scores"))
     return E.listwise_distillation(c, 2, 3).select("query", F.inline(F.arrays_zip("docs", "scores"))).select("query", F.col("docs").alias("doc"), F.col("scores").alias("score"))
 
 
-@query("""WITH d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents)
+@query(f"""WITH d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM {_GROUPS})
 SELECT source AS batch, i::INTEGER AS place, doc_id AS passage FROM d""")
 def collated_batches(t):
-    d = t.documents.select(F.col("source").alias("batch"), "doc_id", F.col("lang").alias("query"), F.array("doc_id").alias("passages"))
+    d = _groups(t).select(F.col("source").alias("batch"), "doc_id", F.col("lang").alias("query"), F.array("doc_id").alias("passages"))
     return E.collate(d, "batch", ["doc_id"]).select("batch", F.posexplode("passages").alias("place", "passage"))
 
 
