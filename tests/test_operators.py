@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fathomry.functions import text as T, vectors as V, vision as I
 from fathomry.functions.order import global_index
-from fathomry.operators import batching as B, retrieval as R, rows as O
+from fathomry.operators import batching as B, contrastive as C, retrieval as R, rows as O
 from fathomry.plans.prep import EXAMPLES
 from fathomry.streaming import flows
 
@@ -166,3 +166,53 @@ def test_cumulative_split_over_many_ranges(spark):
             want[i] = 0 if before < 50 else 1
         before += i % 7
     assert got == want
+
+
+def test_search_in_small_blocks_equals_brute_force(spark, monkeypatch):
+    """Blocks of a few vectors, equal scores, equal ids on both sides, and vectors that take no part."""
+    monkeypatch.setattr(R, "CORPUS_BLOCK", 7)
+    rng = np.random.default_rng(3)
+    x = rng.integers(-5, 6, (90, 4)).astype(float)
+    x[40:60] = x[3]
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(200, None), (201, [float("nan")] * 4), (202, [None] * 4)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(3)
+    queries, corpus = df.withColumnRenamed("id", "qid").where("qid % 2 = 0"), df.withColumnRenamed("id", "did")
+    for own in (False, True):
+        got = {(r.qid, r.rank): r.did for r in R.search(queries, corpus, 6, own, block=5).collect()}
+        want = {}
+        for q in range(0, 90, 2):
+            best = sorted((-float(sum(a * b for a, b in zip(x[q], x[d]))), d) for d in range(90) if not (own and d == q))
+            scores = sorted((round(s, 9), d) for s, d in best)[:6]
+            want |= {(q, r + 1): d for r, (_, d) in enumerate(scores)}
+        assert got == want
+    assert R.search(queries.limit(0), corpus, 3).count() == 0 and R.search(queries, corpus.limit(0), 3).count() == 0
+
+
+def test_natural_key_of_long_digit_runs(spark):
+    names = ["a2", "a10", "a" + "9" * 20, "a1" + "0" * 20, "a002b", "a2b", "b1"]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in reversed(names)], "n string").orderBy(T.natural_key(F.col("n")), "n").collect()]
+    assert got == ["a2", "a002b", "a2b", "a10", "a" + "9" * 20, "a1" + "0" * 20, "b1"]
+
+
+def test_batch_losses_do_not_depend_on_micro_batches(spark):
+    rng = np.random.default_rng(5)
+    rows = [(b, i, [float(v) for v in rng.normal(size=3)], [[float(v) for v in rng.normal(size=3)] for _ in range(2)]) for b in range(3) for i in range(4 + b)]
+    pairs = spark.createDataFrame(rows, "batch int, i int, query array<double>, doc array<array<double>>").repartition(4)
+    a, b = ({r.batch: (r.loss, r.other, r.accuracy) for r in C.batch_losses(pairs, 0.2, 2, micro).collect()} for micro in (2, 100))
+    for k in a:
+        assert a[k] == pytest.approx(b[k])
+        q, d = np.array([r[2] for r in rows if r[0] == k]), np.array([v for r in rows if r[0] == k for v in r[3]])
+        s = q @ d.T / 0.2
+        own = s[np.arange(len(q)), 2 * np.arange(len(q))]
+        assert a[k][0] == pytest.approx(np.mean(np.log(np.exp(s).sum(1)) - own)) and a[k][1] == pytest.approx(np.mean(np.log(np.exp(s[:, ::2]).sum(0)) - own))
+        assert a[k][2] == np.mean(s.argmax(1) == 2 * np.arange(len(q)))
+    one = {r.batch: r.loss for r in C.in_batch_loss(C.gather_batches(pairs.withColumn("doc", F.get("doc", F.lit(0))), 3)).collect()}
+    q, d = np.array([r[2] for r in rows]), np.array([r[3][0] for r in rows])
+    s = q @ d.T / 0.2
+    assert one == {0: pytest.approx(np.mean(np.log(np.exp(s).sum(1)) - np.diag(s)))}
+
+
+def test_dropout_is_seeded(spark):
+    states = F.array(F.array(*[F.lit(1.0)] * 64), F.array(*[F.lit(2.0)] * 64))
+    one, two, other = (spark.range(1).select(V.dropout(states, 0.5, F.lit(s)).alias("x")).first().x for s in (1, 1, 2))
+    assert one == two != other and set(one[0]) == {0.0, 2.0} and set(one[1]) == {0.0, 4.0}

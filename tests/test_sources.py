@@ -116,3 +116,47 @@ def test_parquet_rows_and_figures(spark, tmp_path):
     assert sorted((r.id, r.doc_id) for r in rows.collect()) == [(0, 0), (1, 1), (2, 2)]
     nested = spark.createDataFrame([([("c", [("i",)]), ("d", [("j",), ("k",)]), ("e", [])],)], "caption_images array<struct<caption: string, cil_pairs: array<struct<image: string>>>>")
     assert [(r.figure, r.caption, r.image) for r in files.read_figures(nested).collect()] == [(0, "c", "i")]
+
+
+def test_rolled_files_end_at_the_bound(spark, tmp_path):
+    df = spark.createDataFrame([(i, "x" * 90, None) for i in range(100)], "id int, text string, more string").coalesce(1)
+    files.write_rolled_jsonl(df, str(tmp_path / "r"), 1000)
+    sizes = [p.stat().st_size for p in (tmp_path / "r").glob("*.jsonl")]
+    assert len(sizes) > 5 and max(sizes) < 1000 + 150
+    assert files.read_jsonl(spark, str(tmp_path / "r"), "id int, text string, more string").count() == 100
+    assert '"more":null' in next((tmp_path / "r").glob("*.jsonl")).read_text()
+
+
+def test_archives_read_only_the_members_asked_for(spark, tmp_path):
+    df = spark.createDataFrame([("a.tar.gz" if i % 2 else "b.tar.gz", f"d/{i}.png", bytes([i]) * 10) for i in range(20)], "archive string, name string, content binary")
+    archives_path = str(tmp_path / "x")
+    files.write_archives(df.repartition(3), archives_path, F.col("archive"), F.col("name"), F.col("content"))
+    ids = spark.createDataFrame([("3.png",), ("8.png",), ("none",), (None,)], "id string")
+    got = archives.read_archive(spark, archives_path, ids=ids).collect()
+    assert {(r["name"], bytes(r.content)) for r in got} == {("d/3.png", b"\x03" * 10), ("d/8.png", b"\x08" * 10)}
+    reader = archives.ArchiveReader({"path": archives_path})
+    assert [len(list(reader.read(p))) for p in reader.partitions()] == [10, 10]
+    assert archives.read_archive(spark, archives_path, ids=ids.limit(0)).count() == 0
+
+
+def test_pages_in_compressed_object_streams(tmp_path):
+    import zlib
+
+    packed = zlib.compress(b"1 0 << /Type /Page >> 2 40 << /Type/Page/Parent 3 0 R >> << /Type /Pages >>")
+    pdf = b"%PDF-1.5\n<< /Type /Page >>\n5 0 obj << /Type /ObjStm /N 2 /Filter /FlateDecode >>\nstream\n" + packed + b"\nendstream\n6 0 obj << /ObjStm >> stream\nnot zlib"
+    assert files.count_pages(pdf) == 3 and files.count_pages(b"") == 0
+
+
+def test_damaged_metadata_warns_and_counts(spark, tmp_path):
+    df = spark.range(3)
+    with pytest.warns(UserWarning, match="damaged"):
+        assert files.row_count(df, write(tmp_path / "m.json", "{broken")) == 3
+    assert files.row_count(df, str(tmp_path / "none")) == 3
+
+
+def test_class_maps_and_split_folders(spark, tmp_path):
+    assert {r.label: r.class_index for r in files.class_map(spark, {"a": 1, "b": 0}).collect()} == {"a": 1, "b": 0}
+    with pytest.raises(ValueError):
+        files.class_map(spark, "x.pkl")
+    (tmp_path / "training").mkdir()
+    assert files.split_folder(str(tmp_path), "train[:5%]").endswith("/training") and files.split_folder(str(tmp_path), "val") == str(tmp_path)
