@@ -38,6 +38,19 @@ class Work:
         for name in names:
             self._delete(self.path(name))
 
+    def sub(self, name: str) -> Work:
+        """A folder inside this one, for the tables of a part."""
+        part = Work.__new__(Work)
+        part.spark, part.root = self.spark, f"{self.root}/{name}-{uuid.uuid4().hex[:12]}"
+        return part
+
+    def keep(self, *names: str) -> None:
+        """Delete all tables of this run but those that a result still reads."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        for status in path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path):
+            if status.getPath().getName() not in names:
+                self.drop(status.getPath().getName())
+
     def clear(self) -> None:
         """Delete all tables of this run."""
         self._delete(self.root)

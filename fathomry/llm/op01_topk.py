@@ -232,6 +232,7 @@ def top_k(work: Work, vectors: DataFrame, is_query: Column, k: int = K) -> DataF
     # A chunk of queries is little to read and much to do, so tasks go by their number, not by bytes.
     spread = asked.repartition(max(1, min(groups, MOST_TASKS)), "leaf", "chunk")
     found = work.save(spread.groupBy("leaf", "chunk").applyInArrow(answer, "vec binary, has_own boolean, own long, ids array<long>, scores array<long>, scored long, asked long"), "found")
+    work.keep("queries", "found", "points")
     pairs = queries.join(found.select("vec", "has_own", "own", "ids", "scores"), ["vec", "has_own", "own"]).select("query_id", F.filter(F.arrays_zip("ids", "scores"), lambda x: x.ids != F.col("query_id")).alias("best"))
     return pairs.select("query_id", F.posexplode(F.slice("best", 1, k)).alias("rank", "b")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.ids").alias("vec_id"), F.col("b.scores").alias("score"))
 

@@ -69,6 +69,7 @@ def targets(work: Work, sizes: DataFrame, weights=WEIGHTS, share=SHARE, max_epoc
     A document is taken ``whole`` times, and once more if its hash is at most ``cut``; of those
     whose hash is ``at`` (if not null), ``some`` are taken once more.
     """
+    shared, work = work, work.sub("targets")
     sizes = sizes.withColumn("bucket", F.shiftright("h", _SHIFT).cast("int"))
     buckets = work.save(sizes.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "buckets", rows=sizes.count())
     sources = buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))
@@ -102,7 +103,9 @@ def targets(work: Work, sizes: DataFrame, weights=WEIGHTS, share=SHARE, max_epoc
         F.max(F.when(F.col("some") == F.col("n"), F.col("h"))).alias("beyond"), F.max(F.when((F.col("some") > 0) & (F.col("some") < F.col("n")), F.struct("h", "some"))).alias("part")
     )
     out = filled.join(inside, F.col("source").eqNullSafe(F.col("i_source")), "left").join(beyond, F.col("source").eqNullSafe(F.col("b_source")), "left")
-    return work.save(out.select("source", "source_size", "target", "whole", F.coalesce("beyond", "inside").alias("cut"), F.col("part.h").alias("at"), F.col("part.some").alias("some")), "targets", rows=n)
+    found = shared.save(out.select("source", "source_size", "target", "whole", F.coalesce("beyond", "inside").alias("cut"), F.col("part.h").alias("at"), F.col("part.some").alias("some")), "targets", rows=n)
+    work.clear()
+    return found
 
 
 _ASKED = ("source", "source_size", "target", "whole", "cut", "at", "some")

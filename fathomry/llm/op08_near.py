@@ -20,7 +20,7 @@ A document's set is its distinct word shingles. Two documents link when
    blocks of bounded size, a task compares two blocks, and only what is found leaves it. That is
    quadratic in a bucket of documents that share boilerplate but aren't alike: in comparisons of
    60 numbers, and beyond ``BLOCKS`` blocks of the largest size also in rows sent. Whoever has
-   a partner left goes on to be compared on full sets, in blocks of ``OUTSIDE`` by ``MEMBERS``.
+   a partner left goes on to be compared on full sets, in blocks of ``OUTSIDE`` by ``MEMBERS`` documents.
    Then nothing is untested.
 5. A pair whose minhashes agree in fewer than ``least_agree`` of ``2 * SIDE * GROUP`` places
    can't reasonably have similarity 0.8 (odds below 1e-6) and is left; the rest are confirmed on
@@ -49,12 +49,11 @@ from ._work import Work
 WORDS, PERCENT = 5, 80
 SIDE, GROUP = 10, 3
 LEAST_AGREE = 32
-#: Documents of a block, on average, that are compared by minhashes (240 bytes each), and how many blocks there
-#: may be before blocks grow to the second number: so a document is sent to at most BLOCKS tasks up to
-#: BLOCKS * BLOCK[1] documents under a leader.
-BLOCK, BLOCKS = (512, 8192), 64
+#: Documents of a block, on average, that are compared by minhashes (240 bytes each): at least, and at most. Between
+#: the two it grows so that there are BLOCKS blocks, and no document is sent to more tasks than that.
+BLOCK, BLOCKS = (256, 8192), 64
 #: The same for full sets, which long documents make large: those outside the leader's component, and all under it.
-OUTSIDE, MEMBERS = 128, 256
+OUTSIDE, MEMBERS = (64, 256), (128, 512)
 #: Ids that a broadcast may hold (16 bytes each); beyond it the same join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -161,13 +160,13 @@ def _by_group(batches, keys: list[str]):
 _KEYS = ["leader", "ub", "mb"]
 
 
-def _block_size() -> Column:
-    return F.least(F.lit(BLOCK[1]), F.greatest(F.lit(BLOCK[0]), F.ceil(F.col("n_all") / BLOCKS)))
+def _block_size(bounds: tuple[int, int]) -> Column:
+    return F.least(F.lit(bounds[1]), F.greatest(F.lit(bounds[0]), F.ceil(F.col("n_all") / BLOCKS)))
 
 
-def _blocks(members: DataFrame, payload: DataFrame, outside: Column, block: Column) -> DataFrame:
+def _blocks(members: DataFrame, payload: DataFrame, outside: tuple[int, int], block: tuple[int, int]) -> DataFrame:
     """members(leader, rep, label, outside, n_out, n_all) as the rows of block pairs, sorted by block pair."""
-    outs, alls = (F.ceil(F.col(c) / size).cast("int") for c, size in (("n_out", outside), ("n_all", block)))
+    outs, alls = (F.ceil(F.col(c) / _block_size(size)).cast("int") for c, size in (("n_out", outside), ("n_all", block)))
     dealt = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), n).cast("int")
     fields = ["leader", "rep", "label"]
     left = members.where("outside").select(*fields, F.lit(True).alias("asks"), dealt(outs, 1).alias("ub"), F.explode(F.sequence(F.lit(0), alls - 1)).alias("mb"))
@@ -234,17 +233,17 @@ def _late_links(work: Work, docs: DataFrame, reps: DataFrame, members: DataFrame
     n = counted.count()
     if not n:
         return work.spark.createDataFrame([], "a long, b long")
-    left = _blocks(counted, reps.select("rep", "n_shingles", "hashes"), _block_size(), _block_size()).mapInArrow(candidates, "leader long, rep long, label long")
+    left = _blocks(counted, reps.select("rep", "n_shingles", "hashes"), BLOCK, BLOCK).mapInArrow(candidates, "leader long, rep long, label long")
     counted = _counted(work, work.save(left.distinct(), "late-members", rows=n), "left")
     sets = _sets_of(work, docs, counted.select(F.col("rep").alias("doc_id")).distinct(), counted.count(), words, "late")
-    links = work.save(_blocks(counted, sets, F.lit(OUTSIDE), F.lit(MEMBERS)).mapInArrow(confirm, "a long, b long").distinct(), "late-links", rows=n)
+    links = work.save(_blocks(counted, sets, OUTSIDE, MEMBERS).mapInArrow(confirm, "a long, b long").distinct(), "late-links", rows=n)
     work.drop("late-leaders", "late-counted", "late-members", "left-leaders", "left-counted", "late-sets")
     return links
 
 
 def components(work: Work, docs: DataFrame, words: int = WORDS, percent: int = PERCENT, least_agree: int = LEAST_AGREE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    work, docs = work.sub("components"), docs.select(F.col("doc_id").cast("long"), "text")
     sketches = work.save(sketch(docs, words), "sketches")
     whole = sketches.where("doc_id IS NOT NULL AND n_shingles > 0")
     copies = whole.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -273,6 +272,7 @@ def components(work: Work, docs: DataFrame, words: int = WORDS, percent: int = P
     alone = merged.select(F.col("label").alias("node"), "label").join(labels.select("node"), "node", "left_anti")
     found = labels.unionByName(alone).join(merged, "label", "left").select("node", F.coalesce("beyond", "label").alias("component_id"))
     found = work.save(found, "components", rows=labels.count() + merged.count())
+    work.keep("sketches", "copies", "components")
 
     rep = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id"))
     classed = sketches.select("doc_id", "n_shingles", "f1", "f2").join(copies, ["f1", "f2"], "left").select("doc_id", "n_shingles", rep.alias("node"))

@@ -88,7 +88,7 @@ def contamination(work: Work, docs: DataFrame, benchmark: DataFrame, window: int
     hits = _hits(docs, F.broadcast(places) if rows <= BROADCAST_ROWS else places, _small(items), window)
     by_doc = hits.groupBy("doc_id", "text_hash").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).cast("long").alias("n_hit"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
     found = work.save(by_doc, "found", rows=n)
-    work.drop("postings", "places")
+    work.drop("items", "terms", "postings", "frequency", "anchors", "places")
     return found
 
 

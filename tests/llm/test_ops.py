@@ -259,6 +259,7 @@ def test_mix_large_source_is_cut_close_to_its_target(spark):
 def test_chat_round_trip(spark):
     nasty = ["\\", "<", "</turn>\n", "<+>", "<turn:user>\n", "\\s\\l", "", None, "\n", "é𝄞<", ">\n", "a|b" * 500]
     rows = [(c, t, role, nasty[(c + 5 * t) % len(nasty)]) for c in range(12) for t, role in enumerate(["user", "user", "assistant", "assistant", "a>\n<b\\", None, "assistant"])]
+    rows += [(60, 0, "user", "long <\\ " * 40_000), (60, 1, "assistant", "reply </turn> " * 40_000)]
     rows += [(50, None, "user", "late"), (50, 0, "assistant", "first"), (51, 1, "user", "b"), (51, 1, "user", "a"), (51, 1, "user", "a"), (None, 0, "assistant", "x")]
     df = spark.createDataFrame([(*r, "q") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
     chats = op04_chat.format_chats(df)
@@ -352,9 +353,12 @@ def test_toxicity_learns_and_is_held_out(spark):
     assert kept.columns == docs.columns and kept.where("doc_id = 702").isEmpty() and kept.where("doc_id IS NULL").count() == 1
 
 
-def brute_toxicity(train, share, asked):
-    """Scores by dictionaries of n-grams and Newton's method on a dense matrix."""
-    grams = lambda t: {(t or "").lower()[i : i + n] for n in range(3, 9) for i in range(len(t or "") - n + 1)}
+def ngrams(t):
+    return {(t or "").lower()[i : i + n] for n in range(3, 9) for i in range(len(t or "") - n + 1)}
+
+
+def brute_toxicity(train, share, asked, grams=ngrams):
+    """Scores by dictionaries of features and Newton's method on a dense matrix."""
     sets, y = [grams(t) for t, _ in train], np.array([k for _, k in train], bool)
     count = [Counter(g for s, k in zip(sets, y) if k == side for g in s) for side in (False, True)]
     ratio = {}
@@ -422,8 +426,9 @@ def test_token_histogram_answers_every_limit(spark, corpus):
     with open(op07_tokens.VOCABULARY, "rb") as f:
         encode = op07_tokens.load_encoding(f.read()).encode_ordinary
     lengths = sorted(len(encode(t or "")) for _, t, _ in corpus)
-    docs = docs_of(spark, corpus + [(9, "<|endoftext|>", "s")])
-    lengths = sorted([*lengths, len(encode("<|endoftext|>"))])
+    long = "many words " * 30_000
+    docs = docs_of(spark, corpus + [(9, "<|endoftext|>", "s"), (10, long, "s")])
+    lengths = sorted([*lengths, len(encode("<|endoftext|>")), len(encode(long))])
     s = op07_tokens.summarise(Work(spark, "t7"), op07_tokens.histogram(docs)).cache()
     for r in s.collect():
         assert (r.docs_at_most, r.docs_above) == (sum(n <= r.length for n in lengths), sum(n > r.length for n in lengths))
@@ -496,8 +501,8 @@ def test_near_duplicates_in_small_blocks_and_without_the_minhash_cut(spark, monk
     rng.shuffle(rows)
     rows.append((500, "long " + "word " * 20_000, "s"))
     monkeypatch.setattr(op08_near, "BLOCK", (8, 16))
-    monkeypatch.setattr(op08_near, "OUTSIDE", 4)
-    monkeypatch.setattr(op08_near, "MEMBERS", 8)
+    monkeypatch.setattr(op08_near, "OUTSIDE", (4, 8))
+    monkeypatch.setattr(op08_near, "MEMBERS", (8, 9))
     for least in (op08_near.LEAST_AGREE, 0):
         got = op08_near.components(Work(spark, "t8"), docs_of(spark, rows), 2, least_agree=least).collect()
         assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 2)
@@ -522,7 +527,7 @@ def test_components_of_a_long_chain(spark):
 
 def test_decontamination_equals_brute_force(spark, corpus):
     items = [(1, " ".join(corpus[3][1].split()[:40])), (10, "The SHARED line w1"), (2, "one"), (3, None), (4, "..."), (5, "lost, words; HERE"), (1, "line end"), (6, "w1 " * 30), (7, "absent w2"), (None, "end")]
-    rows = corpus + [(600, "x " + "w1 " * 25 + "y", "s"), (601, "w1 " * 9, "s"), (602, items[0][1].replace(" ", "--").upper() + " tail", "s")]
+    rows = corpus + [(600, "x " + "w1 " * 25 + "y", "s"), (601, "w1 " * 9, "s"), (602, items[0][1].replace(" ", "--").upper() + " tail", "s"), (603, "pad " * 20_000 + items[0][1] + " pad" * 20_000, "s")]
     docs, bench = docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")
     got = Counter((r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids)) for r in op09_decontam.report(Work(spark, "t9"), docs, bench).collect())
     words = lambda t: WORD.findall((t or "").translate(AZ))

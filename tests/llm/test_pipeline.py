@@ -1,11 +1,18 @@
 """The pipeline on the smallest tables: shapes, effects, and the guard around it."""
 
+import hashlib
+import math
 import os
+import zlib
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from test_ops import AZ, SPACE, WORD, brute_components, brute_lines, brute_toxicity, fill
 
 import __spark_entry__
 import corpus_pipeline
+from fathomry.llm import op06_toxic
 
 DATA = "/root/testdata/sf0.001"
 
@@ -29,6 +36,57 @@ def test_stages_and_run(spark):
     assert sorted(map(str, whole.select("doc_id", "repetition").collect())) == sorted(map(str, mixed.select("doc_id", "repetition").collect()))
 
 
+def brute_pipeline(docs, labels, items):
+    """(doc_id, text, repetition) rows: every stage by plain Python over (doc_id, text, source) rows with unique ids.
+
+    Whole texts have more n-grams than the classifier has slots, so its features here are slots too.
+    """
+    toxic = {}
+    for i, y in labels:
+        if i is not None and y is not None:
+            toxic[i] = max(toxic.get(i, 0), y)
+    known = {i: y for i, y in toxic.items() if zlib.crc32(str(i).encode()) % 5}
+    train = [(t, known[i]) for i, t, _ in docs if i in known]
+    scores, _ = brute_toxicity(train, np.mean(list(known.values())), [t for _, t, _ in docs], lambda t: set(op06_toxic.slots(t).tolist()))
+    docs = [d for d, s in zip(docs, scores) if s < 0.5]
+    docs = [(i, None if t is None else new, s) for (i, t, s), (_, _, _, new) in zip(docs, brute_lines(docs))]
+    first = {i: c for i, _, c in brute_components(docs, 5)}
+    docs = [d for d in docs if first[d[0]] == d[0]]
+    words = lambda t: WORD.findall((t or "").translate(AZ))
+    windows = defaultdict(set)
+    for t in items:
+        w = words(t)
+        n = min(10, len(w))
+        windows[n] |= {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if w else set()
+    clean = []
+    for d in docs:
+        w = words(d[1])
+        if not any(tuple(w[k : k + n]) in found for n, found in windows.items() if n for k in range(len(w) - n + 1)):
+            clean.append(d)
+    size = lambda t: len(SPACE.findall(t or ""))
+    by = defaultdict(list)
+    for d in clean:
+        by[d[2]].append(d)
+    names = sorted(s for s in by if s is not None) + [s for s in by if s is None]
+    sizes = [sum(size(t) for _, t, _ in by[s]) for s in names]
+    out = Counter()
+    for s, n, target in zip(names, sizes, fill(sizes, [(5, 2, 1)[k % 3] for k in range(len(names))])):
+        whole = math.floor(target / n) if n else 0
+        before = 0
+        for _, i, t in sorted((int(hashlib.md5(f"17|{i}|{t or ''}".encode()).hexdigest()[:15], 16), i, t) for i, t, _ in by[s]):
+            taken = whole + (before + size(t) / 2 <= target - whole * n)
+            before += size(t)
+            out += Counter((i, t, k) for k in range(taken))
+    return out
+
+
+def test_run_equals_brute_force(spark):
+    table = lambda name: spark.read.parquet(f"{DATA}/{name}.parquet").collect()
+    want = brute_pipeline([(r.doc_id, r.text, r.source) for r in table("documents")], [(r.doc_id, r.toxic) for r in table("labels")], [r.text for r in table("benchmark")])
+    got = Counter((r.doc_id, r.text, r.repetition) for r in corpus_pipeline.run(spark, DATA).collect())
+    assert got == want
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
