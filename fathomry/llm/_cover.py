@@ -142,6 +142,28 @@ def bounds(q: Tree, d: Tree) -> np.ndarray:
 NONE = np.iinfo(np.int64)
 
 
+class Ids:
+    """Several ids a point: one array, and where each point's begin in it."""
+
+    def __init__(self, starts: np.ndarray, flat: np.ndarray):
+        self.starts, self.flat = starts, flat
+
+    @classmethod
+    def from_lists(cls, ids) -> Ids:
+        sizes = np.array([len(x) for x in ids], np.int64)
+        return cls(np.r_[0, np.cumsum(sizes)], np.array([i for x in ids for i in x], np.int64))
+
+    def take(self, points: np.ndarray) -> Ids:
+        flat, counts = self.of(points)
+        return Ids(np.r_[0, np.cumsum(counts)], flat)
+
+    def of(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the points' ids one after the other, how many each has)."""
+        first = self.starts[points]
+        counts = self.starts[points + 1] - first
+        return self.flat[np.repeat(first - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())] if len(points) else self.flat[:0], counts
+
+
 class Best:
     """The best (score, id) of each query so far; a query's own id, where it has one to leave out, never enters."""
 
@@ -151,7 +173,7 @@ class Best:
         self.own = np.zeros(n, np.int64) if own is None else own
         self.has_own = np.zeros(n, bool) if has_own is None else has_own
 
-    def offer(self, lo: int, hi: int, scores: np.ndarray, ids: list[np.ndarray]) -> None:
+    def offer(self, lo: int, hi: int, scores: np.ndarray, ids: Ids) -> None:
         """scores of queries lo to hi x points; a point stands for all its ids."""
         floor = self.scores[lo:hi, -1]
         if scores.shape[1] > self.keep:
@@ -160,8 +182,8 @@ class Best:
         q, p = np.nonzero(scores >= floor[:, None])
         if not len(q):
             return
-        counts = np.fromiter((len(ids[i]) for i in p), np.int64, len(p))
-        q, s, i = np.repeat(q, counts), np.repeat(scores[q, p], counts), np.concatenate([ids[i] for i in p])
+        i, counts = ids.of(p)
+        q, s = np.repeat(q, counts), np.repeat(scores[q, p], counts)
         fine = ~(self.has_own[lo + q] & (self.own[lo + q] == i))
         q, s, i = q[fine], s[fine], i[fine]
         hit = np.unique(q)
@@ -202,7 +224,7 @@ def _promise(q: Tree, d: Tree, best: Best, most: np.ndarray) -> np.ndarray:
 TOGETHER, AT_ONCE = 64, 1024
 
 
-def search(q: Tree, d: Tree, ids: list[np.ndarray], best: Best) -> int:
+def search(q: Tree, d: Tree, ids: Ids, best: Best) -> int:
     """Offer best all that d holds for q's queries, but for node pairs whose bound is below the
     worst kept score under their query node; the number of point pairs that were scored.
 
@@ -240,7 +262,7 @@ def search(q: Tree, d: Tree, ids: list[np.ndarray], best: Best) -> int:
             part = part[high[part] >= np.maximum(best.scores[lo:hi, -1], promised[lo:hi]).min()]
             if len(part):
                 points = np.concatenate([np.arange(d.nodes[k, 1], d.nodes[k, 2]) for k in part])
-                best.offer(lo, hi, products(q.x[lo:hi], d.x[points]), [ids[i] for i in points])
+                best.offer(lo, hi, products(q.x[lo:hi], d.x[points]), ids.take(points))
                 scored += int(hi - lo) * len(points)
     return scored
 

@@ -142,20 +142,37 @@ def _chunks(placed: DataFrame, size: int) -> tuple[DataFrame, dict[int, float],
     return dealt, {leaf: radius for leaf, (_, radius) in stats.items()}, sum(math.ceil(n / size) for n, _ in stats.values())
 
 
+def _matrix(x: np.ndarray) -> tuple[int, bytes]:
+    """(bytes a component, the components) of a chunk, in the narrowest type for all."""
+    top = max(x.max(initial=0), -x.min(initial=0) - 1)
+    size, kind = next((s, k) for s, k in _KINDS if s == 8 or top < 1 << (8 * s - 1))
+    return size, x.astype(kind).tobytes()
+
+
+_CHUNK = "leaf int, points int, size int, vecs binary, starts binary, ids binary, nodes binary, radius binary"
+
+
 def _stored(t: pa.Table) -> pa.Table:
-    """A chunk of data as one row: its points in the order of its cover tree, and the tree."""
-    vecs, ids = t.column("vec").to_pylist(), t.column("ids").to_pylist()
-    if t.column("leaf")[0].as_py() == HUGE:
-        order, nodes, radius = range(len(vecs)), b"", b""
-    else:
-        order, tree = C.build(unpack(vecs), DATA_LEAF)
-        nodes, radius = C.dump(tree)
+    """A chunk of data as one row: its points in the order of its cover tree, their ids, and the tree."""
+    x, ids = unpack(t.column("vec").to_pylist()), C.Ids.from_lists(t.column("ids").to_pylist())
+    nodes = radius = b""
+    if t.column("leaf")[0].as_py() != HUGE:
+        order, tree = C.build(x, DATA_LEAF)
+        x, ids, (nodes, radius) = tree.x, ids.take(order), C.dump(tree)
+    size, vecs = _matrix(x)
+    binary = lambda b: pa.array([b], pa.binary())
     return pa.table({
-        "leaf": t.column("leaf").slice(0, 1), "vecs": pa.array([[vecs[i] for i in order]], pa.list_(pa.binary())), "ids": pa.array([[ids[i] for i in order]], pa.list_(pa.list_(pa.int64()))),
-        "nodes": pa.array([nodes], pa.binary()), "radius": pa.array([radius], pa.binary()),
+        "leaf": t.column("leaf").slice(0, 1), "points": pa.array([len(x)], pa.int32()), "size": pa.array([size], pa.int32()), "vecs": binary(vecs),
+        "starts": binary(ids.starts.astype("<i8").tobytes()), "ids": binary(ids.flat.astype("<i8").tobytes()), "nodes": binary(nodes), "radius": binary(radius),
     })
 
 
+def _loaded(row: list) -> tuple[np.ndarray, C.Ids, bytes, bytes]:
+    n, size, vecs, starts, ids, nodes, radius = row
+    x = np.frombuffer(vecs, dict(_KINDS)[size]).reshape(n, -1).astype(np.float64)
+    return x, C.Ids(np.frombuffer(starts, "<i8"), np.frombuffer(ids, "<i8")), nodes, radius
+
+
 def _merged(scores: list[int], ids: list[int], keep: int) -> tuple[list[int], list[int]]:
     best = sorted(zip((-s for s in scores), ids))[:keep]
     return [-s for s, _ in best], [i for _, i in best]
@@ -174,7 +191,7 @@ def top_k(work: Work, vectors: DataFrame, is_query: Column, k: int = K) -> DataF
     pivots = choose_pivots(sample, max(1, min(PIVOTS, math.ceil(n / CHUNK))))
 
     data, radii, _ = _chunks(work.save(_placed(points, pivots), "data"), CHUNK)
-    work.save(data.groupBy("leaf", "chunk").applyInArrow(_stored, "leaf int, vecs array<binary>, ids array<array<long>>, nodes binary, radius binary"), "index", "leaf")
+    work.save(data.groupBy("leaf", "chunk").applyInArrow(_stored, _CHUNK), "index", "leaf")
     # An id with several rows could fill its own list: such queries know what to leave out, each by itself.
     several = rows.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select("vec_id", F.lit(True).alias("has_own"))
     queries = rows.where("query").join(several, "vec_id", "left").select(F.col("vec_id").alias("query_id"), "vec", "huge", F.coalesce("has_own", F.lit(False)).alias("has_own"))
@@ -192,8 +209,8 @@ def top_k(work: Work, vectors: DataFrame, is_query: Column, k: int = K) -> DataF
             for info in filesystem.get_file_info(pafs.FileSelector(f"{root}/leaf={leaf}", allow_not_found=True)):
                 if info.base_name.endswith(".parquet"):
                     with filesystem.open_input_file(info.path) as f:
-                        for batch in pq.ParquetFile(f).iter_batches(batch_size=1, columns=["vecs", "ids", "nodes", "radius"]):
-                            yield unpack(batch.column(0)[0].as_py()), [np.array(x, np.int64) for x in batch.column(1)[0].as_py()], batch.column(2)[0].as_py(), batch.column(3)[0].as_py()
+                        for batch in pq.ParquetFile(f).iter_batches(batch_size=1, columns=["points", "size", "vecs", "starts", "ids", "nodes", "radius"]):
+                            yield _loaded([c[0].as_py() for c in batch.columns])
 
         packed, own, has_own = t.column("vec").to_pylist(), t.column("own").to_numpy(), t.column("has_own").to_numpy().astype(bool)
         huge = t.column("leaf")[0].as_py() == HUGE
@@ -221,7 +238,7 @@ def top_k(work: Work, vectors: DataFrame, is_query: Column, k: int = K) -> DataF
                 for x, ids, *_ in chunks(leaf):
                     scored += len(exact) * len(x)
                     for n, scores in enumerate(exact_products(exact, integers(x))):
-                        new = [(s, int(i)) for s, group in zip(scores, ids) for i in group if not (has_own[n] and own[n] == i)]
+                        new = [(s, int(i)) for k, s in enumerate(scores) for i in ids.flat[ids.starts[k] : ids.starts[k + 1]] if not (has_own[n] and own[n] == i)]
                         found[n] = _merged(found[n][0] + [s for s, _ in new], found[n][1] + [i for _, i in new], keep)
         inside = [[max(C.NONE.min, min(C.NONE.max, s)) for s in scores] for scores, _ in found]
         return pa.table({

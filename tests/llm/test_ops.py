@@ -110,7 +110,7 @@ def test_topk_prunes_clusters_and_stays_exact(spark):
     order, tree = _cover.build(x, 8)
     perm, asked = _cover.build(x[::50], 4)
     best = _cover.Best(len(perm), 5)
-    scored = _cover.search(asked, tree, [np.array([i]) for i in order], best)
+    scored = _cover.search(asked, tree, _cover.Ids.from_lists([[i] for i in order]), best)
     assert scored <= 0.1 * len(perm) * len(x)
     s = (x[::50][perm] @ x.T).astype(int)
     for i in range(len(perm)):
