@@ -51,9 +51,9 @@ SIDE, GROUP = 10, 3
 LEAST_AGREE = 32
 #: Documents of a block, on average, that are compared by minhashes (240 bytes each): at least, and at most. Between
 #: the two it grows so that there are BLOCKS blocks, and no document is sent to more tasks than that.
-BLOCK, BLOCKS = (256, 8192), 64
+BLOCK, BLOCKS = (512, 8192), 64
 #: The same for full sets, which long documents make large: those outside the leader's component, and all under it.
-OUTSIDE, MEMBERS = (64, 256), (128, 512)
+OUTSIDE, MEMBERS = (128, 256), (256, 512)
 #: Ids that a broadcast may hold (16 bytes each); beyond it the same join shuffles.
 BROADCAST_IDS = 1_000_000
 
