@@ -9,7 +9,9 @@ stand. Windows next to each other mostly share those terms, so a passage in a do
 yields a few places, not one for each window. Every place is then compared word by word, and the windows that stand there in full
 mark the document's words.
 
-``proximity`` intersects lists from the rarest term on with a slack instead of an offset.
+From the same index, ``near_items`` finds where the rarest terms of an item stand close together,
+and ``proximity`` does so for any terms, intersecting lists from the rarest on with a slack instead of
+an offset. The query and the pipeline ask for exact windows only.
 
 Defined results: null or word-less texts have no words, hits or items; an item of fewer
 than ``WINDOW`` words is one window, one without words none; rows that share an item_id are
@@ -19,7 +21,7 @@ row each. Empty tables give empty results or no hits.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ._words import n_words, words
 from ._work import Work
@@ -72,13 +74,24 @@ def _hits(docs: DataFrame, places: DataFrame, items: DataFrame, window: int) ->
     return found.select("doc_id", "text_hash", F.array_distinct(spans).alias("hit"), "item_ids")
 
 
-def contamination(work: Work, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, text_hash, n_hit, item_ids) of the documents in which a window occurs, written."""
-    items = item_table(work, benchmark)
-    n_words = items.agg(F.sum(F.size("item_words"))).first()[0] or 0
-    terms = work.save(items.select(F.explode("item_words").alias("token")).distinct(), "terms", rows=n_words)
-    postings = build_postings(work, docs, terms)
-    frequency = work.save(postings.groupBy("token").agg(F.count("*").alias("cf")), "frequency", rows=n_words)
+class Index:
+    """The stored index of a corpus for a benchmark: items, postings (token, doc_id, pos) and the terms' frequencies."""
+
+    def __init__(self, work: Work, docs: DataFrame, benchmark: DataFrame):
+        self.items = item_table(work, benchmark)
+        self.n_words = self.items.agg(F.sum(F.size("item_words"))).first()[0] or 0
+        terms = work.save(self.items.select(F.explode("item_words").alias("token")).distinct(), "terms", rows=self.n_words)
+        self.postings = build_postings(work, docs, terms)
+        self.frequency = work.save(self.postings.groupBy("token").agg(F.count("*").alias("cf")), "frequency", rows=self.n_words)
+
+
+def contamination(work: Work, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, index: Index | None = None) -> DataFrame:
+    """(doc_id, text_hash, n_hit, item_ids) of the documents in which a window occurs, written.
+
+    A given index of these documents is used and kept; otherwise one is built and deleted.
+    """
+    found = index or Index(work, docs, benchmark)
+    items, postings, frequency, n_words = found.items, found.postings, found.frequency, found.n_words
     anchors = work.save(_anchors(items, frequency, window), "anchors", rows=2 * n_words)
     at = postings.join(_small(anchors), "token").select("doc_id", "item", "n", (F.col("pos") - F.col("anchor")).alias("offset"))
     both = at.groupBy("doc_id", "item", "n", "offset").agg(F.count("*").alias("terms")).where("terms >= 2 OR n = 1")
@@ -88,7 +101,7 @@ def contamination(work: Work, docs: DataFrame, benchmark: DataFrame, window: int
     hits = _hits(docs, F.broadcast(places) if rows <= BROADCAST_ROWS else places, _small(items), window)
     by_doc = hits.groupBy("doc_id", "text_hash").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).cast("long").alias("n_hit"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
     found = work.save(by_doc, "found", rows=n)
-    work.drop("items", "terms", "postings", "frequency", "anchors", "places")
+    work.drop("anchors", "places", *(() if index else ("items", "terms", "postings", "frequency")))
     return found
 
 
@@ -106,6 +119,27 @@ def drop_contaminated(work: Work, docs: DataFrame, benchmark: DataFrame, window:
     return docs.join(_small(found), F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.xxhash64("text") == F.col("__hash")), "left_anti").select(docs.columns)
 
 
+def near_items(work: Work, index: Index, terms: int = 3, slack: int = WINDOW) -> DataFrame:
+    """(doc_id, item_ids, places): where an item's rarest terms stand close together, whatever stands between.
+
+    Of each item the ``terms`` rarest different words are looked up (all, if it has fewer); a place
+    is one of the rarest with every other at most ``slack`` words away. An item with a word that no
+    document has at all among them isn't found. Texts that share a doc_id are taken as one here.
+    """
+    words_of = index.items.select("item", F.explode(F.array_distinct("item_words")).alias("token")).join(index.frequency, "token", "left")
+    place = F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("cf", F.lit(0)), "token"))
+    picked = words_of.withColumn("place", place).where(F.col("place") <= terms)
+    need = picked.groupBy("item").agg(F.count("*").alias("need"), F.min(F.coalesce("cf", F.lit(0))).alias("least")).where("least > 0").select("item", "need")
+    picked = work.save(picked.join(need, "item").select("token", "item", "place", "need"), "picked", rows=index.n_words)
+    at = index.postings.join(_small(picked), "token")
+    by = at.groupBy("doc_id", "item", "need").agg(F.count_if(F.col("place") == 1).alias("first"), F.collect_list(F.struct("place", "pos")).alias("at")).where("first > 0")
+    of = lambda k: F.filter("at", lambda x: x.place == k)
+    close = lambda p: F.forall(F.sequence(F.lit(1), F.col("need").cast("int")), lambda k: F.exists(of(k), lambda x: F.abs(x.pos - p) <= slack))
+    found = by.select("doc_id", "item", F.size(F.filter(F.transform(of(F.lit(1)), lambda x: x.pos), close)).alias("places")).where("places > 0")
+    named = found.join(index.items.select("item", "item_ids"), "item")
+    return named.groupBy("doc_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.sum("places").alias("places"))
+
+
 def proximity(postings: DataFrame, terms: list[str], slack: int) -> DataFrame:
     """(doc_id, pos) where the rarest of the terms stands with every other term at most slack words away."""
     wanted = sorted(set(terms))

@@ -551,6 +551,31 @@ def test_decontamination_equals_brute_force(spark, corpus):
     assert op09_decontam.report(Work(spark, "t9"), docs.limit(0), bench).count() == 0
 
 
+def test_near_items_equal_brute_force(spark, corpus):
+    items = [(1, " ".join(corpus[3][1].split()[:12])), (2, "w1 w2 w3"), (3, "absent w2"), (4, None), (5, "shared"), (6, "w5 w5 w6 w5"), (1, "end line")]
+    rows = [(i, t, s) for i, t, s in corpus if i is not None and i != 205] + [(700, "w3 x x x w1 x x x x x w2", "s"), (701, "w1 " + "x " * 30 + "w2 w3", "s")]
+    docs, bench = docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    work = Work(spark, "t9")
+    index = op09_decontam.Index(work, docs, bench)
+    words = lambda t: WORD.findall((t or "").translate(AZ))
+    cf = Counter(w for _, t, _ in rows for w in words(t))
+    for terms, slack in ((3, 10), (2, 4)):
+        want = defaultdict(lambda: [set(), 0])
+        for item, text in items:
+            rare = sorted(set(words(text)), key=lambda w: (cf[w], w))[:terms]
+            for i, t, _ in rows if rare and all(cf[w] for w in rare) else ():
+                w = words(t)
+                n = sum(1 for p, x in enumerate(w) if x == rare[0] and all(any(w[q] == r for q in range(max(0, p - slack), min(len(w), p + slack + 1))) for r in rare))
+                if n:
+                    want[i][0].add(str(item))
+                    want[i][1] += n
+        got = {r.doc_id: (r.item_ids, r.places) for r in op09_decontam.near_items(work, index, terms, slack).collect()}
+        assert got == {i: (sorted(ids), n) for i, (ids, n) in want.items()} and got
+    # The index stays for the exact windows.
+    exact = op09_decontam.contamination(work, docs, bench, index=index)
+    assert exact.count() == op09_decontam.report(Work(spark, "t9"), docs, bench).where("contaminated").count() and index.postings.count() > 0
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "a x x b"), (2, "b a"), (3, "a x x x x b"), (4, "a")], "doc_id long, text string")
     terms = spark.createDataFrame([("a",), ("b",)], "token string")
