@@ -109,16 +109,17 @@ def brace_json(response: Column) -> Column:
 def wrap(text: Column, width: int) -> Column:
     """Greedy lines: a word joins the line while the two and a blank fit.
 
-    A line that is still empty counts its blank too, so a word as long as the width leaves an empty line before it.
+    A line that is still empty counts its blank too, so the first line holds one character less, and
+    stays empty before a first word as long as the width. Longer words stand alone. Lines are found by
+    regular expressions, in one walk over the text.
     """
-    state = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("line"))
-
-    def step(s: Column, word: Column) -> Column:
-        fits = F.length(s.line) + F.length(word) + 1 <= width
-        return F.struct(F.when(fits, s.lines).otherwise(F.concat(s.lines, F.array(F.trim(s.line)))).alias("lines"), F.when(fits, F.concat(s.line, F.lit(" "), word)).otherwise(word).alias("line"))
-
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    return F.aggregate(words, state, step, lambda s: F.when(s.line != "", F.concat(s.lines, F.array(F.trim(s.line)))).otherwise(s.lines))
+    if width < 2:
+        raise ValueError("lines of at least two characters")
+    words = F.trim(F.regexp_replace(text, r"\s+", " "))
+    first = F.regexp_extract(words, rf"(?s)^(.{{1,{width - 1}}})(?= |\z)", 1)
+    rest = F.when(first == "", words).otherwise(F.substr(words, F.length(first) + 2))
+    lines = F.regexp_extract_all(rest, F.lit(rf"(?s)(?:\S.{{0,{width - 1}}}|\S{{{width + 1},}})(?= |\z)"), F.lit(0))
+    return F.when(words == "", F.array().cast("array<string>")).otherwise(F.concat(F.array(first), lines))
 
 
 def leading_int(name: Column) -> Column:

@@ -58,6 +58,17 @@ def pool_last_normal(states: Column, mask: Column, left_padded: Column | None =
     return l2_normalize(pool_last(states, mask, left_padded))
 
 
+def scatter(states: Column, bounds: Column, images: Column) -> Column:
+    """Token states with those inside the k-th bound (start, end) replaced by the k-th image's, one after the other."""
+    spans = F.arrays_zip(bounds.alias("b"), images.alias("v"))
+
+    def one(state: Column, i: Column) -> Column:
+        inside = F.get(F.filter(spans, lambda x: (x.b.start <= i) & (i < x.b.end)), F.lit(0))
+        return F.coalesce(F.get(inside.v, (i - inside.b.start).cast("int")), state)
+
+    return F.transform(states, one)
+
+
 def dropout(states: Column, share: float, seed: Column) -> Column:
     """Whole components of all states set to 0 with probability ``share`` and the rest scaled up, by a hash of (seed, component): reproducible."""
     if not share:

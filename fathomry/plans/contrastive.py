@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import vectors as V
 from ..operators import contrastive as C, rows as O
+from ..streaming import flows
 from .registry import query
 
 _D = "SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings"
@@ -200,3 +201,24 @@ def valid_label_logits(t):
 def nan_guard(t):
     v = F.transform("embedding", lambda x, i: F.when((i == 5) & (F.col("vec_id") % 9 == 0), F.lit(float("nan")).cast("float")).otherwise(x))
     return t.embeddings.select("vec_id", V.has_nan(v).alias("bad"))
+
+
+@query(f"WITH {_STATES} SELECT vec_id, unnest(range(1, 9)) AS i, round(unnest(list_transform(range(1, 9), lambda k: list_max(list_transform(range(1, 9), lambda j: CASE WHEN m[j] = 1 THEN s[j][k]::FLOAT END)))), 6)::DOUBLE AS x FROM st")
+def pool_by_model(t):
+    """A model's own pooling: the largest value of each component."""
+    def pooler(batch):
+        return [[float(max(s[k] for s, m in zip(states, mask) if m)) for k in range(8)] for states, mask in zip(batch["s"], batch["m"])]
+
+    return _long(flows.pool(_states(t), pooler, "vec_id", "s", "m").select("vec_id", V.doubles(F.col("embedding")).alias("v")))
+
+
+@query(f"""WITH {_STATES} SELECT vec_id, unnest(range(1, 9)) AS i,
+round(unnest(list_transform(range(0, 8), lambda j: CASE WHEN j >= 1 AND j < 3 THEN s[j][1] * 10 WHEN j >= 5 AND j < 6 + vec_id % 2 THEN s[j - 4][2] * 10 ELSE s[j + 1][1] END)), 6) AS x FROM st""")
+def vision_scatter(t):
+    """Two images' states in the places that the bounds name; the first component of every token."""
+    ten = lambda first, component, n: F.transform(F.sequence(F.lit(first), F.lit(first + n - 1)), lambda j: F.array(F.get(F.get("s", j), F.lit(component)) * 10))
+    bounds = F.array(F.struct(F.lit(1).alias("start"), F.lit(3).alias("end")), F.struct(F.lit(5).alias("start"), (6 + F.col("vec_id") % 2).cast("int").alias("end")))
+    tokens = F.transform("s", lambda x: F.array(F.get(V.doubles(x), F.lit(0))))
+    images = F.array(F.transform(ten(0, 0, 2), lambda x: V.doubles(x)), F.transform(ten(0, 1, 2), lambda x: V.doubles(x)))
+    out = V.scatter(tokens, bounds, images)
+    return _long(_states(t).select("vec_id", F.transform(out, lambda x: F.get(x, F.lit(0))).alias("v")))

@@ -219,8 +219,9 @@ def split_folder(root: str, split: str) -> str:
 
 
 def open_dataset(spark: SparkSession, name: str, root: str, schema=None) -> DataFrame:
-    """``wds/`` and a tar name are shards, ``hfds/`` and ``hfids/`` Parquet, anything else an image folder or tar."""
+    """``wds/`` and a tar name are shards, ``hfds/`` and ``hfids/`` Parquet, ``tfds/`` TFRecord files, anything else an image folder or tar."""
     from .archives import read_image_tar, read_shards
+    from .tfrecord import read_tfrecords
 
     prefix, _, rest = name.rpartition("/")
     if prefix == "wds":
@@ -228,7 +229,7 @@ def open_dataset(spark: SparkSession, name: str, root: str, schema=None) -> Data
     if prefix in ("hfds", "hfids"):
         return spark.read.parquet(f"{root}/{rest}" if rest else root)
     if prefix == "tfds":
-        raise ValueError("tfds datasets need TensorFlow")
+        return read_tfrecords(spark, f"{root}/{rest}" if rest else root)
     if root.endswith(".tar"):
         return read_image_tar(spark, root)
     return read_image_folder(spark, root)

@@ -3,7 +3,7 @@
 Rows are (archive, name, content). ``kind`` says what becomes of them:
 
 * ``each``: a file ``name`` for every row, with the content's bytes;
-* ``rolled``: contents as lines of files that end when they reach ``maxbytes``;
+* ``rolled``: contents, each with an ``ending``, one after the other in files that end when they reach ``maxbytes``;
 * ``tar`` and ``zip``: members ``name`` of the archives named in ``archive``. The rows of an archive
   have to lie together in one partition, which ``write_archives`` sees to.
 
@@ -42,7 +42,7 @@ class FileSink(DataSourceArrowWriter):
     def __init__(self, options: dict):
         self.uri, self.kind = options["path"].rstrip("/"), options.get("kind", "each")
         self.max_bytes, self.suffix = int(options.get("maxbytes", MAX_BYTES)), options.get("suffix", ".jsonl")
-        self.job = options.get("job") or uuid.uuid4().hex[:12]
+        self.job, self.ending = options.get("job") or uuid.uuid4().hex[:12], b"\n" if options.get("lines", "true") == "true" else b""
 
     def _rows(self, iterator):
         for batch in iterator:
@@ -74,8 +74,8 @@ class FileSink(DataSourceArrowWriter):
                 name = f"{self.job}-{part:05d}-{n:05d}{self.suffix}"
                 yield name
                 out, size, n = filesystem.open_output_stream(f"{root}/{name}", compression=None), 0, n + 1
-            out.write(content + b"\n")
-            size += len(content) + 1
+            out.write(content + self.ending)
+            size += len(content) + len(self.ending)
         if out is not None:
             out.close()
 
@@ -145,6 +145,12 @@ def write_rolled_jsonl(df: DataFrame, path: str, max_bytes: int = MAX_BYTES) ->
     _write(df.select(F.lit(None).cast("string").alias("archive"), F.lit(None).cast("string").alias("name"), line.cast("binary").alias("content")), path, kind="rolled", maxbytes=max_bytes)
 
 
+def write_raw(df: DataFrame, path: str, content: Column, suffix: str, max_bytes: int = MAX_BYTES) -> None:
+    """Contents one after the other in files of about ``max_bytes``."""
+    rows = df.select(F.lit(None).cast("string").alias("archive"), F.lit(None).cast("string").alias("name"), content.cast("binary").alias("content"))
+    _write(rows, path, kind="rolled", maxbytes=max_bytes, suffix=suffix, lines="false")
+
+
 def write_archives(df: DataFrame, path: str, archive: Column, name: Column, content: Column, kind: str = "tar") -> None:
     """Rows as members of tar or zip archives, by name; each archive is written by one task, member by member."""
     if kind not in ("tar", "zip"):

@@ -91,6 +91,15 @@ def respond(df: DataFrame, call: Callable, times: int = 5) -> DataFrame:
     return df.withColumn("id", F.col("id").cast("string")).mapInPandas(with_retries(call, times), "id string, response string, error string")
 
 
+def pool(df: DataFrame, pooler: Callable[[pd.DataFrame], list], key: str, states: str = "states", mask: str = "mask") -> DataFrame:
+    """(key, embedding) from a model's own pooling of token states, in batches."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({key: batch[key], "embedding": list(pooler(batch))})
+
+    return df.select(key, states, mask).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, embedding array<float>")
+
+
 def detect(df: DataFrame, detector: Callable[[pd.Series], list], column: str = "text", name: str = "lang") -> DataFrame:
     """df with what a batch detector (a language detector, say) makes of a column; null where it fails on a batch's row."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,5 +1,7 @@
 """Invariants and small cases of the row operators, batching, search and streams."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -216,3 +218,26 @@ def test_dropout_is_seeded(spark):
     states = F.array(F.array(*[F.lit(1.0)] * 64), F.array(*[F.lit(2.0)] * 64))
     one, two, other = (spark.range(1).select(V.dropout(states, 0.5, F.lit(s)).alias("x")).first().x for s in (1, 1, 2))
     assert one == two != other and set(one[0]) == {0.0, 2.0} and set(one[1]) == {0.0, 4.0}
+
+
+def test_wrap_equals_a_loop(spark):
+    """Words of any length, other white space, characters beyond the first plane."""
+    rng = np.random.default_rng(8)
+    texts = ["", "  ", "a", "x" * 9 + " y", None, "\U0001d11e" * 8 + "\t\U0001d11e a\n\u2028 b\u00a0c"]
+    texts += [" ".join("w" * int(n) for n in rng.integers(1, 14, int(rng.integers(1, 60)))) for _ in range(60)]
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for width in (2, 7, 12, 40):
+        got = {r.i: r.w for r in df.select("i", T.wrap(F.col("t"), width).alias("w")).collect()}
+        for i, t in enumerate(texts):
+            if t is None:
+                assert got[i] is None
+                continue
+            want, line = [], ""
+            for w in filter(None, re.split(r"[ \t\n\x0b\f\r]+", t)):
+                if len(line) + len(w) + 1 <= width:
+                    line += " " + w
+                else:
+                    want.append(line.strip(" "))
+                    line = w
+            assert got[i] == ([*want, line.strip(" ")] if line else want), (i, width)

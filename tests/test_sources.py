@@ -8,7 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from fathomry.sources import archives, files, trec
+from fathomry.sources import archives, files, tfrecord, trec
 
 
 def write(path, text):
@@ -160,3 +160,20 @@ def test_class_maps_and_split_folders(spark, tmp_path):
         files.class_map(spark, "x.pkl")
     (tmp_path / "training").mkdir()
     assert files.split_folder(str(tmp_path), "train[:5%]").endswith("/training") and files.split_folder(str(tmp_path), "val") == str(tmp_path)
+
+
+def test_tfrecords(spark, tmp_path):
+    crc = tfrecord.masked_crc(b"123456789")
+    crc = (crc - 0xA282EAD8) & 0xFFFFFFFF
+    assert (crc >> 17 | crc << 15) & 0xFFFFFFFF == 0xE3069283  # the published check value of CRC-32C
+    message = tfrecord.encode_example({"a": [1, -2, 1 << 40], "b": ["x", "\u00e9"], "c": [0.5], "d": []})
+    assert tfrecord.decode_example(message) == {"a": ([], [], [1, -2, 1 << 40]), "b": ([b"x", "\u00e9".encode()], [], []), "c": ([], [0.5], []), "d": ([], [], [])}
+    loose = b"\x0a\x10\x0a\x0e\x0a\x01k\x12\x09\x1a\x07\x08\x05\x08\xac\x02\x08\x01"  # integers that aren't packed
+    assert tfrecord.decode_example(loose)["k"][2] == [5, 300, 1]
+    (tmp_path / "x.tfrecord").write_bytes(tfrecord.record(message) * 3)
+    assert [r.row for r in tfrecord.read_tfrecords(spark, str(tmp_path), check=True).collect()] == [0, 1, 2]
+    (tmp_path / "x.tfrecord").write_bytes(tfrecord.record(message)[:-6] + b"zz" + tfrecord.record(message)[-4:])
+    with pytest.raises(Exception, match="damaged at record 0"):
+        tfrecord.read_tfrecords(spark, str(tmp_path / "x.tfrecord"), check=True).collect()
+    (tmp_path / "x.tfrecord").write_bytes(b"")
+    assert tfrecord.read_tfrecords(spark, str(tmp_path)).count() == 0
