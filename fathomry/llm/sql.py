@@ -191,3 +191,43 @@ SELECT doc_id, source, size, source_size, target,
        (size * (whole + CASE WHEN before + size / 2.0 <= target - whole * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM r
 """
+
+#: The remainders of crc32 for four bits.
+_NIBBLES = [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]
+#: crc32 in two steps of four bits for each byte, over the hex digits of the UTF-8 text.
+_CRC = f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(hex({{0}})) + 1),
+  lambda i: (strpos('0123456789ABCDEF', substr(hex({{0}}), CASE WHEN i % 2 = 1 THEN i + 1 ELSE i - 1 END, 1)) - 1)::BIGINT)),
+  lambda c, x: xor(c >> 4, {_NIBBLES}[(xor(c, x) & 15) + 1])))"""
+
+ORACLE["op11_variants"] = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents
+), each AS (
+  SELECT run, coalesce(doc_id::VARCHAR, '') || ':' || run AS seed, count(*) AS k FROM runs WHERE length(run) >= 6 GROUP BY ALL
+), hashed AS (
+  SELECT run, k, {_CRC.format("seed")} AS h FROM each
+), words AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, sum(k)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND n >= 5
+), less AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS part FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT a.word AS word, b.word AS other, b.n AS other_n FROM less a JOIN less b ON a.part = b.part AND a.i = b.i AND a.word <> b.word
+  UNION
+  SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.part = b.word
+  UNION
+  SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.part = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS other, max(other_n) AS other_n FROM near GROUP BY word
+), held AS (
+  SELECT words.word AS word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n
+  FROM words LEFT JOIN best USING (word)
+), chain AS (
+  SELECT word, word AS at FROM held
+  UNION ALL
+  SELECT chain.word, held.form FROM chain JOIN held ON held.word = chain.at WHERE held.form IS NOT NULL
+), ends AS (
+  SELECT chain.word AS word, chain.at AS root FROM chain JOIN held ON held.word = chain.at WHERE held.form IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM held JOIN ends USING (word)
+"""
