@@ -100,4 +100,10 @@ def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.variants(Work(spark, "op11"), _table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_warc, op3_mix, op4_chat_format, op5_license_scan, op6_toxicity, op7_token_counts, op8_minhash, op9_decontam, op10_line_dedup, op11_variants)}
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import op12_packing as op
+
+    return op.sequences(Work(spark, "op12"), _table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_topk, op2_warc, op3_mix, op4_chat_format, op5_license_scan, op6_toxicity, op7_token_counts, op8_minhash, op9_decontam, op10_line_dedup, op11_variants, op12_packing)}
