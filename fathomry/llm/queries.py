@@ -106,4 +106,15 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.sequences(Work(spark, "op12"), _table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_warc, op3_mix, op4_chat_format, op5_license_scan, op6_toxicity, op7_token_counts, op8_minhash, op9_decontam, op10_line_dedup, op11_variants, op12_packing)}
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import op13_runs as op
+
+    line = lambda r: F.concat(r.start.cast("string"), F.lit(","), r.length.cast("string"), F.lit(","), r.period.cast("string"), F.lit("\n"))
+    found = op.find_runs(op.planted(_table(spark, sf_dir, "documents"))).withColumn("best", op.strongest(F.col("runs")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_topk, op2_warc, op3_mix, op4_chat_format, op5_license_scan, op6_toxicity, op7_token_counts, op8_minhash, op9_decontam, op10_line_dedup, op11_variants, op12_packing, op13_runs)}
