@@ -12,7 +12,8 @@ that its predecessor kept. All but the last return the columns of ``documents``.
 
 Defined results, besides those of each stage below: an empty table comes out empty; a text of
 any length is worked on whole; columns beyond those of ``documents`` pass through, also where
-their names are those that operators compute (a column ``repetition`` is replaced by the mix's).
+their names are those that operators compute, two underscores in front or not (a column ``repetition`` is
+replaced by the mix's).
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ ORACLE_SQL = None
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs that score below 0.5.
 
-    A null or empty text scores as the intercept, which is below 0.5 where most labels are 0;
-    repeated rows go or stay together; a null doc_id is scored like any other.
+    Where no text of docs is labelled, or all that are have the same label, or none of them fits the bound on training
+    bytes, there is no classifier and every row stays. A null or empty text scores as the intercept, which is
+    below 0.5 where most labels are 0; repeated rows go or stay together; a null doc_id is scored like any other.
     """
     return op06_toxic.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 

@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.order import global_index
+from ._columns import apart
 from ._work import Work
 
 WEIGHTS, SHARE, MAX_EPOCHS, SEED = (5, 2, 1), 1.5, 2.0, 17
@@ -145,6 +146,6 @@ def mix(work: Work, docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     """docs as mixed: a row for each repetition, numbered from 0 in ``repetition`` (in place of such a column)."""
     rows = work.save(docs.select("source", size_of(F.col("text")).alias("size"), order_of(seed).alias("h")), "sizes")
     found = targets(work, rows, **options)
-    kept = [c for c in docs.columns if c != "repetition"]
-    repeated = _repeated(work, docs.select(*[f"`{c}`" for c in kept]).withColumn("__h", order_of(seed)), found)
-    return repeated.where("__repeats > 0").select(*[f"`{c}`" for c in kept], F.explode(F.sequence(F.lit(0), F.col("__repeats").cast("int") - 1)).alias("repetition"))
+    narrow, back = apart(docs.drop("repetition"), "doc_id", "text", "source")
+    repeated = _repeated(work, narrow.withColumn("__h", order_of(seed)), found)
+    return back(repeated.where("__repeats > 0").withColumn("__times", F.explode(F.sequence(F.lit(0), F.col("__repeats").cast("int") - 1))), F.col("__times").alias("repetition"))

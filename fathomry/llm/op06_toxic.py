@@ -10,13 +10,13 @@ they have among all labelled rows, so 0.5 is an even chance.
 
 The classifier is fitted in one task on at most ``MAX_TRAIN`` labelled documents of together
 at most ``MAX_TRAIN_BYTES`` (half of the documents per class if there are as many, in the order
-of a hash of doc_id, as far as the bytes reach); neither bound grows with the corpus. A doc_id
+of a hash of doc_id; a text that is longer than what is left of the bytes is passed over); neither bound grows with the corpus. A doc_id
 with several texts is one training document, the one with the smallest hash. Scoring covers
 every document in a single pass without a shuffle.
 
 Defined results: a null or empty text has no features and gets the score of the intercept;
 without any labelled text every score is 0.5, with one class only 0.0 or 1.0 damped by one
-row each; null labels are left out; a doc_id labelled twice counts as toxic if either row
+row each (``drop_toxic`` drops nothing in either case); null labels are left out; a doc_id labelled twice counts as toxic if either row
 says so; an empty table gives an empty result. Other columns pass through untouched.
 """
 
@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ._arrow import bound_batches
+from ._columns import apart
 
 ORDERS, BITS = (3, 8), 21
 MAX_TRAIN, MAX_TRAIN_BYTES, LEAST_DOCS, LEAST_Z = 8000, 64 << 20, 4, 3.0
@@ -56,13 +57,13 @@ def slots(text: str | None) -> np.ndarray:
 
 
 class Model:
-    """Weights by slot; most are 0."""
+    """Weights by slot; most are 0. ``classes`` says of how many classes there were training texts."""
 
-    def __init__(self, at: np.ndarray, weights: np.ndarray, intercept: float):
+    def __init__(self, at: np.ndarray, weights: np.ndarray, intercept: float, classes: int = 2):
         self.dense = np.zeros(1 << BITS, np.float32)
         self.dense[at] = weights
         self.some = self.dense != 0
-        self.intercept = intercept
+        self.intercept, self.classes = intercept, classes
 
     def score(self, text: str | None) -> float:
         found = [s[self.some.take(s)] for s in slots_by_order(text)]
@@ -186,23 +187,25 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         for batch in batches:
             for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 text = text.as_py()
-                left -= len((text or "").encode("utf-8", "surrogatepass"))
-                if left < 0:
-                    break
+                size = len((text or "").encode("utf-8", "surrogatepass"))
+                if size > left:  # the next one may fit
+                    continue
+                left -= size
                 texts.append(text)
                 toxic.append(y)
         at, weights, intercept = fit(texts, np.array(toxic, np.int64), share)
-        yield pa.RecordBatch.from_arrays([pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([weights.astype("<f4").tobytes()], pa.binary()), pa.array([intercept], pa.float64())], ["at", "weights", "intercept"])
+        yield pa.RecordBatch.from_arrays([pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([weights.astype("<f4").tobytes()], pa.binary()), pa.array([intercept], pa.float64()), pa.array([len(set(toxic))], pa.int32())], ["at", "weights", "intercept", "classes"])
 
     bound_batches(docs.sparkSession)
-    found = ordered.select("text", "toxic").mapInArrow(run, "at binary, weights binary, intercept double").first()
+    found = ordered.select("text", "toxic").mapInArrow(run, "at binary, weights binary, intercept double, classes int").first()
     if found is None:
-        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0)
-    return Model(np.frombuffer(found["at"], "<i4").astype(np.int64), np.frombuffer(found["weights"], "<f4"), found["intercept"])
+        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0, 0)
+    return Model(np.frombuffer(found["at"], "<i4").astype(np.int64), np.frombuffer(found["weights"], "<f4"), found["intercept"], found["classes"])
 
 
 def with_scores(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
-    """docs with a score from 0 to 1 of every whole text."""
+    """docs with a score from 0 to 1 of every whole text, in place of a column of that name."""
+    docs = docs.drop(column)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -218,6 +221,12 @@ def with_scores(docs: DataFrame, model: Model, column: str = "score") -> DataFra
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs without those that score at the threshold or above."""
-    scored = with_scores(docs, train(docs, labels), "__score")
-    return scored.where(F.col("__score") < threshold).select(docs.columns)
+    """docs without those that score at the threshold or above.
+
+    Without training texts of both classes nothing tells toxic from other, and all of docs stays.
+    """
+    model = train(docs, labels)
+    if model.classes < 2:
+        return docs
+    narrow, back = apart(docs, "doc_id", "text")
+    return back(with_scores(narrow, model, "__score").where(F.col("__score") < threshold))

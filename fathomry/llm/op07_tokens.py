@@ -45,9 +45,10 @@ def _encoder(spark: SparkSession, path: str, pattern: str):
 
 
 def with_counts(docs: DataFrame, column: str = "n_tokens", path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
-    """docs with the encoded length of every text."""
+    """docs with the encoded length of every text, in place of a column of that name."""
     from pyspark.sql.types import LongType, StructType
 
+    docs = docs.drop(column)
     make = _encoder(docs.sparkSession, path, pattern)
 
     def run(batches):

@@ -42,6 +42,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.order import global_index
 from ._arrow import bound_batches, with_bytes
+from ._columns import apart
 from ._graph import connected_components
 from ._shingles import Shingler
 from ._work import Work
@@ -285,14 +286,15 @@ def keep_one(work: Work, docs: DataFrame, words: int = WORDS, percent: int = PER
 
     Texts that share a doc_id are documents of their own, in the order of a hash of the text.
     """
+    docs, back = apart(docs, "doc_id", "text")
     again = work.save(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
     if again.isEmpty():
-        return _without_copies(work, docs, "doc_id", words, percent)
+        return back(_without_copies(work, docs, "doc_id", words, percent))
     named = docs.where("doc_id IS NOT NULL")
     once = named.join(again, "doc_id", "left_anti").select(docs.columns).union(named.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))
     order = [F.col("doc_id"), F.xxhash64("text"), F.col("text")]
     rows = work.save(global_index(once, order, "__row", save=work.save), "rows")
-    return _without_copies(work, rows, "__row", words, percent).select(docs.columns).union(docs.where("doc_id IS NULL"))
+    return back(_without_copies(work, rows, "__row", words, percent).select(docs.columns).union(docs.where("doc_id IS NULL")))
 
 
 def _without_copies(work: Work, docs: DataFrame, key: str, words: int, percent: int) -> DataFrame:

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ._columns import apart
 from ._words import n_words, words
 from ._work import Work
 
@@ -116,7 +117,8 @@ def report(work: Work, docs: DataFrame, benchmark: DataFrame, window: int = WIND
 def drop_contaminated(work: Work, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without those in which a window occurs."""
     found = contamination(work, docs, benchmark, window).select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__hash"))
-    return docs.join(_small(found), F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.xxhash64("text") == F.col("__hash")), "left_anti").select(docs.columns)
+    narrow, back = apart(docs, "doc_id", "text")
+    return back(narrow.join(_small(found), F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.xxhash64("text") == F.col("__hash")), "left_anti"))
 
 
 def near_items(work: Work, index: Index, terms: int = 3, slack: int = WINDOW) -> DataFrame:

@@ -12,7 +12,7 @@ from test_ops import AZ, SPACE, WORD, brute_components, brute_lines, brute_toxic
 
 import __spark_entry__
 import corpus_pipeline
-from fathomry.llm import op06_toxic
+from fathomry.llm import op03_mix, op06_toxic
 
 DATA = "/root/testdata/sf0.001"
 
@@ -89,7 +89,7 @@ def test_run_equals_brute_force(spark):
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
     assert set(__spark_entry__.oracle_sql()) <= set(names)
 
 
@@ -103,6 +103,8 @@ def test_stages_on_awkward_rows(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, None, s, None) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
     for name in ("text_hash", "repetition", "rep", "label", "key", "bucket", "size", "score", "toxic", "item", "h", "count"):
         docs = docs.withColumn(name, F.lit("clash"))
+    inner = ["score", "doc_id", "hash", "h", "row", "repeats", "times", "part", "place", "before", "id", "i", "first", "same", "rest", *op03_mix._ASKED]
+    docs = docs.select("*", *[F.lit(f"clash {k}").alias(f"__{c}") for k, c in enumerate(inner)])
     spark.createDataFrame([(1, 1, 0), (3, 0, 1), (4, None, None), (10, 1, 0), (11, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for table in (docs, docs.limit(0)):
@@ -112,8 +114,34 @@ def test_stages_on_awkward_rows(spark, tmp_path):
             assert out.columns == want, name
             got = out.count()
             assert got <= table.count() * 2 if name == "mixing" else got <= table.count(), name
+            assert out.where(" OR ".join(f"__{c} <> 'clash {k}' OR __{c} IS NULL" for k, c in enumerate(inner))).isEmpty(), name
     lines = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()}
     assert lines[12] == "own words 2 x x " and lines[2] is None and lines[3] == ""
     assert corpus_pipeline.decontamination(spark, docs, str(tmp_path)).where("doc_id = 5").isEmpty()
     near = corpus_pipeline.near_dedup(spark, docs, str(tmp_path))
     assert near.where("doc_id = 1").count() == 1 and near.where("doc_id IS NULL").count() == 1
+
+
+@pytest.mark.parametrize("kind", ["no labels", "other documents", "one class", "null labels", "all too long"])
+def test_toxicity_keeps_all_without_a_classifier(spark, tmp_path, monkeypatch, kind):
+    rows = [(i, f"text {i} of some length", "en", "s", 1) for i in range(200)] + [(None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = {"no labels": [], "other documents": [(1000 + i, 1, i % 2) for i in range(50)], "one class": [(i, 1, 1) for i in range(200)], "null labels": [(i, 1, None) for i in range(200)], "all too long": [(i, 1, i % 2) for i in range(200)]}[kind]
+    if kind == "all too long":
+        monkeypatch.setattr(op06_toxic, "MAX_TRAIN_BYTES", 10)
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.toxicity(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and out.count() == 201
+
+
+def test_toxicity_passes_over_a_training_text_that_does_not_fit(spark, tmp_path, monkeypatch):
+    """A text above the bound, wherever it stands in the order, leaves the others to be trained on."""
+    bad = lambda i: i % 4 == 0
+    rows = [(i, (f"vile filthy slur number {i} " if bad(i) else f"kind quiet words number {i} ") * 3, "en", "s", 1) for i in range(240)]
+    monkeypatch.setattr(op06_toxic, "MAX_TRAIN_BYTES", 60_000)
+    for k in (1, 7, 100):
+        rows[k] = (k, "long innocent words " * 5000, "en", "s", 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(i, 1, int(bad(i) and i != 100)) for i in range(240)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stay = {r.doc_id for r in corpus_pipeline.toxicity(spark, docs, str(tmp_path)).collect()}
+    assert stay >= {i for i in range(240) if not bad(i)} and not stay & {i for i in range(240) if bad(i) and i != 100}
