@@ -1,7 +1,7 @@
 """Packing documents into sequences: linear grouping over the histogram of lengths, then best fit.
 
 1. ``token_pieces`` encodes every whole text once and cuts it into pieces of at most ``CAPACITY`` ids. Words
-   that were met before come from a bounded table; a word's ids don't depend on its neighbours, as the
+   that a Python worker met before come from a bounded table; a word's ids don't depend on its neighbours, as the
    tokenizer drops white space and never merges across it.
 2. Pieces of one length are alike, so the packing is found on the histogram of lengths, which has at most CAPACITY
    rows whatever the corpus (``_packing``): large lengths are rounded up within groups of equal cardinality,
@@ -19,6 +19,7 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 
@@ -101,6 +102,12 @@ class Encoder:
         return b"".join(out)
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(vocabulary: str) -> Encoder:
+    """One a Python worker, so that its tasks share the words they met."""
+    return Encoder(vocabulary)
+
+
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32), with the ids themselves as bytes if asked for."""
     held = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
@@ -108,7 +115,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
     names = ["piece", "start", "length", "ids_crc32"]
 
     def run(batches):
-        encode = Encoder(held.value)
+        encode = _encoder(held.value)
         for batch in batches:
             rows, columns, ids = [], [[] for _ in names], []
             for i, text in enumerate(batch.column(1)):
