@@ -15,6 +15,8 @@ from . import metrics
 DEPTH = 10
 #: Query and corpus vectors whose scores a task holds at a time: a tile of 32 MB.
 QUERY_BLOCK, CORPUS_BLOCK = 1024, 4096
+#: Bytes of corpus vectors that a task holds while it goes through the queries.
+HELD_BYTES = 128 << 20
 
 
 def best(run: DataFrame, k: int) -> DataFrame:
@@ -23,38 +25,137 @@ def best(run: DataFrame, k: int) -> DataFrame:
     return run.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def search(queries: DataFrame, corpus: DataFrame, k: int = DEPTH, exclude_self: bool = False, block: int = QUERY_BLOCK) -> DataFrame:
+def _clean(df: DataFrame, key: str) -> DataFrame:
+    """(key, embedding) of the vectors that take part, in doubles."""
+    v = F.col("embedding").cast("array<double>")
+    whole = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return df.select(F.col(key).cast("long").alias(key), v.alias("embedding")).where(whole)
+
+
+class Lists:
+    """The best documents of some queries so far: at most ``keep`` each, by score, then id.
+
+    Once a list is full, its last score is a threshold: a block of scores that has none as good leaves the list alone.
+    """
+
+    def __init__(self, qids: np.ndarray, keep: int):
+        self.qids = qids
+        self.scores = np.full((len(qids), keep), -np.inf)
+        self.dids = np.full((len(qids), keep), np.iinfo(np.int64).max)
+
+    def offer(self, dids: np.ndarray, scores: np.ndarray, first: int = 0, own: bool = True) -> None:
+        """scores has a row for each query from ``first`` on and a column for each of dids, which are in order; without ``own``,
+        a document with the query's id is no candidate."""
+        rows = slice(first, first + len(scores))
+        if not own:
+            same = self.qids[rows, None] == dids[None, :]
+            if same.any():
+                scores = np.where(same, -np.inf, scores)
+        some = np.flatnonzero((scores >= self.scores[rows, -1:]).any(1))
+        if not len(some):
+            return
+        place = _best_columns(scores[some], self.scores.shape[1])
+        rows = first + some
+        score = np.concatenate([self.scores[rows], np.take_along_axis(scores[some], place, 1)], 1)
+        did = np.concatenate([self.dids[rows], dids[place]], 1)
+        order = np.lexsort((did, -score), axis=1)[:, : self.scores.shape[1]]
+        self.scores[rows], self.dids[rows] = np.take_along_axis(score, order, 1), np.take_along_axis(did, order, 1)
+
+    def batch(self) -> pa.RecordBatch:
+        there = self.scores > -np.inf
+        qids = np.repeat(self.qids, there.sum(1))
+        return pa.RecordBatch.from_arrays([pa.array(qids), pa.array(self.dids[there]), pa.array(self.scores[there])], ["qid", "did", "score"])
+
+
+def _in_order(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids in order, so that of equal scores a place further left is a smaller id."""
+    order = np.argsort(ids, kind="stable")
+    return ids[order], x[order]
+
+
+def search(queries: DataFrame, corpus: DataFrame, k: int = DEPTH, exclude_self: bool = False, block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK, held_bytes: int = HELD_BYTES) -> DataFrame:
     """(qid, did, score, rank): inner products in doubles; equal scores by document id.
 
     queries(qid, embedding) and corpus(did, embedding) have integer ids. The query vectors are
-    written to the shared folder. A task holds CORPUS_BLOCK corpus vectors at a time, reads the
-    queries in blocks, and keeps k rows for each query and corpus block: it never holds more
-    than a tile of ``block`` by CORPUS_BLOCK scores, and neither corpus nor queries come to the
-    driver or are shuffled. Vectors that are null or hold a null or non-finite component take no part.
+    written to the shared folder; the corpus is read where it is. A task holds its corpus vectors up to ``held_bytes`` and then reads the queries once,
+    in blocks: each block's lists go through all that is held, ``block`` by ``corpus_block`` scores at a time, and only k rows
+    a query leave; a larger partition is worked on in several parts. Neither side comes to the driver, and
+    what is shuffled are k rows for each query and part. Vectors that are null or hold a null or non-finite component take no part.
     """
-    spark = queries.sparkSession
-    keep = k + (1 if exclude_self else 0)
+    root = f"{shared_root(queries.sparkSession)}/fathomry/search-{uuid.uuid4().hex[:12]}"
+    save_table(_clean(queries, "qid"), root)
+
+    def run(batches):
+        for held in _held(batches, corpus_block, held_bytes):
+            for qids, q in _blocks_of_files(root, block):
+                lists = Lists(qids, k)
+                for dids, x in held:
+                    lists.offer(dids, q @ x.T, own=not exclude_self)
+                yield lists.batch()
 
-    def clean(df: DataFrame, key: str) -> DataFrame:
-        v = F.col("embedding").cast("array<double>")
-        return df.select(F.col(key).cast("long").alias(key), v.alias("embedding")).where(F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    return best(_clean(corpus, "did").mapInArrow(run, "qid long, did long, score double"), k)
 
+
+def stripes(blocks: int, parts: int = 1) -> list[tuple[int, int, int]]:
+    """(block, first, end): pairs of blocks as stripes, block i with the blocks i + first to i + end - 1 (modulo the blocks).
+
+    Each unordered pair, and each block with itself, is in exactly one stripe, and all blocks have as many, but for the
+    last place of an even number, which half of them have. A block's pairs are cut into ``parts``.
+    """
+    out = []
+    for i in range(blocks):
+        end = blocks // 2 + (1 if blocks % 2 or i < blocks // 2 else 0)
+        size = -(-end // parts) or 1
+        out += [(i, at, min(at + size, end)) for at in range(0, end, size)]
+    return out
+
+
+def self_search(vectors: DataFrame, k: int = DEPTH, exclude_self: bool = False, block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK, held_bytes: int = HELD_BYTES) -> DataFrame:
+    """(qid, did, score, rank): search of vectors(qid, embedding) among themselves, each product computed once.
+
+    Scores are symmetric: a pair of blocks is multiplied once and offered to the lists of both. The vectors are written as
+    blocks of about ``held_bytes`` at most, a file each; stripes of block pairs are the rows of a table, and a task reads its own
+    block once and the others one after the other. k rows a query leave a task for its own block and for every other
+    block that it meets: half as many as if each block were searched for each.
+    """
+    spark = vectors.sparkSession
+    clean = _clean(vectors, "qid")
+    n, size = clean.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    if not n:
+        return best(spark.createDataFrame([], "qid long, did long, score double"), k)
+    spread = spark.sparkContext.defaultParallelism
+    # As many blocks as memory asks for; more, if there are vectors for it, so that all cores have stripes.
+    blocks = max(-(-n * size * 8 // held_bytes), min(spread, -(-n // block)))
     root = f"{shared_root(spark)}/fathomry/search-{uuid.uuid4().hex[:12]}"
-    save_table(clean(queries, "qid"), root)
+    save_table(clean.repartition(int(blocks)), root)
+    files = _files(root)
+    rows = stripes(len(files), -(-spread // len(files)))
 
     def run(batches):
-        for dids, x in _blocks(batches):
-            # Ids in order, so that of equal scores a stable sort takes the smaller id first.
-            order = np.argsort(dids, kind="stable")
-            dids, x = dids[order], x[order]
-            for qids, q in _blocks_of_files(root, block):
-                scores = q @ x.T
-                place = _best_columns(scores, keep)
-                scores = np.take_along_axis(scores, place, 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, place.shape[1])), pa.array(dids[place].ravel()), pa.array(scores.ravel())], ["qid", "did", "score"])
-
-    out = clean(corpus, "did").mapInArrow(run, "qid long, did long, score double")
-    return best(out.where("qid <> did") if exclude_self else out, k)
+        for batch in batches:
+            for i, first, end in map(rows.__getitem__, batch.column(0).to_pylist()):
+                ids, x = _read(root, files[i])
+                own = Lists(ids, k)
+                for step in range(first, end):
+                    if not step:
+                        for at in range(0, len(ids), block):
+                            for to in range(0, len(ids), corpus_block):
+                                own.offer(ids[to : to + corpus_block], x[at : at + block] @ x[to : to + corpus_block].T, at, not exclude_self)
+                        continue
+                    other_ids, y = _read(root, files[(i + step) % len(files)])
+                    if not len(ids) or not len(other_ids):
+                        continue
+                    other = Lists(other_ids, k)
+                    for at in range(0, len(ids), block):
+                        for to in range(0, len(other_ids), corpus_block):
+                            scores = x[at : at + block] @ y[to : to + corpus_block].T
+                            own.offer(other_ids[to : to + corpus_block], scores, at, not exclude_self)
+                            other.offer(ids[at : at + block], scores.T, to, not exclude_self)
+                    yield other.batch()
+                yield own.batch()
+
+    table = spark.range(0, len(rows), 1, len(rows))  # a task each
+    return best(table.mapInArrow(run, "qid long, did long, score double"), k)
 
 
 def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -62,9 +163,9 @@ def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.asarray(batch.column(1).flatten(), np.float64).reshape(len(ids), -1)
 
 
-def _blocks(batches, size: int | None = None):
-    """(ids, vectors) of at most ``size`` rows (CORPUS_BLOCK), put together from the batches."""
-    size, held, n = size or CORPUS_BLOCK, [], 0
+def _blocks(batches, size: int):
+    """(ids, vectors) of at most ``size`` rows, put together from the batches."""
+    held, n = [], 0
     for batch in batches:
         for at in range(0, batch.num_rows, size):
             part = batch.slice(at, size)
@@ -78,8 +179,40 @@ def _blocks(batches, size: int | None = None):
         yield tuple(map(np.concatenate, zip(*held)))
 
 
+def _held(batches, block: int, most: int):
+    """Lists of blocks in order of ids, of at most so many bytes together."""
+    held, size = [], 0
+    for ids, x in _blocks(batches, block):
+        if held and size + x.nbytes > most:
+            yield held
+            held, size = [], 0
+        held.append(_in_order(ids, x))
+        size += x.nbytes
+    if held:
+        yield held
+
+
+def _files(uri: str) -> list[str]:
+    """The paths of a folder's Parquet files."""
+    import pyarrow.fs as pafs
+
+    filesystem, root = pafs.FileSystem.from_uri(uri)
+    return sorted(i.path for i in filesystem.get_file_info(pafs.FileSelector(root)) if i.base_name.endswith(".parquet"))
+
+
+def _read(uri: str, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of one file, in order of their ids."""
+    import pyarrow.fs as pafs
+    import pyarrow.parquet as pq
+
+    filesystem, _ = pafs.FileSystem.from_uri(uri)
+    with filesystem.open_input_file(path) as f:
+        parts = [_matrix(b) for b in pq.ParquetFile(f).iter_batches(batch_size=CORPUS_BLOCK)]
+    return _in_order(*map(np.concatenate, zip(*parts))) if parts else (np.zeros(0, np.int64), np.zeros((0, 0)))
+
+
 def _blocks_of_files(uri: str, size: int):
-    """The same for the Parquet files of a folder."""
+    """Blocks of the Parquet files of a folder."""
     import pyarrow.fs as pafs
     import pyarrow.parquet as pq
 

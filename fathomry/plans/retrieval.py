@@ -64,7 +64,7 @@ def retrieve_exclude_self(t):
 )
 def self_retrieve_topk5(t):
     vectors = t.embeddings.select(F.col("vec_id").alias("qid"), "embedding")
-    return _out(R.search(vectors, _corpus(t), 5))
+    return _out(R.self_search(vectors, 5))
 
 
 @query(

@@ -170,9 +170,8 @@ def test_cumulative_split_over_many_ranges(spark):
     assert got == want
 
 
-def test_search_in_small_blocks_equals_brute_force(spark, monkeypatch):
+def test_search_in_small_blocks_equals_brute_force(spark):
     """Blocks of a few vectors, equal scores, equal ids on both sides, and vectors that take no part."""
-    monkeypatch.setattr(R, "CORPUS_BLOCK", 7)
     rng = np.random.default_rng(3)
     x = rng.integers(-5, 6, (90, 4)).astype(float)
     x[40:60] = x[3]
@@ -180,7 +179,7 @@ def test_search_in_small_blocks_equals_brute_force(spark, monkeypatch):
     df = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(3)
     queries, corpus = df.withColumnRenamed("id", "qid").where("qid % 2 = 0"), df.withColumnRenamed("id", "did")
     for own in (False, True):
-        got = {(r.qid, r.rank): r.did for r in R.search(queries, corpus, 6, own, block=5).collect()}
+        got = {(r.qid, r.rank): r.did for r in R.search(queries, corpus, 6, own, block=5, corpus_block=7).collect()}
         want = {}
         for q in range(0, 90, 2):
             best = sorted((-float(sum(a * b for a, b in zip(x[q], x[d]))), d) for d in range(90) if not (own and d == q))
@@ -190,6 +189,40 @@ def test_search_in_small_blocks_equals_brute_force(spark, monkeypatch):
     assert R.search(queries.limit(0), corpus, 3).count() == 0 and R.search(queries, corpus.limit(0), 3).count() == 0
 
 
+def test_search_hands_on_k_rows_a_query_and_task(spark, monkeypatch):
+    """Lists run through all of a task's blocks; equal scores are cut by id, whichever block they come in."""
+    x = np.random.default_rng(4).integers(-3, 4, (600, 3)).astype(float)
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id long, embedding array<double>").repartition(4)
+    queries, corpus = df.where("id < 50").withColumnRenamed("id", "qid"), df.withColumnRenamed("id", "did")
+    want = {(q, r + 1): d for q in range(50) for r, (_, d) in enumerate(sorted((-float(x[q] @ x[d]), d) for d in range(600))[:5])}
+    assert {(r.qid, r.rank): r.did for r in R.search(queries, corpus, 5, block=16, corpus_block=10).collect()} == want
+    with monkeypatch.context() as m:
+        m.setattr(R, "best", lambda run, k: run)
+        tasks = corpus.rdd.getNumPartitions()
+        assert R.search(queries, corpus, 5, block=16, corpus_block=10).count() == 50 * 5 * tasks
+        parts = R.search(queries, corpus, 5, block=16, corpus_block=10, held_bytes=3 * 8 * 80).count() / (50 * 5)  # each partition in two
+        assert tasks < parts <= 3 * tasks
+    assert {(r.qid, r.rank): r.did for r in R.search(queries, corpus, 5, block=16, corpus_block=10, held_bytes=3 * 8 * 80).collect()} == want
+
+
+@pytest.mark.parametrize("held_bytes", [1 << 20, 4 * 8 * 20, 4 * 8 * 31])
+def test_self_search_equals_search(spark, held_bytes):
+    x = np.random.default_rng(5).integers(-4, 5, (150, 4)).astype(float)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(300, None), (301, [float("inf")] * 4), (302, [])]
+    df = spark.createDataFrame(rows[:-1], "qid long, embedding array<double>")
+    for own in (False, True):
+        got = {(r.qid, r.rank): r.did for r in R.self_search(df, 7, own, 9, 13, held_bytes).collect()}
+        assert got == {(q, r + 1): d for q in range(150) for r, (_, d) in enumerate(sorted((-float(x[q] @ x[d]), d) for d in range(150) if not (own and d == q))[:7])}
+    assert R.self_search(df.limit(0), 3).isEmpty() and R.self_search(df.limit(1), 3).count() == 1
+
+
+@pytest.mark.parametrize("blocks", [1, 2, 3, 4, 7, 10])
+@pytest.mark.parametrize("parts", [1, 3])
+def test_stripes_meet_each_pair_once(blocks, parts):
+    met = [frozenset({i, (i + s) % blocks}) for i, first, end in R.stripes(blocks, parts) for s in range(first, end)]
+    assert len(met) == len(set(met)) == blocks * (blocks + 1) // 2
+
+
 def test_natural_key_of_long_digit_runs(spark):
     names = ["a2", "a10", "a" + "9" * 20, "a1" + "0" * 20, "a002b", "a2b", "b1"]
     got = [r[0] for r in spark.createDataFrame([(n,) for n in reversed(names)], "n string").orderBy(T.natural_key(F.col("n")), "n").collect()]
