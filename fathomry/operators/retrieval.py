@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.store import save_table, shared_root
+from ..functions.store import Work
 from . import metrics
 
 #: Documents of a query, unless asked for another number.
@@ -82,8 +80,9 @@ def search(queries: DataFrame, corpus: DataFrame, k: int = DEPTH, exclude_self:
     a query leave; a larger partition is worked on in several parts. Neither side comes to the driver, and
     what is shuffled are k rows for each query and part. Vectors that are null or hold a null or non-finite component take no part.
     """
-    root = f"{shared_root(queries.sparkSession)}/fathomry/search-{uuid.uuid4().hex[:12]}"
-    save_table(_clean(queries, "qid"), root)
+    work = Work(queries.sparkSession, "search")
+    work.save(_clean(queries, "qid"), "queries")
+    root = work.path("queries")
 
     def run(batches):
         for held in _held(batches, corpus_block, held_bytes):
@@ -126,8 +125,9 @@ def self_search(vectors: DataFrame, k: int = DEPTH, exclude_self: bool = False,
     spread = spark.sparkContext.defaultParallelism
     # As many blocks as memory asks for; more, if there are vectors for it, so that all cores have stripes.
     blocks = max(-(-n * size * 8 // held_bytes), min(spread, -(-n // block)))
-    root = f"{shared_root(spark)}/fathomry/search-{uuid.uuid4().hex[:12]}"
-    save_table(clean.repartition(int(blocks)), root)
+    work = Work(spark, "search")
+    work.save(clean.repartition(int(blocks)), "vectors")
+    root = work.path("vectors")
     files = _files(root)
     rows = stripes(len(files), -(-spread // len(files)))
 

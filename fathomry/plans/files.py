@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.store import shared_root
+from ..functions.store import Work
 from ..operators import rows as O
 from ..sources import archives as A, files as S, trec
 from ..sources.tfrecord import write_tfrecords
@@ -14,7 +12,7 @@ from .registry import Tables, query
 
 
 def _folder(t: Tables, name: str) -> str:
-    return f"{shared_root(t.spark)}/fathomry/files-{uuid.uuid4().hex[:12]}/{name}"
+    return Work(t.spark, "files").path(name)
 
 
 def _in_order(df: DataFrame, *keys: str) -> DataFrame:

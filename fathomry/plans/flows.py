@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.store import shared_root
+from ..functions.store import Work
 from ..operators import rows as O
 from ..sources import files as S
 from ..streaming import flows
@@ -14,7 +12,7 @@ from .registry import Tables, query
 
 
 def _folder(t: Tables, name: str) -> str:
-    return f"{shared_root(t.spark)}/fathomry/flows-{uuid.uuid4().hex[:12]}/{name}"
+    return Work(t.spark, "flows").path(name)
 
 
 def _drain(stream: DataFrame, t: Tables, name: str) -> DataFrame:

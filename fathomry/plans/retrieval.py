@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import metrics as M, retrieval as R
+from ..operators import lexical as X, metrics as M, retrieval as R
 from ..sources import trec
 from .registry import Tables, query
 
@@ -150,6 +150,28 @@ def lexical_scores(t):
     return R.lexical(_terms(t.benchmark, "item_id", "qid"), _terms(t.documents, "doc_id", "did"), 1 << 30).select("qid", "did", F.round("score", 4).alias("score"))
 
 
+@query(
+    r"WITH q AS (SELECT item_id AS qid, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda w: w <> '')) AS term FROM benchmark), "
+    + _TERMS.replace("\nSELECT qid, did, round(", ",\ns AS (SELECT qid, did, round(").replace(", 4) AS score", ", 9) AS score")
+    + "), top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did) AS rank FROM s), p AS (SELECT qid, sum(df)::BIGINT AS postings FROM a JOIN df USING (term) GROUP BY qid)\n"
+    "SELECT qid, did, round(score, 4) AS score, rank, postings FROM top JOIN p USING (qid) WHERE rank <= 10"
+)
+def lexical_topk10(t):
+    """The ten best documents of every benchmark item, and how many postings its terms have."""
+    return _pruned(t).select("qid", "did", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"), "postings")
+
+
+@query()
+def lexical_postings_read(t):
+    """How many postings of its terms each benchmark item had to read for its ten best documents; how many depends on the blocks."""
+    return _pruned(t).groupBy("qid").agg(F.first("postings").alias("postings"), F.first("read").alias("read"))
+
+
+def _pruned(t: Tables) -> DataFrame:
+    queries = _terms(t.benchmark, "item_id", "qid")
+    return X.search(X.ImpactIndex(_terms(t.documents, "doc_id", "did"), queries.select("term")), queries)
+
+
 @query(r"""WITH x AS (SELECT DISTINCT item_id AS qid, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda w: w <> '')) AS term FROM benchmark),
 least AS (SELECT qid, list_sort(list(term)) AS ts FROM x GROUP BY qid), q1 AS (SELECT qid, unnest(ts[1:2]) AS term FROM least), m AS (SELECT qid, unnest(ts[3:5]) AS added FROM least),
 q AS (SELECT qid || ':' AS qid, term FROM q1 UNION ALL SELECT qid || ':' || added, term FROM q1 JOIN m USING (qid) UNION ALL SELECT qid || ':' || added, added FROM m),

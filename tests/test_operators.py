@@ -6,9 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fathomry.functions import text as T, vectors as V, vision as I
+from fathomry.functions import store, text as T, vectors as V, vision as I
 from fathomry.functions.order import global_index
-from fathomry.operators import batching as B, contrastive as C, retrieval as R, rows as O
+from fathomry.operators import batching as B, contrastive as C, lexical as X, retrieval as R, rows as O
 from fathomry.plans.prep import EXAMPLES
 from fathomry.streaming import flows
 
@@ -274,3 +274,42 @@ def test_wrap_equals_a_loop(spark):
                     want.append(line.strip(" "))
                     line = w
             assert got[i] == ([*want, line.strip(" ")] if line else want), (i, width)
+
+
+@pytest.mark.parametrize("block_docs", [1, 4, 1000])
+def test_lexical_search_in_blocks_equals_all_scores(spark, block_docs):
+    """Equal scores, repeated and unknown terms, null rows, hot terms, fewer documents than k."""
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(60)]
+    chances = 1 / np.arange(1, 61)
+    docs = [(d, str(w)) for d in range(150) for w in rng.choice(words, int(rng.integers(1, 12)), p=chances / chances.sum())]
+    docs += [(200 + d, w) for d in range(20) for w in ("w5", "w9", "w59")] + [(300, None), (None, "w1")]
+    asked = [(q, str(w)) for q in range(25) for w in rng.choice(words, int(rng.integers(1, 9)))] + [(50, "none"), (51, "w59"), (51, "w59"), (52, None), (53, "w0")]
+    d, q = spark.createDataFrame(docs, "did long, term string"), spark.createDataFrame(asked, "qid long, term string")
+    whole = d.where("did IS NOT NULL AND term IS NOT NULL")
+    with store.cleared():
+        for k in (1, 10):
+            want = {(r.qid, r.rank): (r.did, r.score) for r in R.lexical(q, whole, k).collect()}
+            for terms in (None, q.select("term")):
+                rows = X.search(X.ImpactIndex(d, terms, block_docs=block_docs), q, k).collect()
+                assert {(r.qid, r.rank): (r.did, r.score) for r in rows} == want
+                assert all(0 < r["read"] <= r.postings for r in rows)
+                if block_docs == 1 and k == 1:
+                    assert sum({r.qid: r["read"] for r in rows}.values()) < 0.7 * sum({r.qid: r.postings for r in rows}.values())
+
+
+def test_cleared_deletes_all_tables(spark):
+    """Whatever was written inside of the block is gone when it ends."""
+    from pathlib import Path
+
+    root = Path(store.shared_root(spark).removeprefix("file://")) / "fathomry"
+    before = {p for p in root.glob("*")}
+    vectors = spark.range(30).select(F.col("id").alias("qid"), F.array(F.col("id").cast("double")).alias("embedding"))
+    terms = spark.range(30).select(F.col("id").alias("did"), F.lit("a").alias("term"))
+    with store.cleared():
+        R.search(vectors, vectors.withColumnRenamed("qid", "did"), 2).collect()
+        R.self_search(vectors, 2).collect()
+        X.search(X.ImpactIndex(terms), terms.select(F.col("did").alias("qid"), "term")).collect()
+        O.cumulative_split(spark.range(30).withColumn("n", F.lit(1)), "n", [10], ["id"]).collect()
+        assert {p for p in root.glob("*")} > before
+    assert {p for p in root.glob("*")} == before

@@ -26,11 +26,15 @@ def _rows(names, rows):
     return sorted(tuple(_norm(r[i]) for i in order) for r in rows)
 
 
+#: What they return depends on how the engine works.
+WITHOUT_SQL = {"lexical_postings_read"}
+
+
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) - WITHOUT_SQL == set(SQL)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, name):
     root = f"{DATA}/{'sf0.01' if name in LARGER else 'sf0.001'}"
     con = duckdb.connect()
