@@ -106,6 +106,10 @@ def brace_json(response: Column) -> Column:
     return F.when((start > 0) & F.contains(response, F.lit("}")) & (end >= start), F.substr(response, start, end - start + 1))
 
 
+#: What counts as white space between words, in Unicode as in ASCII.
+SPACE = r"\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+
+
 def wrap(text: Column, width: int) -> Column:
     """Greedy lines: a word joins the line while the two and a blank fit.
 
@@ -115,7 +119,7 @@ def wrap(text: Column, width: int) -> Column:
     """
     if width < 2:
         raise ValueError("lines of at least two characters")
-    words = F.trim(F.regexp_replace(text, r"\s+", " "))
+    words = F.trim(F.regexp_replace(text, rf"[{SPACE}]+", " "))
     first = F.regexp_extract(words, rf"(?s)^(.{{1,{width - 1}}})(?= |\z)", 1)
     rest = F.when(first == "", words).otherwise(F.substr(words, F.length(first) + 2))
     lines = F.regexp_extract_all(rest, F.lit(rf"(?s)(?:\S.{{0,{width - 1}}}|\S{{{width + 1},}})(?= |\z)"), F.lit(0))

@@ -70,11 +70,11 @@ def scatter(states: Column, bounds: Column, images: Column) -> Column:
 
 
 def dropout(states: Column, share: float, seed: Column) -> Column:
-    """Whole components of all states set to 0 with probability ``share`` and the rest scaled up, by a hash of (seed, component): reproducible."""
+    """Whole components of all states set to 0 with probability ``share`` and the rest scaled up, by an md5 of (seed, component): reproducible."""
     if not share:
         return states
     dim = F.size(F.get(states, F.lit(0)))
-    kept = F.transform(F.sequence(F.lit(0), dim - 1), lambda i: F.when(F.pmod(F.xxhash64(seed, i), F.lit(1 << 30)) / float(1 << 30) >= share, 1 / (1 - share)).otherwise(0.0))
+    kept = F.transform(F.sequence(F.lit(0), dim - 1), lambda i: F.when(F.conv(F.substring(F.md5(F.concat_ws("|", seed.cast("string"), i.cast("string"))), 1, 8), 16, 10).cast("long") / float(1 << 32) >= share, 1 / (1 - share)).otherwise(0.0))
     return F.transform(states, lambda s: F.zip_with(doubles(s), kept, lambda x, k: x * k))
 
 

@@ -8,7 +8,8 @@ the greatest weight. A query's terms have a greatest weight each, its cap. ``sea
 2. Terms whose caps, from the smallest on, sum up to less than the threshold can't bring a document in by themselves. Only
    blocks that hold one of the other terms are looked at.
 3. What a document of such a block can score at most is the sum of the block's weights of these terms and the
-   caps of the rest. Only blocks where that reaches the threshold are read, and then for all of the query's terms.
+   caps of the rest; where that reaches the threshold, it is the sum of the block's weights of all terms. Only blocks where that does
+   too are read.
 
 A term however frequent is split over the blocks, so no task gathers its postings. All steps are joins and aggregates that
 Spark partitions; a query's terms are gathered as an array of its own length.
@@ -18,11 +19,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.order import global_index
 from ..functions.store import Work
 from .retrieval import DEPTH, best
 
 #: Documents of a block on average, and the blocks that a term is first scored in.
-BLOCK_DOCS, SEEDS = 128, 2
+BLOCK_DOCS, SEEDS = 16, 2
 #: Scores are rounded to so many decimals; bounds give way by more than that.
 DECIMALS, SLACK = 9, 1e-6
 
@@ -44,12 +46,13 @@ class ImpactIndex:
         df = tf.groupBy("term").agg(F.count("*").alias("df"))
         idf = F.ln(1 + (F.lit(self.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(average or 1.0)))
-        block = F.pmod(F.xxhash64("did"), F.lit(max(1, -(-self.n // block_docs))))
-        weighed = tf.join(counted, "did").join(df, "term").select("term", block.alias("block"), "did", weight.alias("w"))
+        # Documents of like length are in one block: what a long one could score isn't held against short ones.
+        placed = work.save(global_index(counted, ["length", "did"], "place", save=work.save), "placed").withColumn("block", F.floor(F.col("place") / block_docs))
+        weighed = tf.join(placed, "did").join(df, "term").select("term", "block", "did", weight.alias("w"))
         self.postings = work.save(weighed.sortWithinPartitions("term", "block"), "postings")
         self.maxima = work.save(self.postings.groupBy("term", "block").agg(F.max("w").alias("most"), F.count("*").alias("n")), "maxima")
         self.caps = work.save(self.maxima.groupBy("term").agg(F.max("most").alias("cap"), F.sum("n").alias("df")), "caps")
-        work.drop("tf", "lengths")
+        work.drop("tf", "lengths", "placed")
 
     def clear(self) -> None:
         self.work.clear()
@@ -93,7 +96,9 @@ def search(index: ImpactIndex, queries: DataFrame, k: int = DEPTH) -> DataFrame:
 
     bound = held.select("qid", "least", "rest", F.inline("needed")).join(index.maxima, "term")
     bound = bound.groupBy("qid", "block").agg(F.sum(F.col("times") * F.col("most")).alias("most"), F.first("rest").alias("rest"), F.first("least").alias("least"))
-    blocks = work.save(bound.where(F.col("most") + F.col("rest") >= F.col("least")).select("qid", "block"), "blocks")
+    able = work.save(bound.where(F.col("most") + F.col("rest") >= F.col("least")).select("qid", "block", "least"), "able")
+    exact = able.join(asked.select("qid", "term", "times"), "qid").join(index.maxima, ["term", "block"]).groupBy("qid", "block", "least")
+    blocks = work.save(exact.agg(F.sum(F.col("times") * F.col("most")).alias("most")).where(F.col("most") >= F.col("least")).select("qid", "block"), "blocks")
     run = work.save(best(index.scores(asked, blocks), k), "run")
 
     looked = blocks.unionByName(seeds).distinct().join(asked.select("qid", "term"), "qid").join(index.maxima, ["term", "block"])

@@ -13,6 +13,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.stats import student_p
+
 # Default cutoffs of the parametric measures.
 CUTS = (5, 10, 15, 20, 30, 100, 200, 500, 1000)
 RECALLS = tuple(i / 10 for i in range(11))
@@ -174,6 +176,10 @@ def mrr(run: DataFrame, qrels: DataFrame, cutoff: int | None = None) -> DataFram
 
 
 def paired_t(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(n, mean_difference, t) of two (qid, value) tables over their common queries."""
+    """(n, mean_difference, t, p) of two (qid, value) tables over their common queries: the paired t-test, both sides.
+
+    t and p are null for fewer than two queries and where all differences are equal.
+    """
     d = a.select("qid", F.col("value").alias("x")).join(b.select("qid", F.col("value").alias("y")), "qid").select((F.col("x") - F.col("y")).alias("d"))
-    return d.agg(F.count("*").alias("n"), F.avg("d").alias("mean_difference"), (F.avg("d") / F.nullif(F.stddev_samp("d"), F.lit(0.0)) * F.sqrt(F.count("*").cast("double"))).alias("t"))
+    tested = d.agg(F.count("*").alias("n"), F.avg("d").alias("mean_difference"), (F.avg("d") / F.nullif(F.stddev_samp("d"), F.lit(0.0)) * F.sqrt(F.count("*").cast("double"))).alias("t"))
+    return tested.withColumn("p", student_p(F.col("t"), F.col("n") - 1))

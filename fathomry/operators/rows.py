@@ -9,6 +9,9 @@ from ..functions.store import scratch
 
 # -- joins -----------------------------------------------------------------------------
 
+#: Rows of a head that are taken by a limit instead of numbering all.
+HEAD = 100_000
+
 
 def keep_last(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """One row for each key: the last in the given order."""
@@ -110,7 +113,9 @@ def sample_n(df: DataFrame, n: int, key: list[str], seed: int | str = 0, exact:
 
 def split_bands(df: DataFrame, sizes: list[int], key: list[str], seed: int | str = 0, name: str = "split") -> DataFrame:
     """Shuffled, then cut: split 0 gets sizes[0] rows, split 1 the next sizes[1], and so on; the rest goes."""
-    rows, band, at = global_index(df, [seeded(seed, *key), *map(F.col, key)], "__i"), F.lit(None).cast("int"), 0
+    order = [seeded(seed, *key), *map(F.col, key)]
+    few = sum(sizes) <= HEAD  # of few rows only those are taken to be numbered
+    rows, band, at = global_index(df.orderBy(*order).limit(sum(sizes)) if few else df, order, "__i"), F.lit(None).cast("int"), 0
     for i, size in enumerate(sizes):
         band = F.when((F.col("__i") >= at) & (F.col("__i") < at + size), F.lit(i)).otherwise(band)
         at += size
@@ -182,13 +187,17 @@ def block_cyclic(df: DataFrame, order: list, block: int, shards: int, name: str
     return global_index(df, order, "__i").withColumn(name, F.pmod(F.floor(F.col("__i") / block), F.lit(shards)).cast("int")).drop("__i")
 
 
-def padded_shards(df: DataFrame, order: list, shards: int, repeats: int = 1, name: str = "shard") -> DataFrame:
-    """Every row ``repeats`` times in order, padded with the first rows to a multiple of the shards, and dealt in turn."""
+def padded_shards(df: DataFrame, order: list, shards: int, repeats: int = 1, name: str = "shard", selected: int | None = None) -> DataFrame:
+    """Every row ``repeats`` times in order, padded with the first rows to a multiple of the shards, and dealt in turn.
+
+    Of each shard the first ``selected`` rows stay, if given (``selected_repeats`` says how many an epoch takes).
+    """
     rows = global_index(df, order, "__i").withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("position", F.col("__i") * repeats + F.col("__k"))
     total = df.count() * repeats
     pad = -total % shards
     extra = rows.where(F.col("position") < pad).withColumn("position", F.col("position") + total)
-    return rows.union(extra).withColumn(name, F.pmod("position", F.lit(shards)).cast("int")).drop("__i", "__k")
+    dealt = rows.union(extra).withColumn(name, F.pmod("position", F.lit(shards)).cast("int")).drop("__i", "__k")
+    return dealt if selected is None else dealt.where(F.floor(F.col("position") / shards) < selected)
 
 
 # -- windows and sets ------------------------------------------------------------------
@@ -250,6 +259,22 @@ def average_vectors(df: DataFrame, vector: str = "embedding", group: list[str] |
     return mean.groupBy(*(group or [])).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p.x).alias(vector))
 
 
+def average_best(df: DataFrame, metric: str, n: int, vector: str = "embedding", group: list[str] | None = None, larger: bool = True, tie: str | None = None) -> DataFrame:
+    """(group, vector, n): the element-wise mean of the n best rows of each group by a metric, clamped to the float range.
+
+    Tasks hand on n rows a group at most, and one row is made of the n that are left, whose vectors are summed up in the
+    order of their places; so equal tables give equal means. Rows without a metric or vector take no part.
+    """
+    whole = df.where(F.col(metric).isNotNull() & F.col(vector).isNotNull()).withColumn("__all", F.lit(0))
+    rows = best_n(whole, group or ["__all"], metric, n, larger, tie)
+    top = 3.4028234663852886e38
+    held = F.transform(F.array_sort(F.collect_list(F.struct("place", F.col(vector).cast("array<double>").alias("v")))), lambda x: x.v)
+    added = lambda v: F.aggregate(F.slice(v, 2, n), F.get(v, F.lit(0)), lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
+    mean = rows.groupBy(*(group or ["__all"])).agg(held.alias("v"), F.count("*").alias("n"))
+    clamped = F.transform(added(F.col("v")), lambda x: F.least(F.greatest(x / F.col("n"), F.lit(-top)), F.lit(top)))
+    return mean.select(*(group or []), clamped.alias(vector), "n")
+
+
 def sample_chunks(chunks: DataFrame, n: int, key: list[str], seed: int | str = 0) -> DataFrame:
     """n chunks by a seeded hash, or none at all where there are fewer."""
     enough = chunks.limit(n).count() >= n
@@ -266,19 +291,21 @@ def selected_repeats(n: int, ratio: int, rounding: int = 256) -> int:
     return n // rounding * rounding // ratio if rounding else -(-n // ratio)
 
 
-def decayed_batch(size: int, parts: int = 2, no_odd: bool = False) -> int:
-    """The next smaller batch to try when memory runs out: octaves are cut into ``parts``; 0 ends the ladder. With ``no_odd`` odd sizes are one less."""
-    if size <= 1:
-        return 0
-    octave = 1 << ((size - 1).bit_length() - 1)
-    grid = max(octave // parts, 1)
-    out = (size - 1) // grid * grid
-    return out - out % 2 if no_odd else out
+def decayed_batch(size: Column, parts: Column, no_odd: bool = False) -> Column:
+    """The next smaller batch to try when memory runs out; 0 ends the ladder. With ``no_odd`` odd sizes are one less.
+
+    The octave below ``size`` is cut into ``parts``; the next size is the last of its marks, counted from the octave on, that is smaller.
+    """
+    size = size.cast("long")
+    octave = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(size - 1)) - 1)
+    grid = F.greatest(F.floor(octave / parts), F.lit(1).cast("long"))
+    out = octave + F.floor((size - octave - 1) / grid) * grid
+    return F.when(size <= 1, 0).otherwise(out - out % 2 if no_odd else out)
 
 
 def cap_members(df: DataFrame, order: list, most: int = 99_999) -> DataFrame:
-    """The first ``most`` rows of an order."""
-    return global_index(df, order, "__i").where(F.col("__i") < most).drop("__i")
+    """The first ``most`` rows of an order; every task hands on that many at most."""
+    return df.orderBy(*order).limit(most)
 
 
 def throughput(df: DataFrame, by: list[str], samples: str = "samples", seconds: str = "seconds") -> DataFrame:

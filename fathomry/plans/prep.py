@@ -126,9 +126,11 @@ def template_fill(t):
     return d.select("doc_id", T.fill_template(d, "Title: <meta.source> [<meta.lang>] <text>").alias("prompt"))
 
 
-@query("SELECT doc_id, ['a', 'b.c'] AS names FROM documents")
+@query("SELECT doc_id, regexp_extract_all('<' || source || '> ' || replace(replace(text, 'an', '<'), 'on', '.x>') || ' <' || lang || '>', '<([^>]*)>', 1) AS names FROM documents")
 def template_markers(t):
-    return t.documents.select("doc_id", T.markers(F.lit("x <a> y <b.c>")).alias("names"))
+    """Templates made of whole texts."""
+    text = F.replace(F.replace(F.col("text"), F.lit("an"), F.lit("<")), F.lit("on"), F.lit(".x>"))
+    return t.documents.select("doc_id", T.markers(F.concat(F.lit("<"), "source", F.lit("> "), text, F.lit(" <"), "lang", F.lit(">"))).alias("names"))
 
 
 @query("SELECT CASE WHEN doc_id % 3 = 0 THEN source ELSE doc_id::VARCHAR END AS key, count(*) AS n FROM documents GROUP BY 1")
@@ -206,7 +208,7 @@ def first_key_like(t):
     return t.documents.select("doc_id", T.first_key_like(m, "ocr_type").alias("value"))
 
 
-@query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '') AS ws FROM documents),
+@query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda x: x <> '') AS ws FROM documents),
 r AS (SELECT doc_id, list_reduce(list_concat([{'d': '', 'l': ''}], list_transform(ws, lambda x: {'d': '', 'l': x})),
   lambda a, b: CASE WHEN length(a.l) + length(b.l) + 1 <= 40 THEN {'d': a.d, 'l': a.l || ' ' || b.l} ELSE {'d': a.d || trim(a.l) || '|', 'l': b.l} END) AS r FROM w)
 SELECT doc_id, md5(r.d || trim(r.l)) AS wrapped FROM r""")
@@ -237,10 +239,10 @@ def metric_lines(t):
     return n.select("label", T.metric_line(F.lit("n"), F.col("label").cast("string"), F.col("n")).alias("line"))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE (p_name GLOB '*1?' OR p_name GLOB 'P*[0-4]7') AND NOT p_name GLOB '*11*'")
+@query("SELECT p_partkey, p_name FROM part WHERE (p_name GLOB '*ring' OR p_name GLOB '[hn]e[vw]*' OR p_name GLOB '?o[lt]* g*') AND NOT (p_name GLOB 'cold*' OR p_name GLOB 'red*')")
 def glob_filter(t):
     name = F.col("p_name")
-    return t.part.where(T.any_glob(name, ["*1?", "P*[0-4]7"]) & ~T.any_glob(name, ["*11*"])).select("p_partkey", "p_name")
+    return t.part.where(T.any_glob(name, ["*ring", "[hn]e[vw]*", "?o[lt]* g*"]) & ~T.any_glob(name, ["cold*", "red*"])).select("p_partkey", "p_name")
 
 
 @query("SELECT lang, label, n FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang) JOIN (VALUES ('en', 'English'), ('de', 'German'), ('fr', 'French'), ('es', 'Spanish')) v(lang, label) USING (lang)")
@@ -275,10 +277,12 @@ def row_validator(t):
     return rows.groupBy("error").agg(F.count("*").alias("n"), F.sum("idx").alias("idx"))
 
 
-@query("SELECT doc_id, length(text) AS n FROM documents WHERE regexp_matches(text, '(?m)licen[cs]e\\.?\\s*$')")
+@query("SELECT doc_id, length(text) AS n FROM documents WHERE len(list_filter(string_split(text, chr(10)), lambda x: length(x) % 40 < 3)) > 0")
 def visual_pages(t):
-    marks = O.is_visual(F.split("text", "\n"), (r"licen[cs]e\.?$",))
-    return t.documents.where(marks).select("doc_id", F.length("text").cast("long").alias("n"))
+    """The lines of a page end with what they are, here by their lengths."""
+    kinds = F.array(*map(F.lit, ("figure", "in_table", "equation")))
+    lines = F.transform(F.split("text", "\n"), lambda x: F.concat(x, F.lit(" "), F.coalesce(F.get(kinds, F.char_length(x) % 40), F.lit("paragraph")), F.lit(" ")))
+    return t.documents.where(O.is_visual(lines)).select("doc_id", F.length("text").cast("long").alias("n"))
 
 
 # -- explode and arrays ----------------------------------------------------------------
@@ -384,9 +388,10 @@ def ordered_sampler_pad(t):
     return O.padded_shards(t.documents.select("doc_id"), [F.col("doc_id")], 7)
 
 
-@query(_PADDED.format(k=3))
+@query(_PADDED.format(k=3) + " WHERE position // 7 < (SELECT count(*) // 256 * 256 // 7 FROM documents)")
 def repeat_sampler(t):
-    return O.padded_shards(t.documents.select("doc_id"), [F.col("doc_id")], 7, repeats=3)
+    docs = t.documents.select("doc_id")
+    return O.padded_shards(docs, [F.col("doc_id")], 7, repeats=3, selected=O.selected_repeats(docs.count(), 7))
 
 
 @query("""WITH b AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS r FROM supplier),
@@ -624,15 +629,14 @@ def sort_if_complete(t):
     return global_index(rows, [F.col("key").desc()], "place").select("doc_id", (F.col("place") + 1).alias("place"))
 
 
-_LADDER = {n: (O.decayed_batch(n), O.decayed_batch(n, no_odd=True)) for n in range(1, 51)}
-
-
-@query("""WITH o AS (SELECT p_partkey, p_size, CASE WHEN p_size > 1 THEN (1 << (length(bin(p_size - 1)) - 1)) END AS octave FROM part),
-n AS (SELECT p_partkey, CASE WHEN p_size <= 1 THEN 0 ELSE (p_size - 1) // greatest(octave // 2, 1) * greatest(octave // 2, 1) END AS n FROM o)
-SELECT p_partkey, n::INTEGER AS next, (n - n % 2)::INTEGER AS even FROM n""")
+@query("""WITH p AS (SELECT o_orderkey, round(o_totalprice)::BIGINT AS size, unnest(range(1, 6)) AS parts FROM orders),
+o AS (SELECT *, CASE WHEN size > 1 THEN (1::BIGINT << (length(bin(size - 1)) - 1)) END AS octave FROM p),
+n AS (SELECT o_orderkey, parts, CASE WHEN size <= 1 THEN 0 ELSE octave + (size - octave - 1) // greatest(octave // parts, 1) * greatest(octave // parts, 1) END AS n FROM o)
+SELECT o_orderkey, parts, n AS next, n - n % 2 AS even FROM n""")
 def batch_decay(t):
-    ladder = F.create_map(*[F.lit(x) for n, (one, even) in _LADDER.items() for x in (n, F.struct(F.lit(one).alias("next"), F.lit(even).alias("even")))])
-    return t.part.select("p_partkey", F.element_at(ladder, F.col("p_size")).alias("r")).select("p_partkey", "r.next", "r.even")
+    rows = t.orders.select("o_orderkey", F.round("o_totalprice").cast("long").alias("size"), F.explode(F.array(*[F.lit(i).cast("long") for i in range(1, 6)])).alias("parts"))
+    step = lambda no_odd: O.decayed_batch(F.col("size"), F.col("parts"), no_odd).cast("long")
+    return rows.select("o_orderkey", "parts", step(False).alias("next"), step(True).alias("even"))
 
 
 # -- the other builders and collators --------------------------------------------------

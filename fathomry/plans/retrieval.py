@@ -294,19 +294,26 @@ def metric_mrr10(t):
     return M.mrr(run_of(t, DEPTH), qrels_of(t), 10).select("qid", F.round("rr", 6).alias("rr"))
 
 
-_TWO = """WITH a AS (SELECT vec_id AS qid, embedding[1]::DOUBLE AS x FROM embeddings WHERE vec_id % 2 = 0),
-b AS (SELECT vec_id AS qid, embedding[2]::DOUBLE AS y FROM embeddings WHERE vec_id % 3 = 0), d AS (SELECT qid, x, y, x - y AS d FROM a JOIN b USING (qid)) """
+_TWO = """WITH a AS (SELECT vec_id AS qid, list_sum(embedding[1:32]::DOUBLE[]) AS x FROM embeddings),
+b AS (SELECT vec_id AS qid, list_sum(embedding[33:64]::DOUBLE[]) AS y FROM embeddings), d AS (SELECT qid, x, y, x - y AS d FROM a JOIN b USING (qid)) """
 
 
 def _two(t: Tables) -> tuple[DataFrame, DataFrame]:
     v = t.embeddings
-    pick = lambda n, i: v.where(F.col("vec_id") % n == 0).select(F.col("vec_id").alias("qid"), F.get("embedding", F.lit(i)).cast("double").alias("value"))
-    return pick(2, 0), pick(3, 1)
+    half = lambda i: v.select(F.col("vec_id").alias("qid"), F.aggregate(F.slice("embedding", i, 32).cast("array<double>"), F.lit(0.0), lambda s, x: s + x).alias("value"))
+    return half(1), half(33)
 
 
-@query(_TWO + "SELECT count(*) AS n, round(avg(d), 6) AS mean_difference, round(avg(d) / stddev_samp(d) * sqrt(count(*)), 6) AS t FROM d")
+#: p by Simpson's rule over the density between -t and t.
+_P = """, s AS (SELECT count(*) AS n, avg(d) AS mean_difference, avg(d) / stddev_samp(d) * sqrt(count(*)) AS t FROM d),
+g AS (SELECT n, mean_difference, t, unnest(range(0, 4001)) AS i FROM s),
+f AS (SELECT n, mean_difference, t, CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(lgamma(n / 2) - lgamma((n - 1) / 2) - n / 2 * ln(1 + (t * i / 4000) ** 2 / (n - 1))) / sqrt(pi() * (n - 1)) AS y FROM g)
+SELECT any_value(n) AS n, round(any_value(mean_difference), 6) AS mean_difference, round(any_value(t), 6) AS t, round(1 - 2 * any_value(abs(t)) / 12000 * sum(y), 6) AS p FROM f"""
+
+
+@query(_TWO + _P)
 def metric_paired_ttest(t):
-    return M.paired_t(*_two(t)).select("n", F.round("mean_difference", 6).alias("mean_difference"), F.round("t", 6).alias("t"))
+    return M.paired_t(*_two(t)).select("n", *[F.round(c, 6).alias(c) for c in ("mean_difference", "t", "p")])
 
 
 @query(_TWO + "SELECT qid, round(y - x, 6) AS reward FROM d")

@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from fathomry.operators import metrics as M
 
@@ -80,3 +81,22 @@ def test_mrr_counts_ranked_queries_only(spark):
     run = spark.createDataFrame([("q1", "d1", 3.0), ("q1", "d2", 2.0)], RUN)
     got = {r.qid: r.rr for r in M.mrr(run, spark.createDataFrame(QRELS, REL), 10).collect()}
     assert got == {"q1": 0.5}
+
+
+def test_paired_t_equals_published_tables(spark):
+    """Two-sided 5 %, 1 % and 0.1 % points of Student's t."""
+    from fathomry.functions.stats import incomplete_beta, student_p
+
+    table = [(1, 12.706, 0.05), (2, 4.303, 0.05), (4, 2.776, 0.05), (10, 2.228, 0.05), (30, 2.042, 0.05), (120, 1.980, 0.05), (1, 63.657, 0.01), (5, 4.032, 0.01), (10, 3.169, 0.01), (10, 4.587, 0.001), (10_000_000, 1.96, 0.05), (7, 0.0, 1.0), (3, -3.182, 0.05)]
+    df = spark.createDataFrame(table, "v long, t double, p double").select("p", student_p(F.col("t"), F.col("v")).alias("got"))
+    assert all(abs(r.p - r.got) < 2e-4 * max(1, r.p * 10) for r in df.collect())
+    one = lambda a, b, x: spark.range(1).select(incomplete_beta(F.lit(a), F.lit(b), F.lit(x))).first()[0]
+    assert one(1.0, 1.0, 0.3) == pytest.approx(0.3, abs=1e-12) and one(2.0, 3.0, 0.4) == pytest.approx(0.5248, abs=1e-12) and one(0.5, 0.5, 0.25) == pytest.approx(1 / 3, abs=1e-12)
+
+
+def test_paired_t_of_few_queries(spark):
+    values = lambda *v: spark.createDataFrame(list(enumerate(v)), "qid long, value double")
+    # t = 3 / (sqrt(2.5) / sqrt(5)) with 4 degrees of freedom
+    r = M.paired_t(values(1.0, 2.0, 3.0, 4.0, 5.0), values(0.0, 0.0, 0.0, 0.0, 0.0)).first()
+    assert (r.n, r.mean_difference) == (5, 3.0) and r.t == pytest.approx(18**0.5) and r.p == pytest.approx(0.013236, abs=1e-6)
+    assert M.paired_t(values(1.0), values(0.0)).first().p is None and M.paired_t(values(1.0, 2.0), values(0.0, 1.0)).first().p is None

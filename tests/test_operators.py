@@ -313,3 +313,31 @@ def test_cleared_deletes_all_tables(spark):
         O.cumulative_split(spark.range(30).withColumn("n", F.lit(1)), "n", [10], ["id"]).collect()
         assert {p for p in root.glob("*")} > before
     assert {p for p in root.glob("*")} == before
+
+
+def test_batch_sizes_go_down_by_parts_of_octaves(spark):
+    """The ladders that the sizes of a halving batch are known by."""
+    def ladder(size, parts, no_odd=False):
+        out = [size]
+        while out[-1]:
+            out.append(spark.range(1).select(O.decayed_batch(F.lit(out[-1]), F.lit(parts), no_odd)).first()[0])
+        return out[:-1]
+
+    assert ladder(64, 4) == [64, 56, 48, 40, 32, 28, 24, 20, 16, 14, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1]
+    assert ladder(64, 4, True) == [64, 56, 48, 40, 32, 28, 24, 20, 16, 14, 12, 10, 8, 6, 4, 2]
+    assert ladder(64, 2) == [64, 48, 32, 24, 16, 12, 8, 6, 4, 3, 2, 1] and ladder(64, 1) == [64, 32, 16, 8, 4, 2, 1]
+    assert ladder(22, 3)[:4] == [22, 21, 16, 14] and ladder(17, 3)[1] == 16
+
+
+def test_average_of_the_best(spark):
+    rows = [(g, i, float(i % 7), [float(i), 2.0 * i]) for g in "ab" for i in range(20)] + [("a", 90, None, [9.0, 9.0]), ("a", 91, 99.0, None), ("c", 1, 1.0, [3e38, -3e38]), ("c", 2, 1.0, [3.4e38 * 2, 0.0])]
+    df = spark.createDataFrame(rows, "g string, i int, m double, embedding array<double>")
+    got = {r.g: (r.embedding, r.n) for r in O.average_best(df, "m", 3, group=["g"], tie="i").collect()}
+    assert got["a"] == got["b"] == ([(6 + 13 + 5) / 3, 2 * (6 + 13 + 5) / 3], 3) and got["c"] == ([3.4028234663852886e38, -1.5e38], 2)
+    assert O.average_best(df.where("g <> 'c'"), "m", 1, larger=False, tie="i").first().embedding == [0.0, 0.0]
+    assert O.average_best(df.limit(0), "m", 3).isEmpty()
+
+
+def test_wrap_takes_unicode_white_space(spark):
+    text = "one\u00a0two\u2003three\u2028four\x85five\x1csix"
+    assert spark.createDataFrame([(text,)], "t string").select(T.wrap(F.col("t"), 10)).first()[0] == ["one two", "three four", "five six"]
