@@ -67,6 +67,32 @@ def running_top_k(scores: DataFrame, k: int) -> DataFrame:
     return scores.groupBy("qid").transformWithStateInPandas(BestOf(k), "qid long, did long, score double, rank int", "Update", "none")
 
 
+def keep_top_k(scores: DataFrame, k: int, out: str, checkpoint: str):
+    """A started query that drains a stream of (qid, did, score) and writes the running top k of each query it touches.
+
+    A micro-batch has a folder of its own, which it writes again if it is run again; the state goes on from the checkpoint
+    when the query is started anew. ``last_top_k`` reads what holds by then.
+    """
+    spark, key = scores.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # the started query keeps it
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    try:
+        return running_top_k(scores, k).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+def last_top_k(spark: SparkSession, out: str) -> DataFrame:
+    """(qid, did, score, rank) as each query's last micro-batch left it."""
+    rows = spark.read.parquet(out)
+    last = rows.groupBy("qid").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["qid", "batch"]).drop("batch")
+
+
 def with_retries(call: Callable, times: int):
     """A batch function that tries each row up to ``times`` and reports instead of failing: (id, response, error)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
