@@ -259,6 +259,21 @@ def image_tar(t):
     return rows.select("name", "label", F.md5(F.unbase64("image")).alias("content"))
 
 
+@query("""SELECT 'o' || page_id % 2 AS archive, 'i' || page_id % 6 || '.tar/p' || page_id || '.png' AS name, md5(html) AS content FROM pages
+UNION ALL SELECT 'o' || page_id % 2, 'plain' || page_id || '.txt', md5(url) FROM pages WHERE page_id % 5 = 0""")
+def nested_tar_index(t):
+    """Archives inside archives and members beside them: the offsets of all are a table, and each is read from its place."""
+    inner, outer = _folder(t, "inner"), _folder(t, "outer")
+    S.write_archives(t.pages, inner, F.concat(F.lit("i"), F.col("page_id") % 6, F.lit(".tar")), F.concat(F.lit("p"), "page_id", F.lit(".png")), F.col("html"), "tar")
+    name = F.substring_index("path", "/", -1)
+    whole = S.read_binary(t.spark, inner, "*.tar").select(F.concat(F.lit("o"), F.substring(name, 2, 1).cast("int") % 2).alias("a"), name.alias("n"), F.col("content").alias("data"))
+    beside = t.pages.where("page_id % 5 = 0").select(F.concat(F.lit("o"), F.col("page_id") % 2), F.concat(F.lit("plain"), "page_id", F.lit(".txt")), F.col("url").cast("binary"))
+    S.write_archives(whole.union(beside), outer, F.concat("a", F.lit(".tar")), F.col("n"), F.col("data"), "tar")
+    index = Work(t.spark, "files").save(A.member_index(t.spark, outer), "index")
+    rows = A.read_places(index, 1 << 16)
+    return rows.select(F.regexp_extract("archive", r"([^/]+)\.tar$", 1).alias("archive"), "name", F.md5("content").alias("content"))
+
+
 @query("SELECT 'c' || page_id % 12 AS label, page_id % 12 AS class_index, count(*) AS n FROM pages GROUP BY 1, 2")
 def image_folder(t):
     S.write_files(t.pages, path := _folder(t, "imgs"), F.concat(F.lit("c"), F.col("page_id") % 12, F.lit("/"), "page_id", F.lit(".png")), F.col("html"))

@@ -129,6 +129,105 @@ class ArchiveSource(DataSource):
         return ArchiveReader(self.options)
 
 
+class IndexReader(ArchiveReader):
+    """Where the members of plain tar files lie; headers are read, and what is between them is skipped."""
+
+    def _places(self, f, start: int, above: str = "", depth: int = 0):
+        f.seek(start)
+        with tarfile.open(fileobj=f, mode="r:") as t:
+            for m in t:
+                if not m.isfile():
+                    continue
+                # An archive inside is not compressed either, so its members have places in the outer file.
+                if depth < self.nesting and m.name.endswith(".tar"):
+                    yield from self._places(f, m.offset_data, f"{above}{m.name}/", depth + 1)
+                else:
+                    yield above + m.name, m.offset_data, m.size
+
+    def read(self, partition):
+        import pyarrow.fs as pafs
+
+        wanted = self._wanted()
+        fs, path = pafs.FileSystem.from_uri(partition.path)
+        with fs.open_input_file(path) as f:
+            try:
+                for name, offset, size in self._places(f, 0):
+                    if wanted(name):
+                        yield partition.path, name, offset, size
+            except (tarfile.TarError, EOFError, OSError):
+                if not self.skip_errors:
+                    raise
+
+
+class IndexSource(DataSource):
+    @classmethod
+    def name(cls):
+        return "archive_index"
+
+    def schema(self):
+        return "archive string, name string, offset long, size long"
+
+    def reader(self, schema):
+        return IndexReader(self.options)
+
+
+def member_index(spark: SparkSession, path: str, pattern: str | None = None, skip_errors: bool = False, nesting: int = NESTING) -> DataFrame:
+    """(archive, name, offset, size) of the members of plain tar files; a member of an archive inside has that one's name in front.
+
+    Worth keeping as a table: whoever has it needs to list no archive again.
+    """
+    spark.dataSource.register(IndexSource)
+    reader = spark.read.format("archive_index").option("path", path).option("skiperrors", str(skip_errors).lower()).option("nesting", nesting)
+    return (reader.option("pattern", pattern) if pattern else reader).load()
+
+
+#: Bytes of an archive that one task reads members from, and of members that it hands on at a time.
+SPLIT_BYTES, PART_BYTES = 64 << 20, 8 << 20
+#: Tasks at most; beyond, each reads several splits.
+MOST_PARTS = 20_000
+
+
+def read_places(index: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """(archive, name, size, content) of the members in an index (or a part of it), read from where they are.
+
+    An archive is split by offsets: a large one is read by many tasks, each in the order of the file. A member that the archive
+    ends in the middle of is an error.
+    """
+    placed = index.select("archive", "name", "offset", "size", F.floor(F.col("offset") / split_bytes).alias("split"))
+    # A number of its own: adaptive execution would join partitions by the size of the index, not of what it points at.
+    parts = min(max(placed.select("archive", "split").distinct().count(), 1), MOST_PARTS)
+    placed = placed.repartition(parts, "archive", "split").sortWithinPartitions("archive", "offset")
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.fs as pafs
+
+        opened, f, held, bytes_held = None, None, [], 0
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), (pa.string(), pa.string(), pa.int64(), pa.binary()))], ["archive", "name", "size", "content"])
+        for batch in batches:
+            for archive, name, offset, size in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if archive != opened:
+                    if f:
+                        f.close()
+                    fs, path = pafs.FileSystem.from_uri(archive)
+                    opened, f = archive, fs.open_input_file(path)
+                f.seek(offset)
+                content = f.read(size)
+                if len(content) < size:
+                    raise EOFError(f"{archive} ends within {name}")
+                held.append((archive, name, size, content))
+                bytes_held += size
+                if bytes_held >= PART_BYTES:
+                    yield flush()
+                    held, bytes_held = [], 0
+        if held:
+            yield flush()
+        if f:
+            f.close()
+
+    return placed.mapInArrow(run, SCHEMA)
+
+
 def name_hash(name: str) -> int:
     """The first 63 bits of an md5, as Spark computes it below."""
     return int(hashlib.md5(name.encode()).hexdigest()[:16], 16) >> 1

@@ -177,3 +177,39 @@ def test_tfrecords(spark, tmp_path):
         tfrecord.read_tfrecords(spark, str(tmp_path / "x.tfrecord"), check=True).collect()
     (tmp_path / "x.tfrecord").write_bytes(b"")
     assert tfrecord.read_tfrecords(spark, str(tmp_path)).count() == 0
+
+
+def test_members_are_read_from_their_places_by_several_tasks(spark, tmp_path):
+    import io
+    import tarfile
+
+    def tar(members):
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w") as t:
+            for name, data in members:
+                info = tarfile.TarInfo(name)
+                info.size = len(data)
+                t.addfile(info, io.BytesIO(data))
+        return out.getvalue()
+
+    deep = tar([("d.png", b"deep")])
+    inner = tar([(f"x/{i}.png", bytes([i]) * 1000 * i) for i in range(40)] + [("again.tar", deep), ("empty", b"")])
+    long_name = "n" * 300 + ".txt"
+    (tmp_path / "a.tar").write_bytes(tar([("first.txt", b"1"), ("in.tar", inner), (long_name, b"2" * 5000)]))
+    (tmp_path / "b.tar").write_bytes(tar([]))
+    want = {(f"in.tar/x/{i}.png", bytes([i]) * 1000 * i) for i in range(40)} | {("in.tar/empty", b""), ("first.txt", b"1"), (long_name, b"2" * 5000)}
+    for depth, more in ((1, {("in.tar/again.tar", deep)}), (2, {("in.tar/again.tar/d.png", b"deep")}), (0, None)):
+        index = archives.member_index(spark, f"file://{tmp_path}", nesting=depth)
+        rows = archives.read_places(index, 1 << 16)
+        got = {(r["name"], bytes(r.content)) for r in rows.collect()}
+        assert got == (want | more if more else {("first.txt", b"1"), ("in.tar", inner), (long_name, b"2" * 5000)})
+        assert all(r.size == len(r.content) for r in rows.collect())
+    parts = archives.read_places(archives.member_index(spark, f"file://{tmp_path}/a.tar"), 1 << 16).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts > 1
+    assert {r["name"] for r in archives.read_places(archives.member_index(spark, f"file://{tmp_path}", r"x/1\d\.png$")).collect()} == {f"in.tar/x/{i}.png" for i in range(10, 20)}
+    whole = (tmp_path / "a.tar").read_bytes()
+    index = archives.member_index(spark, f"file://{tmp_path}/a.tar").cache()
+    assert index.count() == 44
+    (tmp_path / "a.tar").write_bytes(whole[:100_000])
+    with pytest.raises(Exception, match="ends within"):
+        archives.read_places(index).collect()
