@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as T, vision as I
 from ..functions.order import global_index
-from ..operators import batching as B, examples as E, rows as O
+from ..operators import batching as B, examples as E, rows as O, tokens as K
 from .registry import Tables, query
 
 _MD5 = "md5(concat_ws('|', '{seed}', {key}))"
@@ -639,6 +639,28 @@ def batch_decay(t):
     return rows.select("o_orderkey", "parts", step(False).alias("next"), step(True).alias("even"))
 
 
+# -- token ids -------------------------------------------------------------------------
+
+#: The vocabulary that the queries encode with, and its ids at a text's ends.
+VOCABULARY, START, END = "/opt/tokenizers/word_bpe_49k.json", 49406, 49407
+#: Digits are single tokens of this vocabulary, as are the other words of a customer's name; so SQL can say what the ids are.
+_DIGITS = "list_transform(string_split({0}, ''), lambda x: 271 + x::INTEGER)"
+_CUT = f"list_concat([{START}], ({{0}})[1:{{1}}], [{END}])"
+
+
+@query(f"""WITH c AS (SELECT c_custkey, {_CUT.format("list_concat([5102, 258], " + _DIGITS.format("substr(c_name, 10) || c_custkey") + ")", 12)} AS q,
+  {_CUT.format("list_concat([5102, 258], " + _DIGITS.format("substr(c_name, 10)") + ")", 6)} AS a, {_CUT.format("list_concat([258], " + _DIGITS.format("c_custkey::VARCHAR") + ")", 6)} AS b FROM customer)
+SELECT c_custkey, array_to_string(list_concat(q, list_transform(range(16 - len(q)), lambda x: 0)), ' ') AS query,
+  array_to_string(list_transform(range(16), lambda i: CASE WHEN i < len(q) THEN 1 ELSE 0 END), ' ') AS mask, array_to_string(a, ' ') AS first, array_to_string(b, ' ') AS second FROM c""")
+def example_ids(t):
+    """Customers as examples: the name and key as query, the name and the key as passages; queries are filled up."""
+    key = F.col("c_custkey").cast("string")
+    rows = t.customer.select("c_custkey", F.concat_ws(" ", "c_name", key).alias("query"), F.array(F.col("c_name"), F.concat(F.lit("# "), key)).alias("passages"))
+    out = K.query_passage_ids(rows, VOCABULARY, 14, 8, [START], [END])
+    text = lambda ids: F.array_join(ids, " ")
+    return out.select("c_custkey", text(K.padded(F.col("query_ids"), 16)).alias("query"), text(K.mask(F.col("query_ids"), 16)).alias("mask"), *[text(F.get("passages_ids", F.lit(i))).alias(n) for i, n in enumerate(("first", "second"))])
+
+
 # -- the other builders and collators --------------------------------------------------
 
 

@@ -341,3 +341,32 @@ def test_average_of_the_best(spark):
 def test_wrap_takes_unicode_white_space(spark):
     text = "one\u00a0two\u2003three\u2028four\x85five\x1csix"
     assert spark.createDataFrame([(text,)], "t string").select(T.wrap(F.col("t"), 10)).first()[0] == ["one two", "three four", "five six"]
+
+
+def test_token_ids_equal_the_tokenizer(spark):
+    """Whole and cut texts, arrays of texts, nulls and empty texts, very long ones, and special ids that are never cut."""
+    from tokenizers import Tokenizer
+
+    from fathomry.operators import tokens as K
+    from fathomry.plans.prep import VOCABULARY
+
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    texts = ["The quick brown fox", None, "", "naïve Ärger 3.14", "word " * 50_000, "<|endoftext|>"]
+    rows = [(i, t, [t, "second", None] if i % 2 else None if i == 4 else []) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id long, query string, passages array<string>")
+
+    def want(t, n):
+        return None if t is None else [1, *tokenizer.encode(t, add_special_tokens=False).ids[: n and n - 3], 2, 3]
+
+    for q, p in ((8, 5), (3, None), (None, 100)):
+        got = {r.id: r for r in K.encode(df, VOCABULARY, {"query": q, "passages": p}, [1], [2, 3]).collect()}
+        for i, t, more in rows:
+            assert got[i].query_ids == want(t, q) and got[i].passages_ids == (None if more is None else [want(x, p) for x in more])
+            assert (got[i].query, got[i].passages) == (t, more)
+    with pytest.raises(ValueError):
+        K.encode(df, VOCABULARY, {"query": 2}, [1], [2, 3])
+    assert K.encode(df.limit(0), VOCABULARY, {"query": 8}).isEmpty()
+    ids = spark.createDataFrame([([5, 6],), ([],), ([1, 2, 3, 4],)], "ids array<int>")
+    right = [tuple(r) for r in ids.select(K.padded(F.col("ids"), 3, 9), K.mask(F.col("ids"), 3)).collect()]
+    assert right == [([5, 6, 9], [1, 1, 0]), ([9, 9, 9], [0, 0, 0]), ([1, 2, 3, 4], [1, 1, 1, 1])]
+    assert ids.select(K.padded(F.col("ids"), 3, 9, True)).first()[0] == [9, 5, 6] and ids.select(K.mask(F.col("ids"), 3, True)).first()[0] == [0, 1, 1]
