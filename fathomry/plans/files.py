@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.store import Work
@@ -211,10 +213,53 @@ def text_file_per_id(t):
     return S.read_binary(t.spark, path, "*.txt").select(F.substring_index("path", "/", -1).alias("name"), F.md5("content").alias("content"))
 
 
+def pdf_of(pages: int, text: bytes, packed: bool = False, spare: int = 1) -> bytes:
+    """A small PDF with so many pages, each with the text, and ``spare`` page objects that no page tree holds; packed, its
+    objects are in an object stream, found by a cross-reference stream with a PNG predictor."""
+    ids = [str(3 + i).encode() for i in range(pages)]
+    text = zlib.compress(text)
+    page = b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>"
+    last = 3 + pages + spare
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [%s] /Count %d >>" % (b" ".join(i + b" 0 R" for i in ids), pages), *[page % last] * (pages + spare)]
+    out, places = bytearray(b"%PDF-1.5\n"), {}
+
+    def add(number: int, body: bytes) -> None:
+        places[number] = len(out)
+        out.extend(b"%d 0 obj\n%s\nendobj\n" % (number, body))
+
+    stream = lambda about, data: b"<< %s /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream" % (about, len(data), data)
+    add(last, stream(b"", text))
+    if not packed:
+        for i, body in enumerate(objects, 1):
+            add(i, body)
+        table = b"xref\n0 %d\n0000000000 65535 f\r\n" % (last + 1) + b"".join(b"%010d 00000 n\r\n" % places[i] for i in range(1, last + 1))
+        return bytes(out) + table + b"trailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (last + 1, len(out))
+    heads, bodies, at = [], b"", 0
+    for i, body in enumerate(objects, 1):
+        heads.append(b"%d %d" % (i, len(bodies)))
+        bodies += body + b"\n"
+    head = b" ".join(heads) + b" "
+    add(last + 1, stream(b"/Type /ObjStm /N %d /First %d" % (len(objects), len(head)), zlib.compress(head + bodies)))
+    at = len(out)
+    rows = [bytes(7), *((2).to_bytes(1, "big") + (last + 1).to_bytes(4, "big") + i.to_bytes(2, "big") for i in range(len(objects)))]
+    rows += [(1).to_bytes(1, "big") + places.get(i, at).to_bytes(4, "big") + bytes(2) for i in (last, last + 1, last + 2)]
+    filtered, above = b"", bytes(7)
+    for row in rows:  # each row as its difference from the one above
+        filtered += b"\x02" + bytes((x - y) & 255 for x, y in zip(row, above))
+        above = row
+    add(last + 2, stream(b"/Type /XRef /Size %d /W [1 4 2] /Root 1 0 R /DecodeParms << /Predictor 12 /Columns 7 >>" % (last + 3), zlib.compress(filtered)))
+    return bytes(out) + b"startxref\n%d\n%%%%EOF\n" % at
+
+
 @query("SELECT 'p' || page_id AS name, (page_id % 5)::INTEGER AS pages FROM pages")
 def pdf_pages(t):
-    body = F.concat(F.lit("%PDF-1.4 /Type /Pages "), F.repeat(F.lit("<< /Type /Page >> "), (F.col("page_id") % 5).cast("int")))
-    S.write_files(t.pages, path := _folder(t, "pdf"), F.concat(F.lit("deep/p"), "page_id", F.lit(".pdf")), body)
+    """Every page's text as a PDF of up to four pages, every other one packed, all with a page object that isn't in use."""
+    def run(batches):
+        for batch in batches:
+            yield batch.assign(pdf=[pdf_of(i % 5, (x or "").encode(), i % 2 == 1) for i, x in zip(batch["page_id"], batch["html"])])[["page_id", "pdf"]]
+
+    pdfs = t.pages.select("page_id", "html").mapInPandas(run, "page_id long, pdf binary")
+    S.write_files(pdfs, path := _folder(t, "pdf"), F.concat(F.lit("deep/p"), "page_id", F.lit(".pdf")), F.col("pdf"))
     return S.read_pdfs(t.spark, path).select(F.regexp_extract("path", r"(p\d+)\.pdf$", 1).alias("name"), "pages")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.order import global_index
 from ..functions.text import to_base64
+from .pdf import count_pages
 from .sink import append_summary, write_archives, write_files, write_markdown, write_rolled_jsonl, write_split_json  # noqa: F401  the other writers
 
 # Image suffixes that count unless others are registered.
@@ -88,22 +89,8 @@ def read_images(spark: SparkSession, path: str, extensions=None, recursive: bool
     return df.where(suffix.isin(kinds)).select(F.substring_index("path", "/", -1).alias("id"), to_base64("content").alias("image"), "path")
 
 
-def count_pages(content: bytes) -> int:
-    """Page objects of a PDF, also those in compressed object streams; 0 where none can be read."""
-    import zlib
-
-    page = re.compile(rb"/Type\s*/Page(?![s\w])")
-    n = len(page.findall(content))
-    for m in re.finditer(rb"<<[^>]*/ObjStm[^>]*>>\s*stream\r?\n", content):
-        try:
-            n += len(page.findall(zlib.decompressobj().decompress(content[m.end() :])))
-        except zlib.error:
-            continue  # a filter other than Flate, or damage
-    return n
-
-
 def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content, pages) of the PDFs under a folder."""
+    """(path, content, pages) of the PDFs under a folder; ``pages`` is what the page tree states."""
     df = read_binary(spark, path, "*.pdf", recursive=True).select("path", "content")
 
     def run(batches):

@@ -213,3 +213,38 @@ def test_members_are_read_from_their_places_by_several_tasks(spark, tmp_path):
     (tmp_path / "a.tar").write_bytes(whole[:100_000])
     with pytest.raises(Exception, match="ends within"):
         archives.read_places(index).collect()
+
+
+def test_pages_are_counted_by_the_page_tree():
+    """Cross-reference tables and streams, updates, nested page trees, indirect counts, unused pages; damage falls back to page objects."""
+    import zlib
+
+    from fathomry.plans.files import pdf_of
+    from fathomry.sources.pdf import count_pages, unpredicted, value_at
+
+    for n in (0, 1, 7):
+        for packed in (False, True):
+            assert count_pages(pdf_of(n, b"text /Type /Page ", packed, 3)) == n
+    old = pdf_of(3, b"x")
+    root = b"2 0 obj\n<< /Type /Pages /Kids [3 0 R 90 0 R] /Count 91 0 R >>\nendobj\n"
+    more = b"90 0 obj\n<< /Type /Pages /Kids [4 0 R 5 0 R] /Count 2 /Parent 2 0 R >>\nendobj\n91 0 obj\n5\nendobj\n"
+    at, place = len(old), old.rindex(b"xref", 0, old.rindex(b"startxref"))
+    update = root + more + b"xref\n2 1\n%010d 00000 n\r\n90 2\n%010d 00000 n\r\n%010d 00000 n\r\n" % (at, at + len(root), at + len(root) + more.index(b"91 0 obj"))
+    update += b"trailer\n<< /Size 92 /Root 1 0 R /Prev %d >>\nstartxref\n%d\n%%%%EOF" % (place, at + len(root) + len(more))
+    assert count_pages(old + update) == 5  # what the newest tree says
+    assert count_pages(old[: old.rindex(b"xref", 0, old.rindex(b"startxref"))]) == 4  # no sections: all page objects
+    assert count_pages(old.replace(b"/Pages 2 0 R", b"/Pages 77 0 R")) == 4 and count_pages(b"") == 0 and count_pages(b"startxref\n99999\n") == 0
+    circle = old.replace(b"/Count 3", b"/Count 2 0 R")
+    assert count_pages(circle) == 4
+    assert value_at(b" << /A [1 2.5 (a\\)(b)) <0A> 7 0 R true null] /B<</C/D>> >>", 0)[0] == {b"/A": [1, 2.5, b"a\\)(b)", b"0A", 7, True, None], b"/B": {b"/C": b"/D"}}
+    rows = [bytes([9, 200, 30]), bytes([10, 1, 255]), bytes([0, 0, 7]), bytes([250, 3, 4]), bytes([5, 6, 7])]
+    packed, above = b"", bytes(3)
+    for kind, row in enumerate(rows):
+        guess = []
+        for i in range(3):
+            left, up, corner = (row[i - 1] if i else 0), above[i], (above[i - 1] if i else 0)
+            near = min((left, up, corner), key=lambda v: abs(left + up - corner - v))
+            guess.append((0, left, up, (left + up) // 2, near)[kind])
+        packed += bytes([kind]) + bytes((x - g) & 255 for x, g in zip(row, guess))
+        above = row
+    assert unpredicted(packed, 3) == b"".join(rows)
