@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import zlib
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.store import Work
 from ..operators import rows as O
-from ..sources import archives as A, files as S, trec
+from ..sources import archives as A, files as S, splits as P, trec
 from ..sources.tfrecord import write_tfrecords
 from .registry import Tables, query
 
@@ -334,6 +334,25 @@ def web_shards(t):
     return rows.select("key", "label", F.md5("image").alias("content"))
 
 
+@query("""WITH r AS (SELECT page_id, md5(html) AS content, page_id % 5 = 0 AS val, row_number() OVER (PARTITION BY page_id % 5 = 0 ORDER BY page_id) - 1 AS r FROM pages),
+s AS (SELECT *, CASE WHEN val THEN 'v' || r % 2 ELSE 's' || r % 3 END AS shard FROM r),
+p AS (SELECT *, row_number() OVER (PARTITION BY val ORDER BY shard, page_id) - 1 AS i, count(*) OVER (PARTITION BY val) AS n FROM s)
+SELECT printf('%08d', page_id) AS key, CASE WHEN val THEN 'val' ELSE 'train' END AS split, (page_id % 7)::INTEGER AS label, content FROM p
+WHERE CASE WHEN val THEN i >= 3 ELSE i < round_even(n * 0.75, 0) AND i >= 5 END""")
+def shard_ranges(t):
+    """Two splits of shards with a description; of one a range in parts of a hundred, of the other all but the first three."""
+    root, val = _folder(t, "sharded"), F.col("page_id") % 5 == 0
+    place = F.row_number().over(Window.partitionBy(val).orderBy("page_id")) - 1
+    rows = t.pages.withColumn("r", place).select("html", "page_id", F.when(val, F.concat(F.lit("v"), F.col("r") % 2)).otherwise(F.concat(F.lit("s"), F.col("r") % 3)).alias("shard"))
+    ext = F.explode(F.map_from_arrays(F.array(F.lit("jpg"), F.lit("cls")), F.array(F.col("html"), (F.col("page_id") % 7).cast("string")))).alias("ext", "data")
+    S.write_archives(rows.select("shard", "page_id", ext), root, F.concat("shard", F.lit(".tar")), F.concat(F.format_string("%08d", "page_id"), F.lit("."), "ext"), F.col("data"))
+    lengths = {r.shard: r.n for r in rows.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # a row for each shard
+    of = lambda kind: sorted(s for s in lengths if s[0] == kind)
+    info = {"splits": {name: {"name": name, "filenames": [f"{s}.tar" for s in of(k)], "shard_lengths": [lengths[s] for s in of(k)], "num_samples": sum(lengths[s] for s in of(k))} for name, k in (("train", "s"), ("val", "v"))}}
+    parts = [P.read_plan(t.spark, root, P.plan(info, spec)).withColumn("split", F.lit(name)) for name, spec in (("train", "train[5:75%]"), ("val", "val[3:]"))]
+    return parts[0].union(parts[1]).select("key", "split", "label", F.md5("image").alias("content"))
+
+
 @query("SELECT s_suppkey, s_name FROM supplier")
 def dataset_by_prefix(t):
     t.supplier.select("s_suppkey", "s_name").write.parquet(f"{(root := _folder(t, 'hf'))}/validation")

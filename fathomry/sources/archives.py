@@ -278,7 +278,11 @@ def read_shards(spark: SparkSession, pattern: str, image_key: str = "jpg", targe
 
     With ``alt_label`` the label is that field of the sample's JSON; negative ones are left out. Damaged shards end where they are damaged.
     """
-    rows = read_archive(spark, pattern, skip_errors=True)
+    return samples(read_archive(spark, pattern, skip_errors=True), image_key, target_key, alt_label)
+
+
+def samples(rows: DataFrame, image_key: str = "jpg", target_key: str = "cls", alt_label: str | None = None) -> DataFrame:
+    """Members (archive, name, content) put together as samples."""
     base = F.substring_index("name", "/", -1)
     parts = rows.select("archive", F.concat(F.substr("name", F.lit(1), F.length("name") - F.length(base)), F.substring_index(base, ".", 1)).alias("key"), F.regexp_replace(base, r"^[^.]*\.", "").alias("ext"), "content")
     of = lambda k: F.max(F.when(F.col("ext") == k, F.col("content")))

@@ -248,3 +248,39 @@ def test_pages_are_counted_by_the_page_tree():
         packed += bytes([kind]) + bytes((x - g) & 255 for x, g in zip(row, guess))
         above = row
     assert unpredicted(packed, 3) == b"".join(rows)
+
+
+def test_splits_are_planned_from_the_description():
+    from fathomry.sources import splits as P
+
+    info = {"splits": {"train": {"name": "train", "filenames": ["d-train-0.tar", "d-train-1.tar", "d-train-2.tar"], "shard_lengths": [10, 5, 20], "num_samples": 35}, "val": {"name": "val", "filenames": ["v.tar"], "shard_lengths": [4], "num_samples": 4, "alt_label": "alt"}}}
+    assert P.plan(info, "train") == [("d-train-0.tar", 0, 10), ("d-train-1.tar", 0, 5), ("d-train-2.tar", 0, 20)]
+    assert P.plan(info, "train[8:16]") == [("d-train-0.tar", 8, 10), ("d-train-1.tar", 0, 5), ("d-train-2.tar", 0, 1)]
+    assert P.plan(info, "train[-3:]+val[:50%]") == [("d-train-2.tar", 17, 20), ("v.tar", 0, 2)] and P.plan(info, "train[5:5]") == []
+    assert P.plan(info, "train[40%:60%]") == [("d-train-1.tar", 4, 5), ("d-train-2.tar", 0, 6)]
+    whole = [n for s in P.even_parts("train", 4, 35) for f, a, b in P.plan(info, s) for n in [(f, i) for i in range(a, b)]]
+    assert len(whole) == len(set(whole)) == 35 and P.even_parts("train", 4, 35) == ["train[0:9]", "train[9:18]", "train[18:26]", "train[26:35]"]
+    assert P.find_split(info, "val").alt_label == "alt" and P.find_split(info, "x-{0..2}.tar|99") == P.Split("", ("x-0.tar", "x-1.tar", "x-2.tar"), (), 99)
+    assert P.plan(info, "x-{0..1}.tar") == [("x-0.tar", 0, -1), ("x-1.tar", 0, -1)]
+    for bad in ("test", "train[1:2", "nothing[:3]"):
+        with pytest.raises(ValueError):
+            P.plan(info, bad)
+    shards = P.plan(info, "train")
+    assert [P.worker_plan(shards, w, 2) for w in (0, 1)] == [[shards[0], shards[2]], [shards[1]]] and P.worker_plan(shards, 0, 1) == shards
+    assert P.samples_per_worker(35, 4) == 8 and P.samples_per_worker(35, 4, 2) == 9 and P.samples_per_worker(35, 4, 1, 8, True) == 16
+
+
+def test_only_planned_samples_are_read(spark, tmp_path):
+    from fathomry.sources import splits as P
+
+    for shard in range(3):
+        members = {f"{shard}-{i}.{e}": (b"%d" % i if e == "cls" else b"img%d" % i) for i in range(shard * 2 + 2) for e in ("jpg", "cls")}
+        tar(tmp_path / f"s-{shard}.tar", members)
+    info = {"splits": {"train": {"filenames": [f"s-{i}.tar" for i in range(3)], "shard_lengths": [2, 4, 6], "num_samples": 12}}}
+    (tmp_path / "_info.json").write_text(json.dumps(info))
+    got = P.read_split(spark, str(tmp_path), "train[1:5]").collect()
+    assert {(r.key, r.place, r.label, bytes(r.image)) for r in got} == {("0-1", 1, 1, b"img1"), ("1-0", 0, 0, b"img0"), ("1-1", 1, 1, b"img1"), ("1-2", 2, 2, b"img2")}
+    assert P.read_split(spark, str(tmp_path), "train[:2]+train[1:3]").count() == 4  # the second sample twice
+    assert P.read_split(spark, str(tmp_path), "train[3:3]").isEmpty() and P.read_split(spark, str(tmp_path), "s-{0..2}.tar").count() == 12
+    with pytest.warns(UserWarning):
+        assert P.read_info(f"{tmp_path}/none") == {}
