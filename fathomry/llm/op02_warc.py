@@ -39,6 +39,8 @@ MAX_FILE_BYTES, PARTITION_BYTES = 256 << 20, 64 << 20
 READ_AHEAD, BATCH_BYTES = 64 << 10, 8 << 20
 #: Digests that a broadcast may hold (about 100 bytes each); beyond it the same join shuffles.
 BROADCAST_DIGESTS = 200_000
+#: Rows that make a digest hot: it is decided before rows are shuffled by digest.
+HOT_ROWS = 10_000
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, content_length long, payload_digest string, refers_to string, http_length long, payload binary, payload_bytes long, payload_sha256 string"
 WRITE_FIELDS = ("record_id", "record_type", "target_uri", "payload_digest", "refers_to", "http_length", "payload")
@@ -367,10 +369,18 @@ def to_records(work: Work, pages: DataFrame, page_id: Column, url: Column, paylo
     rows = pages.select(page_id.alias("id"), url.alias("target_uri"), F.coalesce(payload, F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("payload_digest", F.sha2("payload", 256)).withColumn("http_length", F.octet_length("payload").cast("long"))
     known = pages.select(page_id.alias("id"), F.coalesce(payload, F.lit("")).cast("binary").alias("payload")).where(F.octet_length("payload") >= revisit_bytes)
-    first = known.groupBy(F.sha2("payload", 256).alias("payload_digest")).agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").drop("n")
+    first = known.groupBy(F.sha2("payload", 256).alias("payload_digest")).agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL")
     first = work.save(first, "first")
-    joined = rows.join(F.broadcast(first) if first.count() <= BROADCAST_DIGESTS else first, "payload_digest", "left")
     again = F.col("first").isNotNull() & F.coalesce(F.col("id") != F.col("first"), F.lit(True))
+    if first.count() <= BROADCAST_DIGESTS:
+        joined = rows.join(F.broadcast(first.drop("n")), "payload_digest", "left")
+    else:
+        # Digests with many rows are decided by a broadcast (there can't be many of them); their rows then go where their ids send
+        # them, revisits without their payload. The others' rows meet by digest, some at a time.
+        hot, cold = first.where(F.col("n") >= HOT_ROWS).drop("n"), first.where(F.col("n") < HOT_ROWS).select(F.col("payload_digest").alias("key"), F.col("first").alias("cold"))
+        decided = rows.join(F.broadcast(hot) if hot.count() <= BROADCAST_DIGESTS else hot, "payload_digest", "left").withColumn("payload", F.when(~again, F.col("payload")))
+        key = F.when(F.col("first").isNull(), F.col("payload_digest")).otherwise(F.concat("payload_digest", F.lit(":"), F.xxhash64("id", "target_uri").cast("string")))
+        joined = decided.withColumn("key", key).join(cold, "key", "left").withColumn("first", F.coalesce("first", "cold"))
     return joined.select(
         F.col("id").cast("string").alias("record_id"), F.when(again, "revisit").otherwise("response").alias("record_type"), "target_uri", "payload_digest",
         F.when(again, F.col("first")).cast("string").alias("refers_to"), "http_length", F.when(~again, F.col("payload")).alias("payload"),

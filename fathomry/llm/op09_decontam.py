@@ -28,13 +28,16 @@ from ._words import n_words, words
 from ._work import Work
 
 WINDOW = 10
-#: Rows that a broadcast side may have (some tens of bytes each); beyond, the join shuffles.
-BROADCAST_ROWS = 500_000
+#: Rows that a broadcast side may have, and bytes of their texts; beyond either, the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast if its size allows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """A written table, marked for broadcast if its rows and the bytes of their texts and words allow."""
+    texts = [F.octet_length(c) for c, kind in df.dtypes if kind == "string"] + [F.octet_length(F.array_join(c, " ")) for c, kind in df.dtypes if kind == "array<string>"]
+    size = sum((F.coalesce(x, F.lit(0)).cast("long") for x in texts), F.lit(0).cast("long"))
+    rows, held = df.agg(F.count("*"), F.sum(size)).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and (held or 0) <= BROADCAST_BYTES else df
 
 
 def item_table(work: Work, benchmark: DataFrame) -> DataFrame:

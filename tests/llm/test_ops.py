@@ -642,3 +642,26 @@ def test_lines_in_fifty_shards_are_read_once_a_pass(spark, corpus, monkeypatch):
     assert sum(1 for _ in op10_lines._held(iter(batches))) == len(batches)
     counted = op10_lines.with_counts(docs, index, "found").collect()
     assert sorted((r.text or "", tuple(r.found)) for r in counted) == sorted(((t or b"").decode(), tuple(x.tolist())) for t, x in zip(texts, found))
+
+
+@pytest.mark.parametrize("hot_rows", [3, 1000])
+def test_warc_without_a_broadcast_equals_with(spark, monkeypatch, hot_rows):
+    """Digests by the thousand: hot ones are decided first and their rows spread; nothing is decided otherwise."""
+    page = lambda i: "many copies " * 20 if i % 3 else f"pair {i // 6} " * 30
+    rows = [(i, f"u{i}", page(i)) for i in range(120)] + [(None, "u", page(1)), (None, "v", None), (5, "again", page(5)), (500, "w", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    made = lambda: sorted(map(str, op02_warc.to_records(Work(spark, "t"), pages, F.col("page_id"), F.col("url"), F.col("html")).collect()))
+    want = made()
+    monkeypatch.setattr(op02_warc, "BROADCAST_DIGESTS", 2)
+    monkeypatch.setattr(op02_warc, "HOT_ROWS", hot_rows)
+    assert made() == want and sum("revisit" in r for r in want) > 80
+
+
+def test_decontamination_without_broadcasts_equals_with(spark, monkeypatch, corpus):
+    """Sides whose texts are too long to be broadcast are shuffled, with the same result."""
+    items = [(f"i{k}", " ".join(WORD.findall((t or "").translate(AZ))[3:40])) for k, (_, t, _) in enumerate(corpus[60:90])]
+    docs, benchmark = docs_of(spark, corpus), spark.createDataFrame(items, "item_id string, text string")
+    made = lambda: sorted(map(str, op09_decontam.report(Work(spark, "t"), docs, benchmark).collect()))
+    want = made()
+    monkeypatch.setattr(op09_decontam, "BROADCAST_BYTES", 10)
+    assert made() == want and sum("contaminated=True" in r for r in want) > 20
