@@ -20,7 +20,8 @@ A document's set is its distinct word shingles. Two documents link when
    blocks of bounded size, a task compares two blocks, and only what is found leaves it. That is
    quadratic in a bucket of documents that share boilerplate but aren't alike: in comparisons of
    60 numbers, and beyond ``BLOCKS`` blocks of the largest size also in rows sent. Whoever has
-   a partner left goes on to be compared on full sets, in blocks of ``OUTSIDE`` by ``MEMBERS`` documents.
+   a partner left goes on to be compared on full sets, in blocks of ``OUTSIDE`` by ``MEMBERS`` documents
+   and about ``BLOCK_SHINGLES`` shingles.
    Then nothing is untested.
 5. A pair whose minhashes agree in fewer than ``least_agree`` of ``2 * SIDE * GROUP`` places
    can't reasonably have similarity 0.8 (odds below 1e-6) and is left; the rest are confirmed on
@@ -55,6 +56,8 @@ LEAST_AGREE = 32
 BLOCK, BLOCKS = (512, 8192), 64
 #: The same for full sets, which long documents make large: those outside the leader's component, and all under it.
 OUTSIDE, MEMBERS = (128, 256), (256, 512)
+#: Shingles of a block of full sets, 8 bytes each: where documents are long, blocks have fewer of them.
+BLOCK_SHINGLES = 1 << 20
 #: Ids that a broadcast may hold (16 bytes each); beyond it the same join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -166,8 +169,8 @@ def _block_size(bounds: tuple[int, int]) -> Column:
 
 
 def _blocks(members: DataFrame, payload: DataFrame, outside: tuple[int, int], block: tuple[int, int]) -> DataFrame:
-    """members(leader, rep, label, outside, n_out, n_all) as the rows of block pairs, sorted by block pair."""
-    outs, alls = (F.ceil(F.col(c) / _block_size(size)).cast("int") for c, size in (("n_out", outside), ("n_all", block)))
+    """members(leader, rep, label, outside, n_out, n_all, s_out, s_all) as the rows of block pairs, sorted by block pair."""
+    outs, alls = (F.ceil(F.greatest(F.col(f"n_{c}") / _block_size(size), F.col(f"s_{c}") / BLOCK_SHINGLES)).cast("int") for c, size in (("out", outside), ("all", block)))
     dealt = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), n).cast("int")
     fields = ["leader", "rep", "label"]
     left = members.where("outside").select(*fields, F.lit(True).alias("asks"), dealt(outs, 1).alias("ub"), F.explode(F.sequence(F.lit(0), alls - 1)).alias("mb"))
@@ -175,14 +178,18 @@ def _blocks(members: DataFrame, payload: DataFrame, outside: tuple[int, int], bl
     return left.union(right).join(payload, "rep").repartition(*_KEYS).sortWithinPartitions(*_KEYS)
 
 
-def _counted(work: Work, members: DataFrame, tag: str) -> DataFrame:
-    """members(leader, rep, label) of the leaders that still have several labels, with the blocks' sizes, written."""
+def _counted(work: Work, members: DataFrame, tag: str, sizes: DataFrame | None = None) -> DataFrame:
+    """members(leader, rep, label) of the leaders that still have several labels, with the blocks' sizes, written.
+
+    ``n_`` counts documents and ``s_`` the shingles that sizes(rep, n_shingles) gives them, of all and of those outside the main label.
+    """
     n = members.count()
-    by_label = members.groupBy("leader", "label").agg(F.count("*").alias("n"))
-    by_leader = by_label.groupBy("leader").agg(F.sum("n").alias("n_all"), F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
-    by_leader = by_leader.select("leader", "n_all", (F.col("n_all") - F.col("most.n")).alias("n_out"), F.col("most.label").alias("main"))
+    sized = members.withColumn("n_shingles", F.lit(0).cast("long")) if sizes is None else members.join(sizes, "rep")
+    by_label = sized.groupBy("leader", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    by_leader = by_label.groupBy("leader").agg(F.sum("n").alias("n_all"), F.sum("s").alias("s_all"), F.max(F.struct("n", "label", "s")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
+    by_leader = by_leader.select("leader", "n_all", "s_all", (F.col("n_all") - F.col("most.n")).alias("n_out"), (F.col("s_all") - F.col("most.s")).alias("s_out"), F.col("most.label").alias("main"))
     by_leader = work.save(by_leader, f"{tag}-leaders", rows=n // 2)
-    found = members.join(by_leader, "leader").select("leader", "rep", "label", "n_all", "n_out", (F.col("label") != F.col("main")).alias("outside"))
+    found = members.join(by_leader, "leader").select("leader", "rep", "label", "n_all", "n_out", "s_all", "s_out", (F.col("label") != F.col("main")).alias("outside"))
     return work.save(found, f"{tag}-counted", rows=n)
 
 
@@ -235,7 +242,7 @@ def _late_links(work: Work, docs: DataFrame, reps: DataFrame, members: DataFrame
     if not n:
         return work.spark.createDataFrame([], "a long, b long")
     left = _blocks(counted, reps.select("rep", "n_shingles", "hashes"), BLOCK, BLOCK).mapInArrow(candidates, "leader long, rep long, label long")
-    counted = _counted(work, work.save(left.distinct(), "late-members", rows=n), "left")
+    counted = _counted(work, work.save(left.distinct(), "late-members", rows=n), "left", reps.select("rep", "n_shingles"))
     sets = _sets_of(work, docs, counted.select(F.col("rep").alias("doc_id")).distinct(), counted.count(), words, "late")
     links = work.save(_blocks(counted, sets, OUTSIDE, MEMBERS).mapInArrow(confirm, "a long, b long").distinct(), "late-links", rows=n)
     work.drop("late-leaders", "late-counted", "late-members", "left-leaders", "left-counted", "late-sets")

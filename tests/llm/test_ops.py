@@ -665,3 +665,25 @@ def test_decontamination_without_broadcasts_equals_with(spark, monkeypatch, corp
     want = made()
     monkeypatch.setattr(op09_decontam, "BROADCAST_BYTES", 10)
     assert made() == want and sum("contaminated=True" in r for r in want) > 20
+
+
+def test_blocks_of_long_documents_are_small(spark, monkeypatch, corpus):
+    """Blocks bounded by their shingles find the same components; no block holds many long sets."""
+    rng = np.random.default_rng(11)
+    base = [f"x{k}" for k in rng.integers(0, 5000, 3000)]
+    long = []
+    for i in range(40):
+        w = list(base)
+        for j in rng.integers(0, len(w), int(rng.integers(0, 500))):
+            w[j] = f"y{rng.integers(0, 9999)}"
+        long.append((1000 + i, " ".join(w), "s"))
+    docs = docs_of(spark, corpus + long)
+    made = lambda: sorted(map(str, op08_near.components(Work(spark, "t"), docs, words=2).collect()))
+    want = made()
+    monkeypatch.setattr(op08_near, "BLOCK_SHINGLES", 2000)
+    assert made() == want
+    members = spark.createDataFrame([(1, i, i % 3) for i in range(60)], "leader long, rep long, label long")
+    sizes = spark.createDataFrame([(i, 1000) for i in range(60)], "rep long, n_shingles long")
+    counted = op08_near._counted(Work(spark, "t"), members, "t", sizes)
+    blocks = op08_near._blocks(counted, sizes, op08_near.OUTSIDE, op08_near.MEMBERS).groupBy("ub", "mb", "asks").agg(F.sum("n_shingles").alias("s"))
+    assert counted.first().s_all == 60_000 and counted.first().s_out == 40_000 and blocks.agg(F.max("s")).first()[0] <= 8000
