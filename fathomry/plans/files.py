@@ -263,10 +263,12 @@ def pdf_pages(t):
     return S.read_pdfs(t.spark, path).select(F.regexp_extract("path", r"(p\d+)\.pdf$", 1).alias("name"), "pages")
 
 
-@query("SELECT row_number() OVER (ORDER BY page_id) - 1 AS line, md5(html) AS content FROM pages")
+@query("SELECT md5(html) AS content, count(*) AS n FROM pages GROUP BY 1")
 def pdf_jsonl(t):
-    S.write_jsonl(t.pages.select("page_id", F.base64(F.col("html").cast("binary")).alias("pdf")).coalesce(1).sortWithinPartitions("page_id"), path := _folder(t, "pj"))
-    return S.read_pdf_jsonl(t.spark, path).select(F.regexp_extract("name", r"_(\d+)\.pdf$", 1).cast("long").alias("line"), F.md5("pdf").alias("content"))
+    """As many files as the table has parts; a document is named after its file and line."""
+    S.write_jsonl(t.pages.select("page_id", F.base64(F.col("html").cast("binary")).alias("pdf")).repartition(4), path := _folder(t, "pj"))
+    rows = S.read_pdf_jsonl(t.spark, path)
+    return rows.dropDuplicates(["name"]).groupBy(F.md5("pdf").alias("content")).agg(F.count("*").alias("n"))
 
 
 def _tarred(t: Tables, kind: str, suffix: str) -> str:

@@ -284,3 +284,21 @@ def test_only_planned_samples_are_read(spark, tmp_path):
     assert P.read_split(spark, str(tmp_path), "train[3:3]").isEmpty() and P.read_split(spark, str(tmp_path), "s-{0..2}.tar").count() == 12
     with pytest.warns(UserWarning):
         assert P.read_info(f"{tmp_path}/none") == {}
+
+
+def test_crc_of_any_length():
+    """By lanes as byte by byte, and the published values."""
+    import numpy as np
+
+    def slow(data):
+        crc = 0xFFFFFFFF
+        for b in data:
+            crc = crc >> 8 ^ tfrecord._TABLE[(crc ^ b) & 0xFF]
+        crc ^= 0xFFFFFFFF
+        return ((crc >> 15 | crc << 17) + 0xA282EAD8) & 0xFFFFFFFF
+
+    data = np.random.default_rng(3).integers(0, 256, 70_000, dtype=np.uint8).tobytes()
+    for n in (0, 1, 31, 32, 255, 256, 257, 288, 511, 512, 513, 1000, 4096, 5555, 65_536, 70_000):
+        assert tfrecord.masked_crc(data[:n]) == slow(data[:n])
+    unmask = lambda m: (lambda x: (x >> 17 | x << 15) & 0xFFFFFFFF)((m - 0xA282EAD8) & 0xFFFFFFFF)
+    assert unmask(tfrecord.masked_crc(bytes(32))) == 0x8A9136AA and unmask(tfrecord.masked_crc(b"\xff" * 32)) == 0x62A8AB43 and unmask(tfrecord.masked_crc(b"123456789")) == 0xE3069283
