@@ -173,7 +173,7 @@ def _pruned(t: Tables) -> DataFrame:
 
 
 @query(r"""WITH x AS (SELECT DISTINCT item_id AS qid, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda w: w <> '')) AS term FROM benchmark),
-least AS (SELECT qid, list_sort(list(term)) AS ts FROM x GROUP BY qid), q1 AS (SELECT qid, unnest(ts[1:2]) AS term FROM least), m AS (SELECT qid, unnest(ts[3:5]) AS added FROM least),
+least AS (SELECT qid, list_sort(list(term)) AS ts FROM x GROUP BY qid), q1 AS (SELECT qid, unnest(ts[1:greatest(len(ts) - 3, 1)]) AS term FROM least), m AS (SELECT qid, unnest(ts[greatest(len(ts) - 3, 1) + 1:]) AS added FROM least),
 q AS (SELECT qid || ':' AS qid, term FROM q1 UNION ALL SELECT qid || ':' || added, term FROM q1 JOIN m USING (qid) UNION ALL SELECT qid || ':' || added, added FROM m),
 """ + _TERMS.replace("\nSELECT qid, did, round(", ",\ns AS (SELECT qid, did, round(").replace(", 4) AS score", ", 9) AS score") + r"""),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did) AS r FROM s) WHERE r <= 10),
@@ -185,11 +185,12 @@ v AS (SELECT k.qid, k.added, coalesce(sum(1 / log2(rank + 1)) FILTER (j.did IS N
   JOIN ideal ON ideal.qid = k.qid LEFT JOIN placed ON placed.qid = k.key LEFT JOIN j ON j.qid = k.qid AND j.did = placed.did GROUP BY k.qid, k.added)
 SELECT a.qid, a.added AS term, round(a.v - b.v, 6) AS reward FROM v a JOIN v b ON a.qid = b.qid AND a.added IS NOT NULL AND b.added IS NULL""")
 def expansion_reward(t):
-    """What nDCG@10 gains by one more word of the documents that hold a benchmark passage, for each of an item's first words as the query."""
+    """What nDCG@10 gains by each of an item's last three words (by the alphabet), all others being the query."""
     words = _terms(t.benchmark, "item_id", "qid").distinct()
     least = words.groupBy("qid").agg(F.sort_array(F.collect_set("term")).alias("terms"))
-    queries = least.select("qid", F.explode(F.slice("terms", 1, 2)).alias("term"))
-    more = least.select("qid", F.explode(F.slice("terms", 3, 3)).alias("term"))
+    n = F.greatest(F.size("terms") - 3, F.lit(1))
+    queries = least.select("qid", F.explode(F.slice("terms", F.lit(1), n)).alias("term"))
+    more = least.select("qid", F.explode(F.slice("terms", n + 1, F.lit(3))).alias("term"))
     docs = _terms(t.documents, "doc_id", "did")
     judged = docs.join(queries.groupBy("qid").agg(F.max("term").alias("term")), "term").select("qid", "did", F.lit(1).alias("rel")).distinct()
     return R.expansion_reward(queries, more, docs, judged).select("qid", "term", F.round("reward", 6).alias("reward"))
