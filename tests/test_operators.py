@@ -267,7 +267,7 @@ def test_wrap_equals_a_loop(spark):
                 assert got[i] is None
                 continue
             want, line = [], ""
-            for w in filter(None, re.split(r"[ \t\n\x0b\f\r]+", t)):
+            for w in t.split():
                 if len(line) + len(w) + 1 <= width:
                     line += " " + w
                 else:
