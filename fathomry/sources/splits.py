@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..functions.store import Work
 from .archives import expand, member_index, read_places, samples
 
 #: Names of the file that describes a dataset, in the order in which they are looked for.
@@ -129,7 +130,8 @@ def read_plan(spark: SparkSession, root: str, shards: list[tuple[str, int, int]]
         return spark.createDataFrame([], "archive string, place long, key string, image binary, label int, json string")
     base = (root if "://" in root else f"file://{root}").rstrip("/")
     files = sorted({f for f, _, _ in shards})
-    index = member_index(spark, "::".join(f"{base}/{f}" for f in files), skip_errors=True, nesting=0)
+    work = Work(spark, "splits")  # headers are read once, whatever the index is asked for
+    index = work.save(member_index(spark, "::".join(f"{base}/{f}" for f in files), skip_errors=True, nesting=0), "index")
     file = F.substr("archive", F.lit(len(base) + 2))
     key = F.concat(F.regexp_extract("name", r"^(.*/)?", 1), F.substring_index(F.substring_index("name", "/", -1), ".", 1))
     keyed = index.withColumn("key", key).withColumn("file", file)
@@ -137,7 +139,7 @@ def read_plan(spark: SparkSession, root: str, shards: list[tuple[str, int, int]]
     placed = first.select("file", "key", (F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1).cast("long").alias("place"))
     asked = spark.createDataFrame([(f, a, b) for f, a, b in shards], "file string, first long, end long")
     chosen = placed.join(F.broadcast(asked), "file").where((F.col("place") >= F.col("first")) & ((F.col("place") < F.col("end")) | (F.col("end") < 0)))
-    members = keyed.join(chosen.select("file", "key").distinct(), ["file", "key"]).select("archive", "name", "offset", "size")
+    members = work.save(keyed.join(chosen.select("file", "key").distinct(), ["file", "key"]).select("archive", "name", "offset", "size"), "members")
     found = samples(read_places(members), image_key, target_key, alt_label).withColumn("file", file)
     return found.join(chosen.select("file", "key", "place"), ["file", "key"]).select("archive", "place", "key", "image", "label", "json")
 
