@@ -178,13 +178,13 @@ def _blocks(members: DataFrame, payload: DataFrame, outside: tuple[int, int], bl
     return left.union(right).join(payload, "rep").repartition(*_KEYS).sortWithinPartitions(*_KEYS)
 
 
-def _counted(work: Work, members: DataFrame, tag: str, sizes: DataFrame | None = None) -> DataFrame:
-    """members(leader, rep, label) of the leaders that still have several labels, with the blocks' sizes, written.
+def _counted(work: Work, members: DataFrame, tag: str) -> DataFrame:
+    """members(leader, rep, label, n_shingles) of the leaders that still have several labels, with the blocks' sizes, written.
 
-    ``n_`` counts documents and ``s_`` the shingles that sizes(rep, n_shingles) gives them, of all and of those outside the main label.
+    ``n_`` counts documents and ``s_`` their shingles (0 where members don't have them), of all and of those outside the main label.
     """
     n = members.count()
-    sized = members.withColumn("n_shingles", F.lit(0).cast("long")) if sizes is None else members.join(sizes, "rep")
+    sized = members if "n_shingles" in members.columns else members.withColumn("n_shingles", F.lit(0).cast("long"))
     by_label = sized.groupBy("leader", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     by_leader = by_label.groupBy("leader").agg(F.sum("n").alias("n_all"), F.sum("s").alias("s_all"), F.max(F.struct("n", "label", "s")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
     by_leader = by_leader.select("leader", "n_all", "s_all", (F.col("n_all") - F.col("most.n")).alias("n_out"), (F.col("s_all") - F.col("most.s")).alias("s_out"), F.col("most.label").alias("main"))
@@ -209,7 +209,7 @@ def _late_links(work: Work, docs: DataFrame, reps: DataFrame, members: DataFrame
                 near[hit] = True
                 near[i] |= len(hit) > 0
             if near.any():
-                yield t.select(["leader", "rep", "label"]).filter(pa.array(near)).combine_chunks().to_batches()[0]
+                yield t.select(["leader", "rep", "label", "n_shingles"]).filter(pa.array(near)).combine_chunks().to_batches()[0]
 
     def confirm(batches):
         for t in _by_group(batches, _KEYS):
@@ -241,8 +241,8 @@ def _late_links(work: Work, docs: DataFrame, reps: DataFrame, members: DataFrame
     n = counted.count()
     if not n:
         return work.spark.createDataFrame([], "a long, b long")
-    left = _blocks(counted, reps.select("rep", "n_shingles", "hashes"), BLOCK, BLOCK).mapInArrow(candidates, "leader long, rep long, label long")
-    counted = _counted(work, work.save(left.distinct(), "late-members", rows=n), "left", reps.select("rep", "n_shingles"))
+    left = _blocks(counted, reps.select("rep", "n_shingles", "hashes"), BLOCK, BLOCK).mapInArrow(candidates, "leader long, rep long, label long, n_shingles long")
+    counted = _counted(work, work.save(left.distinct(), "late-members", rows=n), "left")
     sets = _sets_of(work, docs, counted.select(F.col("rep").alias("doc_id")).distinct(), counted.count(), words, "late")
     links = work.save(_blocks(counted, sets, OUTSIDE, MEMBERS).mapInArrow(confirm, "a long, b long").distinct(), "late-links", rows=n)
     work.drop("late-leaders", "late-counted", "late-members", "left-leaders", "left-counted", "late-sets")

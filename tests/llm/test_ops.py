@@ -682,8 +682,8 @@ def test_blocks_of_long_documents_are_small(spark, monkeypatch, corpus):
     want = made()
     monkeypatch.setattr(op08_near, "BLOCK_SHINGLES", 2000)
     assert made() == want
-    members = spark.createDataFrame([(1, i, i % 3) for i in range(60)], "leader long, rep long, label long")
+    members = spark.createDataFrame([(1, i, i % 3, 1000) for i in range(60)], "leader long, rep long, label long, n_shingles long")
     sizes = spark.createDataFrame([(i, 1000) for i in range(60)], "rep long, n_shingles long")
-    counted = op08_near._counted(Work(spark, "t"), members, "t", sizes)
+    counted = op08_near._counted(Work(spark, "t"), members, "t")
     blocks = op08_near._blocks(counted, sizes, op08_near.OUTSIDE, op08_near.MEMBERS).groupBy("ub", "mb", "asks").agg(F.sum("n_shingles").alias("s"))
     assert counted.first().s_all == 60_000 and counted.first().s_out == 40_000 and blocks.agg(F.max("s")).first()[0] <= 8000
